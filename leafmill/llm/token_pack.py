@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 from .common import BLANK, CASED, LOWER, buffers, new_path, ship, steps, word_hashes
 
 BLOCK_IDS = 1 << 16
-MAX_CACHED = 1_000_000
+MAX_CACHED = 700_000
 MAX_WORD = 64
 BATCH_WORDS = 4096
 #: Bytes of text whose distinct words are looked up together.
-STEP = 8 << 20
+STEP = 2 << 20
 _loaded: dict[str, Encoder] = {}
 #: Letters that are composed already and whose lower case is one letter.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
