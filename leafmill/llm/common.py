@@ -69,8 +69,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows; else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def remainder(df: DataFrame, n: int):

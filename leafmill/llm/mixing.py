@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stored
+from .common import small, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE, MAX_COPIES = 1.5, 2.0
@@ -71,14 +71,14 @@ def allocate(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_w")).alias("_weighed"))
     goals = targets(sums.select("source", "source_size"), weights, share, limit)
     goals = stored(goals.alias("g").join(sums.alias("s"), F.expr("g.source <=> s.source")).select("g.*", "s._weighed"), "targets")
-    rows = rows.alias("r").join(goals.alias("g"), F.expr("r.source <=> g.source"), "left").select("r.*", "g.source_size", "g.target", "g._weighed")
+    rows = rows.alias("r").join(small(goals).alias("g"), F.expr("r.source <=> g.source"), "left").select("r.*", "g.source_size", "g.target", "g._weighed")
     expected = F.when(F.col("_weighed") > 0, F.least(F.lit(float(limit)), F.col("target") * F.col("_w") / F.col("_weighed"))).otherwise(0.0)
     rows = rows.withColumn("_e", expected).withColumn("_whole", F.floor("_e")).withColumn("_p", F.col("_e") - F.col("_whole"))
     u = _uniform()
     rank = F.log(u) - F.log(1 - u) + F.log(1 - F.col("_p")) - F.log(F.col("_p"))
     rows = rows.withColumn("_rank", F.when((F.col("_p") > 0) & (F.col("size") > 0), rank))
     narrow = stored(rows.select("source", "size", "_whole", "_rank"), "ranks")
-    cuts = _cuts(narrow, goals)
+    cuts = small(stored(_cuts(narrow, goals), "cut"))
     rows = rows.alias("r").join(cuts.alias("c"), F.expr("r.source <=> c.source"), "left").select("r.*", "c.cut")
     copies = F.col("_whole") + F.when(F.col("_rank").isNotNull() & F.col("cut").isNotNull() & (F.col("_rank") < F.col("cut")), 1).otherwise(0)
     rows = rows.withColumn("copies", copies.cast("long")).withColumn("taken", (copies * F.col("size")).cast("long"))
@@ -91,7 +91,7 @@ def _cuts(narrow: DataFrame, goals: DataFrame) -> DataFrame:
     # lo, hi: the range of ranks that holds the place; taken: words of certain copies and of all ranks below lo
     state = goals.alias("g").join(certain.alias("c"), F.expr("g.source <=> c.source")).select("g.source", "g.target", F.col("c.certain").cast("double").alias("taken"), F.lit(LOW).alias("lo"), F.lit(HIGH).alias("hi"))
     for last in [False] * (ROUNDS - 1) + [True]:
-        ranked = narrow.where("_rank is not null").alias("n").join(state.alias("s"), F.expr("n.source <=> s.source and n._rank >= s.lo and n._rank < s.hi"))
+        ranked = narrow.where("_rank is not null").alias("n").join(small(state).alias("s"), F.expr("n.source <=> s.source and n._rank >= s.lo and n._rank < s.hi"))
         bin_ = F.least(F.floor((F.col("_rank") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))
         sums = ranked.select("n.source", bin_.cast("int").alias("bin"), "size").groupBy("source", "bin").agg(F.sum("size").alias("words"))
         order = W.partitionBy("source").orderBy("bin")
