@@ -14,7 +14,7 @@ before it.
 
 Encoding goes word by word: the pre-tokenizer's pieces never hold white space, normalisation is local to what stands between white
 space, so a text's ids are those of its words in turn. Each worker keeps the ids of up to MAX_CACHED words by a 64-bit hash
-of the word (two of 10^6 kept words and a new one share a hash once in 10^13 words). New words go to the library in batches.
+of the word (two of 250,000 kept words and a new one share a hash once in 10^13 words). New words go to the library in batches.
 
 A null text is empty: its only id is end_id. Rows without doc_id come first. Repeated rows stand side by side, each with a row of its
 own. A table without rows gives tables without rows. Only doc_id and text are read.
@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 from .common import BLANK, CASED, LOWER, buffers, new_path, ship, steps, word_hashes
 
 BLOCK_IDS = 1 << 16
-MAX_CACHED = 700_000
+MAX_CACHED = 250_000
 MAX_WORD = 64
 BATCH_WORDS = 4096
 #: Bytes of text whose distinct words are looked up together.
-STEP = 2 << 20
+STEP = 1 << 20
 _loaded: dict[str, Encoder] = {}
 #: Letters that are composed already and whose lower case is one letter.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
