@@ -45,10 +45,19 @@ def _key(line: Column, m: Column, lo: Column, hi: Column) -> Column:
     return F.xxhash64(m, lo, hi, F.substring(line, F.lit(1), lo), F.substring(line, n - after + 1, after))
 
 
+def _packed(longer: Column, lo: Column, hi: Column) -> Column:
+    """Places lo to hi to leave out, and whether partners have a character more, in one number."""
+    return F.shiftleft(lo.cast("long"), 32).bitwiseOR(F.shiftleft(hi.cast("long"), 1)).bitwiseOR(longer.cast("long"))
+
+
+def _unpacked(p: Column, n: Column) -> dict[str, Column]:
+    return {"m": (n + p.bitwiseAND(F.lit(1))).cast("int"), "lo": F.shiftright(p, 32).cast("int"), "hi": F.shiftright(p, 1).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")}
+
+
 def _met(rows: DataFrame) -> DataFrame:
-    """rows (h, n, m, lo, hi, key) whose key another line has, one of them with all m characters; without key."""
-    sums = rows.groupBy("key").agg(F.count("*").alias("c"), F.max((F.col("n") == F.col("m")).cast("int")).alias("long"))
-    return rows.join(sums.where("c > 1 and long = 1").select("key"), "key").drop("key")
+    """rows (h, p, key) whose key another line has, one of them with as many characters as the longer; without key."""
+    sums = rows.groupBy("key").agg(F.count("*").alias("c"), F.min(F.col("p").bitwiseAND(F.lit(1))).alias("longer"))
+    return rows.join(sums.where("c > 1 and longer = 0").select("key"), "key").drop("key")
 
 
 def _parts(m: Column, lo: Column, hi: Column, size: Column) -> Column:
@@ -56,12 +65,17 @@ def _parts(m: Column, lo: Column, hi: Column, size: Column) -> Column:
     return F.transform(F.sequence(lo, F.greatest(lo, hi - 1), size), lambda i: F.struct(m.alias("m"), i.alias("lo"), F.least(hi, i + size).alias("hi")))
 
 
+def _half(n: Column, j: Column | int) -> tuple[Column, Column, Column]:
+    """The jth range to leave out, 0 to 3: m, lo, hi; both halves for partners as long or shorter, then for those longer by one."""
+    j = F.lit(j) if isinstance(j, int) else j
+    m = n + F.floor(j / 2).cast("int")
+    mid = F.floor(m / 2).cast("int")
+    return m, F.when(j % 2 == 0, 0).otherwise(mid), F.when(j % 2 == 0, mid).otherwise(m)
+
+
 def _halves(line: Column) -> Column:
-    """Both halves as places to leave out, for partners as long or shorter and for those that are longer by one."""
-    n = F.length(line)
-    made = lambda m, lo, hi: F.struct(m.alias("m"), lo.alias("lo"), hi.alias("hi"), _key(line, m, lo, hi).alias("key"))
-    mid = lambda m: F.floor(m / 2).cast("int")
-    return F.array(*[x for m in (n, n + 1) for x in (made(m, F.lit(0), mid(m)), made(m, mid(m), m))])
+    """The keys of the four ranges."""
+    return F.array(*[_key(line, *_half(F.length(line), j)) for j in range(4)])
 
 
 def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -72,7 +86,9 @@ def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = stored(narrow.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("c"), F.max("n").alias("n")), "firsts")
     # a line's first place brings its halves: each distinct line once, but for repeated rows
     once = narrow.where("halves is not null").select("h", "n", "halves").dropDuplicates(["h"])
-    ranges = _met(once.select("h", "n", F.explode("halves").alias("k")).select("h", "n", "k.*").where(F.col("m") >= MIN_CHARS)).groupBy("h").agg(F.collect_set(F.struct("m", "lo", "hi")).alias("ranges"))
+    each = once.select("h", "n", F.posexplode("halves").alias("j", "key"))
+    m, lo, hi = _half(F.col("n"), F.col("j"))
+    ranges = _met(each.where(m >= MIN_CHARS).select("h", _packed(F.floor(F.col("j") / 2), lo, hi).alias("p"), "key")).groupBy("h").agg(F.collect_set("p").alias("ranges"))
     wanted = ranges.join(firsts.select("h", "first"), "h")
     by_doc = wanted.groupBy("first.doc", "first.row").agg(F.collect_list(F.struct("h", "first.pos", "ranges")).alias("some"))
     texts = docs.select("doc_id", _row_key().alias("row"), "text").alias("t").join(by_doc.alias("b"), F.expr("t.doc_id <=> b.doc and t.row = b.row"))
@@ -81,18 +97,20 @@ def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # repeated rows have their lines twice
     lined = lined.select("s.h", F.struct(F.col("doc_id").alias("doc"), "s.pos", "row").alias("first"), "s.ranges", "s.line", F.length("s.line").alias("n")).dropDuplicates(["h"])
     candidates = stored(lined, "candidates")
-    exploded = candidates.select("h", "n", "line", F.explode("ranges").alias("g")).select("h", "n", "line", "g.*")
+    exploded = candidates.select("h", "n", "line", F.explode("ranges").alias("p"))
+    exploded = exploded.select("h", "n", "line", *[v.alias(k) for k, v in _unpacked(F.col("p"), F.col("n")).items()])
     sized = exploded.withColumn("size", F.greatest(F.lit(1), F.floor(F.sqrt(F.col("hi") - F.col("lo"))).cast("int")))
     small = sized.select("h", "n", "line", F.explode(_parts(F.col("m"), F.col("lo"), F.col("hi"), F.col("size"))).alias("g")).select("h", "n", "line", "g.*")
-    left = _met(small.select("h", "n", "m", "lo", "hi", _key(F.col("line"), F.col("m"), F.col("lo"), F.col("hi")).alias("key")))
-    left = left.groupBy("h").agg(F.collect_set(F.struct("m", "lo", "hi")).alias("small")).join(candidates.drop("ranges"), "h")
-    single = left.select("h", "n", "first", "line", F.explode("small").alias("g")).select("h", "n", "first", "line", F.explode(_parts(F.col("g.m"), F.col("g.lo"), F.col("g.hi"), F.lit(1))).alias("g")).select("h", "n", "first", "line", "g.*")
-    variants = single.select("h", F.struct("first.doc", "first.pos", "first.row", "h").alias("at"), "n", "m", _key(F.col("line"), F.col("m"), F.col("lo"), F.col("hi")).alias("key"))
+    keyed = small.select("h", _packed(F.col("m") - F.col("n"), F.col("lo"), F.col("hi")).alias("p"), _key(F.col("line"), F.col("m"), F.col("lo"), F.col("hi")).alias("key"))
+    left = _met(keyed).groupBy("h").agg(F.collect_set("p").alias("small")).join(candidates.drop("ranges"), "h")
+    single = left.select("h", "n", "first", "line", F.explode("small").alias("p")).select("h", "n", "first", "line", *[v.alias(k) for k, v in _unpacked(F.col("p"), F.col("n")).items()])
+    single = single.select("h", "n", "first", "line", F.explode(_parts(F.col("m"), F.col("lo"), F.col("hi"), F.lit(1))).alias("g")).select("h", "n", "first", "line", "g.*")
+    variants = single.select("h", F.struct("first.doc", "first.pos", "first.row", "h").alias("at"), (F.col("n") == F.col("m")).alias("whole"), _key(F.col("line"), F.col("m"), F.col("lo"), F.col("hi")).alias("key"))
     variants = stored(variants, "variants")
     # the earliest of a key's lines, and of those with all m characters
-    full = F.when(F.col("n") == F.col("m"), F.col("at"))
+    full = F.when(F.col("whole"), F.col("at"))
     shared = variants.groupBy("key").agg(F.min("at").alias("any"), F.min(full).alias("full"), F.count("*").alias("c")).where("c > 1 and full is not null").drop("c")
-    links = variants.join(shared, "key").select("h", "at", F.when(F.col("n") == F.col("m"), F.col("any")).otherwise(F.col("full")).alias("best")).where("best < at")
+    links = variants.join(shared, "key").select("h", "at", F.when(F.col("whole"), F.col("any")).otherwise(F.col("full")).alias("best")).where("best < at")
     links = links.groupBy("h").agg(F.min("best").alias("best"))
     texts = candidates.select("h", "line", "n")
     found = links.join(texts, "h").join(texts.select(F.col("h").alias("_h"), F.col("line").alias("other"), F.col("n").alias("m")), F.col("best.h") == F.col("_h"))
