@@ -210,12 +210,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabu
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_ROW.replace("kind int, ", "") + ", width int").parquet(f"{path}/kind=0").select("shard", F.col("row").alias("block"), "first", "n_ids", "width", "payload")
+    return spark.read.schema(_ROW + ", width int").parquet(path).where("kind = 0").select("shard", F.col("row").alias("block"), "first", "n_ids", "width", "payload")
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
     """The index with each document's start over all shards."""
-    own = spark.read.schema(_ROW.replace("kind int, ", "")).parquet(f"{path}/kind=1").select("shard", "row", "doc_id", F.col("first").alias("offset"), F.col("n_ids").alias("n_tokens"))
+    own = spark.read.schema(_ROW).parquet(path).where("kind = 1").select("shard", "row", "doc_id", F.col("first").alias("offset"), F.col("n_ids").alias("n_tokens"))
     # one row for each shard
     totals = own.groupBy("shard").agg(F.sum("n_tokens").alias("n")).selectExpr("shard", "coalesce(sum(n) over (order by shard rows between unbounded preceding and 1 preceding), 0) as before")
     return own.join(F.broadcast(totals), "shard").withColumn("start", F.col("before") + F.col("offset")).drop("before")
