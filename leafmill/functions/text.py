@@ -96,7 +96,7 @@ def normalize_reference(text: Column) -> Column:
 def reference_labels(text: Column) -> Column:
     """Labels in a text, those of contents pages first, then lettered ones, then the rest; distinct."""
     x = normalize_reference(text)
-    found = F.array_distinct(F.concat(*[F.regexp_extract_all(x, F.lit(p), F.lit(0)) for p in (r"TOC \d{2}-\d+", r"\b(?!TOC)[A-Z]{2,5}-\d+", r"\d{2}-\d+")]))
+    found = F.array_distinct(F.concat(*[F.regexp_extract_all(x, F.lit(p), F.lit(0)) for p in (r"\bTOC\s+\d{2}-\d+\b", r"\b[A-Z]{2,5}-\d+\b", r"\b\d{2}-\d+\b")]))
     rank = lambda v: F.when(v.startswith("TOC "), 0).when(v.rlike("^[A-Z]{2,5}-"), 1).otherwise(2)
     ordered = F.sort_array(F.transform(found, lambda v, i: F.struct(rank(v).alias("r"), i.alias("i"), v.alias("v"))))
     return F.transform(ordered, lambda s: s["v"])

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import catalog, contents, headings, layout, revision
+from .operators import catalog, contents, headings, items, layout, outline, pages, revision
+from .plans import composite
 from .sources.layout import read, virtual_lines
 
 QUERIES, SQL = {}, {}
@@ -229,3 +230,59 @@ def q_level_clamp(spark, d):
 def q_visual_lines(spark, d):
     rows = _lines(spark, d).select("doc_id", "page_number", F.col("line_order").alias("word_number"), "text", "x0", (F.col("y0") + F.col("line_order") % 3).alias("y0"), "y1")
     return layout.visual_lines(rows)
+
+
+@query(f"""WITH {_LINES} SELECT doc_id, page_number, coalesce(string_agg(text, ' ' ORDER BY y0) FILTER (y0 <= 180), '') AS top_text, coalesce(string_agg(text, ' ' ORDER BY y0) FILTER (y0 >= 662), '') AS bottom_text, count(*) AS n_words FROM lines GROUP BY ALL""")
+def q_page_regions(spark, d):
+    words = _lines(spark, d).withColumns({"block_number": F.col("line_order"), "line_number": F.lit(0), "word_number": F.lit(0)})
+    return pages.page_texts(words).select("doc_id", "page_number", "top_text", "bottom_text", "n_words")
+
+
+@query(f"""WITH s AS ({_SECTIONS}),
+    l AS (SELECT o_custkey AS doc_id, o_orderkey AS page, o_orderpriority AS title, o_orderkey % 7 AS l, (SELECT max(s.page) FROM s WHERE s.doc = o_custkey AND s.page <= o_orderkey) AS root_page FROM orders WHERE o_orderkey % 3 <> 0),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, root_page ORDER BY page) AS i FROM l WHERE root_page IS NOT NULL)
+    SELECT doc_id, root_page + 1 AS root_page, (i + least(1, min(greatest(2, least(6, l)) - i) OVER (PARTITION BY doc_id, root_page ORDER BY page ROWS UNBOUNDED PRECEDING)))::INT AS level, title, page + 1 AS page FROM n
+    UNION ALL SELECT doc, page + 1, 1, 'root', page + 1 FROM s""")
+def q_outline_roots(spark, d):
+    orders = read(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), (F.col("o_orderkey") + 1).alias("page_number"), F.col("o_orderkey").alias("ord"), "o_orderpriority")
+    source = orders.where("ord % 3 = 0").withColumns({"level": F.lit(1), "title": F.lit("root")})
+    rows = orders.where("ord % 3 <> 0").select("doc_id", "ord", F.lit("local").alias("toc_type"), F.col("o_orderpriority").alias("title"), F.col("page_number").alias("target_page"), F.lit(0.0).alias("target_y"), (F.col("ord") % 7).alias("level"))
+    return outline.from_roots(outline.roots(source, rows), rows).select("doc_id", "root_page", "level", "title", "page")
+
+
+@query(f"""WITH o AS (SELECT o_custkey AS doc_id, o_orderkey AS ord, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS level FROM orders),
+    f AS (SELECT *, last_value(CASE WHEN level = 1 THEN ord % 2 = 0 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS r FROM o)
+    SELECT doc_id, ord, level, CASE WHEN level = 1 AND r THEN 'section' ELSE 'source' END AS title FROM f WHERE level = 1 OR NOT coalesce(r, false)
+    UNION ALL SELECT doc_id, ord, 2, 'heading' FROM o WHERE ord % 6 = 0""")
+def q_section_outline(spark, d):
+    source = read(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ord"), F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(2).alias("level"), F.lit("source").alias("title"), (F.col("o_orderkey") + 1).alias("page_number"))
+    plans = source.where("ord % 6 = 0").select("doc_id", F.col("page_number").alias("start_page"), F.lit("section").alias("title"))
+    own = plans.select("doc_id", "start_page", F.lit(0).alias("ord"), F.lit(3).alias("level"), F.lit("heading").alias("title"), F.col("start_page").alias("page"))
+    return outline.with_sections(source, plans, own).select("doc_id", "ord", "level", "title")
+
+
+@query(f"WITH l AS (SELECT p_partkey, regexp_replace(label, '\\s*-\\s*', '-', 'g') AS label FROM ({_LABELS})) SELECT p_partkey AS page_number, 'TOC ' || label AS label, 'JAN 2020' AS date_value, (p_partkey % 9 + 1)::VARCHAR || 'A' AS revision_value FROM l")
+def q_effective_entries(spark, d):
+    tokens = F.array(F.lit("TOC"), F.regexp_replace("label", " ", ""), F.lit("JAN"), F.lit("2020"), F.concat((F.col("p_partkey") % 9 + 1).cast("string"), F.lit("A")))
+    words = _labels(spark, d).select(F.lit(1).alias("doc_id"), F.col("p_partkey").alias("page_number"), F.posexplode(tokens).alias("word_number", "text"))
+    words = words.withColumns({"block_number": F.lit(0), "line_number": F.lit(0), "x0": F.col("word_number") * 40.0, "y0": F.lit(100.0)})
+    return pages.effective_entries(words).select("page_number", "label", "date_value", "revision_value")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey // 100 AS doc_id, p_partkey // 10 AS page_number, p_name, (104 + 14 * (p_partkey % 10))::DOUBLE AS y,
+        lpad((p_partkey % 90 + 10)::VARCHAR, 2, '0') || '-' || lpad(p_size::VARCHAR, 2, '0') || '-' || lpad((p_partkey % 7 + 10)::VARCHAR, 2, '0') AS label FROM part)
+    SELECT doc_id, page_number, label, label || ' ' || p_name AS title, 1 AS level, y - 24 AS y0 FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, label ORDER BY p_partkey) = 1""")
+def q_item_headings(spark, d):
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    key = F.col("p_partkey")
+    part = read(spark, d, "part").select(F.floor(key / 100).alias("doc_id"), F.floor(key / 10).alias("page_number"), (key % 10).alias("line"), "p_name", F.concat_ws("-", two(key % 90 + 10), two(F.col("p_size")), two(key % 7 + 10)).alias("label"))
+    word = lambda text, line, x, y: F.struct(text.alias("text"), line.cast("long").alias("line_number"), x.cast("double").alias("x0"), y.cast("double").alias("y0"))
+    own = part.select("doc_id", "page_number", F.explode(F.array(word(F.col("label"), F.col("line"), F.lit(50), 104 + 14 * F.col("line")), word(F.col("p_name"), F.col("line"), F.lit(150), 104 + 14 * F.col("line")))).alias("w"))
+    heads = part.select("doc_id", "page_number").distinct().select("doc_id", "page_number", F.explode(F.array(*[word(F.lit(t), F.lit(-1), F.lit(x), F.lit(90)) for t, x in (("ITEM", 50), ("DESCRIPTION", 150), ("REMARKS", 400))])).alias("w"))
+    words = own.unionByName(heads).select("doc_id", "page_number", F.lit(0).alias("block_number"), F.col("w.x0").cast("int").alias("word_number"), "w.*").withColumns({"x1": F.col("x0") + 30, "y1": F.col("y0") + 8})
+    return items.headings(pages.word_lines(words), pages.page_texts(words)).select("doc_id", "page_number", "label", "title", "level", "y0")
+
+
+@query()
+def q_front_contents(spark, d):
+    return composite.front_contents(q_headings(spark, d).select("doc_id", "page_number", "line_order", "title", "level")).select("doc_id", "page_number", "line_order", "level", "toc_page", "toc_y", "page_out")
