@@ -7,16 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def paginate(rows: DataFrame, by: list[str], order: list[str], height: float = 792.0, footer: float | None = None) -> DataFrame:
-    """toc_page and y of entries; the first page begins at 110, others at 90, lines are 16 apart; one entry a page at least."""
-    bottom = height - 54 if footer is None else min(height - 54, footer - 12)
-    first, others = max(1, int((bottom - 110) // 16)), max(1, int((bottom - 90) // 16))
-    i = F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1
-    rest = F.col("_i") - first
-    rows = rows.withColumn("_i", i)
-    page = F.when(F.col("_i") < first, 1).otherwise(F.floor(rest / others) + 2)
-    y = F.when(F.col("_i") < first, 110 + 16 * F.col("_i")).otherwise(90 + 16 * F.pmod(rest, F.lit(others)))
-    return rows.withColumns({"toc_page": page.cast("int"), "toc_y": y.cast("int")}).drop("_i")
+def paginate(rows: DataFrame, by: list[str], order: list[str], height: float = 792.0) -> DataFrame:
+    """toc_page and toc_y of entries; the first page begins at 110, others at 90, lines are 16 apart and end 54 above the page's end."""
+    return _placed(rows, by, order, F.lit(110), F.lit(90), F.lit(height - 54)).withColumn("toc_y", F.col("toc_y").cast("int"))
+
+
+def paginate_sections(rows: DataFrame, by: list[str], order: list[str], height: float = 792.0) -> DataFrame:
+    """The same for a section, below its first page's body (body_y) by 43, then 15, and to 12 above its footer (footer_y) at most; one entry a page at least."""
+    body = F.col("body_y")
+    return _placed(rows, by, order, body + 43, body + 15, F.least(F.lit(height - 54), F.col("footer_y") - 12))
+
+
+def _placed(rows: DataFrame, by: list[str], order: list[str], top: Column, later: Column, bottom: Column) -> DataFrame:
+    fits = lambda y: F.greatest(F.lit(1), F.floor((bottom - y) / 16))
+    rows = rows.withColumns({"_i": F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1, "_first": fits(top), "_others": fits(later)})
+    rest, is_first = F.col("_i") - F.col("_first"), F.col("_i") < F.col("_first")
+    page = F.when(is_first, 1).otherwise(F.floor(rest / F.col("_others")) + 2)
+    y = F.when(is_first, top + 16 * F.col("_i")).otherwise(later + 16 * F.pmod(rest, F.col("_others")))
+    return rows.withColumns({"toc_page": page.cast("int"), "toc_y": y}).drop("_i", "_first", "_others")
 
 
 def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:

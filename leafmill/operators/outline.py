@@ -19,6 +19,9 @@ FRONT_MATTER = (
     ("TABLE OF CONTENTS", "TOC"),
 )
 
+# The chapter after an aircraft type in an outline title.
+CHAPTER_IN_TITLE = r"(?i)\b(?:787|777|737|A\s*320|A\s*321|A\s*330|A\s*350|A\s*380)[\s_-]+(\d{2})\b"
+
 
 def title_index(outline: DataFrame) -> DataFrame:
     """doc_id, key (normalised title), ord, page: the first of each title. outline: doc_id, ord, level, title, page_number (from 1); page counts from 0."""
@@ -41,6 +44,15 @@ def front_matter(rows: DataFrame, titles: DataFrame) -> DataFrame:
     return rows.join(found, ["doc_id", "title"], "left").withColumn("front_page", F.when(cover, F.lit(0)).otherwise(F.col("_page"))).drop("_page")
 
 
+def section_roots(outline: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, ord, page, chapter, title: the first level's entries whose chapter is known from title or page, one a page. pages as of pages.page_texts."""
+    tops = outline.where("level = 1 and page_number >= 1").join(pages.select("doc_id", "page_number", "top_text"), ["doc_id", "page_number"], "left")
+    named = F.nullif(F.regexp_extract("title", CHAPTER_IN_TITLE, 1), F.lit(""))
+    title = section_title(X.header_bookmark(F.col("top_text")), X.bookmark(F.col("title")), F.col("title"))
+    rows = tops.select("doc_id", "ord", F.col("page_number").alias("page"), F.coalesce(named, X.ata_chapter(F.col("top_text"))).alias("chapter"), title.alias("title"))
+    return first_wins(rows.where("chapter is not null"), ["doc_id", "page"], ["ord"])
+
+
 def roots(outline: DataFrame, rows: DataFrame) -> DataFrame:
     """doc_id, page, title: one root a page, of the outline's first level or else of the global rows (doc_id, ord, toc_type, title, target_page)."""
     own = outline.where("level = 1 and page_number >= 1").select("doc_id", F.col("page_number").alias("page"), F.lit(0).alias("kind"), "ord", "title")

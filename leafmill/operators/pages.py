@@ -22,6 +22,9 @@ EM_PAGE = r"(?i)\bEM\s*[-–]\s*(\d+)\b"
 ITEM_IN_TEXT = r"\b\d{2}\s*-\s*\d{2}\s*-\s*\d{2}(?:\s*-\s*\d{2}){0,4}[A-Z]?\b"
 PAGE_LABEL = r"(?i)^(?:TOC-\d+|LEP-\d+|[A-Z]{2,6}-\d+[A-Z]?|\d{1,3}-\d+[A-Z]?|\d{2}(?:-\d{2}){1,6}[A-Z]?)$"
 REVISION_TOKEN = r"(?i)^(?:\d{1,2}[A-Z]?|R\d+[A-Z]?|[A-Z]\d+)$"
+HEADER_REVISION = r"(?i)^REV[-\s:]*(\d{1,3}[A-Z]?)?$"
+# Words of a table's head, below which a page's body begins.
+BODY_WORDS = ("CATEGORY", "ITEM", "DESCRIPTION", "REMARKS")
 # Titles at the head or foot of contents pages, and of tables that end the items.
 GLOBAL_HEADERS = ("CHAPTER", "DESCRIPTION", "PAGE", "CHAPTER DESCRIPTION PAGE", "DESCRIPTION PAGE", "TABLE OF CONTENTS")
 LOCAL_HEADERS = ("BOEING", "MINIMUM EQUIPMENT LIST", "DISPATCH DEVIATION GUIDE", "TABLE OF CONTENTS", "AIR CONDITIONING")
@@ -179,3 +182,22 @@ def effective_entries(words: DataFrame) -> DataFrame:
     ).where("rev is not null")
     date = F.array_join(F.transform(F.filter("values", lambda v: v["pos"] < F.col("rev.pos")), lambda v: v["text"]), " ")
     return sums.select(*line, "segment", "label", date.alias("date_value"), X.normalize_revision(F.col("rev.text")).alias("revision_value"), "y0")
+
+
+def bodies(words: DataFrame, height: float = HEIGHT) -> DataFrame:
+    """body_y (above the first words of a table's head in the page's upper 35 %, else a default) and footer_y (of the words in the last 80 points, else a default)."""
+    head = F.upper(F.trim("text")).isin(*BODY_WORDS) & F.col("y0").between(80, height * 0.35)
+    starts, footer = F.min(F.when(head, F.col("y0"))), F.min(F.when(F.col("y0") >= height - 80, F.col("y0")))
+    # greatest passes over null
+    body = F.when(starts.isNotNull(), F.greatest(F.lit(86.0), starts - 4)).otherwise(min(112.0, height * 0.18))
+    return words.groupBy(*PAGE).agg(body.alias("body_y"), F.coalesce(footer, F.lit(height - 50.0)).alias("footer_y"))
+
+
+def current_revisions(words: DataFrame, height: float = HEIGHT) -> DataFrame:
+    """The revision in each page's header: in the word REV or the one after it, the first that has one."""
+    order = W.partitionBy(*PAGE).orderBy("y0", "x0", "word_number")
+    top = words.where(F.col("y0") <= min(145.0, height * 0.2)).withColumn("text", F.trim("text"))
+    after = F.lead("text").over(order)
+    value = F.coalesce(F.nullif(F.regexp_extract("text", HEADER_REVISION, 1), F.lit("")), F.when(after.rlike(r"(?i)^\d{1,3}[A-Z]?$"), after))
+    found = top.withColumns({"place": F.row_number().over(order), "value": F.when(F.col("text").rlike(HEADER_REVISION), F.upper(value))})
+    return found.where("value is not null").groupBy(*PAGE).agg(F.min_by("value", "place").alias("current"))

@@ -9,10 +9,10 @@ from pyspark.sql import Window as W
 from ..functions import text as X
 
 
-def chapter_revisions(entries: DataFrame) -> DataFrame:
-    """The highest leading revision number of each chapter. entries: label, revision_value."""
+def chapter_revisions(entries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The highest leading revision number of each chapter (and of by, such as doc_id). entries: label, revision_value."""
     number = F.nullif(F.regexp_extract("revision_value", r"^(\d+)", 1), F.lit("")).try_cast("long")
-    return entries.select(X.chapter_of_label(F.col("label")).alias("chapter"), number.alias("n")).where("chapter is not null and n is not null").groupBy("chapter").agg(F.max("n").alias("revision"))
+    return entries.select(*by, X.chapter_of_label(F.col("label")).alias("chapter"), number.alias("n")).where("chapter is not null and n is not null").groupBy(*by, "chapter").agg(F.max("n").alias("revision"))
 
 
 def natural_order(rows: DataFrame, label: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import contents, outline, pages
+from ..operators import contents, outline, pages, revision
 from ..operators.headings import clamp_levels
 
 
@@ -44,3 +44,37 @@ def chosen_headings(items: DataFrame, layout: DataFrame) -> DataFrame:
 def headings_of_links(rows: DataFrame) -> DataFrame:
     """Rows with targets, but for references, as headings."""
     return rows.where("toc_type != 'reference' and target_page is not null").select("doc_id", "title", "level", F.col("target_page").alias("page"), F.lit(1.0).alias("confidence"), F.concat(F.lit("existing_"), "toc_type", F.lit("_toc")).alias("source"), F.col("target_y").alias("y0"))
+
+
+def section_contents(roots: DataFrame, headings: DataFrame, documents: DataFrame, bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """C4: contents pages to put before each section: the sections, and their entries.
+
+    roots: doc_id, ord, page, chapter, title (outline.section_roots). headings: doc_id, page, y0, title, level. documents: doc_id,
+    last_page. bodies: of pages.bodies. A section takes the headings within its pages that are of its chapter (J5); sections without any
+    are left out. Sections have n_pages, first_toc_page and first_label; entries toc_page, toc_y, and final_page after all insertions (J7).
+    """
+    spans = contents.sections(roots.join(documents, "doc_id"), ["doc_id"], "page", "last_page").select("doc_id", F.col("page").alias("start_page"), "end_page", "chapter", "title")
+    starts = spans.select("doc_id", F.col("start_page").alias("page"), F.col("start_page").alias("section"))
+    within = contents.assign_sections(headings, starts, ["doc_id"], "page").withColumnRenamed("section", "start_page")
+    own = within.join(spans.select("doc_id", "start_page", "end_page", "chapter"), ["doc_id", "start_page"]).where("page <= end_page and chapter = regexp_extract(title, '^([0-9]{2})-', 1)")
+    placed = own.join(bodies.withColumnRenamed("page_number", "start_page"), ["doc_id", "start_page"], "left").fillna({"body_y": 112.0, "footer_y": 742.0})
+    entries = contents.paginate_sections(placed, ["doc_id", "start_page"], ["page", "y0", "title"]).drop("body_y", "footer_y", "end_page")
+    sizes = entries.groupBy("doc_id", "start_page").agg(F.max("toc_page").cast("long").alias("n_pages"), F.count("*").alias("n_entries"))
+    plans = contents.chapter_labels(spans.join(sizes, ["doc_id", "start_page"]), ["doc_id"], ["start_page"])
+    insertions = plans.select("doc_id", "start_page", F.col("n_pages").alias("n"))
+    plans = contents.shift_pages(plans, insertions, ["doc_id"], "start_page", own=True).withColumnRenamed("shifted_page", "first_toc_page")
+    return plans, contents.shift_pages(entries, insertions, ["doc_id"], "page").withColumnRenamed("shifted_page", "final_page")
+
+
+def stamped_changes(changes: DataFrame, entries: DataFrame, current: DataFrame, revision_value: str | None = None) -> DataFrame:
+    """C6 up to the pages' drawing (W20, A7, X18, J8): changes (doc_id, page_index, page_label, change_type) once a page and label, with new_revision and the row of the list of effective pages that it goes to.
+
+    The new revision is the one given, or follows the one in the page's header (current: of pages.current_revisions, pages from 1), or else
+    the chapter's highest in the list. entries: of pages.effective_entries; of equal labels the last counts. lep_page is null where the list lacks the label.
+    """
+    rows = revision.one_change_a_page(changes).withColumn("chapter", X.chapter_of_label(F.col("page_label"))).withColumn("page_number", F.col("page_index") + 1)
+    rows = rows.join(current, ["doc_id", "page_number"], "left").join(revision.chapter_revisions(entries, ("doc_id",)).withColumnRenamed("revision", "_chapter"), ["doc_id", "chapter"], "left")
+    after = X.normalize_revision(F.lit(revision_value)) if revision_value else X.next_revision(F.col("current"), F.col("_chapter"))
+    listed = entries.select("doc_id", X.normalize_revision_label(F.col("label")).alias("label"), F.col("page_number").alias("lep_page"), "y0", "block_number", "line_number", "segment")
+    last = contents.last_wins(listed, ["doc_id", "label"], ["lep_page", "y0", "block_number", "line_number", "segment"]).select("doc_id", "label", "lep_page", F.col("y0").alias("lep_y"))
+    return rows.withColumn("new_revision", after).drop("current", "_chapter", "page_number").join(last, ["doc_id", "label"], "left")

@@ -102,3 +102,26 @@ def test_chosen_headings(spark):
     a = spark.createDataFrame([(1, "item")], "doc_id int, title string")
     b = spark.createDataFrame([(1, "layout"), (2, "layout")], "doc_id int, title string")
     assert got(composite.chosen_headings(a, b), "doc_id", "title") == [(1, "item"), (2, "layout")]
+
+
+def test_section_contents(spark):
+    source = spark.createDataFrame([(1, 0, 1, "787 21 Air", 3), (1, 1, 1, "787 22 Flight", 10), (1, 2, 1, "Other", 12), (1, 3, 1, "787 23 None", 20)], "doc_id int, ord int, level int, title string, page_number int")
+    w = words(spark, (3, 100, (50, "ITEM")), (3, 760, (50, "foot")), (12, 100, (50, "x")))
+    roots = outline.section_roots(source, pages.page_texts(w))
+    assert got(roots, "page", "chapter", "title") == [(3, "21", "787_21_air"), (10, "22", "787_22_flight"), (20, "23", "787_23_none")]
+    heads = spark.createDataFrame([(1, 4 + i // 20, float(i), f"21-{i:02}-01", 1) for i in range(60)] + [(1, 5, 99.0, "22-00-01", 1), (1, 15, 1.0, "22-00-02", 1), (1, 1, 0.0, "21-99-01", 1)], "doc_id int, page int, y0 double, title string, level int")
+    plans, entries = composite.section_contents(roots, heads, spark.createDataFrame([(1, 30)], "doc_id int, last_page int"), pages.bodies(w))
+    # the first page holds 37 entries from 139 on, to 738 at most
+    assert got(plans, "start_page", "end_page", "n_pages", "n_entries", "first_toc_page", "first_label") == [(3, 9, 2, 60, 3, "TOC 21-1"), (10, 19, 1, 1, 12, "TOC 22-1")]
+    found = {r[0]: r[1:] for r in got(entries, "title", "toc_page", "toc_y", "final_page")}
+    assert found["21-00-01"] == (1, 139.0, 6) and found["21-36-01"] == (1, 715.0, 7) and found["21-37-01"] == (2, 111.0, 7) and found["22-00-02"] == (1, 155.0, 18)
+
+
+def test_stamped_changes(spark):
+    w = words(spark, (1, 60, (50, "REV"), (80, "x"), (90, "Rev-4a")), (2, 60, (50, "REV:"), (80, "7")), (3, 300, (50, "REV"), (80, "9")))
+    assert got(pages.current_revisions(w), "page_number", "current") == [(1, "4A"), (2, "7")]
+    listed = pages.effective_entries(words(spark, (8, 60, (50, "21-1"), (90, "JAN"), (120, "3")), (9, 60, (50, "21-1"), (90, "FEB"), (120, "5"))))
+    changes = spark.createDataFrame([(1, 0, "21-9", "a"), (1, 0, "21 - 9", "b"), (1, 4, "21-1", "a"), (1, 5, "30-1", "a")], "doc_id int, page_index int, page_label string, change_type string")
+    found = composite.stamped_changes(changes, listed, pages.current_revisions(w))
+    assert got(found, "page_index", "label", "new_revision", "lep_page") == [(0, "21-9", "5A", None), (4, "21-1", "6", 9), (5, "30-1", "1", None)]
+    assert {r.new_revision for r in composite.stamped_changes(changes, listed, pages.current_revisions(w), "Rev-8").collect()} == {"8"}
