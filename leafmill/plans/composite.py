@@ -78,3 +78,36 @@ def stamped_changes(changes: DataFrame, entries: DataFrame, current: DataFrame,
     listed = entries.select("doc_id", X.normalize_revision_label(F.col("label")).alias("label"), F.col("page_number").alias("lep_page"), "y0", "block_number", "line_number", "segment")
     last = contents.last_wins(listed, ["doc_id", "label"], ["lep_page", "y0", "block_number", "line_number", "segment"]).select("doc_id", "label", "lep_page", F.col("y0").alias("lep_y"))
     return rows.withColumn("new_revision", after).drop("current", "_chapter", "page_number").join(last, ["doc_id", "label"], "left")
+
+
+def effective_rows(stamped: DataFrame, entries: DataFrame) -> DataFrame:
+    """C6, rows of lists of effective pages (J8, J9): doc_id, label, new_revision, is_new, lep_page, lep_y, outcome.
+
+    Changes whose label the list has update its row. In chapters that lack some, the missing labels (as labels of contents pages) and
+    then the chapter's old rows fill the chapter's rows in natural order. What goes beyond them, and changes without such a chapter,
+    overflow: revision.pack_blank_pages gives them places on blank pages.
+    """
+    columns = ["doc_id", "label", "new_revision", "is_new", "lep_page", "lep_y", "outcome"]
+    updated = stamped.where("lep_page is not null").select("doc_id", "label", "new_revision", F.lit(True).alias("is_new"), "lep_page", "lep_y", F.lit("updated").alias("outcome"))
+    label = X.normalize_revision_label(F.col("label"))
+    old = entries.select("doc_id", X.chapter_of_label(F.col("label")).alias("chapter"), label.alias("label"), F.col("revision_value").alias("new_revision"), F.col("page_number").alias("lep_page"), F.col("y0").alias("lep_y"))
+    old = old.where("chapter is not null and label not like 'TOC %'")
+    missing = stamped.where("lep_page is null").select("doc_id", "chapter", "label", "new_revision")
+    has_rows = old.select("doc_id", "chapter").distinct()
+    new = missing.join(has_rows, ["doc_id", "chapter"], "left_semi").withColumn("natural", X.natural_key(F.col("label"))).withColumn("label", X.toc_label(F.col("label"))).withColumn("is_new", F.lit(True))
+    touched = old.join(new.select("doc_id", "chapter").distinct(), ["doc_id", "chapter"], "left_semi").withColumn("natural", X.natural_key(F.col("label"))).withColumn("is_new", F.lit(False))
+    place = F.struct("natural", "label").alias("place")
+    rows = new.select("doc_id", "chapter", "label", "new_revision", "is_new", place).unionByName(touched.select("doc_id", "chapter", "label", "new_revision", "is_new", place))
+    slots = touched.select("doc_id", "chapter", F.struct("natural", "label", "lep_page", "lep_y").alias("slot"))
+    filled = revision.fill_slots(slots, rows, ["doc_id", "chapter"]).select("doc_id", "label", "new_revision", "is_new", F.col("slot.lep_page").alias("lep_page"), F.col("slot.lep_y").alias("lep_y"), F.when(F.col("overflow"), "overflow").otherwise("placed").alias("outcome"))
+    alone = missing.join(has_rows, ["doc_id", "chapter"], "left_anti").select("doc_id", "label", "new_revision", F.lit(True).alias("is_new"), F.lit(None).cast("int").alias("lep_page"), F.lit(None).cast("double").alias("lep_y"), F.lit("overflow").alias("outcome"))
+    return updated.select(*columns).unionByName(filled.select(*columns)).unionByName(alone.select(*columns))
+
+
+def modes(documents: DataFrame, global_pages: DataFrame, local_pages: DataFrame, items: DataFrame) -> DataFrame:
+    """How each document (doc_id) is processed, by the contents pages it has and whether it has item tables."""
+    rows = documents.select("doc_id")
+    for name, found in (("_global", global_pages), ("_local", local_pages), ("_items", items)):
+        rows = rows.join(found.select("doc_id").distinct().withColumn(name, F.lit(True)), "doc_id", "left")
+    both = F.when(F.col("_global") & F.col("_local"), "linked_existing_toc").when(F.col("_global"), "inserted_missing_section_tocs").when(F.col("_local"), "generated_missing_global_toc")
+    return rows.select("doc_id", both.when(F.col("_items"), "generated_chapterwise_mel_table_toc").otherwise("generated_layout_toc").alias("mode"))

@@ -286,3 +286,20 @@ def q_item_headings(spark, d):
 @query()
 def q_front_contents(spark, d):
     return composite.front_contents(q_headings(spark, d).select("doc_id", "page_number", "line_order", "title", "level")).select("doc_id", "page_number", "line_order", "level", "toc_page", "toc_y", "page_out")
+
+
+@query("""WITH f AS (SELECT o_custkey AS doc_id, bool_or(o_orderkey % 3 = 0) AS g, bool_or(o_orderkey % 5 = 0) AS l, bool_or(o_orderkey % 7 = 0) AS i FROM orders GROUP BY ALL)
+    SELECT c_custkey AS doc_id, CASE WHEN g AND l THEN 'linked_existing_toc' WHEN g THEN 'inserted_missing_section_tocs' WHEN l THEN 'generated_missing_global_toc'
+        WHEN i THEN 'generated_chapterwise_mel_table_toc' ELSE 'generated_layout_toc' END AS mode FROM customer LEFT JOIN f ON c_custkey = f.doc_id""")
+def q_document_modes(spark, d):
+    orders = read(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page"))
+    documents = read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"))
+    return composite.modes(documents, orders.where("page % 3 = 0"), orders.where("page % 5 = 0"), orders.where("page % 7 = 0"))
+
+
+@query(f"""WITH l AS (SELECT p_partkey, regexp_replace(label, '\\s*-\\s*', '-', 'g') AS label FROM ({_LABELS}))
+    SELECT label, count(*) AS n, max(p_partkey) AS lep_page, max(p_partkey % 9) + 1 AS top FROM l GROUP BY ALL""")
+def q_last_entries(spark, d):
+    rows = _labels(spark, d).select(X.normalize_revision_label(F.col("label")).alias("label"), F.col("p_partkey").alias("lep_page"))
+    sums = rows.groupBy("label").agg(F.count("*").alias("n"), (F.max(F.col("lep_page") % 9) + 1).alias("top"))
+    return contents.last_wins(rows, ["label"], ["lep_page"]).join(sums, "label")

@@ -125,3 +125,29 @@ def test_stamped_changes(spark):
     found = composite.stamped_changes(changes, listed, pages.current_revisions(w))
     assert got(found, "page_index", "label", "new_revision", "lep_page") == [(0, "21-9", "5A", None), (4, "21-1", "6", 9), (5, "30-1", "1", None)]
     assert {r.new_revision for r in composite.stamped_changes(changes, listed, pages.current_revisions(w), "Rev-8").collect()} == {"8"}
+
+
+def test_effective_rows(spark):
+    entries = spark.createDataFrame([(1, "21-2", "3", 8, 60.0), (1, "21-10", "3", 8, 70.0), (1, "TOC 21-1", "1", 8, 50.0), (1, "22-1", "5", 9, 60.0)], "doc_id int, label string, revision_value string, page_number int, y0 double")
+    stamped = spark.createDataFrame([(1, "21", "21-30", "4", None, None), (1, "22", "22-1", "6", 9, 60.0), (1, "33", "33-1", "1", None, None), (1, None, "X", "1", None, None)], "doc_id int, chapter string, label string, new_revision string, lep_page int, lep_y double")
+    found = composite.effective_rows(stamped, entries)
+    assert sorted(map(str, got(found, "label", "new_revision", "is_new", "lep_y", "outcome"))) == sorted(map(str, [
+        ("22-1", "6", True, 60.0, "updated"), ("TOC 21-30", "4", True, 60.0, "placed"), ("21-2", "3", False, 70.0, "placed"), ("21-10", "3", False, None, "overflow"), ("33-1", "1", True, None, "overflow"), ("X", "1", True, None, "overflow"),
+    ]))
+
+
+def test_modes(spark):
+    ids = lambda *xs: spark.createDataFrame([(x,) for x in xs], "doc_id int")
+    assert [m for _, m in got(composite.modes(ids(1, 2, 3, 4, 5), ids(1, 2, 1), ids(1, 3), ids(4, 1)), "doc_id", "mode")] == ["linked_existing_toc", "inserted_missing_section_tocs", "generated_missing_global_toc", "generated_chapterwise_mel_table_toc", "generated_layout_toc"]
+
+
+def test_xml_pages(spark, tmp_path):
+    from leafmill.sources import xml_pages
+
+    spans = spark.createDataFrame([(1, 1, 0, 0, 1, "b & c", "Arial-Bold", 10.5, 16, 255, 5.0, 1.0, 9.0, 2.0), (1, 1, 0, 0, 0, "a <x>", "Arial", 10.0, 0, 0, 1.0, 1.0, 5.0, 2.0), (1, 1, 0, 1, 0, "d", "Arial", 10.0, 0, 0, 1.0, 3.0, 5.0, 4.25)], "doc_id int, page_number int, block_number int, line_number int, span_number int, text string, font string, size double, flags int, color int, x0 double, y0 double, x1 double, y1 double")
+    info = spark.createDataFrame([(1, 1, 612.0, 792.0, 0), (1, 2, 612.0, 792.0, 90)], "doc_id int, page_number int, width double, height double, rotation int")
+    trees = xml_pages.page_trees(spans, info)
+    xml_pages.write_pages(trees, f"{tmp_path}/pages")
+    back = spark.read.format("xml").option("rowTag", "page").option("ignoreSurroundingSpaces", False).schema(trees.schema).load(f"{tmp_path}/pages").orderBy("_number").collect()
+    assert [s["_VALUE"] for line in back[0].block[0].line for s in line.span] == ["a <x>", "b & c", "d"]
+    assert back[0].block[0]["_y1"] == "4.25" and back[0].block[0].line[0].span[1]["_color"] == "#0000ff" and back[0].block[0].line[0].span[1]["_bold"] == "true" and back[1]["_rotation"] == 90
