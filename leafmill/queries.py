@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import catalog, contents, headings, items, layout, outline, pages, revision
-from .plans import composite
-from .sources.layout import read, virtual_lines
+from .operators import catalog, cells, contents, headings, items, layout, outline, pages, revision
+from .plans import composite, dry_run
+from .sources.layout import read, segments, virtual_lines
 
 QUERIES, SQL = {}, {}
 
@@ -303,3 +303,49 @@ def q_last_entries(spark, d):
     rows = _labels(spark, d).select(X.normalize_revision_label(F.col("label")).alias("label"), F.col("p_partkey").alias("lep_page"))
     sums = rows.groupBy("label").agg(F.count("*").alias("n"), (F.max(F.col("lep_page") % 9) + 1).alias("top"))
     return contents.last_wins(rows, ["label"], ["lep_page"]).join(sums, "label")
+
+
+_NO_WORDS = "doc_id long, page_number long, block_number int, line_number int, word_number int, text string, x0 double, y0 double, x1 double, y1 double"
+_NO_DRAWINGS = "doc_id long, page_number long, kind string, x0 double, y0 double, x1 double, y1 double"
+
+
+@query("""SELECT p_partkey AS page_number, 60.0::DOUBLE AS label_left, CASE WHEN p_size <= 35 THEN 98 ELSE 200 END::DOUBLE AS label_right, CASE WHEN p_size <= 26 THEN 60 ELSE 98 END::DOUBLE AS date_left,
+    200.0::DOUBLE AS date_right, 99.5::DOUBLE AS top, 114.5::DOUBLE AS bottom FROM part""")
+def q_effective_cells(spark, d):
+    part = read(spark, d, "part").select(F.lit(1).cast("long").alias("doc_id"), F.col("p_partkey").alias("page_number"), "p_size")
+    lines = [(x, 100.0, x, 114.0) for x in (60.0, 98.0, 200.0, 230.0)] + [(60.0, y, 230.0, y) for y in (100.0, 114.0)]
+    drawn = part.select("doc_id", "page_number", F.lit("l").alias("kind"), F.explode(F.array(*[cells.box(*x) for x in lines])).alias("b")).select("doc_id", "page_number", "kind", "b.*")
+    entries = part.select("doc_id", "page_number", cells.box(62, 102, F.col("p_size") + 62.0, 110).alias("label_text"), F.lit(None).cast(cells._BOX).alias("date_text"), cells.box(205, 102, 212, 110).alias("rev_text"))
+    found = cells.effective_cells(entries, segments(drawn))
+    return found.select("page_number", F.col("label_cell.x0").alias("label_left"), F.col("label_cell.x1").alias("label_right"), F.col("date_cell.x0").alias("date_left"), F.col("date_cell.x1").alias("date_right"), F.col("rev_cell.y0").alias("top"), F.col("rev_cell.y1").alias("bottom"))
+
+
+@query("""WITH r AS (SELECT p_partkey, p_size % 3 = 0 AS dated, CASE WHEN p_size % 2 = 0 THEN 252.5 WHEN p_size % 3 = 0 THEN 239.5 ELSE 241.5 END::DOUBLE AS rev_right FROM part)
+    SELECT p_partkey AS page_number, 203.5::DOUBLE AS rev_left, rev_right, CASE WHEN dated THEN 303.5 ELSE rev_right + 4 END::DOUBLE AS date_left, CASE WHEN dated THEN 352.5 ELSE rev_right + 78 END::DOUBLE AS date_right, false AS ruled FROM r""")
+def q_header_cells(spark, d):
+    part = read(spark, d, "part")
+    word = lambda text, n, x: F.struct(F.lit(text).alias("text"), F.lit(n).alias("word_number"), F.lit(float(x)).alias("x0"))
+    some = F.concat(F.array(word("REV", 0, 205)), F.when(F.col("p_size") % 2 == 0, F.array(word("3", 1, 230))).otherwise(F.array()), F.when(F.col("p_size") % 3 == 0, F.array(word("APR", 2, 305), word("2026", 3, 330))).otherwise(F.array()))
+    words = part.select(F.lit(1).cast("long").alias("doc_id"), F.col("p_partkey").alias("page_number"), F.explode(some).alias("w")).select("doc_id", "page_number", "w.*", F.lit(42.0).alias("y0"), F.lit(50.0).alias("y1")).withColumn("x1", F.col("x0") + 20)
+    found = cells.header_cells(words, segments(spark.createDataFrame([], _NO_DRAWINGS)))
+    return found.select("page_number", F.col("rev.x0").alias("rev_left"), F.col("rev.x1").alias("rev_right"), F.col("date.x0").alias("date_left"), F.col("date.x1").alias("date_right"), "ruled")
+
+
+@query("""WITH f AS (SELECT o_custkey AS doc_id, bool_or(o_orderkey % 5 = 0) AS g, bool_or(o_orderkey % 7 = 0) AS l, bool_or(o_orderkey % 4 = 0) AS i, bool_or(o_orderkey % 3 = 0) AS y, count_if(o_orderkey % 15 = 0) AS p,
+        count(*) AS n, count_if(o_orderkey % 2 = 1) AS odd, count_if(o_orderkey % 2 = 1 OR o_orderkey % 6 = 0) AS named FROM orders GROUP BY ALL),
+    m AS (SELECT c_custkey AS doc_id, CASE WHEN g AND NOT l AND p > 0 THEN 'insert_missing_section_tocs' WHEN g OR l THEN 'repair_existing_toc_links' WHEN i THEN 'generate_mel_table_toc' WHEN y THEN 'generate_layout_detection_toc'
+        ELSE 'no_reliable_toc_source' END AS mode, p, n, odd, named FROM customer LEFT JOIN f ON c_custkey = f.doc_id)
+    SELECT doc_id, mode, CASE mode WHEN 'insert_missing_section_tocs' THEN named WHEN 'repair_existing_toc_links' THEN odd ELSE 0 END::BIGINT AS linkable_rows,
+        CASE mode WHEN 'insert_missing_section_tocs' THEN n - named WHEN 'repair_existing_toc_links' THEN n - odd ELSE 0 END::BIGINT AS unresolved_rows,
+        CASE WHEN mode = 'insert_missing_section_tocs' THEN p WHEN mode LIKE 'generate%' THEN 1 ELSE 0 END::BIGINT AS inserted_page_count,
+        CASE mode WHEN 'no_reliable_toc_source' THEN false WHEN 'repair_existing_toc_links' THEN odd > 0 ELSE true END AS safe_to_apply FROM m""")
+def q_dry_run(spark, d):
+    orders = read(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page_number"))
+    every = lambda n: orders.where(F.col("page_number") % n == 0)
+    heads = lambda n: every(n).select("doc_id", "page_number", F.lit(0).alias("line_order"), F.lit("x").alias("title"), F.lit(1).alias("level"))
+    plans = every(15).select("doc_id", F.lit("21").alias("chapter"), F.col("page_number").alias("start_page"), F.lit(1).cast("long").alias("n_pages"), F.col("page_number").alias("first_toc_page"))
+    key = F.col("page_number")
+    rows = orders.select("doc_id", "page_number", F.lit("global").alias("toc_type"), F.when(key % 6 == 0, "TOC 21-1").otherwise("x").alias("target_label"), F.when(key % 2 == 1, key).alias("target"))
+    documents = read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"))
+    report, _ = dry_run.dry_run(documents, (every(5), every(7), orders.where("false")), heads(4), heads(3), plans, rows, spark.createDataFrame([], _NO_WORDS))
+    return report.select("doc_id", "mode", "linkable_rows", "unresolved_rows", "inserted_page_count", "safe_to_apply")

@@ -62,8 +62,10 @@ def needs_ocr(n_words, coverage):
 
 
 def segments(drawings: DataFrame) -> DataFrame:
-    """Drawings as vertical (h >= 6, w <= 4) and horizontal (w >= 8, h <= 4) segments, hairlines padded by half a point."""
+    """Drawings as vertical (h >= 6, w <= 4) and horizontal (w >= 8, h <= 4) segments; lines (kind l, not re) at most half a point thin are padded by half a point."""
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    line = F.coalesce(F.col("kind") == "l", F.lit(False)) if "kind" in drawings.columns else F.lit(True)
+    pad = lambda c, by, thin: F.when(line & (thin <= 0.5), F.col(c) + by).otherwise(F.col(c)).alias(c)
+    rows = drawings.select("doc_id", "page_number", pad("x0", -0.5, w), pad("y0", -0.5, h), pad("x1", 0.5, w), pad("y1", 0.5, h))
     kind = F.when((h >= 6) & (w <= 4), "vertical").when((w >= 8) & (h <= 4), "horizontal")
-    pad = lambda c, by, thin: F.when(thin == 0, F.col(c) + by).otherwise(F.col(c)).alias(c)
-    return drawings.withColumn("segment", kind).where("segment is not null").select("doc_id", "page_number", "segment", pad("x0", -0.5, w), pad("y0", -0.5, h), pad("x1", 0.5, w), pad("y1", 0.5, h))
+    return rows.withColumn("segment", kind).where("segment is not null").select("doc_id", "page_number", "segment", "x0", "y0", "x1", "y1")
