@@ -63,3 +63,17 @@ def counts_by(rows: DataFrame, column: str) -> DataFrame:
 def error_report(rows: DataFrame) -> DataFrame:
     """Linked and unresolved rows by reason."""
     return rows.groupBy(F.coalesce("unresolved_reason", F.lit("linked")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def process_summary(reports: DataFrame, fields: list[str]) -> DataFrame:
+    """K11, sheet Summary: a row for each field of each report (document_id, source_filename, mode and others): document_id, place, field, value."""
+    named = ["document_id", "source_filename", "mode", *fields]
+    first = F.struct(F.lit("timestamp_utc").alias("field"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("value"))
+    rest = [F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in named]
+    return reports.select("document_id", F.posexplode(F.array(first, *rest)).alias("place", "f")).select("document_id", "place", "f.*")
+
+
+def unresolved_links(rows: DataFrame) -> DataFrame:
+    """K11, sheet Unresolved Links: rows of contents without a target."""
+    label, reason = F.coalesce("target_label", F.lit("")), F.coalesce("unresolved_reason", F.lit("target_not_found"))
+    return rows.where("target_page is null").select("document_id", F.col("page_number").alias("toc_page"), "toc_type", label.alias("target_label"), reason.alias("unresolved_reason"), "title", "reference_text", "chapter")

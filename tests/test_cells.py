@@ -1,4 +1,4 @@
-"""Cells of ruled tables and the dry run of contents, on literal rows."""
+"""Cells of ruled tables, the dry run of contents, and reports, on literal rows."""
 
 from leafmill.operators import cells
 from leafmill.plans import dry_run
@@ -78,3 +78,30 @@ def test_dry_run(spark):
     assert first[2].warnings == ["unresolved_rows", "no_list_of_effective_pages"] and first[6].warnings == [dry_run.NONE]
     report, changes = run()
     assert changes.where("change_type = 'repair_links'").isEmpty() and report.where("doc_id = 2").first().overflow_risk == "low"
+
+
+def test_xml_links_and_metadata(spark, tmp_path):
+    from leafmill.sources import xml_pages
+
+    spans = spark.createDataFrame([(1, 1, 0, 0, 0, "a", "Arial", 10.0, 0, 0, 1.0, 1.0, 5.0, 2.0)], "doc_id int, page_number int, block_number int, line_number int, span_number int, text string, font string, size double, flags int, color int, x0 double, y0 double, x1 double, y1 double")
+    info = spark.createDataFrame([(1, 1, 612.0, 792.0, 0), (1, 2, 612.0, 792.0, 0)], "doc_id int, page_number int, width double, height double, rotation int")
+    links = spark.createDataFrame([(1, 1, 5, 2, None, "http://x.y/?a&b", 1.0, 2.0, 3.0, 4.5), (1, 1, 3, 1, 7, None, 1.0, 2.0, 3.0, 4.0)], "doc_id int, page_number int, ord int, kind int, target_page int, uri string, x0 double, y0 double, x1 double, y1 double")
+    notes = spark.createDataFrame([(1, 2, 0, "Text", None, 1.0, 2.0, 3.0, 4.0)], "doc_id int, page_number int, ord int, type string, content string, x0 double, y0 double, x1 double, y1 double")
+    trees = xml_pages.page_trees(spans, info, links, notes)
+    xml_pages.write_pages(trees, f"{tmp_path}/pages")
+    back = spark.read.format("xml").option("rowTag", "page").schema(trees.schema).load(f"{tmp_path}/pages").orderBy("_number").collect()
+    assert [(x["_index"], x["_kind"], x["_target_page"], x["_uri"], x["_y1"]) for x in back[0].links.link] == [("0", "1", "7", None, "4"), ("1", "2", None, "http://x.y/?a&b", "4.5")]
+    assert back[0].annotations is None and back[1].links is None and back[1].annotations.annotation[0]["_type"] == "Text"
+    metadata = xml_pages.metadata_trees(spark.createDataFrame([(1, "title", "A & B"), (1, "author", ""), (1, "other", "x"), (2, "format", "PDF 1.7")], "doc_id int, key string, value string"))
+    xml_pages.write_metadata(metadata, f"{tmp_path}/metadata")
+    back = spark.read.format("xml").option("rowTag", "metadata").schema(metadata.schema).load(f"{tmp_path}/metadata").orderBy("_doc_id").collect()
+    assert [(r.title, r.author, r.format) for r in back] == [("A & B", None, None), (None, None, "PDF 1.7")]
+
+
+def test_process_report(spark):
+    from leafmill.operators import catalog
+
+    reports = spark.createDataFrame([("d", "a.pdf", "m", 3)], "document_id string, source_filename string, mode string, linked int")
+    assert got(catalog.process_summary(reports, ["linked"]).where("place > 0"), "place", "field", "value") == [(1, "document_id", "d"), (2, "source_filename", "a.pdf"), (3, "mode", "m"), (4, "linked", "3")]
+    rows = spark.createDataFrame([("d", 2, "global", None, None, "T", "r", "21", None), ("d", 2, "local", "x", "why", "T", "r", "21", None), ("d", 3, "local", "x", None, "T", "r", "21", 4)], "document_id string, page_number int, toc_type string, target_label string, unresolved_reason string, title string, reference_text string, chapter string, target_page int")
+    assert got(catalog.unresolved_links(rows), "toc_page", "target_label", "unresolved_reason") == [(2, "", "target_not_found"), (2, "x", "why")]
