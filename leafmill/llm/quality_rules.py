@@ -5,9 +5,12 @@ method's rules: a measure above a cutoff. Cutoffs are chosen for each rule and s
 holdouts: of documents that labels call good and that pass the base rules, n have a measure and k are above a cutoff. A cutoff is
 valid if the exact binomial tail P(X <= k | n, risk) is at most its share of the error level: the one-sided Clopper-Pearson upper
 bound of the false-rejection rate is then at most `risk`. Corrections: the error level is divided by the number of
-rules and strata (Bonferroni), and a rule's cutoffs are tested from the mildest on until the first fails (fixed sequence),
-which needs no further division. The rules share the risk evenly, so a stratum loses at most `risk` of its good documents with
-probability 1 - delta for all strata at once. A stratum with too few labels for any proof has no cutoffs: only base rules apply.
+tests and strata (Bonferroni), and a rule's cutoffs are tested from the mildest on until the first fails (fixed sequence),
+which needs no further division. Half of the error level goes to rules one by one, which share the risk evenly; the other half goes to
+all rules together, whose cutoffs stand in fixed proportions (SCALES) and have the whole risk, so a proof needs fewer labels. A
+stratum has its cutoffs one by one if every rule has one, else those together, else what rules have one by one. All proofs hold at
+once with probability 1 - delta, so whichever are taken, a stratum loses at most `risk` of its good documents. A stratum with too
+few labels for any proof has no cutoffs: only base rules apply.
 
 A null text has no words and fails the base rules, as does an empty one. Rows with the same doc_id count with each label of that
 doc_id; repeated rows get a row each. Labels of other values than 0 and 1, and of no document, are not used.
@@ -24,6 +27,9 @@ from .common import stored
 RISK, DELTA = 0.02, 0.1
 MIN_WORDS = 50
 RULES = ("symbol_ratio", "upper_ratio", "dup_line_ratio", "repeat_ratio")
+#: Proportions of the cutoffs where all rules are tested together, named TOGETHER.
+SCALES = dict(zip(RULES, (1 / 3, 1.0, 1.0, 2 / 3), strict=True))
+TOGETHER = "together"
 #: Cutoffs of each rule, from the mildest to the strictest.
 CUTOFFS = tuple(round(0.6 - 0.02 * i, 2) for i in range(29))
 BLANKS = r"\x20\x09-\x0D"
@@ -92,24 +98,36 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def calibrate(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """stratum, rule, cutoff: the strictest valid cutoffs. measured: doc_id, lang and what measures() adds."""
     good = labels.where("quality = 1").select(F.col("doc_id").alias("_labelled"))
-    held = measured.where("not base_failed").join(good, F.col("doc_id") == F.col("_labelled")).select("lang", *[v.alias(k) for k, v in _ratios().items()])
+    together = F.greatest(*[v / SCALES[k] for k, v in _ratios().items()])
+    held = measured.where("not base_failed").join(good, F.col("doc_id") == F.col("_labelled")).select("lang", *[v.alias(k) for k, v in _ratios().items()], together.alias(TOGETHER))
     grid = F.array(*map(F.lit, CUTOFFS))
     passed = lambda r: F.size(F.filter(grid, lambda c: F.col(r) <= c))
-    long = held.select("lang", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), passed(r).alias("passed")) for r in RULES])).alias("m")).select("lang", "m.*")
+    long = held.select("lang", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), passed(r).alias("passed")) for r in (*RULES, TOGETHER)])).alias("m")).select("lang", "m.*")
     # a few counts for each rule and stratum: a measure passes so many of the cutoffs, mildest first
     counts = long.groupBy("lang", "rule", "passed").agg(F.count("*").alias("c"))
     sums = counts.groupBy("lang", "rule").agg(F.sum("c").alias("n"), F.collect_list(F.struct("passed", "c")).alias("by"))
     tested = sums.select("lang", "rule", "n", "by", F.posexplode(grid).alias("place", "cutoff"))
     tested = tested.withColumn("k", F.aggregate(F.filter("by", lambda x: x["passed"] <= F.col("place")), F.lit(0).cast("long"), lambda a, x: a + x["c"]))
-    share = risk / len(RULES)
-    # beyond the expected number no proof is possible, so long sums are never made
-    tail = F.when(F.col("k") > F.col("n") * share, 1.0).otherwise(binomial_tail(F.col("k"), F.col("n"), share))
+    all_rules = F.col("rule") == TOGETHER
+
+    def tail(share: float) -> Column:
+        # beyond the expected number no proof is possible, so long sums are never made
+        return F.when(F.col("k") > F.col("n") * share, 1.0).otherwise(binomial_tail(F.col("k"), F.col("n"), share))
+
     every = W.partitionBy()
     tested = tested.withColumn("strata", F.size(F.collect_set(F.coalesce(F.col("lang"), F.lit("\0"))).over(every)))
-    tested = tested.withColumn("valid", tail <= F.lit(delta / len(RULES)) / F.col("strata"))
+    level = F.lit(delta / 2) / F.col("strata")
+    tested = tested.withColumn("valid", F.when(all_rules, tail(risk) <= level).otherwise(tail(risk / len(RULES)) <= level / len(RULES)))
     first_bad = F.min(F.when(~F.col("valid"), F.col("place"))).over(W.partitionBy("lang", "rule"))
     valid = tested.withColumn("bad", first_bad).where("bad is null or place < bad")
-    return valid.groupBy(F.col("lang").alias("stratum"), "rule").agg(F.min("cutoff").alias("cutoff"))
+    found = valid.groupBy(F.col("lang").alias("stratum"), "rule").agg(F.min("cutoff").alias("cutoff"))
+    proved = found.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in (*RULES, TOGETHER)])
+    whole = F.lit(True)
+    for r in RULES:
+        whole = whole & F.col(r).isNotNull()
+    use_all = ~whole & F.col(TOGETHER).isNotNull()
+    cutoffs = F.array(*[F.struct(F.lit(r).alias("rule"), F.when(use_all, F.col(TOGETHER) * SCALES[r]).otherwise(F.col(r)).alias("cutoff")) for r in RULES])
+    return proved.select("stratum", F.explode(cutoffs).alias("c")).select("stratum", "c.*").where("cutoff is not null")
 
 
 def judged(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
