@@ -80,9 +80,9 @@ def test_quality_risk(spark, odd, labels):
     found = {r.rule: r.cutoff for r in quality_rules.calibrate(good(300), marks).collect()}
     assert found == pytest.approx({r: min(quality_rules.CUTOFFS) * quality_rules.SCALES[r] for r in quality_rules.RULES})
     assert quality_rules.calibrate(good(140), marks).count() == 0  # 0.98**140 > 0.05
-    # a seventh of the good documents has a measure of 0.2 * 3 together: no cutoff below that is proved
-    mixed = good(300).withColumn("n_symbols", F.when(F.col("doc_id") % 7 == 0, 100).otherwise(0).cast("long"))
-    assert quality_rules.calibrate(mixed, marks).where("rule = 'symbol_ratio'").first().cutoff == pytest.approx(0.2)
+    # a seventh of the good documents has 0.11 of symbols, 0.33 together: no cutoff below that is proved
+    mixed = good(300).withColumn("n_symbols", F.when(F.col("doc_id") % 7 == 0, 55).otherwise(0).cast("long"))
+    assert quality_rules.calibrate(mixed, marks).where("rule = 'symbol_ratio'").first().cutoff == pytest.approx(0.34 / 3)
 
 
 @pytest.mark.parametrize("cap", [simhash.CAP, 3])
