@@ -7,9 +7,12 @@ its own, and a lookup probes levels 1, 2, ... until one is missing. The count be
 
     p(w | h) = LAMBDA * min(1, c(h, w) / c(h)) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1), the last part alone where c(h) is 0.
 
-The filter has at most `filter_bits` bits, whatever the corpus, and is broadcast. It is made of equal segments by hash. A
-segment is filled in one task from all counts of its n-grams, which are summed on the map side by batch and then met by segment;
-if they are too many for it, those below a count are left out of that segment, the least count that fits.
+The filter is made of segments by hash. A segment is filled in one task from all counts of its n-grams, which are summed on the
+map side by batch and then met by segment. Of the filter, `filter_bits` bits at most are broadcast, in equal parts for the segments: a
+segment's n-grams with the highest counts, those with equal counts by hash, as far as they fit. Its others are in a second part of the
+segment, as large as they need, which stays in the shared folder. A lookup in the first part that finds less than any n-gram held there
+would have is open: the position is sent to the segment of the word, of the word before and of the pair, whichever are open, in this order, probes
+the second parts there, and is added to the text's score. So each n-gram is in the filter, whatever the corpus.
 
 The base score needs exact counts. The words with the highest counts, at most `head_words`, are broadcast; other tokens of a
 text, rare by definition, meet their counts in a join on the word's hash and are summed by text. Words are named by
@@ -35,6 +38,12 @@ HASHES, LAMBDA = 6, 0.3
 #: Tokens to a segment, and n-grams that a task sums before it sends them.
 SEGMENT_TOKENS, FLUSH = 2_000_000, 2_000_000
 MIN_SEGMENT_BITS = 1 << 10
+#: An open lookup, in place of a level.
+OPEN = -1
+#: Open positions of a segment at a stage: the n-grams to look up there, rows, levels of word, word before and pair, repeats, and,
+#: if more lookups follow, the hashes of the word before and the word.
+_OPEN = "stage int, segment long, keys binary, rows binary, levels binary, repeats binary, words binary"
+_OPEN_NAMES = [x.split()[0] for x in _OPEN.split(", ")]
 TOP_LEVEL = 50
 END, START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 _ONE, _LEVEL = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xD6E8FEB86659FD93)
@@ -85,10 +94,13 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Filter:
-    """The bits, and where an n-gram's are. bits and segments are powers of two."""
+    """The bits, and where an n-gram's are. bits and segments are powers of two.
 
-    def __init__(self, data: np.ndarray, segments: int):
-        self.data, self.segments, self.size = data, segments, len(data) * 8 // segments
+    edges: of each segment, the least count held, and the first n-gram with this count that isn't held any more.
+    """
+
+    def __init__(self, data: np.ndarray, segments: int, edges: tuple[np.ndarray, np.ndarray] | None = None):
+        self.data, self.segments, self.size, self.edges = data, segments, len(data) * 8 // segments, edges
 
     @staticmethod
     def places(g: np.ndarray, level: int, segment_bits: int) -> Iterator[np.ndarray]:
@@ -112,9 +124,26 @@ class Filter:
             found[live] = level
         return found
 
-    def counts(self, g: np.ndarray) -> np.ndarray:
+    def closed(self, g: np.ndarray) -> np.ndarray:
+        """Levels, or OPEN where the n-gram, if there is one, isn't held here."""
         q = self.levels(g)
-        return np.where(q <= 1, q, 1.4 * np.exp2(q - 1.0))
+        count, first = (x[segment_of(g, self.segments)] for x in self.edges)
+        least = count + (g >= first)
+        return np.where((least > 1) & (q < level_of(least)), OPEN, q)
+
+
+def level_of(c: np.ndarray) -> np.ndarray:
+    return 1 + np.floor(np.log2(np.maximum(c, 1))).astype(np.int64)
+
+
+def count_of(q: np.ndarray) -> np.ndarray:
+    return np.where(q <= 1, q, 1.4 * np.exp2(q - 1.0))
+
+
+def logs(own: np.ndarray, before: np.ndarray, pair: np.ndarray, size: int) -> np.ndarray:
+    """log10 p from the levels of word, word before and pair; size: N + V + 1."""
+    context, alone = count_of(before), (count_of(own) + 1) / size
+    return np.log10(np.where(context > 0, LAMBDA * np.minimum(1, count_of(pair) / np.maximum(context, 1)) + (1 - LAMBDA) * alone, alone))
 
 
 def segment_of(g: np.ndarray, segments: int) -> np.ndarray:
@@ -147,76 +176,175 @@ def _send(segments: int):
     return run
 
 
+def _bits(g: np.ndarray, q: np.ndarray, size: int) -> bytes:
+    bits = np.zeros(size, bool)
+    for level in range(1, int(q.max(initial=0)) + 1):
+        for at in Filter.places(g[q >= level], level, size):
+            bits[at] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def _fill(segment_bits: int):
-    """Rows of a segment, which come together, to segment, least count and bits."""
+    """Rows of a segment, which come together, to segment, its edge (count, first), bits, and bits of the second part (null if it is empty)."""
 
-    def segment(number: int, keys: list[bytes], counts: list[bytes]) -> tuple[int, int, bytes]:
+    def segment(number: int, keys: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
         k, c = _summed(np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(counts), np.uint32).astype(np.int64))
-        q = 1 + np.floor(np.log2(c)).astype(np.int64)
-        room = int(segment_bits * np.log(2) / HASHES)
+        q = level_of(c)
+        # keys are sorted, so equal counts stand by hash
         order = np.argsort(-c, kind="stable")
-        fits = int(np.searchsorted(np.cumsum(q[order]), room, "right"))
-        # equal counts go in together or not at all
-        least = 1 if fits == len(c) else int(c[order[fits]]) + 1
-        k, q = k[c >= least], q[c >= least]
-        bits = np.zeros(segment_bits, bool)
-        for level in range(1, int(q.max(initial=0)) + 1):
-            for at in Filter.places(k[q >= level], level, segment_bits):
-                bits[at] = True
-        return number, least, np.packbits(bits, bitorder="little").tobytes()
-
-    def batch_of(x: tuple[int, int, bytes]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([x[0]], pa.int64()), pa.array([x[1]], pa.int64()), pa.array([x[2]], pa.binary())], ["segment", "least", "bits"])
+        fits = int(np.searchsorted(np.cumsum(q[order]), int(segment_bits * np.log(2) / HASHES), "right"))
+        held, rest = order[:fits], order[fits:]
+        edge, more = (0, 0), None
+        if len(rest):
+            edge = int(c[rest[0]]), int(k[rest[0]])
+            more = _bits(k[rest], q[rest], 1 << max(6, int(np.ceil(np.log2(q[rest].sum() * HASHES / np.log(2))))))
+        columns = [pa.array([number], pa.int64()), pa.array([edge[0]], pa.int64()), pa.array(np.array([edge[1]], np.uint64).view(np.int64)), pa.array([_bits(k[held], q[held], segment_bits)], pa.binary()), pa.array([more], pa.binary())]
+        return pa.record_batch(columns, ["segment", "count", "first", "bits", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, counts = None, [], []
         for batch in batches:
             for s, k, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if s != now and keys:
-                    yield batch_of(segment(now, keys, counts))
+                    yield segment(now, keys, counts)
                     keys, counts = [], []
                 now = s
                 keys.append(k)
                 counts.append(c)
         if keys:
-            yield batch_of(segment(now, keys, counts))
+            yield segment(now, keys, counts)
+
+    return run
+
+
+class Positions:
+    """Open positions: rows, hashes of the word before and of the word, levels (word, word before, pair) and repeats."""
+
+    def __init__(self, rows: np.ndarray, previous: np.ndarray, own: np.ndarray, levels: np.ndarray, repeats: np.ndarray):
+        self.all = rows, previous, own, levels, repeats
+
+    def __len__(self) -> int:
+        return len(self.all[0])
+
+    def sent(self, segments: int) -> Iterator[list]:
+        """Values of _OPEN, by the first open lookup of each."""
+        rows, previous, own, levels, repeats = self.all
+        stages = np.argmax(levels == OPEN, axis=1)
+        for stage in range(3):
+            at = np.flatnonzero(stages == stage)
+            if not len(at):
+                continue
+            key = _pair(previous[at], own[at]) if stage == 2 else _single((own, previous)[stage][at])
+            segment = segment_of(key, segments)
+            order = np.argsort(segment, kind="stable")
+            at, key, edge = at[order], key[order], np.searchsorted(segment[order], np.arange(segments + 1))
+            for s in np.flatnonzero(np.diff(edge)):
+                x = at[edge[s] : edge[s + 1]]
+                # the last lookup needs no words
+                words = b"" if stage == 2 else np.stack([previous[x], own[x]]).tobytes()
+                yield [stage, int(s), key[edge[s] : edge[s + 1]].tobytes(), rows[x].tobytes(), np.ascontiguousarray(levels[x].T).tobytes(), repeats[x].tobytes(), words]
+
+
+def _met(stage: int, segments: int, size: int):
+    """A segment's second part, which comes first, and its open positions to those of later stages, and to sums by row (at, add)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, part = None, None
+        for batch in batches:
+            onward, at, add = [], [], []
+            for s, more, keys, rows, levels, repeats, words in zip(*(batch.column(c).to_pylist() for c in ("segment", "more", *_OPEN_NAMES[2:])), strict=True):
+                if more is not None:
+                    now, part = s, Filter(np.frombuffer(more, np.uint8), 1)
+                    continue
+                g, r, n = np.frombuffer(keys, np.uint64), np.frombuffer(rows, np.int64), np.frombuffer(repeats, np.uint32)
+                q = np.frombuffer(levels, np.int8).reshape(3, -1).T.copy()
+                q[:, stage] = part.levels(g) if s == now else 0
+                still = (q == OPEN).any(1)
+                if still.any():
+                    previous, own = np.frombuffer(words, np.uint64).reshape(2, -1)
+                    onward.append(Positions(r[still], previous[still], own[still], q[still], n[still]))
+                done = ~still
+                at.append(r[done])
+                add.append(logs(*q[done].astype(np.int64).T, size) * n[done])
+            if onward:
+                merged = Positions(*(np.concatenate(x) for x in zip(*(p.all for p in onward), strict=True)))
+                yield _table(list(merged.sent(segments)), np.zeros(0, np.int64), np.zeros(0))
+            if at and len(x := np.concatenate(at)):
+                found, which = np.unique(x, return_inverse=True)
+                yield _table([], found, np.bincount(which, np.concatenate(add)))
 
     return run
 
 
+def _table(sent: list[list], at: np.ndarray, add: np.ndarray) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+    n = max(len(sent), len(at))
+    columns = [pa.array(list(c), k) for c, k in zip(zip(*sent, strict=True), kinds, strict=True)] if sent else [pa.nulls(n, k) for k in kinds]
+    sums = [pa.array(at), pa.array(add)] if not sent else [pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64())]
+    return pa.record_batch([*columns, *sums], [*_OPEN_NAMES, "at", "add"])
+
+
+def _added(positions: DataFrame, second: DataFrame, segments: int, size: int) -> DataFrame:
+    """What the open positions add to the rows' scores: row, more_score."""
+    parts = second.where("more is not null").select("segment", "more")
+    waiting, sums = [positions], []
+    for stage in range(3):
+        now = [x.where(F.col("stage") == stage).select(*_OPEN_NAMES) for x in waiting]
+        rows = parts.unionByName(now[0], allowMissingColumns=True)
+        for x in now[1:]:
+            rows = rows.unionByName(x, allowMissingColumns=True)
+        dealt = rows.repartition(max(1, segments), "segment").sortWithinPartitions("segment", F.col("more").isNull())
+        found = dealt.mapInArrow(_met(stage, segments, size), f"{_OPEN}, at long, add double")
+        # read by each stage after it
+        found = stored(found, "open") if stage < 2 else found
+        waiting.append(found)
+        sums.append(found.where("at is not null").select("at", "add"))
+    every = sums[0].unionByName(sums[1]).unionByName(sums[2])
+    return every.groupBy(F.col("at").alias("row")).agg(F.sum("add").alias("more_score"))
+
+
 class Model:
     """What is broadcast: the filter, the head of the vocabulary, N and V."""
 
     def __init__(self, bits: Filter, head: np.ndarray, counts: np.ndarray, n: int, v: int):
         self.bits, self.head, self.counts, self.n, self.v = bits, head, counts, n, v
 
-    def score(self, column: pa.Array) -> Iterator[tuple[int, int, dict[str, pa.Array]]]:
+    def score(self, column: pa.Array) -> Iterator[tuple[int, int, dict[str, pa.Array], Positions]]:
+        """The open positions' rows are numbered from lo; score is without them."""
         for lo, hi, own, previous, at in tokens(column):
             distinct, which = np.unique(own, return_inverse=True)
             place = np.minimum(np.searchsorted(self.head, distinct), max(0, len(self.head) - 1))
             known = self.head[place] == distinct if len(self.head) else np.zeros(len(distinct), bool)
             exact = np.where(known, self.counts[place] if len(self.head) else 0, 0)
-            single = self.bits.counts(_single(distinct))
-            c = single[which]
+            c = self.bits.closed(_single(distinct))[which]
             context = np.empty_like(c)
             context[1:] = c[:-1]
-            context[at[:-1]] = self.bits.counts(_single(np.array([START])))[0]
-            pair = self.bits.counts(_pair(previous, own))
-            alone = (c + 1) / (self.n + self.v + 1)
-            p = np.where(context > 0, LAMBDA * np.minimum(1, pair / np.maximum(context, 1)) + (1 - LAMBDA) * alone, alone)
+            context[at[:-1]] = self.bits.closed(_single(np.array([START])))[0]
+            g = _pair(previous, own)
+            pair = self.bits.closed(g)
+            levels = np.stack([c, context, pair], 1).astype(np.int8)
+            is_open = (levels == OPEN).any(1)
+            p = np.where(is_open, 0.0, logs(*np.maximum(levels.T, 0).astype(np.int64), self.n + self.v + 1))
+            row = np.repeat(np.arange(hi - lo), np.diff(at))
+            still = np.flatnonzero(is_open)
+            # a pair that a text repeats is sent once
+            _, first, repeats = np.unique(mix(g[still] + row[still].astype(np.uint64) * GRAM[8]), return_index=True, return_counts=True)
+            once = still[first]
+            order = np.argsort(once)
+            once, repeats = once[order], repeats[order].astype(np.uint32)
             total = lambda x: np.add.reduceat(x, at[:-1])
             rare = ~known[which]
             yield lo, hi, {
                 "n_tokens": pa.array(np.diff(at)),
                 "known": pa.array(total(known[which].astype(np.int64))),
                 "base": pa.array(total(np.log10(exact + 1.0)[which])),
-                "score": pa.array(total(np.log10(p))),
+                "score": pa.array(total(p)),
                 "rare": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(total(rare.astype(np.int64)))]), pa.int32()), pa.array(own[rare].view(np.int64))),
-            }
+            }, Positions(row[once], previous[once], own[once], levels[once], repeats)
 
 
-def train(texts: DataFrame, filter_bits: int = FILTER_BITS, head_words: int = HEAD_WORDS) -> tuple[Model, DataFrame, int]:
-    """texts (text) to the model, all words' counts (h, c), and the least count of the head's words."""
+def train(texts: DataFrame, filter_bits: int = FILTER_BITS, head_words: int = HEAD_WORDS) -> tuple[Model, DataFrame, int, DataFrame | None]:
+    """texts (text) to the model, all words' counts (h, c), the least count of the head's words, and second parts (segment, more), if there are any."""
     spark = texts.sparkSession
     ship(spark)
     texts = texts.select("text")
@@ -237,38 +365,67 @@ def train(texts: DataFrame, filter_bits: int = FILTER_BITS, head_words: int = HE
     segments = 1 << max(0, min(bits // MIN_SEGMENT_BITS, n // SEGMENT_TOKENS).bit_length())
     sent = texts.mapInArrow(_send(segments), "segment long, keys binary, counts binary")
     met = sent.repartition(max(1, segments), "segment").sortWithinPartitions("segment")
-    data = np.zeros(bits // 8, np.uint8)
-    for r in met.mapInArrow(_fill(bits // segments), "segment long, least long, bits binary").toLocalIterator():
+    filled = stored(met.mapInArrow(_fill(bits // segments), "segment long, count long, first long, bits binary, more binary"), "filter")
+    data, edges = np.zeros(bits // 8, np.uint8), (np.zeros(segments, np.int64), np.zeros(segments, np.uint64))
+    for r in filled.drop("more").toLocalIterator():
         lo = r.segment * (bits // segments) // 8
         data[lo : lo + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
-    return Model(Filter(data, segments), keys[order], counts[order], n, v), words, least
+        edges[0][r.segment], edges[1][r.segment] = r["count"], r["first"] % (1 << 64)
+    return Model(Filter(data, segments, edges), keys[order], counts[order], n, v), words, least, filled.select("segment", "more") if edges[0].any() else None
 
 
 def score(docs: DataFrame, held_out, filter_bits: int = FILTER_BITS, head_words: int = HEAD_WORDS) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; trained on the rows that aren't held out."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
-    model, words, least = train(rows.where(~F.col("held_out")), filter_bits, head_words)
+    model, words, least, second = train(rows.where(~F.col("held_out")), filter_bits, head_words)
     shared = spark.sparkContext.broadcast(model)
     names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"]
+    kind = dict(rows.dtypes)["doc_id"]
+    segments, size = model.bits.segments, model.n + model.v + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 36
+        held, waiting, kinds = [], 0, None
+
+        def whole(x: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+            return pa.record_batch([x.get(f.name, pa.nulls(n, f.type)) for f in kinds], schema=kinds)
+
+        def out() -> pa.RecordBatch:
+            merged = Positions(*(np.concatenate(x) for x in zip(*(p.all for p in held), strict=True)))
+            table = _table(list(merged.sent(segments)), np.zeros(0, np.int64), np.zeros(0))
+            return whole(dict(zip(_OPEN_NAMES, table.columns, strict=False)), table.num_rows)
+
         for batch in batches:
-            for lo, hi, found in shared.value.score(batch.column(1)):
+            for lo, hi, found, positions in shared.value.score(batch.column(1)):
                 found |= {"row": pa.array(np.arange(row, row + hi - lo)), "doc_id": batch.column(0).slice(lo, hi - lo), "held_out": batch.column(2).slice(lo, hi - lo)}
+                if kinds is None:
+                    kinds = pa.schema([(x, found[x].type) for x in names] + [("stage", pa.int32()), ("segment", pa.int64())] + [(x, pa.binary()) for x in _OPEN_NAMES[2:]])
+                if len(positions):
+                    held.append(Positions(positions.all[0] + row, *positions.all[1:]))
+                    waiting += len(positions)
                 row += hi - lo
-                yield pa.record_batch([found[x] for x in names], names)
+                yield whole(found, hi - lo)
+                if waiting > FLUSH:
+                    yield out()
+                    held, waiting = [], 0
+        if held:
+            yield out()
 
-    kind = dict(rows.dtypes)["doc_id"]
-    scored = stored(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"), "scored")
+    # rows of texts, and rows of open positions
+    both = stored(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, {_OPEN}"), "scored")
+    scored = both.where("row is not null").select(*names)
     rare = scored.select("row", F.explode("rare").alias("h"))
     tail = rare.join(words.where(F.col("c") < least), "h").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("add"))
     final = scored.join(tail, "row", "left")
+    if second is None:
+        final = final.withColumn("more_score", F.lit(0.0))
+    else:
+        final = final.join(_added(both.where("stage is not null").select(*_OPEN_NAMES), second, segments, size), "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return final.select("doc_id", "held_out", "n_tokens", (F.col("known") + zero("more")).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") + zero("add") - F.col("n_tokens") * F.lit(float(np.log10(model.n + model.v + 1)))).alias("base_score"), "score")
+    return final.select("doc_id", "held_out", "n_tokens", (F.col("known") + zero("more")).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") + zero("add") - F.col("n_tokens") * F.lit(float(np.log10(model.n + model.v + 1)))).alias("base_score"), (F.col("score") + zero("more_score")).alias("score"))
 
 
 def held_out(docs: DataFrame, n: int = 7, rest: int = 2):

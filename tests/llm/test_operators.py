@@ -147,6 +147,35 @@ def test_language_model(odd):
         assert all(r.score < 0 for r in got)
 
 
+def test_language_model_score(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(3000 * rng.random() ** 3)}" if rng.random() < 0.95 else f"z{rng.randrange(10**6)}" for _ in range(rng.randint(0, 250))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    single, pairs = collections.Counter(), collections.Counter()
+    both = lambda t: list(zip([0, *words(t)], [*words(t), None], strict=True))
+    for d, t in enumerate(texts):
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            single.update(x for pair in both(t) for x in ([0, pair[1]] if pair[0] == 0 else [pair[1]]))
+            pairs.update(both(t))
+    n, v = sum(single.values()) - single[0], len(single) - 1
+    about = lambda c: c if c < 2 else 1.4 * 2 ** (c.bit_length() - 1)
+
+    def log_p(h, w):
+        alone, context = (about(single[w]) + 1) / (n + v + 1), about(single[h])
+        return np.log10(0.3 * min(1, about(pairs[h, w]) / context) + 0.7 * alone if context else alone)
+
+    want = {d: sum(log_p(*x) for x in both(t)) for d, t in enumerate(texts)}
+    entries = sum(c.bit_length() for x in (single, pairs) for c in x.values())
+    assert entries > 3 * (1 << 16) * np.log(2) / 6  # the first part has room for a third
+    for segment_tokens in (lm_bloom.SEGMENT_TOKENS, 1000):
+        monkeypatch.setattr(lm_bloom, "SEGMENT_TOKENS", segment_tokens)
+        for bits in (lm_bloom.FILTER_BITS, 1 << 16):
+            got = {r.doc_id: r.score for r in lm_bloom.score(docs, lm_bloom.held_out(docs), filter_bits=bits).collect()}
+            assert got.keys() == want.keys()
+            # a filter finds some n-grams that aren't there
+            assert np.mean([abs(got[d] - want[d]) / len(both(t)) for d, t in enumerate(texts)]) < 0.02
+
+
 def test_mixing(spark, odd):
     docs = spark.range(4000).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 50 as int)) as text", "if(id % 3 = 0, 'hot', concat('s', id % 5)) as source")
     by = mixing.mixture(docs).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.first("source_size").alias("s"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()
