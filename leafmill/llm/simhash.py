@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import near_copies
 from .common import LOWER, buffers, checkpointed, ship, stored
 from .components import components
 
@@ -240,12 +241,34 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = next(_fingerprints(iter([batch])))
+        yield pa.record_batch([*prints.columns, *near_copies.sketch(batch.column(1))], ["doc_id", "fp", "s", "keys"])
+
+
+def copies(docs: DataFrame, cap: int = CAP) -> DataFrame:
+    """As near_duplicates, with near copies by five-word shingles (near_copies) linked as well."""
+    ship(docs.sparkSession)
+    rows = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketched, "doc_id long, fp long, s long, keys array<long>"), "sketches")
+    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    # a set stands for one of its fingerprints, and its others are linked to that
+    of_set = stored(rows.where("s is not null").groupBy("s").agg(F.min("fp").alias("own")), "sets")
+    same = rows.join(of_set, "s").where("fp != own").select(F.col("own").alias("a"), F.col("fp").alias("b")).distinct()
+    near = near_copies.links(rows.select("s", "keys"), docs)
+    near = near.join(of_set.toDF("a", "fa"), "a").join(of_set.toDF("b", "fb"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    roots = components(links(fps.select("fp"), cap).unionByName(same).unionByName(near))
+    named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "fp").join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
 def deduplicate(docs: DataFrame, cap: int = CAP) -> DataFrame:
-    """The rows of docs, with all their columns, that come first in their group: the smallest doc_id, and of repeated rows one.
+    """The rows of docs, with all their columns, that come first in their group of copies: the smallest doc_id, and of repeated rows one.
 
     Rows without doc_id stay, as nothing names them.
     """
-    found = near_duplicates(docs, cap)
+    found = copies(docs, cap)
     gone = found.where("doc_id != component_id").select("doc_id").distinct()
     rest = docs.join(gone, "doc_id", "left_anti")
     # a mark that only rows without doc_id have keeps each of those

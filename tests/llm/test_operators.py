@@ -104,6 +104,32 @@ def test_simhash(odd, cap):
     assert collections.Counter(map(tuple, simhash.digest(simhash.near_duplicates(odd, cap)).collect())) == want
 
 
+def test_near_copies(spark):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(40):
+        base = [rng.choice("abcdefghijklmnop") * rng.randint(1, 9) for _ in range(rng.choice([3, 60, 150]))]
+        for _ in range(5):
+            base = list(base)
+            for _ in range(rng.choice([0, 1, 2, 4])):
+                base[rng.randrange(len(base))] = f"new{rng.randrange(999)}"
+            texts.append(" ".join(base))
+    texts += [None, " ", "one", "One"]
+    rows = list(enumerate(texts))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(t or "")) else set() for t in texts]
+    prints = [simhash.fingerprint([w.encode() for w in words(t or "")]) for t in texts]
+    group, only = list(range(len(rows))), 0
+    for i, j in ((i, j) for i in range(len(rows)) for j in range(i)):
+        near, copy = 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0, (prints[i] ^ prints[j]).bit_count() <= 2
+        only += near and not copy
+        if near or copy:
+            x, y = sorted((group[i], group[j]))
+            group = [x if g == y else g for g in group]
+    assert only > 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.deduplicate(docs).collect()} == {i for i, g in enumerate(group) if g == i}
+
+
 def test_decontamination(odd, bench):
     grams = {}
     for i, t in BENCH:
