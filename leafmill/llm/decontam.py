@@ -9,7 +9,8 @@ The items' words are broadcast while there are at most `max_index_words` of them
 blocks of that size, each block is held against all documents, and the hits are merged.
 
 Words are compared by 64-bit hashes. Null and empty texts have no words: no hits, not contaminated. An item without words has no
-windows. Repeated rows get a row each. Only doc_id and text (item_id and text) are read; other columns play no part.
+windows. An item with a null item_id is left out, as in the query's SQL: its windows don't count, and a document that shares only
+those isn't contaminated and is kept. Repeated rows get a row each. Only doc_id and text (item_id and text) are read; other columns play no part.
 """
 
 from __future__ import annotations

@@ -151,6 +151,13 @@ def test_decontamination(odd, bench):
     assert decontam.decontaminate(odd, bench).count() == sum(n for r, n in want.items() if not r[-1])
 
 
+def test_items_without_id(spark):
+    docs = spark.createDataFrame([(1, BENCH[0][1]), (2, "some other passage of more than ten words that no named item has")], "doc_id long, text string")
+    items = spark.createDataFrame([(0, BENCH[0][1]), (None, "other passage of more than ten words that no named item has")], "item_id long, text string")
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in decontam.contamination(docs, items).collect()} == {1: (12, [0]), 2: (0, [])}
+    assert [r.doc_id for r in decontam.decontaminate(docs, items).collect()] == [2]
+
+
 def test_pii_and_redaction(spark):
     d = spark.createDataFrame([(1, "mail a@b.cd, card 4111 1111 1111 1111; ssn 123-45-6789 iban GB82 WEST 1234 5698 7654 32"), (2, "1 " * 20_000), (3, "a" * 20_000 + "@"), (4, None)], "doc_id long, text string")
     found = {r.doc_id: r for r in pii.digest(pii.find(d)).collect()}
