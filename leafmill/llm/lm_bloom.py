@@ -3,50 +3,89 @@
 Training texts' tokens (lower-cased words, then one end) are counted as single tokens and as pairs with the token before
 (a start for the first). A count c has level 1 + floor(log2(c)); the filter holds each n-gram once for every level up to
 its own, and a lookup probes levels 1, 2, ... until one is missing. The count behind level q is taken as 1 for q = 1, else
-1.4 * 2^(q-1). Probabilities are smoothed by interpolation:
-
-    p(w | h) = LAMBDA * min(1, c(h, w) / c(h)) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1), the last part alone where c(h) is 0.
-
-The filter is made of segments by hash. A segment is filled in one task from all counts of its n-grams, which are summed on the
-map side by batch and then met by segment. Of the filter, `filter_bits` bits at most are broadcast, in equal parts for the segments: a
-segment's n-grams with the highest counts, those with equal counts by hash, as far as they fit. Its others are in a second part of the
-segment, as large as they need, which stays in the shared folder. A lookup in the first part that finds less than any n-gram held there
-would have is open: the position is sent to the segment of the word, of the word before and of the pair, whichever are open, in this order, probes
-the second parts there, and is added to the text's score. So each n-gram is in the filter, whatever the corpus.
-
-The base score needs exact counts. The words with the highest counts, at most `head_words`, are broadcast; other tokens of a
-text, rare by definition, meet their counts in a join on the word's hash and are summed by text. Words are named by
-64-bit hashes.
-
-A null text is empty: one token, the end. Rows get a row each, also those with the same doc_id. An empty training set
-has N = 0 and V = 0. Only doc_id and text are read.
+1.4 * 2^(q-1). Probabilities are smoothed by a Dirichlet prior of MU pseudo-counts dealt as single tokens are:
+
+    p(w | h) = (min(c(h, w), c(h)) + MU * p(w)) / (c(h) + MU),    p(w) = (c(w) + 1) / (N + V + 1).
+
+The filter grows with the n-grams; none is left out. It is made of segments by hash. A segment is filled in one task from all
+counts of its n-grams, which are summed on the map side by block. One part of the filter is broadcast: a bit for each training token and
+`filter_bits` at most, in equal shares for the segments; it holds the n-grams with the highest counts, about a sixth of all levels. A
+segment's other n-grams are in its second part, as large as they need, which stays in the shared folder. A lookup in the first part
+that finds less than any n-gram held there would have is open. Open positions are sent by block of texts to the segment of their pair, each
+distinct pair once with the rows that have it, and probe its second part there. What they add comes back as sums by row and block and
+meets the rows of the block, which take the same two exchanges.
+
+The words with the highest counts, at most `head_words`, are broadcast with their counts; others are rare. A pair with a rare word is kept in
+that word's segment (of two, the later one's), where the word itself is and, with its exact count for the base score, its entry in a table of
+rare words; so one place answers for both. Only where both words are rare and the first is open, two segments answer, and their levels meet
+in the block. A rare word has few places, so no segment gets hot. Words are named by 64-bit hashes, n-grams by the first 48 bits of theirs: an
+n-gram shares its name with one of 10^9 others once in 280,000, far less often than the filter finds one that isn't there (1 in 64).
+
+A null text is empty: one token, the end. Rows get a row each, also those with the same doc_id; equal texts have equal scores but for the
+order of sums. An empty training set has N = 0 and V = 0, an empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import BLANK, GRAM, hashed_steps, mix, remainder, ship, stored
 
 FILTER_BITS, HEAD_WORDS = 1 << 28, 1 << 20
-HASHES, LAMBDA = 6, 0.3
-#: Tokens to a segment, and n-grams that a task sums before it sends them.
-SEGMENT_TOKENS, FLUSH = 2_000_000, 2_000_000
-MIN_SEGMENT_BITS = 1 << 10
+HASHES, MU = 6, 32.0
+#: Tokens to a task that fills segments; tokens to a block of texts, whose n-grams a task sums before it sends them.
+TASK_TOKENS, FLUSH = 2_000_000, 1_000_000
+#: Segments to such a task, and how many of them are made for that at most: more only if there are as many tasks.
+SPREAD, MOST_SPREAD = 8, 1 << 12
+MIN_SEGMENT_BITS = 1 << 6
 #: An open lookup, in place of a level.
 OPEN = -1
-#: Open positions of a segment at a stage: the n-grams to look up there, rows, levels of word, word before and pair, repeats, and,
-#: if more lookups follow, the hashes of the word before and the word.
-_OPEN = "stage int, segment long, keys binary, rows binary, levels binary, repeats binary, words binary"
-_OPEN_NAMES = [x.split()[0] for x in _OPEN.split(", ")]
+#: Open positions of a block for a segment: distinct pairs, their rare words, levels (word, word before, pair), the number of rows that have
+#: each pair, those rows, counted from the block's first, and how often they have it.
+_SENT = {"kind": pa.int32(), "segment": pa.int64(), "block": pa.int64(), **dict.fromkeys(("keys", "words", "levels", "each", "rows", "repeats"), pa.binary())}
+#: What comes first in a segment: its second part of the filter, and rare words with their counts.
+_PARTS = {"more": pa.binary(), "names": pa.binary(), "counts": pa.binary()}
+#: What a block's rows get: sums of log10 p; sums of log10 (c + 1) and numbers of known words; levels to meet those of another segment.
+_GOT = dict.fromkeys(("at", "add", "base_at", "base_add", "base_known", "keys", "rows", "repeats", "levels"), pa.binary())
+#: Kinds of open positions: both words frequent, this one rare, the one before rare; both rare and the one before open, as sent to the
+#: segment of the one before, and of this one.
+BOTH, OWN, BEFORE, FIRST, SECOND = range(5)
 TOP_LEVEL = 50
 END, START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 _ONE, _LEVEL = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xD6E8FEB86659FD93)
+#: The bits of an n-gram's name, and those that say its segment, of which there are 2^20 at most.
+_NAME = np.uint64(((1 << 48) - 1) << 16)
+_SEGMENT = np.uint64(((1 << 20) - 1) << 44)
+
+
+def _planes(x: np.ndarray, least: int = 0) -> bytes:
+    """All first bytes of the numbers, then all second ones and so on, without the least ones: what they have in common compresses well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize)[:, least:].T.tobytes()
+
+
+def _numbers(data: bytes, kind: type, least: int = 0) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    own = np.frombuffer(data, np.uint8).reshape(size - least, -1).T
+    full = np.zeros((len(own), size), np.uint8)
+    full[:, least:] = own
+    return full.view(kind).ravel()
+
+
+def _names(x: np.ndarray) -> bytes:
+    """Names of n-grams, best in order."""
+    return _planes(np.diff(x, prepend=np.uint64(0)), 2)
+
+
+def _named(data: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(data, np.uint64, 2), dtype=np.uint64)
 
 
 def tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -61,11 +100,30 @@ def tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
 
 
 def _single(h: np.ndarray) -> np.ndarray:
-    return mix(h * GRAM[5] + _ONE)
+    return mix(h * GRAM[5] + _ONE) & _NAME
+
+
+def _pair(previous: np.ndarray, own: np.ndarray, rare_previous: np.ndarray, rare_own: np.ndarray) -> np.ndarray:
+    """Names of pairs, in the segment of a rare word if there is one."""
+    g = mix(previous * GRAM[6] + own * GRAM[7]) & _NAME
+    some = np.flatnonzero(rare_previous | rare_own)
+    anchor = _single(np.where(rare_own[some], own[some], previous[some]))
+    g[some] = (anchor & _SEGMENT) | (g[some] & ~_SEGMENT)
+    return g
+
 
+def _in(head: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the sorted head has h, and where."""
+    place = np.minimum(np.searchsorted(head, h), max(0, len(head) - 1))
+    return (head[place] == h if len(head) else np.zeros(len(h), bool)), place
 
-def _pair(previous: np.ndarray, own: np.ndarray) -> np.ndarray:
-    return mix(previous * GRAM[6] + own * GRAM[7])
+
+def _before(x: np.ndarray, at: np.ndarray, first) -> np.ndarray:
+    """What the token before has; first where there is none."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[at[:-1]] = first
+    return out
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +163,7 @@ class Filter:
     @staticmethod
     def places(g: np.ndarray, level: int, segment_bits: int) -> Iterator[np.ndarray]:
         """An n-gram's places in its segment at a level, one for each hash."""
-        x = mix(g + np.uint64(level) * _LEVEL)
+        x = mix(g + _salt(level))
         step = (x >> np.uint64(32)) | np.uint64(1)
         for i in range(HASHES):
             yield (x + np.uint64(i) * step) & np.uint64(segment_bits - 1)
@@ -116,7 +174,7 @@ class Filter:
         live = np.arange(len(g))
         for level in range(1, TOP_LEVEL):
             for i in range(HASHES):
-                x = mix(g[live] + np.uint64(level) * _LEVEL)
+                x = mix(g[live] + _salt(level))
                 at = base[live] + ((x + np.uint64(i) * ((x >> np.uint64(32)) | np.uint64(1))) & np.uint64(self.size - 1))
                 live = live[(self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
                 if not len(live):
@@ -132,6 +190,10 @@ class Filter:
         return np.where((least > 1) & (q < level_of(least)), OPEN, q)
 
 
+def _salt(level: int) -> np.uint64:
+    return np.uint64(level * int(_LEVEL) % (1 << 64))
+
+
 def level_of(c: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(np.maximum(c, 1))).astype(np.int64)
 
@@ -142,16 +204,16 @@ def count_of(q: np.ndarray) -> np.ndarray:
 
 def logs(own: np.ndarray, before: np.ndarray, pair: np.ndarray, size: int) -> np.ndarray:
     """log10 p from the levels of word, word before and pair; size: N + V + 1."""
-    context, alone = count_of(before), (count_of(own) + 1) / size
-    return np.log10(np.where(context > 0, LAMBDA * np.minimum(1, count_of(pair) / np.maximum(context, 1)) + (1 - LAMBDA) * alone, alone))
+    context = count_of(before)
+    return np.log10((np.minimum(count_of(pair), context) + MU * (count_of(own) + 1) / size) / (context + MU))
 
 
 def segment_of(g: np.ndarray, segments: int) -> np.ndarray:
     return (g >> np.uint64(65 - segments.bit_length())).astype(np.int64) if segments > 1 else np.zeros(len(g), np.int64)
 
 
-def _send(segments: int):
-    """Tokens to rows segment, keys, counts: sums of a batch of n-grams."""
+def _send(segments: int, head):
+    """Tokens to rows segment, keys, counts: sums of a block of n-grams. head: broadcast, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -160,13 +222,15 @@ def _send(segments: int):
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             edge = np.searchsorted(segment_of(keys, segments), np.arange(segments + 1))
             full = np.flatnonzero(np.diff(edge))
-            part = lambda x: pa.array([x[edge[s] : edge[s + 1]].tobytes() for s in full], pa.binary())
-            return pa.record_batch([pa.array(full, pa.int64()), part(keys), part(counts.astype(np.uint32))], ["segment", "keys", "counts"])
+            part = lambda x, f: pa.array([f(x[edge[s] : edge[s + 1]]) for s in full], pa.binary())
+            return pa.record_batch([pa.array(full, pa.int64()), part(keys, _names), part(counts.astype(np.uint32), _planes)], ["segment", "keys", "counts"])
 
         for batch in batches:
             for _, _, own, previous, at in tokens(batch.column(0)):
-                held += [_single(own), _pair(previous, own), np.repeat(_single(np.array([START])), len(at) - 1)]
-                size += 2 * len(own)
+                distinct, which = np.unique(own, return_inverse=True)
+                rare = ~_in(head.value, distinct)[0][which]
+                held += [_single(own), _pair(previous, own, _before(rare, at, False), rare), np.repeat(_single(np.array([START])), len(at) - 1)]
+                size += len(own)
                 if size > FLUSH:
                     yield out()
                     held, size = [], 0
@@ -188,7 +252,7 @@ def _fill(segment_bits: int):
     """Rows of a segment, which come together, to segment, its edge (count, first), bits, and bits of the second part (null if it is empty)."""
 
     def segment(number: int, keys: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
-        k, c = _summed(np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(counts), np.uint32).astype(np.int64))
+        k, c = _summed(np.concatenate([_named(x) for x in keys]), np.concatenate([_numbers(x, np.uint32) for x in counts]).astype(np.int64))
         q = level_of(c)
         # keys are sorted, so equal counts stand by hash
         order = np.argsort(-c, kind="stable")
@@ -218,129 +282,222 @@ def _fill(segment_bits: int):
 
 
 class Positions:
-    """Open positions: rows, hashes of the word before and of the word, levels (word, word before, pair) and repeats."""
-
-    def __init__(self, rows: np.ndarray, previous: np.ndarray, own: np.ndarray, levels: np.ndarray, repeats: np.ndarray):
-        self.all = rows, previous, own, levels, repeats
-
-    def __len__(self) -> int:
-        return len(self.all[0])
-
-    def sent(self, segments: int) -> Iterator[list]:
-        """Values of _OPEN, by the first open lookup of each."""
-        rows, previous, own, levels, repeats = self.all
-        stages = np.argmax(levels == OPEN, axis=1)
-        for stage in range(3):
-            at = np.flatnonzero(stages == stage)
-            if not len(at):
-                continue
-            key = _pair(previous[at], own[at]) if stage == 2 else _single((own, previous)[stage][at])
-            segment = segment_of(key, segments)
-            order = np.argsort(segment, kind="stable")
-            at, key, edge = at[order], key[order], np.searchsorted(segment[order], np.arange(segments + 1))
-            for s in np.flatnonzero(np.diff(edge)):
-                x = at[edge[s] : edge[s + 1]]
-                # the last lookup needs no words
-                words = b"" if stage == 2 else np.stack([previous[x], own[x]]).tobytes()
-                yield [stage, int(s), key[edge[s] : edge[s + 1]].tobytes(), rows[x].tobytes(), np.ascontiguousarray(levels[x].T).tobytes(), repeats[x].tobytes(), words]
+    """Open pairs (name, kind, rare word, levels by row: word, word before and pair; number of rows), and the rows and repeats of each in turn."""
+
+    def __init__(self, *columns: np.ndarray):
+        self.all = columns
+
+    @classmethod
+    def merged(cls, parts: list[Positions]) -> Positions:
+        return cls(*(np.concatenate(x) for x in zip(*(p.all for p in parts), strict=True)))
+
+    def sent(self, segments: int, block: int) -> Iterator[list]:
+        """Values of _SENT."""
+        keys, kinds, words, levels, each, rows, repeats = self.all
+        segment = segment_of(np.where(kinds == FIRST, _single(words), keys), segments)
+        order = np.lexsort((keys, segment, kinds))
+        begin = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        group = kinds.astype(np.int64)[order] * segments + segment[order]
+        edge = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0, [True]]))
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            x = order[lo:hi]
+            n = each[x].astype(np.int64)
+            entry = np.repeat(begin[x] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            kind = int(kinds[x[0]])
+            yield [
+                kind, int(segment[x[0]]), block, _names(keys[x]), b"" if kind == BOTH else _planes(words[x]),
+                np.ascontiguousarray(levels[x].T).tobytes(), _planes(each[x]), _planes(rows[entry]), _planes(repeats[entry]),
+            ]
+
+    @classmethod
+    def read(cls, kind: int, block: int, keys: bytes, words: bytes, levels: bytes, each: bytes, rows: bytes, repeats: bytes) -> Positions:
+        k = _named(keys)
+        w = _numbers(words, np.uint64) if words else np.zeros(len(k), np.uint64)
+        return cls(k, np.full(len(k), kind, np.int8), w, np.frombuffer(levels, np.int8).reshape(3, -1).T, _numbers(each, np.uint32), _numbers(rows, np.uint32), _numbers(repeats, np.uint32))
+
+
+class Segment:
+    """What a segment can tell: levels of its second part, and counts of its rare words."""
+
+    def __init__(self) -> None:
+        self.more: Filter | None = None
+        self.names, self.counts = [], []
 
-
-def _met(stage: int, segments: int, size: int):
-    """A segment's second part, which comes first, and its open positions to those of later stages, and to sums by row (at, add)."""
+    def levels(self, g: np.ndarray) -> np.ndarray:
+        return self.more.levels(g) if self.more else np.zeros(len(g), np.int64)
+
+    def count(self, h: np.ndarray) -> np.ndarray:
+        if isinstance(self.names, list):
+            names = np.concatenate([_numbers(x, np.uint64) for x in self.names]) if self.names else np.zeros(0, np.uint64)
+            counts = np.concatenate([_numbers(x, np.int64) for x in self.counts]) if self.counts else np.zeros(0, np.int64)
+            order = np.argsort(names)
+            self.names, self.counts = names[order], counts[order]
+        known, place = _in(self.names, h)
+        return np.where(known, self.counts[place] if len(self.names) else 0, 0)
+
+    def resolved(self, blocks: list[tuple], size: int) -> Iterator[dict]:
+        """Messages to values of _GOT by block."""
+        parts = [Positions.read(*r) for r in blocks]
+        keys, kinds, words, levels, each, rows, repeats = Positions.merged(parts).all
+        for column, at, names in ((2, kinds != FIRST, keys), (0, (kinds == OWN) | (kinds == SECOND), _single(words)), (1, (kinds == BEFORE) | (kinds == FIRST), _single(words))):
+            at = np.flatnonzero(at & (levels[:, column] == OPEN))
+            levels[at, column] = self.levels(names[at])
+        block = np.array([r[1] for r in blocks])
+        number = np.repeat(np.arange(len(blocks)), [len(x.all[5]) for x in parts])
+        place = (number << 32) | rows
+        entry = np.repeat(np.arange(len(keys)), each)
+        half = (kinds == FIRST) | (kinds == SECOND)
+        p = np.where(half, 0.0, logs(*np.maximum(levels, 0).astype(np.int64).T, size))
+        rare = (kinds == OWN) | (kinds == SECOND)
+        c = np.zeros(len(keys), np.int64)
+        c[rare] = self.count(words[rare])
+        got: dict[int, dict] = {i: {} for i in range(len(blocks))}
+
+        def sums(at: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+            found, inverse = np.unique(place[at], return_inverse=True)
+            total = [np.bincount(inverse, (v[entry[at]] * repeats[at]), len(found)) for v in values]
+            edge = np.searchsorted(found, np.arange(len(blocks) + 1) << 32)
+            for i in np.flatnonzero(np.diff(edge)):
+                x = slice(edge[i], edge[i + 1])
+                yield i, (found[x] & 0xFFFFFFFF).astype(np.uint32), [t[x] for t in total]
+
+        for i, at, (add,) in sums(np.flatnonzero(~half[entry]), p):
+            got[i] |= {"at": _planes(at), "add": _planes(add.astype(np.float32))}
+        for i, at, (add, known) in sums(np.flatnonzero(rare[entry]), np.log10(c + 1.0), (c > 0).astype(float)):
+            got[i] |= {"base_at": _planes(at), "base_add": _planes(add), "base_known": _planes(known.astype(np.uint32))}
+        halves = np.flatnonzero(half[entry])
+        for i in np.unique(number[halves]):
+            x = halves[number[halves] == i]
+            got[i] |= {"keys": _planes(keys[entry[x]]), "rows": _planes(rows[x]), "repeats": _planes(repeats[x]), "levels": np.ascontiguousarray(levels[entry[x]].T).tobytes()}
+        for i, x in got.items():
+            yield x | {"block": int(block[i])}
+
+
+def _met(names: list[str], out: pa.Schema, size: int):
+    """Rows of texts as they are; those of a segment, its parts first, to what its open positions get."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, part = None, None
+        now, own = None, Segment()
         for batch in batches:
-            onward, at, add = [], [], []
-            for s, more, keys, rows, levels, repeats, words in zip(*(batch.column(c).to_pylist() for c in ("segment", "more", *_OPEN_NAMES[2:])), strict=True):
-                if more is not None:
-                    now, part = s, Filter(np.frombuffer(more, np.uint8), 1)
-                    continue
-                g, r, n = np.frombuffer(keys, np.uint64), np.frombuffer(rows, np.int64), np.frombuffer(repeats, np.uint32)
-                q = np.frombuffer(levels, np.int8).reshape(3, -1).T.copy()
-                q[:, stage] = part.levels(g) if s == now else 0
-                still = (q == OPEN).any(1)
-                if still.any():
-                    previous, own = np.frombuffer(words, np.uint64).reshape(2, -1)
-                    onward.append(Positions(r[still], previous[still], own[still], q[still], n[still]))
-                done = ~still
-                at.append(r[done])
-                add.append(logs(*q[done].astype(np.int64).T, size) * n[done])
-            if onward:
-                merged = Positions(*(np.concatenate(x) for x in zip(*(p.all for p in onward), strict=True)))
-                yield _table(list(merged.sent(segments)), np.zeros(0, np.int64), np.zeros(0))
-            if at and len(x := np.concatenate(at)):
-                found, which = np.unique(x, return_inverse=True)
-                yield _table([], found, np.bincount(which, np.concatenate(add)))
+            table = pa.Table.from_batches([batch])
+            text = pc.is_valid(table.column("row"))
+            rows = table.filter(text).combine_chunks()
+            if len(rows):
+                yield from pa.table([rows.column(f.name) if f.name in ("block", *names) else pa.nulls(len(rows), f.type) for f in out], schema=out).to_batches()
+            rest = table.filter(pc.invert(text)).select(["segment", *_PARTS, "kind", *list(_SENT)[2:]])
+            found = []
+            for segment, group in groupby(zip(*(c.to_pylist() for c in rest.columns), strict=True), lambda r: r[0]):
+                if segment != now:
+                    now, own = segment, Segment()
+                blocks = []
+                for r in group:
+                    if r[1] is not None:
+                        own.more = Filter(np.frombuffer(r[1], np.uint8), 1)
+                    elif r[2] is not None:
+                        own.names.append(r[2])
+                        own.counts.append(r[3])
+                    else:
+                        blocks.append(r[4:])
+                if blocks:
+                    found += own.resolved(blocks, size)
+            if found:
+                yield pa.record_batch([pa.array([x.get(f.name) for x in found], f.type) for f in out], schema=out)
 
     return run
 
 
-def _table(sent: list[list], at: np.ndarray, add: np.ndarray) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
-    n = max(len(sent), len(at))
-    columns = [pa.array(list(c), k) for c, k in zip(zip(*sent, strict=True), kinds, strict=True)] if sent else [pa.nulls(n, k) for k in kinds]
-    sums = [pa.array(at), pa.array(add)] if not sent else [pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64())]
-    return pa.record_batch([*columns, *sums], [*_OPEN_NAMES, "at", "add"])
-
-
-def _added(positions: DataFrame, second: DataFrame, segments: int, size: int) -> DataFrame:
-    """What the open positions add to the rows' scores: row, more_score."""
-    parts = second.where("more is not null").select("segment", "more")
-    waiting, sums = [positions], []
-    for stage in range(3):
-        now = [x.where(F.col("stage") == stage).select(*_OPEN_NAMES) for x in waiting]
-        rows = parts.unionByName(now[0], allowMissingColumns=True)
-        for x in now[1:]:
-            rows = rows.unionByName(x, allowMissingColumns=True)
-        dealt = rows.repartition(max(1, segments), "segment").sortWithinPartitions("segment", F.col("more").isNull())
-        found = dealt.mapInArrow(_met(stage, segments, size), f"{_OPEN}, at long, add double")
-        # read by each stage after it
-        found = stored(found, "open") if stage < 2 else found
-        waiting.append(found)
-        sums.append(found.where("at is not null").select("at", "add"))
-    every = sums[0].unionByName(sums[1]).unionByName(sums[2])
-    return every.groupBy(F.col("at").alias("row")).agg(F.sum("add").alias("more_score"))
+def _gathered(names: list[str], out: pa.Schema, size: int):
+    """Rows of a block, which come together, to its texts with all sums."""
+
+    def block(first: int, texts: list[pa.Table], got: list[dict]) -> Iterator[pa.RecordBatch]:
+        rows = pa.concat_tables(texts).combine_chunks()
+        at = rows.column("row").to_numpy() - first
+        n = int(at.max()) + 1
+        score, base, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+        halves = []
+        for x in got:
+            if x["at"] is not None:
+                score[_numbers(x["at"], np.uint32)] += _numbers(x["add"], np.float32)
+            if x["base_at"] is not None:
+                own = _numbers(x["base_at"], np.uint32)
+                base[own] += _numbers(x["base_add"], np.float64)
+                known[own] += _numbers(x["base_known"], np.uint32)
+            if x["keys"] is not None:
+                halves.append((_numbers(x["rows"], np.uint32), _numbers(x["keys"], np.uint64), _numbers(x["repeats"], np.uint32), np.frombuffer(x["levels"], np.int8).reshape(3, -1).T))
+        if halves:
+            row, key, repeats, levels = (np.concatenate(x) for x in zip(*halves, strict=True))
+            order = np.lexsort((key, row))
+            edge = np.flatnonzero(np.concatenate([[True], (np.diff(row[order]) != 0) | (np.diff(key[order]) != 0)]))
+            # each segment knows some of the levels
+            levels, one = np.maximum.reduceat(levels[order], edge), order[edge]
+            np.add.at(score, row[one], logs(*np.maximum(levels, 0).astype(np.int64).T, size) * repeats[one])
+        add = {"score": score, "base": base, "known": known}
+        yield from pa.table([pa.array(rows.column(f.name).to_numpy() + add[f.name][at]) if f.name in add else rows.column(f.name) for f in out], schema=out).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, texts, got = None, [], []
+        for batch in batches:
+            of = batch.column("block").to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], np.diff(of) != 0, [True]])) if len(of) else []
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                if of[lo] != now:
+                    if now is not None:
+                        yield from block(now, texts, got)
+                    now, texts, got = int(of[lo]), [], []
+                table = pa.Table.from_batches([batch.slice(lo, hi - lo)])
+                text = pc.is_valid(table.column("row"))
+                texts.append(table.filter(text).select(["row", *names]))
+                got += table.filter(pc.invert(text)).select(list(_GOT)).to_pylist()
+        if now is not None:
+            yield from block(now, texts, got)
+
+    return run
 
 
 class Model:
-    """What is broadcast: the filter, the head of the vocabulary, N and V."""
+    """What is broadcast: the first part of the filter, the head of the vocabulary, N, V and the number of texts."""
 
-    def __init__(self, bits: Filter, head: np.ndarray, counts: np.ndarray, n: int, v: int):
-        self.bits, self.head, self.counts, self.n, self.v = bits, head, counts, n, v
+    def __init__(self, bits: Filter, head: np.ndarray, counts: np.ndarray, n: int, v: int, texts: int, tasks: int):
+        self.bits, self.head, self.counts, self.n, self.v, self.texts, self.tasks = bits, head, counts, n, v, texts, tasks
 
     def score(self, column: pa.Array) -> Iterator[tuple[int, int, dict[str, pa.Array], Positions]]:
-        """The open positions' rows are numbered from lo; score is without them."""
+        """The open positions' rows are numbered from 0 for lo; score is without them."""
         for lo, hi, own, previous, at in tokens(column):
             distinct, which = np.unique(own, return_inverse=True)
-            place = np.minimum(np.searchsorted(self.head, distinct), max(0, len(self.head) - 1))
-            known = self.head[place] == distinct if len(self.head) else np.zeros(len(distinct), bool)
+            known, place = _in(self.head, distinct)
             exact = np.where(known, self.counts[place] if len(self.head) else 0, 0)
-            c = self.bits.closed(_single(distinct))[which]
-            context = np.empty_like(c)
-            context[1:] = c[:-1]
-            context[at[:-1]] = self.bits.closed(_single(np.array([START])))[0]
-            g = _pair(previous, own)
-            pair = self.bits.closed(g)
-            levels = np.stack([c, context, pair], 1).astype(np.int8)
+            level = np.where(known, level_of(exact), 0)
+            level[~known] = self.bits.closed(_single(distinct[~known]))
+            rare = ~known[which]
+            rare_before = _before(rare, at, False)
+            g = _pair(previous, own, rare_before, rare)
+            # levels and rareness follow from the pair
+            pairs, first, which_pair = np.unique(g, return_index=True, return_inverse=True)
+            levels = np.stack([level[which][first], _before(level[which], at, level_of(np.array([self.texts]))[0] if self.texts else 0)[first], self.bits.closed(pairs)], 1).astype(np.int8)
             is_open = (levels == OPEN).any(1)
-            p = np.where(is_open, 0.0, logs(*np.maximum(levels.T, 0).astype(np.int64), self.n + self.v + 1))
+            # rare words have their exact counts elsewhere
+            sent = is_open | rare[first]
+            p = np.where(sent, 0.0, logs(*np.maximum(levels, 0).astype(np.int64).T, self.n + self.v + 1))
             row = np.repeat(np.arange(hi - lo), np.diff(at))
-            still = np.flatnonzero(is_open)
+            still = sent[which_pair]
             # a pair that a text repeats is sent once
-            _, first, repeats = np.unique(mix(g[still] + row[still].astype(np.uint64) * GRAM[8]), return_index=True, return_counts=True)
-            once = still[first]
-            order = np.argsort(once)
-            once, repeats = once[order], repeats[order].astype(np.uint32)
+            entry, repeats = np.unique((which_pair[still] << 32) | row[still], return_counts=True)
+            some = np.flatnonzero(sent)
+            own_rare, before_rare = rare[first[some]], rare_before[first[some]]
+            kinds = np.select([own_rare & before_rare & (levels[some, 1] == OPEN), own_rare, before_rare], [SECOND, OWN, BEFORE], BOTH).astype(np.int8)
+            each = np.bincount(np.searchsorted(some, entry >> 32), minlength=len(some)).astype(np.uint32)
+            open_pairs = [pairs[some], kinds, np.where(kinds == BEFORE, previous[first[some]], own[first[some]]), levels[some], each, (entry & 0xFFFFFFFF).astype(np.uint32), repeats.astype(np.uint32)]
+            if (two := kinds == SECOND).any():
+                mine = np.repeat(two, each)
+                first_of = [pairs[some][two], np.full(two.sum(), FIRST, np.int8), previous[first[some]][two], levels[some][two], each[two], open_pairs[5][mine], open_pairs[6][mine]]
+                open_pairs = [np.concatenate(x) for x in zip(open_pairs, first_of, strict=True)]
             total = lambda x: np.add.reduceat(x, at[:-1])
-            rare = ~known[which]
             yield lo, hi, {
                 "n_tokens": pa.array(np.diff(at)),
                 "known": pa.array(total(known[which].astype(np.int64))),
                 "base": pa.array(total(np.log10(exact + 1.0)[which])),
-                "score": pa.array(total(p)),
-                "rare": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(total(rare.astype(np.int64)))]), pa.int32()), pa.array(own[rare].view(np.int64))),
-            }, Positions(row[once], previous[once], own[once], levels[once], repeats)
+                "score": pa.array(total(p[which_pair])),
+            }, Positions(*open_pairs)
 
 
 def train(texts: DataFrame, filter_bits: int = FILTER_BITS, head_words: int = HEAD_WORDS) -> tuple[Model, DataFrame, int, DataFrame | None]:
@@ -350,9 +507,10 @@ def train(texts: DataFrame, filter_bits: int = FILTER_BITS, head_words: int = HE
     texts = texts.select("text")
     words = stored(texts.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
     size = F.when(F.col("c") < 64, F.col("c")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("c"))).cast("long"))
+    ends = F.max(F.when(F.col("h") == F.lit(int(END.astype(np.int64))), F.col("c"))).alias("texts")
     # a hundred rows at most
-    histogram = words.groupBy(size.alias("from")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).orderBy(F.desc("from")).collect()
-    n, v = sum(r.n for r in histogram), sum(r.v for r in histogram)
+    histogram = words.groupBy(size.alias("from")).agg(F.count("*").alias("v"), F.sum("c").alias("n"), ends).orderBy(F.desc("from")).collect()
+    n, v, n_texts = sum(r.n for r in histogram), sum(r.v for r in histogram), max((r.texts or 0 for r in histogram), default=0)
     least, room = (histogram[0]["from"] + 1 if histogram else 1), head_words
     for r in histogram:
         if (room := room - r.v) < 0:
@@ -361,17 +519,35 @@ def train(texts: DataFrame, filter_bits: int = FILTER_BITS, head_words: int = HE
     head = words.where(F.col("c") >= least).toArrow()
     keys, counts = head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy()
     order = np.argsort(keys)
-    bits = max(1 << 16, min(filter_bits, 1 << int(24 * n).bit_length()))
-    segments = 1 << max(0, min(bits // MIN_SEGMENT_BITS, n // SEGMENT_TOKENS).bit_length())
-    sent = texts.mapInArrow(_send(segments), "segment long, keys binary, counts binary")
-    met = sent.repartition(max(1, segments), "segment").sortWithinPartitions("segment")
+    keys, counts = keys[order], counts[order]
+    tasks = 1 << int(n // TASK_TOKENS).bit_length()
+    segments = max(tasks, min(SPREAD * tasks, MOST_SPREAD))
+    bits = max(segments * MIN_SEGMENT_BITS, min(filter_bits, 1 << max(0, int(n).bit_length() - 1)))
+    sent = texts.mapInArrow(_send(segments, spark.sparkContext.broadcast(keys)), "segment long, keys binary, counts binary")
+    met = sent.repartition(tasks, "segment").sortWithinPartitions("segment")
     filled = stored(met.mapInArrow(_fill(bits // segments), "segment long, count long, first long, bits binary, more binary"), "filter")
     data, edges = np.zeros(bits // 8, np.uint8), (np.zeros(segments, np.int64), np.zeros(segments, np.uint64))
     for r in filled.drop("more").toLocalIterator():
         lo = r.segment * (bits // segments) // 8
         data[lo : lo + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
         edges[0][r.segment], edges[1][r.segment] = r["count"], r["first"] % (1 << 64)
-    return Model(Filter(data, segments, edges), keys[order], counts[order], n, v), words, least, filled.select("segment", "more") if edges[0].any() else None
+    return Model(Filter(data, segments, edges), keys, counts, n, v, n_texts, tasks), words, least, filled.select("segment", "more") if edges[0].any() else None
+
+
+def _rare(segments: int):
+    """Rare words (h, c) to rows of their segments: names, counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, c = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            segment = segment_of(_single(h), segments)
+            order = np.argsort(segment, kind="stable")
+            edge = np.searchsorted(segment[order], np.arange(segments + 1))
+            full = np.flatnonzero(np.diff(edge))
+            part = lambda x: pa.array([_planes(x[order[edge[s] : edge[s + 1]]]) for s in full], pa.binary())
+            yield pa.record_batch([pa.array(full, pa.int64()), part(h), part(c)], ["segment", "names", "counts"])
+
+    return run
 
 
 def score(docs: DataFrame, held_out, filter_bits: int = FILTER_BITS, head_words: int = HEAD_WORDS) -> DataFrame:
@@ -380,52 +556,56 @@ def score(docs: DataFrame, held_out, filter_bits: int = FILTER_BITS, head_words:
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
     model, words, least, second = train(rows.where(~F.col("held_out")), filter_bits, head_words)
     shared = spark.sparkContext.broadcast(model)
-    names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"]
-    kind = dict(rows.dtypes)["doc_id"]
+    names = ["doc_id", "held_out", "n_tokens", "known", "base", "score"]
     segments, size = model.bits.segments, model.n + model.v + 1
+    fields = f"row long, doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, n_tokens long, known long, base double, score double"
+    binary = lambda x: ", ".join(f"{c} binary" for c in x)
+    sent = f"kind int, segment long, block long, {binary(list(_SENT)[3:])}"
+    of_texts = to_arrow_schema(rows.select(F.lit(0).cast("long").alias("row"), "doc_id", "held_out", *[F.lit(0).cast(k).alias(c) for c, k in zip(names[2:], ("long", "long", "double", "double"), strict=True)]).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 36
-        held, waiting, kinds = [], 0, None
+        held, waiting, block = [], 0, row
+        kinds = pa.schema([*of_texts, *_SENT.items()])
 
-        def whole(x: dict[str, pa.Array], n: int) -> pa.RecordBatch:
-            return pa.record_batch([x.get(f.name, pa.nulls(n, f.type)) for f in kinds], schema=kinds)
+        def table(x: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+            return pa.record_batch([x[f.name].cast(f.type) if f.name in x else pa.nulls(n, f.type) for f in kinds], schema=kinds)
 
         def out() -> pa.RecordBatch:
-            merged = Positions(*(np.concatenate(x) for x in zip(*(p.all for p in held), strict=True)))
-            table = _table(list(merged.sent(segments)), np.zeros(0, np.int64), np.zeros(0))
-            return whole(dict(zip(_OPEN_NAMES, table.columns, strict=False)), table.num_rows)
+            found = list(Positions.merged(held).sent(segments, block))
+            return table({c: pa.array(list(v), k) for (c, k), v in zip(_SENT.items(), zip(*found, strict=True), strict=True)}, len(found))
 
         for batch in batches:
             for lo, hi, found, positions in shared.value.score(batch.column(1)):
-                found |= {"row": pa.array(np.arange(row, row + hi - lo)), "doc_id": batch.column(0).slice(lo, hi - lo), "held_out": batch.column(2).slice(lo, hi - lo)}
-                if kinds is None:
-                    kinds = pa.schema([(x, found[x].type) for x in names] + [("stage", pa.int32()), ("segment", pa.int64())] + [(x, pa.binary()) for x in _OPEN_NAMES[2:]])
-                if len(positions):
-                    held.append(Positions(positions.all[0] + row, *positions.all[1:]))
-                    waiting += len(positions)
-                row += hi - lo
-                yield whole(found, hi - lo)
+                n = hi - lo
+                # rows of texts go with their block's messages, to any segment
+                found |= {"row": pa.array(np.arange(row, row + n)), "block": pa.array(np.full(n, block)), "segment": pa.array(np.full(n, block // 1009 % segments)), "doc_id": batch.column(0).slice(lo, n), "held_out": batch.column(2).slice(lo, n)}
+                if len(positions.all[0]):
+                    held.append(Positions(*positions.all[:5], positions.all[5] + np.uint32(row - block), positions.all[6]))
+                waiting += int(found["n_tokens"].to_numpy().sum())
+                row += n
+                yield table(found, n)
                 if waiting > FLUSH:
-                    yield out()
-                    held, waiting = [], 0
+                    if held:
+                        yield out()
+                    held, waiting, block = [], 0, row
         if held:
             yield out()
 
-    # rows of texts, and rows of open positions
-    both = stored(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, {_OPEN}"), "scored")
-    scored = both.where("row is not null").select(*names)
-    rare = scored.select("row", F.explode("rare").alias("h"))
-    tail = rare.join(words.where(F.col("c") < least), "h").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("add"))
-    final = scored.join(tail, "row", "left")
-    if second is None:
-        final = final.withColumn("more_score", F.lit(0.0))
-    else:
-        final = final.join(_added(both.where("stage is not null").select(*_OPEN_NAMES), second, segments, size), "row", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return final.select("doc_id", "held_out", "n_tokens", (F.col("known") + zero("more")).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") + zero("add") - F.col("n_tokens") * F.lit(float(np.log10(model.n + model.v + 1)))).alias("base_score"), (F.col("score") + zero("more_score")).alias("score"))
+    every = rows.mapInArrow(run, f"{fields}, {sent}")
+    tail = words.where(F.col("c") < least).mapInArrow(_rare(segments), "segment long, names binary, counts binary")
+    every = every.unionByName(tail, allowMissingColumns=True)
+    if second is not None:
+        every = every.unionByName(second.where("more is not null"), allowMissingColumns=True)
+    elif "more" not in every.columns:
+        every = every.withColumn("more", F.lit(None).cast("binary"))
+    dealt = every.repartition(model.tasks, "segment").sortWithinPartitions("segment", F.col("names").isNull() & F.col("more").isNull())
+    between = pa.schema([*of_texts, ("block", pa.int64()), *_GOT.items()])
+    got = dealt.mapInArrow(_met(["row", *names], between, size), f"{fields}, block long, {binary(_GOT)}")
+    final = got.repartition(model.tasks, "block").sortWithinPartitions("block").mapInArrow(_gathered(names, pa.schema([f for f in of_texts if f.name != "row"]), size), fields.split(", ", 1)[1])
+    return final.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(size)))).alias("base_score"), "score")
 
 
 def held_out(docs: DataFrame, n: int = 7, rest: int = 2):

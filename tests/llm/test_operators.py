@@ -195,15 +195,16 @@ def test_language_model_score(spark, monkeypatch):
 
     def log_p(h, w):
         alone, context = (about(single[w]) + 1) / (n + v + 1), about(single[h])
-        return np.log10(0.3 * min(1, about(pairs[h, w]) / context) + 0.7 * alone if context else alone)
+        return np.log10((min(about(pairs[h, w]), context) + lm_bloom.MU * alone) / (context + lm_bloom.MU))
 
     want = {d: sum(log_p(*x) for x in both(t)) for d, t in enumerate(texts)}
     entries = sum(c.bit_length() for x in (single, pairs) for c in x.values())
     assert entries > 3 * (1 << 16) * np.log(2) / 6  # the first part has room for a third
-    for segment_tokens in (lm_bloom.SEGMENT_TOKENS, 1000):
-        monkeypatch.setattr(lm_bloom, "SEGMENT_TOKENS", segment_tokens)
-        for bits in (lm_bloom.FILTER_BITS, 1 << 16):
-            got = {r.doc_id: r.score for r in lm_bloom.score(docs, lm_bloom.held_out(docs), filter_bits=bits).collect()}
+    for task_tokens, flush in ((lm_bloom.TASK_TOKENS, lm_bloom.FLUSH), (10_000, 3000)):
+        monkeypatch.setattr(lm_bloom, "TASK_TOKENS", task_tokens)
+        monkeypatch.setattr(lm_bloom, "FLUSH", flush)
+        for bits, head in ((lm_bloom.FILTER_BITS, lm_bloom.HEAD_WORDS), (1 << 12, 100)):
+            got = {r.doc_id: r.score for r in lm_bloom.score(docs, lm_bloom.held_out(docs), filter_bits=bits, head_words=head).collect()}
             assert got.keys() == want.keys()
             # a filter finds some n-grams that aren't there
             assert np.mean([abs(got[d] - want[d]) / len(both(t)) for d, t in enumerate(texts)]) < 0.02
