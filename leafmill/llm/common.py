@@ -11,7 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once by the vectorised code; a longer document is a step of its own.
@@ -69,6 +69,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def whole(docs: DataFrame) -> Column:
+    """A struct of all columns, to carry a row beside columns of one's own: no name can clash."""
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns])
+
+
+def unpacked(df: DataFrame, columns: list[str], name: str = "d") -> DataFrame:
+    """The columns of the struct that whole() made."""
+    return df.select(*[F.col(f"{name}.{quoted(c)}").alias(c) for c in columns])
+
+
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """df marked for broadcast if it has at most so many rows; else as it is, for a join by shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

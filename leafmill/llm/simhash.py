@@ -1,15 +1,18 @@
 """SimHash near-duplicates by a self-join of the binary trie of fingerprints.
 
-The trie is entered at three places: with an error budget of 2 and three blocks of bits, two linked fingerprints agree in
-one block, so the trie over the bits rotated to begin with that block holds both in the subtree of the block's value.
-Subtrees are node pairs (a, b) with the bits that differ so far. A pair that holds more fingerprints than `cap` is opened
-six levels further, as DataFrame rows, into the pairs of its children that are still within the budget; this repeats until
-all pairs are small, or single values. Small pairs are traversed within Arrow batches: both nodes descend together, bits
-that differ add up, and a pair beyond the budget is pruned. Distinct fingerprints have at most 64 + 64 * 63 / 2 neighbours
-within two bits, so links stay in proportion; each batch emits a spanning forest of its links, which keeps all components.
+A node is all fingerprints that begin with the same bits; its number is those bits. The join begins with the pair (root, root). A pair of
+nodes is opened into the pairs of their descendants OPEN levels further; the bits in which two nodes' numbers differ are the errors so
+far, and a pair beyond the budget, or one with a node that has no fingerprints, is pruned. While a node of a pair holds more than `cap`
+fingerprints, pairs are opened as rows of numbers and counts, without the fingerprints: a node's partners are looked up among the nodes of
+its level. Then each small node's fingerprints are gathered (`cap` at most), the pairs get those of their two nodes, and both are
+descended together in Arrow batches, level by level to single fingerprints. Distinct fingerprints have at most 64 + 64 * 63 / 2
+neighbours within two bits, so links stay in proportion; each batch emits a spanning forest of its links, which keeps all components.
+
+At depth d a node has at most 1 + d + d (d - 1) / 2 partners, half of which are sent to it: at 10^7 fingerprints (d = 12) some 40 x 8 bytes
+for each.
 
 A text that is null or has no words has fingerprint zero and is linked like any other. Rows with the same doc_id share a
-component. Only doc_id and text are read.
+component; repeated rows get a row each. An empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -24,14 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import near_copies
-from .common import LOWER, buffers, checkpointed, ship, stored
+from .common import LOWER, buffers, checkpointed, ship, stored, unpacked, whole
 from .components import components
 
 BUDGET, SEED = 2, 42
-#: First bit, from the top, and width of each block.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
 OPEN = 6
-CAP = 20_000
+CAP = 4096
+#: Fingerprints that are descended at once.
 BATCH = 200_000
 
 
@@ -116,113 +118,87 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = least
 
 
-def _rotate(x: np.ndarray, n: int) -> np.ndarray:
-    return x if n == 0 else (x << np.uint64(n)) | (x >> np.uint64(64 - n))
-
-
-def _links_of(rows: pa.Table) -> pa.RecordBatch:
-    """Spanning edges of the links of complete node pairs, from rows r, depth, a, b, fp."""
-    r, depth, a, b, fp = (rows.column(c).to_numpy() for c in ("r", "depth", "a", "b", "fp"))
-    first = np.array([x for x, _ in BLOCKS])[r]
-    out_a, out_b = [], []
-    for block, (shift, _) in enumerate(BLOCKS):
-        for d in np.unique(depth[r == block]):
-            own = np.flatnonzero((r == block) & (depth == d))
-            x, ka, kb = _rotate(fp[own].view(np.uint64), shift), a[own].view(np.uint64), b[own].view(np.uint64)
-            side = (x >> np.uint64(64 - int(d))) != ka if d < 64 else x != ka
-            order = np.lexsort((x, side, kb, ka))
-            x, ka, kb, side = x[order], ka[order], kb[order], side[order]
-            new = np.concatenate([[True], (np.diff(ka) != 0) | (np.diff(kb) != 0)])
-            lo = np.flatnonzero(new)
-            hi = np.concatenate([lo[1:], [len(x)]])
-            count = np.concatenate([[0], np.cumsum(side)])
-            mid = hi - (count[hi] - count[lo])
-            alone = ka[lo] == kb[lo]
-            err = _ones(ka[lo] ^ kb[lo]).astype(np.int64)
-            pairs = np.stack([lo, np.where(alone, hi, mid), np.where(alone, lo, mid), hi, err], 1)
-            i, j = traverse(x, pairs, int(d))
-            root = forest(len(x), i, j)
-            linked = np.flatnonzero(root != np.arange(len(x)))
-            back = _rotate(x, (64 - shift) % 64).view(np.int64)
-            out_a.append(back[linked])
-            out_b.append(back[root[linked]])
-    del first
-    return pa.record_batch([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
-
-
-def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by node pair; complete pairs are taken together, about BATCH rows at a time."""
-    held: list[pa.RecordBatch] = []
-    size = 0
+def _descended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows depth, errors, x, y (sorted fingerprints of two nodes; y null for a node with itself) to spanning edges of their links."""
     for batch in batches:
-        held.append(batch)
-        size += batch.num_rows
-        if size < BATCH:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("r", "depth", "a", "b")])
-        change = np.flatnonzero((np.diff(keys, axis=1) != 0).any(0))
-        if len(change):
-            cut = int(change[-1]) + 1
-            yield _links_of(table.slice(0, cut))
-            table = table.slice(cut)
-        held, size = table.to_batches(), table.num_rows
-    if size:
-        yield _links_of(pa.Table.from_batches(held).combine_chunks())
+        depths, errors = (batch.column(c).to_numpy() for c in ("depth", "errors"))
+        x, y = batch.column("x"), batch.column("y")
+        nx, ny = (np.nan_to_num(c.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64) for c in (x, y))
+        upto = np.cumsum(nx + ny)
+        for d in np.unique(depths):
+            own = np.flatnonzero(depths == d)
+            for part in np.split(own, np.flatnonzero(np.diff(upto[own] // BATCH)) + 1):
+                sides = [x.take(pa.array(part)).flatten().to_numpy().view(np.uint64), y.take(pa.array(part)).flatten().to_numpy().view(np.uint64)]
+                if d == 0:  # they come in order of signed numbers
+                    sides[0] = np.sort(sides[0])
+                values = np.concatenate(sides)
+                a1 = np.cumsum(nx[part])
+                b1 = len(sides[0]) + np.cumsum(ny[part])
+                alone = ny[part] == 0
+                a0, b0 = a1 - nx[part], b1 - ny[part]
+                i, j = traverse(values, np.stack([a0, a1, np.where(alone, a0, b0), np.where(alone, a1, b1), errors[part]], 1), int(d))
+                # places to values: a value may stand in several pairs
+                distinct, place = np.unique(values, return_inverse=True)
+                root = forest(len(distinct), place[i], place[j])
+                linked = np.flatnonzero(root != np.arange(len(distinct)))
+                yield pa.record_batch([pa.array(distinct[linked].view(np.int64)), pa.array(distinct[root[linked]].view(np.int64))], ["a", "b"])
 
 
 # Node pairs as DataFrames ---------------------------------------------------
 
 
-def _top(value: Column, first: int, bits: Column | int) -> Column:
-    """The top bits of a long rotated left by first, as a non-negative number where bits < 64."""
-    turned = value if first == 0 else F.shiftleft(value, first).bitwiseOR(F.shiftrightunsigned(value, 64 - first))
-    return F.call_function("shiftrightunsigned", turned, F.lit(64) - bits)
-
+def _node(depth: int) -> Column:
+    """The number of a fingerprint's node: its first bits."""
+    return F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
 
-def _entered(fps: DataFrame) -> DataFrame:
-    rows = [F.struct(F.lit(r).cast("int").alias("r"), F.lit(width).cast("int").alias("depth"), _top(F.col("fp"), first, F.lit(width)).alias("a")) for r, (first, width) in enumerate(BLOCKS)]
-    return fps.select("fp", F.explode(F.array(*rows)).alias("k")).select("k.r", "k.depth", "k.a", F.col("k.a").alias("b"), "fp")
 
+def _opened(pairs: DataFrame, nodes: DataFrame, bits: int) -> DataFrame:
+    """Pairs (a, b) to those of their descendants, bits levels further, that are in nodes (node, n) and within the budget: a, b, na, nb."""
+    masks = [m for m in range(1 << bits) if bin(m).count("1") <= BUDGET]
+    left = nodes.select(F.shiftright("node", bits).alias("a"), F.col("node").alias("x"), F.col("n").alias("na"))
+    met = pairs.select("a", "b").join(left, "a").withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
+    met = met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) + F.bit_count("mask") <= BUDGET)
+    low = F.col("x").bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    met = met.select("a", "b", "x", "na", F.shiftleft("b", bits).bitwiseOR(low.bitwiseXOR(F.col("mask"))).alias("y"))
+    met = met.where((F.col("a") != F.col("b")) | (F.col("x") <= F.col("y")))
+    return met.join(nodes.select(F.col("node").alias("y"), F.col("n").alias("nb")), "y").select(F.col("x").alias("a"), F.col("y").alias("b"), "na", "nb")
 
-def _own(r: str = "r", depth: Column | None = None) -> Column:
-    """The row's own node at depth."""
-    depth = F.col("depth") if depth is None else depth
-    tops = [F.when(F.col(r) == i, _top(F.col("fp"), first, depth)) for i, (first, _) in enumerate(BLOCKS)]
-    return F.coalesce(*tops)
 
-
-def _opened(rows: DataFrame) -> DataFrame:
-    """Rows of large node pairs, dealt to the pairs of their children within the budget."""
-    deeper = F.least(F.lit(64), F.col("depth") + OPEN).cast("int")
-    masks = [m for m in range(1 << OPEN) if bin(m).count("1") <= BUDGET]
-    rows = rows.withColumn("own", _own()).withColumn("other", F.when(F.col("own") == F.col("a"), F.col("b")).otherwise(F.col("a")))
-    rows = rows.withColumn("next", deeper).withColumn("child", _own(depth=F.col("next")))
-    rows = rows.withColumn("bits", F.col("next") - F.col("depth"))
-    rows = rows.withColumn("mask", F.explode(F.array(*map(F.lit, masks)))).where((F.call_function("shiftright", F.col("mask"), F.col("bits")) == 0) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) + F.bit_count("mask") <= BUDGET))
-    low = F.col("child").bitwiseAND((F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1))
-    partner = F.call_function("shiftleft", F.col("other"), F.col("bits")).bitwiseOR(low.bitwiseXOR(F.col("mask").cast("long")))
-    return rows.select("r", F.col("next").alias("depth"), F.least("child", partner).alias("a"), F.greatest("child", partner).alias("b"), "fp")
+def node_pairs(fps: DataFrame, cap: int) -> list[tuple[int, DataFrame]]:
+    """Depths, and at each the pairs (a, b) whose nodes both hold at most cap fingerprints, from which all links can be reached."""
+    depth, found = 0, []
+    pairs = fps.agg(F.count("*").alias("na")).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "na", F.col("na").alias("nb"))
+    while True:
+        pairs = checkpointed(pairs)
+        little = (F.col("na") <= cap) & (F.col("nb") <= cap) if depth < 64 else F.lit(True)
+        found.append((depth, pairs.where(little & ((F.col("a") != F.col("b")) | (F.col("na") > 1))).select("a", "b")))
+        large = pairs.where(~little)
+        if large.isEmpty():
+            return found
+        bits = min(OPEN, 64 - depth)
+        depth += bits
+        nodes = checkpointed(fps.groupBy(_node(depth).alias("node")).agg(F.count("*").alias("n")))
+        pairs = _opened(large, nodes, bits)
 
 
 def links(fps: DataFrame, cap: int = CAP) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that connect what is within BUDGET bits, by the trie self-join."""
     ship(fps.sparkSession)
-    key = ["r", "depth", "a", "b"]
-    pending, done = _entered(fps), None
-    while True:
-        first = F.when(_own() == F.col("a"), 1).otherwise(0)
-        sizes = pending.groupBy(*key).agg(F.count("*").alias("n"), F.sum(first).alias("n_a"))
-        # a pair lives if both nodes have fingerprints, and a node with itself if it has two
-        sizes = checkpointed(sizes.where("n >= 2 and (a = b or (n_a > 0 and n_a < n))").select(*key, "n"))
-        small = pending.join(sizes.where((F.col("n") <= cap) | (F.col("depth") >= 64)).drop("n"), key).select(*key, "fp")
-        done = small if done is None else done.unionByName(small)
-        large = sizes.where((F.col("n") > cap) & (F.col("depth") < 64))
-        if large.isEmpty():
-            break
-        pending = checkpointed(_opened(pending.join(large.drop("n"), key).select(*key, "fp")))
-    dealt = done.repartition(*key).sortWithinPartitions(*key, "fp")
-    return dealt.mapInArrow(_join, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+    every, values = None, None
+    for depth, pairs in node_pairs(fps, cap):
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        # at most cap fingerprints to a node
+        own = fps.select(_node(depth).alias("node"), "fp").join(needed, "node", "left_semi").groupBy("node").agg(F.sort_array(F.collect_list("fp")).alias("x"))
+        own, pairs = own.withColumn("depth", F.lit(depth)), pairs.withColumn("depth", F.lit(depth))
+        every, values = (pairs, own) if every is None else (every.unionByName(pairs), values.unionByName(own))
+    values = stored(values, "nodes")
+    tasks = max(fps.sparkSession.sparkContext.defaultParallelism, fps.count() >> 14)
+    left = every.join(values.withColumnRenamed("node", "a"), ["depth", "a"]).select("depth", "a", "b", "x")
+    left = left.repartition(tasks, "depth", "b")
+    alone = left.where("a = b").withColumn("y", F.lit(None).cast("array<long>"))
+    two = left.where("a != b").join(values.select("depth", F.col("node").alias("b"), F.col("x").alias("y")), ["depth", "b"])
+    both = alone.unionByName(two).select("depth", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).cast("long").alias("errors"), "x", "y")
+    return both.mapInArrow(_descended, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
 def near_duplicates(docs: DataFrame, cap: int = CAP) -> DataFrame:
@@ -266,10 +242,14 @@ def copies(docs: DataFrame, cap: int = CAP) -> DataFrame:
 def deduplicate(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """The rows of docs, with all their columns, that come first in their group of copies: the smallest doc_id, and of repeated rows one.
 
-    Rows without doc_id stay, as nothing names them.
+    Rows without doc_id stay, as nothing names them. Of different texts with the same doc_id, any one stays.
     """
-    found = copies(docs, cap)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
-    # a mark that only rows without doc_id have keeps each of those
-    return rest.withColumn("_row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).dropDuplicates(["doc_id", "_row"]).drop("_row")
+    found = stored(copies(docs, cap), "copies")
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    again = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"))
+    rows = docs.select(whole(docs).alias("d"), F.col("doc_id").cast("long").alias("own"))
+    rest = rows.join(gone, F.col("own") == F.col("_gone"), "left_anti")
+    once = rest.join(again, F.col("own") == F.col("_again"), "left_anti")
+    # only repeated rows meet by doc_id
+    first = rest.join(again, F.col("own") == F.col("_again"), "left_semi").dropDuplicates(["own"])
+    return unpacked(once.unionByName(first), docs.columns)
