@@ -1,18 +1,19 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source gets a target of words: its weight's share of `total_share` of all words, at most `max_copies` times what the
-source has; what is above that limit is shared anew among the others by weight until none is above. A document's expected
-copies are e = target / source size (times its relative weight, if a weight column is given): floor(e) whole copies are
-certain, and for the rest its inclusion probability is p = e - floor(e). Documents are ranked by u / (1 - u) * (1 - p) / p
-with u a hash of doc_id in (0, 1), and come in by rank up to the place where the source's words come nearest to the target. The
+Each source gets a target of words: its weight's share of `share` times all words, at most `limit` times what the
+source has; what is above that limit is shared anew among the others by weight until none is above. In a source, a document's expected
+copies are e = min(limit, unit * w): w is its inclusion weight (by default the number of binary digits of its size, so longer documents are
+likelier), and unit makes the expected words of the source its target. floor(e) whole copies are certain, and for the rest the
+inclusion probability is p = e - floor(e). Documents are ranked by their random odds u / (1 - u) divided by their inclusion odds
+p / (1 - p), with u a hash of doc_id in (0, 1), and come in by rank up to the place where the source's words come nearest to the target. The
 sample's size is fixed in words, not in documents, as sizes differ widely.
 
-The place is found without sorting a source in one task: ranks fall into BINS bins of ln(rank), words are summed by source
-and bin, and the bin that holds the place is cut into BINS again, until its documents have equal ranks or ROUNDS are over;
-the last bin goes in or stays out as a whole, whichever is nearer. Sums are a few thousand rows for each source.
+The place is found without sorting a source in one task: words are summed by source and bin of ln(rank), and the bin that holds the place is
+cut into bins again; documents of one such small bin (of BINS * FINE over the range of ranks) go in or stay out together, whichever is nearer.
 
 Null texts and texts without words have size 0 and take 0. Documents of source null are a source, the last one. The same
-doc_id gives the same u on every run; repeated rows count as documents of their own and go in or stay out together.
+doc_id gives the same u on every run; repeated rows count as documents of their own and go in or stay out together. An empty table gives no
+rows. Only doc_id, source and text are read; other columns play no part.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import small, stored
+from .common import small, stored, unpacked, whole
 
 WEIGHTS = (3, 1, 2)
 SHARE, MAX_COPIES = 1.5, 2.0
-BINS, ROUNDS = 1024, 4
-#: ln of odds ratios of 53-bit numbers lies within these.
+BINS, FINE = 1 << 12, 1 << 20
+#: ln of ratios of odds of 52-bit numbers lies within these.
 LOW, HIGH = -80.0, 80.0
 
 
@@ -35,6 +36,11 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]++")).cast("long")
 
 
+def by_length(size: Column) -> Column:
+    """Binary digits of the size."""
+    return F.length(F.bin(size)).cast("double")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = MAX_COPIES) -> DataFrame:
     """sizes (source, source_size) to source, source_size, target. Sources are few beside documents; their table is one row each.
 
@@ -57,74 +63,80 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def _uniform() -> Column:
-    """In (0, 1), by doc_id."""
-    return (F.shiftrightunsigned(F.xxhash64(F.lit("pareto order"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 12).cast("double") + 0.5) / float(1 << 52)
+    """In (0, 1), by doc_id: 52 bits of its hash."""
+    digits = F.substring(F.md5(F.concat(F.lit("pareto order "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def allocate(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = MAX_COPIES, weight: str | None = None) -> DataFrame:
-    """rows (doc_id, source, size, ...) with source_size, target, copies and taken. weight: a column of relative inclusion weights in a source.
+def _by_source(rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """rows with goals' columns of their source."""
+    others = [f"g.{c}" for c in goals.columns if c != "source"]
+    return rows.alias("r").join(small(goals).alias("g"), F.expr("r.source <=> g.source"), "left").select("r.*", *others)
 
-    Weighted copies are capped at the limit; what the cap takes away is not shared anew.
-    """
-    own = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
-    rows = rows.withColumn("_w", F.greatest(own, F.lit(0.0)))
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_w")).alias("_weighed"))
-    goals = targets(sums.select("source", "source_size"), weights, share, limit)
-    goals = stored(goals.alias("g").join(sums.alias("s"), F.expr("g.source <=> s.source")).select("g.*", "s._weighed"), "targets")
-    rows = rows.alias("r").join(small(goals).alias("g"), F.expr("r.source <=> g.source"), "left").select("r.*", "g.source_size", "g.target", "g._weighed")
-    expected = F.when(F.col("_weighed") > 0, F.least(F.lit(float(limit)), F.col("target") * F.col("_w") / F.col("_weighed"))).otherwise(0.0)
-    rows = rows.withColumn("_e", expected).withColumn("_whole", F.floor("_e")).withColumn("_p", F.col("_e") - F.col("_whole"))
+
+def _ranked(rows: DataFrame, limit: float) -> DataFrame:
+    """rows (doc_id, size, weight, unit) with certain copies and the logarithm of the rank, null where nothing is left to chance."""
+    expected = F.when(F.col("size") > 0, F.least(F.lit(float(limit)), F.coalesce(F.col("unit") * F.col("weight"), F.lit(float(limit))))).otherwise(0.0)
+    rows = rows.withColumn("certain", F.floor(expected)).withColumn("p", expected - F.floor(expected))
     u = _uniform()
-    rank = F.log(u) - F.log(1 - u) + F.log(1 - F.col("_p")) - F.log(F.col("_p"))
-    rows = rows.withColumn("_rank", F.when((F.col("_p") > 0) & (F.col("size") > 0), rank))
-    narrow = stored(rows.select("source", "size", "_whole", "_rank"), "ranks")
-    cuts = small(stored(_cuts(narrow, goals), "cut"))
-    rows = rows.alias("r").join(cuts.alias("c"), F.expr("r.source <=> c.source"), "left").select("r.*", "c.cut")
-    copies = F.col("_whole") + F.when(F.col("_rank").isNotNull() & F.col("cut").isNotNull() & (F.col("_rank") < F.col("cut")), 1).otherwise(0)
-    rows = rows.withColumn("copies", copies.cast("long")).withColumn("taken", (copies * F.col("size")).cast("long"))
-    return rows.drop("_w", "_weighed", "_e", "_whole", "_p", "_rank", "cut")
-
-
-def _cuts(narrow: DataFrame, goals: DataFrame) -> DataFrame:
-    """source, cut: documents of a smaller rank come in once more."""
-    certain = narrow.groupBy("source").agg(F.sum(F.col("_whole") * F.col("size")).alias("certain"))
-    # lo, hi: the range of ranks that holds the place; taken: words of certain copies and of all ranks below lo
-    state = goals.alias("g").join(certain.alias("c"), F.expr("g.source <=> c.source")).select("g.source", "g.target", F.col("c.certain").cast("double").alias("taken"), F.lit(LOW).alias("lo"), F.lit(HIGH).alias("hi"))
-    for last in [False] * (ROUNDS - 1) + [True]:
-        ranked = narrow.where("_rank is not null").alias("n").join(small(state).alias("s"), F.expr("n.source <=> s.source and n._rank >= s.lo and n._rank < s.hi"))
-        bin_ = F.least(F.floor((F.col("_rank") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))
-        sums = ranked.select("n.source", bin_.cast("int").alias("bin"), "size").groupBy("source", "bin").agg(F.sum("size").alias("words"))
-        order = W.partitionBy("source").orderBy("bin")
-        sums = sums.withColumn("upto", F.sum("words").over(order))
-        step = sums.alias("b").join(state.alias("s"), F.expr("b.source <=> s.source")).select("s.*", "b.bin", "b.words", "b.upto")
-        # the first bin that reaches the target
-        reach = step.where(F.col("taken") + F.col("upto") >= F.col("target")).groupBy("source").agg(F.min(F.struct("bin", "words", "upto")).alias("b"))
-        state = state.alias("s").join(reach.alias("r"), F.expr("s.source <=> r.source"), "left").select("s.*", "r.b")
-        width = (F.col("hi") - F.col("lo")) / BINS
-        low, above = F.col("lo") + F.col("b.bin") * width, F.col("lo") + (F.col("b.bin") + 1) * width
-        short, over = F.col("target") - F.col("taken") - (F.col("b.upto") - F.col("b.words")), F.col("taken") + F.col("b.upto") - F.col("target")
-        if last:
-            return state.select("source", F.when(F.col("b").isNull(), F.col("hi")).when(over <= short, above).otherwise(low).alias("cut"))
-        # where no bin reaches it, all ranks of the range come in
-        state = stored(state.select("source", "target", F.when(F.col("b").isNull(), F.col("taken")).otherwise(F.col("taken") + F.col("b.upto") - F.col("b.words")).alias("taken"), F.coalesce(low, F.col("lo")).alias("lo"), F.coalesce(above, F.col("hi")).alias("hi")), "cuts")
-    raise AssertionError
-
-
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-
-
-def mixture(docs: DataFrame, **options) -> DataFrame:
-    """Per document row: doc_id, source, size, source_size, target, copies, taken."""
-    return allocate(stored(sized(docs), "sizes"), **options)
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
+    rank = F.log(u) - F.log(1 - u) + F.log(1 - F.col("p")) - F.log(F.col("p"))
+    return rows.withColumn("rank", F.when(F.col("p") > 0, rank)).drop("p")
+
+
+def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = MAX_COPIES) -> DataFrame:
+    """rows (doc_id, source, size, weight) to source, source_size, target, unit and cut: documents of a rank below it come in once more.
+
+    Inclusion weights are positive and have few distinct values, whose sums are taken by source.
+    """
+    levels = stored(rows.groupBy("source", "weight").agg(F.sum("size").alias("words")), "levels")
+    goals = targets(levels.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, limit)
+    # the highest weights are at the limit; unit: what a weight of 1 gets if those from this one down are below it
+    order = W.partitionBy("source").orderBy(F.desc("weight"))
+    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(0, W.unboundedFollowing)
+    each = levels.alias("l").join(goals.alias("g"), F.expr("l.source <=> g.source")).select("g.*", "l.weight", "l.words")
+    each = each.withColumn("unit", (F.col("target") - limit * F.coalesce(F.sum("words").over(before), F.lit(0))) / F.nullif(F.sum(F.col("words") * F.col("weight")).over(after), F.lit(0.0)))
+    fits = F.when(F.col("unit") * F.col("weight") <= limit, F.struct("weight", "unit"))
+    goals = stored(each.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.max(fits)["unit"].alias("unit")), "targets")
+    ranked = _ranked(_by_source(rows, goals), limit).select("source", "size", "certain", "rank")
+    width = (HIGH - LOW) / BINS
+    bins = ranked.groupBy("source", F.floor((F.col("rank") - LOW) / width).alias("bin")).agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("certain")).alias("sure"))
+    by_bin = W.partitionBy("source").orderBy(F.asc_nulls_first("bin"))
+    bins = bins.withColumn("sure", F.sum("sure").over(W.partitionBy("source"))).withColumn("upto", F.sum(F.when(F.col("bin").isNotNull(), F.col("words")).otherwise(0)).over(by_bin))
+    bins = bins.alias("b").join(goals.select("source", "target").alias("g"), F.expr("b.source <=> g.source")).select("b.*", (F.col("target") - F.col("sure")).alias("goal"))
+    # the first bin that reaches the goal, and the words before it
+    reach = F.min(F.when(F.col("bin").isNotNull() & (F.col("upto") >= F.col("goal")), F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))))
+    place = stored(bins.groupBy("source").agg(F.first("goal").alias("goal"), reach.alias("b")).select("source", "goal", "b.bin", "b.before"), "place")
+    inside = _by_source(ranked, place).where("rank is not null").where(F.floor((F.col("rank") - LOW) / width) == F.col("bin"))
+    low = F.lit(LOW) + F.col("bin") * width
+    fine = F.least(F.floor((F.col("rank") - low) / width * FINE), F.lit(FINE - 1))
+    sums = inside.groupBy("source", "goal", "bin", "before", fine.alias("fine")).agg(F.sum("size").alias("words"))
+    sums = sums.withColumn("upto", F.col("before") + F.sum("words").over(W.partitionBy("source").orderBy("fine")))
+    reach = sums.where("upto >= goal").groupBy("source", "bin").agg(F.min(F.struct("fine", (F.col("upto") - F.col("goal") <= F.col("goal") - F.col("upto") + F.col("words")).cast("int").alias("in"))).alias("f"))
+    cuts = reach.select("source", (low + (F.col("f.fine") + F.col("f.in")) * (width / FINE)).alias("cut"))
+    # where no bin reaches the goal, all ranks come in
+    return stored(goals.alias("g").join(cuts.alias("c"), F.expr("g.source <=> c.source"), "left").select("g.*", F.coalesce("c.cut", F.lit(HIGH)).alias("cut")), "plan")
+
+
+def allocate(rows: DataFrame, goals: DataFrame, limit: float = MAX_COPIES) -> DataFrame:
+    """rows (doc_id, source, size, weight, ...) with source_size, target, copies and taken."""
+    found = _ranked(_by_source(rows, goals), limit)
+    copies = F.col("certain") + F.coalesce((F.col("rank") < F.col("cut")).cast("int"), F.lit(0))
+    return found.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop("unit", "cut", "certain", "rank", "weight")
+
+
+def sized(docs: DataFrame, weight=by_length) -> DataFrame:
+    return docs.withColumn("size", word_count(F.col("text"))).withColumn("weight", weight(F.col("size"))).drop("text")
+
+
+def mixture(docs: DataFrame, weight=by_length, **options) -> DataFrame:
+    """Per document row: doc_id, source, size, source_size, target, copies, taken. weight: a size's inclusion weight."""
+    rows = stored(sized(docs.select("doc_id", "source", "text"), weight), "sizes")
+    return allocate(rows, plan(rows, **options), options.get("limit", MAX_COPIES))
+
+
+def mixed(docs: DataFrame, weight=by_length, **options) -> DataFrame:
     """The rows of docs, with all their columns, each as often as the mix takes it."""
-    columns = docs.columns
-    rows = docs.withColumn("_size", word_count(F.col("text")))
-    plan = allocate(stored(rows.select("doc_id", "source", F.col("_size").alias("size")), "sizes"), **options)
-    # a document's copies follow from its source, size and doc_id: equal rows have equal copies
-    copies = plan.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("n")).where("n > 0")
-    found = rows.alias("r").join(copies.alias("c"), F.expr("r.doc_id <=> c.doc_id and r.source <=> c.source and r._size = c.size"))
-    return found.select(*[F.col(f"r.`{c}`") for c in columns], F.explode(F.sequence(F.lit(1), F.col("c.n"))).alias("_copy")).drop("_copy")
+    goals = plan(stored(sized(docs.select("doc_id", "source", "text"), weight), "sizes"), **options)
+    rows = sized(docs.select(whole(docs).alias("d"), "doc_id", "source", "text"), weight)
+    taken = allocate(rows, goals, options.get("limit", MAX_COPIES)).where("copies > 0")
+    return unpacked(taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))), docs.columns)

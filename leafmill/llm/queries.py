@@ -29,7 +29,7 @@ def op4_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    return mixing.mixture(read(spark, sf_dir, "documents"))
 
 
 def op6_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,107 @@ QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_pii, op4_
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = rf"list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
+_B = r"[\x20\x09-\x0D]"
+_RULES = quality_rules.RULES
+
+
+def _per_rule(form: str, between: str = ", ") -> str:
+    return between.join(form.format(r=r) for r in _RULES)
+
+
+def _tail(p: float) -> str:
+    """P(X <= k) of n trials, as the sum of its terms; 1 beyond the expected number."""
+    return f"CASE WHEN k > n * {p} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) END"
+
+
+_MEASURED = rf"""
+        texts AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
+        parts AS (
+            SELECT rid, doc_id, lang, text, list_filter(string_split_regex(text, '{_B}+'), lambda x: x <> '') AS w,
+                list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM texts),
+        windows AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM parts, unnest(range(1, len(w) - 1)) AS r(i)),
+        again AS (SELECT rid, gram FROM windows GROUP BY ALL HAVING count(*) > 1),
+        covered AS (SELECT rid, count(DISTINCT i + j) AS n FROM windows JOIN again USING (rid, gram), unnest(range(0, 3)) AS r(j) GROUP BY rid),
+        counted AS (
+            SELECT p.rid, doc_id, lang, len(w)::BIGINT AS n_words, length(regexp_replace(text, '{_B}+', '', 'g'))::BIGINT AS word_chars,
+                length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+                coalesce(c.n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, len(l) AS n_lines
+            FROM parts AS p LEFT JOIN covered AS c USING (rid)),
+        measured AS (
+            SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+                coalesce(n_symbols::DOUBLE / nullif(word_chars, 0), 0) AS symbol_ratio, coalesce(n_upper::DOUBLE / nullif(word_chars, 0), 0) AS upper_ratio,
+                coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0), 0) AS dup_line_ratio, coalesce(n_repeat_words::DOUBLE / nullif(n_words, 0), 0) AS repeat_ratio
+            FROM counted)"""
+_CUTOFFS = f"""
+        good AS (
+            SELECT m.*, ('0x' || substr(md5(doc_id::VARCHAR), 1, 7))::BIGINT % 3 AS fold
+            FROM measured AS m JOIN labels AS b USING (doc_id) WHERE NOT base_failed AND b.quality = 1),
+        grid AS (SELECT c::DOUBLE AS cutoff FROM unnest({list(quality_rules.CUTOFFS)}) AS t(c)),
+        multiples AS (SELECT c::DOUBLE AS cutoff FROM unnest({list(quality_rules.MULTIPLES)}) AS t(c)),
+        tuned AS (
+            SELECT lang, r.rule, cutoff, count(*) AS n, count(*) FILTER (WHERE r.value > cutoff) AS k
+            FROM (SELECT lang, unnest([{_per_rule("{{'rule': '{r}', 'value': {r}}}")}]) AS r FROM good WHERE fold = 0), grid GROUP BY ALL),
+        best AS (SELECT lang, rule, coalesce(min(cutoff) FILTER (WHERE k <= n * {quality_rules.RISK / 2}), {quality_rules.CUTOFFS[0]}::DOUBLE) AS cutoff FROM tuned GROUP BY ALL),
+        scales AS (SELECT lang, {_per_rule("max(cutoff) FILTER (WHERE rule = '{r}') AS {r}_scale")} FROM best GROUP BY lang),
+        held AS (
+            SELECT g.*, greatest({_per_rule("g.{r} / s.{r}_scale")}) AS together
+            FROM good AS g LEFT JOIN scales AS s ON g.lang IS NOT DISTINCT FROM s.lang WHERE fold = 1),
+        tested AS (
+            SELECT lang, r.rule, cutoff, count(*) AS n, count(*) FILTER (WHERE r.value > cutoff) AS k
+            FROM (SELECT lang, unnest([{_per_rule("{{'rule': '{r}', 'value': {r}}}")}]) AS r FROM held), grid GROUP BY ALL
+            UNION ALL
+            SELECT lang, 'together', cutoff, count(*), count(*) FILTER (WHERE together > cutoff OR together IS NULL) FROM held, multiples GROUP BY ALL),
+        proofs AS (
+            SELECT *, CASE WHEN rule = 'together' THEN {_tail(quality_rules.RISK)} <= level
+                ELSE {_tail(quality_rules.RISK / len(_RULES))} <= level / {len(_RULES)} END AS valid
+            FROM tested, (SELECT {quality_rules.DELTA / 2} / count(DISTINCT coalesce(lang, chr(0)))::DOUBLE AS level FROM held)),
+        reached AS (SELECT *, bool_and(valid) OVER (PARTITION BY lang, rule ORDER BY cutoff DESC) AS proved FROM proofs),
+        proved AS (SELECT lang, {_per_rule("min(cutoff) FILTER (WHERE rule = '{r}' AND proved) AS {r}_own")}, min(cutoff) FILTER (WHERE rule = 'together' AND proved) AS together FROM reached GROUP BY lang),
+        cutoffs AS (
+            SELECT p.lang, {_per_rule("CASE WHEN together IS NULL OR (" + _per_rule("{r}_own IS NOT NULL", " AND ") + ") THEN {r}_own ELSE together * {r}_scale END AS {r}_cutoff")}
+            FROM proved AS p LEFT JOIN scales AS s ON p.lang IS NOT DISTINCT FROM s.lang)"""
+
+_MIXED = rf"""
+        WITH RECURSIVE sizes AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '{_B}+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
+        sources AS (
+            SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+            FROM sizes GROUP BY source),
+        -- shares of what is left among those below their limit, until none is above
+        shares(round, source, source_size, weight, target, done) AS (
+            SELECT 0, source, source_size, weight, 0::DOUBLE, false FROM sources
+            UNION ALL
+            SELECT round + 1, source, source_size, weight, CASE WHEN done OR share > 2.0 * source_size THEN 2.0 * source_size ELSE share END::DOUBLE, done OR share > 2.0 * source_size
+            FROM (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) FILTER (WHERE done) OVER (), 0)) * weight / nullif(sum(weight) FILTER (WHERE NOT done) OVER (), 0) AS share
+                  FROM shares WHERE round < (SELECT count(*) FROM sources))),
+        targets AS (SELECT source, source_size, target FROM shares WHERE round = (SELECT count(*) FROM sources)),
+        weighed AS (
+            SELECT doc_id, source, size, source_size, target, length(bin(size))::DOUBLE AS w,
+                (('0x' || substr(md5('pareto order ' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496 AS u
+            FROM sizes JOIN targets USING (source)),
+        levels AS (SELECT source, target, w, sum(size) AS words FROM weighed GROUP BY ALL),
+        -- expected copies are min(2, unit * w); the highest weights are at 2
+        units AS (
+            SELECT source, w, (target - 2.0 * coalesce(sum(words) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(words * w) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM levels),
+        unit AS (SELECT source, arg_max(unit, w) FILTER (WHERE unit * w <= 2) AS unit FROM units GROUP BY source),
+        expected AS (SELECT x.*, CASE WHEN size = 0 THEN 0 ELSE least(2.0, coalesce(unit * w, 2.0)) END::DOUBLE AS e FROM weighed AS x JOIN unit USING (source)),
+        ranked AS (SELECT *, floor(e) AS sure, CASE WHEN e > floor(e) THEN ln(u) - ln(1 - u) + ln(1 - (e - floor(e))) - ln(e - floor(e)) END AS rank FROM expected),
+        goals AS (SELECT source, any_value(target) - sum(sure * size) AS goal FROM ranked GROUP BY source),
+        ends AS (SELECT source, rank, sum(words) OVER (PARTITION BY source ORDER BY rank) AS upto FROM (SELECT source, rank, sum(size) AS words FROM ranked WHERE rank IS NOT NULL GROUP BY ALL)),
+        -- of all places to end, the nearest to the goal; none at all is one
+        cuts AS (
+            SELECT source, arg_min(rank, (abs(upto - goal), -upto)) AS cut
+            FROM (SELECT source, rank, upto FROM ends UNION ALL SELECT source, -1e9, 0 FROM sources) JOIN goals USING (source) GROUP BY source)
+        SELECT r.doc_id, r.source, r.size, r.source_size, r.target, (sure + coalesce((rank <= cut)::INT, 0))::BIGINT AS copies, ((sure + coalesce((rank <= cut)::INT, 0)) * size)::BIGINT AS taken
+        FROM ranked AS r JOIN cuts AS c USING (source)"""
+
 SQL = {
+    "op5_mixing": _MIXED,
+    "op1_quality_rules": f"""
+        WITH {_MEASURED}, {_CUTOFFS}
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND NOT coalesce({_per_rule("{r} > {r}_cutoff", ", false) AND NOT coalesce(")}, false) AS kept
+        FROM measured AS m LEFT JOIN cutoffs AS c ON m.lang IS NOT DISTINCT FROM c.lang""",
     "op9_decontam": f"""
         WITH items AS (SELECT item_id, {_ALNUM} AS w FROM benchmark WHERE item_id IS NOT NULL),
         windows AS (
