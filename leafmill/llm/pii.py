@@ -1,15 +1,18 @@
 """Personal data: regular expressions propose spans, checksums confirm them, words nearby adjust the score.
 
 Kinds of the base set: email, ip (parts at most 255), card (16 to 19 digits, Luhn), phone (8 to 15 digits). The method adds
-iban (mod 97) and ssn (three, two and four digits, none of the parts all zeros). Each kind has a prior; a checksum that holds adds to it, and
-a context word within CONTEXT characters before the span adds to it, and what reaches THRESHOLD is a span. Base spans
-reach it by their form and checksum alone; an ssn needs a context word. Spans of different kinds may overlap.
+iban (mod 97), ssn (three, two and four digits, none of the parts all zeros) and secret (32 to 64 letters, digits, hyphens and underscores, with
+letters and digits: a key or a token). Each kind has a prior; a checksum that holds adds to it, and a context word within CONTEXT
+characters before the span adds to it, and what reaches THRESHOLD is a span. Base spans and ibans reach it by their form and checksum
+alone; an ssn or a secret, whose forms say little, needs a context word. Spans of different kinds may overlap.
 
 All in expressions of the JVM. Positions are code points; a kind's matches are leftmost and don't overlap: between them lie
-the pieces of the text split by the same expression, so positions are running sums of lengths. Expressions use possessive
-repeats, so that long runs neither backtrack nor use stack; they match what the plain expressions match.
+the pieces of the text split by the same expression, so positions are running sums of lengths, taken by runs of RUN matches: the work grows
+with the text's length and RUN times its matches. Expressions use
+possessive repeats, so that long runs neither backtrack nor use stack; they match what the plain expressions match. An iban's groups may be
+followed by words or numbers in capitals: its span is the longest row of whole groups that is valid.
 
-A null text is empty and has no spans. Repeated rows get a row each. Only doc_id and text are read.
+A null text is empty and has no spans. Repeated rows get a row each. An empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -17,8 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted, whole
+
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "ssn")
+ADDED = ("iban", "ssn", "secret")
 #: The same matches as [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+: a match begins where a run of its first
 #: characters begins, or at the end of the match before.
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -28,13 +33,16 @@ PATTERNS = {
     "ip": r"[0-9]++(?:\.[0-9]++){3}",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?![A-Za-z0-9])(?: [A-Z0-9]++(?![A-Za-z0-9])){0,9}+",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32,64}+(?![A-Za-z0-9_-])",
 }
 #: A character without which a text has no match.
-NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+", "iban": "", "ssn": "-"}
-PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.4, "phone": 0.7, "iban": 0.3, "ssn": 0.3}
+NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+", "iban": "", "ssn": "-", "secret": ""}
+PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.4, "phone": 0.7, "iban": 0.3, "ssn": 0.3, "secret": 0.3}
 CHECKED, NEARBY, THRESHOLD, CONTEXT = 0.4, 0.3, 0.6, 40
+#: Matches whose lengths are added one by one; runs before them are added as wholes.
+RUN = 64
 WORDS = {
     "email": "e-?mail|mail|contact|write",
     "ip": "ip|address|host|server|login",
@@ -42,6 +50,7 @@ WORDS = {
     "phone": "phone|tel|call|mobile|fax|cell",
     "iban": "iban|account|bank|konto|compte|cuenta",
     "ssn": "ssn|social|security|tax id",
+    "secret": "token|secret|password|passwd|api|bearer|key|auth|credential",
 }
 
 
@@ -65,14 +74,23 @@ def luhn(digits: Column) -> Column:
 
 
 def mod97(text: Column) -> Column:
-    """Whether an account number, letters counted from A = 10 and its first four characters moved to the end, leaves 1."""
+    """Whether an account number of 15 to 34 characters, letters counted from A = 10 and its first four moved to the end, leaves 1."""
     plain = F.regexp_replace(text, " ", "")
     turned = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))
 
     def step(rest: Column, c: Column) -> Column:
         return F.when(c.rlike("[0-9]"), (rest * 10 + c.cast("int")) % 97).otherwise((rest * 100 + F.ascii(c) - 55) % 97)
 
-    return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), step) == 1
+    return F.length(plain).between(15, 34) & (F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), step) == 1)
+
+
+def _valid_groups(match: Column) -> Column:
+    """The longest row of an iban's groups, from the first on, that is valid; null if none is."""
+    def longest(groups: Column) -> Column:
+        rows = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, 1, n), " "))
+        return F.get(F.filter(rows, mod97), F.lit(0))
+
+    return _bound(F.split(match, " "), longest)
 
 
 def _octets(match: Column) -> Column:
@@ -87,26 +105,48 @@ def _form(kind: str, match: Column) -> Column:
         "card": lambda: n.between(16, 19),
         "phone": lambda: n.between(8, 15),
         "ssn": lambda: ~match.rlike("^000|-00-|0000$"),
+        "secret": lambda: match.rlike("[0-9]") & match.rlike("[A-Za-z]"),
     }.get(kind, lambda: F.lit(True))()
 
 
 def _checksum(kind: str, match: Column) -> Column:
-    return {"card": lambda: luhn(_digits(match)), "iban": lambda: mod97(match)}.get(kind, lambda: F.lit(False))()
+    # an iban that isn't valid is none, and is gone before
+    return {"card": lambda: luhn(_digits(match)), "iban": lambda: F.lit(True)}.get(kind, lambda: F.lit(False))()
+
+
+def _starts(pieces: Column, found: Column) -> Column:
+    """Where each of the found matches starts: the lengths of all pieces and matches before it."""
+    lengths = F.transform(found, lambda m, i: F.length(F.get(pieces, i)) + F.length(m))
+    add = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y)
+
+    def placed(each: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.greatest((F.size(each) - 1) / RUN, F.lit(0)).cast("int")), lambda r: add(F.slice(each, r * RUN + 1, F.lit(RUN))))
+
+        def by_run(sums: Column) -> Column:
+            before = F.transform(sums, lambda x, r: add(F.slice(sums, F.lit(1), r)))
+            return _bound(before, lambda b: F.transform(each, lambda x, i: F.get(b, (i / RUN).cast("int")) + add(F.slice(each, i - i % RUN + 1, i % RUN)) + F.length(F.get(pieces, i))))
+
+        return _bound(runs, by_run)
+
+    return _bound(lengths, placed)
 
 
 def _matches(text: Column, kind: str) -> Column:
-    """All matches of a kind: start, match."""
+    """All matches of a kind: start, match, and what stands before it."""
     pattern = PATTERNS[kind]
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
 
-    def place(both: Column) -> Column:
-        step = lambda a, x: F.struct((a["at"] + F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"), F.when(x["m"].isNull(), a["all"]).otherwise(F.concat(a["all"], F.array(F.struct((a["at"] + F.length(x["p"])).alias("start"), x["m"].alias("match"))))).alias("all"))
-        return F.aggregate(both, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, match: string>>)").alias("all")), step)["all"]
+    def zipped(pieces: Column, found: Column) -> Column:
+        # four matches of the kinds that need a context are longer than it
+        earlier = lambda i, k: F.when(i >= k, F.concat(F.get(pieces, i - k), F.get(found, i - k))).otherwise("")
+        before = lambda i: F.concat(*[earlier(i, k) for k in (4, 3, 2, 1)], F.get(pieces, i))
+        near = lambda i: F.when(F.length(F.get(pieces, i)) >= CONTEXT, F.right(F.get(pieces, i), F.lit(CONTEXT))).otherwise(F.right(before(i), F.lit(CONTEXT)))
+        return _bound(_starts(pieces, found), lambda starts: F.transform(found, lambda m, i: F.struct(F.get(starts, i).alias("start"), m.alias("match"), near(i).alias("before"))))
 
-    placed = _bound(F.arrays_zip(pieces.alias("p"), found.alias("m")), place)
+    both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    placed = _bound(both, lambda x: zipped(x["pieces"], x["found"]))
     # most texts have no match at all
-    return F.when(text.rlike(pattern.replace(r"\G|", "")) if not NEEDS[kind] else F.contains(text, F.lit(NEEDS[kind])) & text.rlike(pattern.replace(r"\G|", "")), placed).otherwise(F.expr("cast(array() as array<struct<start: int, match: string>>)"))
+    some = text.rlike(pattern.replace(r"\G|", ""))
+    return F.when(F.contains(text, F.lit(NEEDS[kind])) & some if NEEDS[kind] else some, placed).otherwise(F.expr("cast(array() as array<struct<start: int, match: string, before: string>>)"))
 
 
 def spans(text: Column, kinds: tuple[str, ...] = BASE + ADDED) -> Column:
@@ -116,16 +156,18 @@ def spans(text: Column, kinds: tuple[str, ...] = BASE + ADDED) -> Column:
 
 def _scored(text: Column, kind: str) -> Column:
     def score(m: Column) -> Column:
-        before = F.substring(text, F.greatest(F.lit(1), m["start"] + 1 - CONTEXT), F.least(m["start"], F.lit(CONTEXT)))
-        near = F.lower(before).rlike(f"(?<![a-z])(?:{WORDS[kind]})")
+        near = F.lower(m["before"]).rlike(f"(?<![a-z])(?:{WORDS[kind]})")
         return F.lit(PRIOR[kind]) + F.when(_checksum(kind, m["match"]), CHECKED).otherwise(0.0) + F.when(near, NEARBY).otherwise(0.0)
 
     def span(m: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), (m["start"] + F.length(m["match"])).alias("end"), score(m).alias("score"))
 
+    found = _matches(text, kind)
+    if kind == "iban":
+        found = F.transform(found, lambda m: F.struct(m["start"].alias("start"), _valid_groups(m["match"]).alias("match"), m["before"].alias("before")))
     # a card or an account number without its checksum is none, whatever words stand by
-    proved = lambda m: _form(kind, m["match"]) & (_checksum(kind, m["match"]) if kind in ("card", "iban") else F.lit(True))
-    return F.filter(F.transform(F.filter(_matches(text, kind), proved), span), lambda s: s["score"] >= THRESHOLD - 1e-9)
+    proved = {"card": lambda m: _form(kind, m["match"]) & _checksum(kind, m["match"]), "iban": lambda m: m["match"].isNotNull()}.get(kind, lambda m: _form(kind, m["match"]))
+    return F.filter(F.transform(F.filter(found, proved), span), lambda s: s["score"] >= THRESHOLD - 1e-9)
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -135,16 +177,17 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of the text replaced by its kind in brackets; where spans overlap, the first that begins stays."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(whole(docs).alias("d"), F.col("text").alias("t"), spans(F.coalesce(F.col("text"), F.lit(""))).alias("s"))
+    by_start = F.sort_array(F.transform("s", lambda s: F.struct(s["start"], s["end"], s["kind"])))
 
     def cut(a: Column, s: Column) -> Column:
         skip = s["start"] < a["at"]
-        piece = F.concat(F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit("["), s["kind"], F.lit("]"))
+        piece = F.concat(F.substring(F.col("t"), a["at"] + 1, s["start"] - a["at"]), F.lit("["), s["kind"], F.lit("]"))
         return F.struct(F.when(skip, a["at"]).otherwise(s["end"]).alias("at"), F.when(skip, a["out"]).otherwise(F.concat(a["out"], piece)).alias("out"))
 
-    by_start = F.sort_array(F.transform("_spans", lambda s: F.struct(s["start"], s["end"], s["kind"])))
-    done = F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    return docs.withColumn("_spans", spans(text)).withColumn("text", F.when(F.size("_spans") > 0, done).otherwise(F.col("text"))).drop("_spans")
+    done = F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda a: F.concat(a["out"], F.substring(F.col("t"), a["at"] + 1, F.length("t"))))
+    rows = rows.withColumn("done", F.when(F.size("s") > 0, done).otherwise(F.col("t")))
+    return rows.select(*[F.col("done").alias(c) if c == "text" else F.col(f"d.{quoted(c)}").alias(c) for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:
