@@ -2,15 +2,16 @@
 
 Of two labelled documents, one good and one bad, the good one is preferred; the probability of that is the logistic function of the
 difference of their scores, and a score is linear in the text's features. Weights minimise logistic loss on feature
-differences plus an L2 term, by Newton steps. The raw score's cut is its quantile at the share of bad documents among the
+differences plus an L2 term, by Newton steps. The raw score's cut is its quantile at the share of bad documents, both over all labelled
 training rows; scores are mapped to 0..1 by a logistic curve that is 0.7 at the cut.
 
 Features come from the whole text: shares of its bytes by character, of words by form, repetition of words and lines, and lengths.
 doc_id, lang, source and labels are no features. Fitting uses at most MAX_LABELLED labelled training rows of each class, those
-with the smallest hashes of doc_id, and MAX_PAIRS pairs; all rows are scored.
+with the smallest hashes of doc_id, and MAX_PAIRS pairs; the cut comes from all of them, and all rows are scored.
 
 Null and empty texts have features of their own (all zero) and a score. Without labels of both classes all scores are 0.5.
-A document with several labels counts with each. Repeated rows get a row each.
+A document with several labels counts with each. Repeated rows get a row each, with equal scores. An empty table gives no rows. Columns beside
+doc_id and text (of labels: doc_id and the class) play no part.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, CASED, buffers, remainder, ship, steps, word_hashes, words
+from .common import BLANK, CASED, buffers, remainder, ship, steps, stored, word_hashes, words
 
 MAX_LABELLED, MAX_PAIRS = 8_000, 100_000
 CUT, L2 = 0.7, 1e-3
@@ -74,12 +75,12 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
         yield lo, hi, x
 
 
-def fit(x: np.ndarray, good: np.ndarray, seed: int = 7, max_pairs: int = MAX_PAIRS) -> tuple[np.ndarray, float, float]:
-    """Weights, the cut of the raw score and its scale."""
+def fit(x: np.ndarray, good: np.ndarray, seed: int = 7, max_pairs: int = MAX_PAIRS) -> np.ndarray:
+    """Weights; all zero without rows of both classes."""
     rng = np.random.default_rng(seed)
     better, worse = np.flatnonzero(good), np.flatnonzero(~good)
     if not len(better) or not len(worse):
-        return np.zeros(x.shape[1]), 0.0, 1.0
+        return np.zeros(x.shape[1])
     n = min(max_pairs, 8 * (len(better) + len(worse)))
     # each labelled row is in pairs as often as any other of its class
     deal = lambda rows: np.concatenate([rng.permutation(rows) for _ in range(-(-n // len(rows)))])[:n]
@@ -92,17 +93,12 @@ def fit(x: np.ndarray, good: np.ndarray, seed: int = 7, max_pairs: int = MAX_PAI
         w += step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-6:
             break
-    w = w / scale
-    raw = x @ w
-    # between the last score below the quantile and the first above it
-    order, at = np.sort(raw), len(worse)
-    cut = float((order[at - 1] + order[at]) / 2)
-    return w, cut, float(raw.std()) or 1.0
+    return w / scale
 
 
-def curve(raw: np.ndarray, cut: float, scale: float) -> np.ndarray:
+def curve(raw: Column, cut: float, scale: float) -> Column:
     """0.7 at the cut."""
-    return 1 / (1 + np.exp(-np.clip((raw - cut) / scale * 2 + np.log(CUT / (1 - CUT)), -30, 30)))
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), (raw - cut) / scale * 2 + float(np.log(CUT / (1 - CUT)))))))
 
 
 def _training(docs: DataFrame, labels: DataFrame, column: str, limit: int) -> DataFrame:
@@ -128,15 +124,21 @@ def score(docs: DataFrame, labels: DataFrame, n: int = 4, rest: int = 2, column:
     good = train.column("good").to_numpy() == 1
     # rows arrive in any order; pairs are dealt from a fixed one
     order = np.lexsort(x.T) if len(x) else np.zeros(0, np.int64)
-    w, cut, scale = fit(x[order], good[order])
+    w = fit(x[order], good[order])
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.select("doc_id", "text", (remainder(docs, n) == rest).alias("held_out"))
     if not w.any():
-        cut, scale = float(np.log(CUT / (1 - CUT))) / 2, 1.0
+        return rows.select("doc_id", "held_out", F.lit(0.5).alias("score"), F.lit(0).alias("predicted"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, x in features(batch.column(1)):
-                yield pa.record_batch([*[c.slice(lo, hi - lo) for c in (batch.column(0), batch.column(2))], pa.array(curve(x @ w, cut, scale))], ["doc_id", "held_out", "score"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    found = docs.select("doc_id", "text", (remainder(docs, n) == rest).alias("held_out")).mapInArrow(scored, f"doc_id {kind}, held_out boolean, score double")
-    return found.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+                yield pa.record_batch([*[c.slice(lo, hi - lo) for c in (batch.column(0), batch.column(2))], pa.array(x @ w)], ["doc_id", "held_out", "raw"])
+
+    found = stored(rows.mapInArrow(scored, f"doc_id {kind}, held_out boolean, raw double"), "raw scores")
+    known = labels.where(remainder(labels, n) != rest).where(F.col(column).isin(0, 1)).select(F.col("doc_id").alias("_labelled"), F.col(column).alias("_good"))
+    known = found.join(known, F.col("doc_id") == F.col("_labelled"))
+    share, scale = known.agg(F.avg(1 - F.col("_good")), F.stddev_pop("raw")).first()
+    last_bad = known.agg(F.percentile_approx("raw", float(share), 100_000)).first()[0]
+    score = curve(F.col("raw"), float(np.nextafter(last_bad, np.inf)), scale or 1.0)
+    return found.select("doc_id", "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
