@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import quoted, stored, whole
 
 EDITS, MIN_CHARS = 1, 10
 _BLANKS = r"\x20\x09-\x0D"
@@ -136,7 +136,11 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 def deduplicate_lines(docs: DataFrame) -> DataFrame:
     """docs, with all their columns, and texts without the dropped lines."""
-    columns = docs.columns
-    rows = docs.withColumn("_row", _row_key()).alias("r").join(dropped_lines(docs).alias("d"), F.expr("r.doc_id <=> d.doc_id and r._row = d.row"), "left")
-    rest = F.array_join(F.filter(F.split("r.text", "\n"), lambda x, i: ~F.array_contains("d.dropped", i)), "\n")
-    return rows.select(*[F.when(F.col("d.dropped").isNull(), F.col("r.text")).otherwise(rest).alias("text") if c == "text" else F.col(f"r.`{c}`") for c in columns])
+    rows = docs.select(whole(docs).alias("d"), "doc_id", F.col("text").alias("t"), _row_key().alias("row")).alias("r")
+    met = rows.join(dropped_lines(docs).alias("l"), F.expr("r.doc_id <=> l.doc_id and r.row = l.row"), "left").select("r.d", "r.t", "l.dropped")
+    # an array of the lines' places but for those dropped: set difference by hash, not by search
+    left = F.array_except(F.sequence(F.lit(0), F.size(F.split("t", "\n")) - 1), "dropped")
+    lines_of = F.split("t", "\n")
+    rest = F.element_at(F.transform(F.array(lines_of), lambda x: F.array_join(F.transform(left, lambda i: F.get(x, i)), "\n")), 1)
+    met = met.withColumn("rest", F.when(F.col("dropped").isNull(), F.col("t")).otherwise(rest))
+    return met.select(*[F.col("rest").alias(c) if c == "text" else F.col(f"d.{quoted(c)}").alias(c) for c in docs.columns])

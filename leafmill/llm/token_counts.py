@@ -4,9 +4,10 @@ Texts are split at safe boundaries into units: a run of spaces and what follows
 vocabulary has a space mark after another character (checked when the model is loaded), and the model neither rewrites nor
 trims text, so no merge crosses a boundary and the counts of a text's units add up to its own. Each worker keeps the counts
 of up to MAX_CACHED short units; new units are encoded in batches of about BATCH_BYTES. So a long text costs what its
-bytes cost, and takes no more memory at once than a batch. Where a model isn't safe in this way, whole texts are encoded.
+bytes cost; its units are held at once, as pieces of the text that is in memory anyway. A text without spaces is one unit. Where a model
+isn't safe in this way, whole texts are encoded.
 
-A null text counts as empty: no bytes, no tokens. Repeated rows get a row each. Only doc_id and text are read.
+A null text counts as empty: no bytes, no tokens. Repeated rows get a row each. An empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ class Counter:
         size = 0
         for x in texts:
             batch.append(x)
-            size += len(x) + 8
+            size += len(x.encode()) + 8
             if size >= BATCH_BYTES:
                 yield from map(len, self.model.encode(batch, num_threads=1))
                 batch, size = [], 0
@@ -103,9 +104,9 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
             counts: list[int] = []
             held: list[str] = []
             size = 0
-            for x in batch.column(1):
+            for x, n in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 held.append(x.as_py() or "")
-                size += len(held[-1])
+                size += n
                 if size >= 8 * BATCH_BYTES:
                     counts += own.count(held)
                     held, size = [], 0
