@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -93,6 +94,15 @@ def remainder(df: DataFrame, n: int):
     return F.crc32(F.coalesce(df["doc_id"].cast("string"), F.lit("")).cast("binary")) % n
 
 
+def tidy() -> None:
+    """At the end of a task: give memory that is free back to the system, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 # Words and hashes over Arrow buffers ---------------------------------------
 
 

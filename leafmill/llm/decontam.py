@@ -9,20 +9,21 @@ The items' words are broadcast while there are at most `max_index_words` of them
 blocks of that size, each block is held against all documents, and the hits are merged.
 
 Words are compared by 64-bit hashes. Null and empty texts have no words: no hits, not contaminated. An item without words has no
-windows. An item with a null item_id is left out, as in the query's SQL: its windows don't count, and a document that shares only
+windows, and an empty benchmark hits nothing. An item with a null item_id is left out, as in the query's SQL: its windows don't count, and a document that shares only
 those isn't contaminated and is kept. Repeated rows get a row each. Only doc_id and text (item_id and text) are read; other columns play no part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, gram_hashes, hashed_steps, ship
+from .common import ALNUM, gram_hashes, hashed_steps, ship, stored, tidy
 
 WINDOW, K = 10, 5
 MAX_INDEX_WORDS = 4_000_000
@@ -200,18 +201,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, max_index_words: int =
     """
     spark = docs.sparkSession
     ship(spark)
-    every = list(indexes(benchmark, max_index_words))
-    if len(every) <= 1:
-        empty = Index(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        hits = _hits(docs.select(F.col("doc_id").alias("key"), "text"), (every or [empty])[0]).withColumnRenamed("key", "doc_id")
+    every = indexes(benchmark, max_index_words)
+    # the driver holds two blocks at most
+    first = next(every, Index(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)))
+    second = next(every, None)
+    if second is None:
+        hits = _hits(docs.select(F.col("doc_id").alias("key"), "text"), first).withColumnRenamed("key", "doc_id")
         pairs = F.expr("transform(sequence(0, cast(size(spans) as int) div 2 - 1), i -> struct(spans[2 * i] as start, spans[2 * i + 1] as end))")
         spans = F.when(F.size("spans") > 0, pairs).otherwise(F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)"))
     else:
         # the key of a row is its whole content: repeated rows have the same hits
         keyed = docs.select("doc_id", "text", F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).alias("key"))
         hits = None
-        for index in every:
-            own = _hits(keyed.select("key", "text"), index)
+        for index in chain((first, second), every):
+            # done before the next block is read
+            own = stored(_hits(keyed.select("key", "text"), index), "hits")
             hits = own if hits is None else hits.unionByName(own)
         hits = hits.groupBy("key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("items")).alias("items"), F.collect_set("spans").alias("spans"))
         rows = docs.select("doc_id", F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).alias("key"))
@@ -232,17 +236,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     at = docs.columns.index("text")
-    kept = docs
-    for index in indexes(benchmark):
+    # plain names, as columns may have dots
+    kept = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    for n, index in enumerate(indexes(benchmark)):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 _, spans, _ = shared.value.report(batch.column(at))
                 yield batch.filter(pa.array([not x for x in spans], pa.bool_()))
+            tidy()
 
-        kept = kept.mapInArrow(run, kept.schema)
-    return kept
+        # a further block is read when this one is done
+        kept = (stored(kept, "kept") if n else kept).mapInArrow(run, kept.schema)
+    return kept.toDF(*docs.columns)
 
 
 def digest(report: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import near_copies
-from .common import LOWER, buffers, checkpointed, ship, stored, unpacked, whole
+from .common import LOWER, buffers, checkpointed, ship, stored, tidy, unpacked, whole
 from .components import components
 
 BUDGET, SEED = 2, 42
@@ -221,6 +221,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = next(_fingerprints(iter([batch])))
         yield pa.record_batch([*prints.columns, *near_copies.sketch(batch.column(1))], ["doc_id", "fp", "s", "keys"])
+    tidy()
 
 
 def copies(docs: DataFrame, cap: int = CAP) -> DataFrame:

@@ -12,9 +12,10 @@ A document's ids lie at shard, offset; block = offset // BLOCK_IDS is read alone
 random access reads one or two blocks. `start`, the ids of all documents before, is offset plus the totals of the shards
 before it.
 
-Encoding goes word by word: the pre-tokenizer's pieces never hold white space, normalisation is local to what stands between white
-space, so a text's ids are those of its words in turn. Each worker keeps the ids of up to MAX_CACHED words by a 64-bit hash
-of the word (two of 250,000 kept words and a new one share a hash once in 10^13 words). New words go to the library in batches.
+With a tokenizer of the form WORDWISE encoding goes word by word: its pre-tokenizer's pieces never hold white space, and its normalisation is
+local to what stands between white space, so a text's ids are those of its words in turn. Each worker keeps the ids of up to MAX_CACHED
+words; new words go to the library in batches. Words of one step (STEP bytes) are told apart by 64-bit hashes, kept words by themselves.
+With any other tokenizer the library encodes whole texts.
 
 A null text is empty: its only id is end_id. Rows without doc_id come first. Repeated rows stand side by side, each with a row of its
 own. A table without rows gives tables without rows. Only doc_id and text are read.
@@ -22,6 +23,7 @@ own. A table without rows gives tables without rows. Only doc_id and text are re
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -33,15 +35,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, CASED, LOWER, buffers, new_path, ship, steps, word_hashes
+from .common import BLANK, CASED, LOWER, buffers, new_path, ship, steps, tidy, word_hashes
 
 BLOCK_IDS = 1 << 16
-MAX_CACHED = 250_000
+MAX_CACHED = 150_000
 MAX_WORD = 64
 BATCH_WORDS = 4096
 #: Bytes of text whose distinct words are looked up together.
 STEP = 1 << 20
 _loaded: dict[str, Encoder] = {}
+#: Settings of a tokenizer whose texts can be encoded word by word: fixed values, as they stand in its file.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
 #: Letters that are composed already and whose lower case is one letter.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _MARKS, _ALPHA = np.zeros(256, bool), np.zeros(256, bool)
@@ -83,13 +97,22 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.ids: dict[int, bytes] = {}  # words, by their hashes
+        self.ids: dict[bytes, bytes] = {}  # of words
+        self.wordwise = self._is_wordwise()
         # the pre-tokenizer's letters for bytes, as the library itself maps them
         from tokenizers.pre_tokenizers import ByteLevel
 
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(32, 256) if chr(c).isalpha()}
 
+    def _is_wordwise(self) -> bool:
+        form = json.loads(self.tokenizer.to_str())
+        model = form["model"]
+        plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        # special strings are seen by how they begin, and hold no white space
+        special = all(x["content"].startswith("<|") and not x["lstrip"] and not x["rstrip"] and not re.search(r"\s", x["content"]) for x in form["added_tokens"])
+        return plain and special and all(form[k] == v for k, v in WORDWISE.items())
+
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -130,6 +153,10 @@ class Encoder:
         """For ranges of rows: their number, all their ids with end_id after each row, and the ids before each row (one more than rows)."""
         data, offs = buffers(column)
         for lo, hi in steps(offs, STEP):
+            if not self.wordwise:
+                ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)) for x in self._library([x.as_py() or "" for x in column[lo:hi]])]
+                yield hi - lo, np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+                continue
             part, own = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
             text = part.tobytes()
             # lower case first where that can't change what the library does: no special strings, nothing to compose
@@ -140,13 +167,12 @@ class Encoder:
             distinct, first, which = np.unique(word_hashes(part, starts, ends, table), return_index=True, return_inverse=True)
             if len(self.ids) > MAX_CACHED:
                 self.ids.clear()
-            keys = distinct.tolist()
+            keys = [text[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
             found = list(map(self.ids.get, keys))
             new = [i for i, x in enumerate(found) if x is None]
-            named = [text[x:y] for x, y in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)] if new else []
-            for i, w, ids in zip(new, named, self._learn(named), strict=True):
+            for i, ids in zip(new, self._learn([keys[i] for i in new]), strict=True):
                 found[i] = ids
-                if len(w) <= MAX_WORD:
+                if len(keys[i]) <= MAX_WORD:
                     self.ids[keys[i]] = ids
             found.append(np.array([end_id], "<u4").tobytes())
             flat, size = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
@@ -195,6 +221,7 @@ def _writer(tokenizer: str, end_id: int, width: int):
                     rest, block = rest[full * BLOCK_IDS :], block + full
         if len(rest):
             yield cut(rest, block)
+        tidy()
 
     return run
 
@@ -204,7 +231,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabu
     spark = docs.sparkSession
     ship(spark)
     width = width_for(max(vocabulary or encoder(tokenizer).vocabulary, end_id + 1))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # rows of one doc_id, or of none, are dealt by their texts
+    order = [F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 32).asc_nulls_first(), F.xxhash64("text").asc()]
+    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
     rows.mapInArrow(_writer(tokenizer, end_id, width), _ROW).withColumn("width", F.lit(width)).write.partitionBy("kind").parquet(path)
     return width
 
