@@ -157,8 +157,12 @@ def bookmark(text: Column) -> Column:
 
 
 def header_bookmark(header: Column) -> Column:
-    """The same from a page's header."""
-    return F.when(fleet(header).isNotNull() & ata_chapter(header).isNotNull() & section_slug(header).isNotNull(), F.concat_ws("_", fleet(header), ata_chapter(header), section_slug(header)))
+    """The same from a page's header, hard spaces and long dashes as plain ones."""
+    def named(x: Column) -> Column:
+        found = [fleet(x), ata_chapter(x), section_slug(x)]
+        return F.when(found[0].isNotNull() & found[1].isNotNull() & found[2].isNotNull(), F.concat_ws("_", *found))
+
+    return bound(normalize_text(F.translate(header, "\u00a0–—", " --")), named)
 
 
 def is_title_case(text: Column) -> Column:
@@ -222,10 +226,11 @@ def local_row_level(label: Column) -> Column:
     return F.greatest(F.lit(2), F.least(F.lit(6), F.size(F.split(label, "-")) - 1))
 
 
-def download_name(path: Column) -> Column:
-    """The file's stem, characters that names can't have as underscores."""
-    stem = F.regexp_replace(F.element_at(F.split(path, r"[\\/]"), -1), r"(?<=.)\.[^.]*$", "")
-    return F.regexp_replace(stem, r"[^A-Za-z0-9._ -]", "_")
+def download_name(path: Column, suffix: str = "", extension: str = "") -> Column:
+    """The file's stem with characters that names can't have as underscores, one for a run of them, then suffix and extension."""
+    name = F.element_at(F.split(F.coalesce(F.nullif(path, F.lit("")), F.lit("document")), r"[\\/]"), -1)
+    safe = F.regexp_replace(F.regexp_replace(name, r"\.[^.]*$", ""), r'[<>:"/\\|?*\x00-\x1f]+', "_")
+    return F.concat(F.coalesce(F.nullif(F.regexp_replace(safe, r"^[ ._]+|[ ._]+$", ""), F.lit("")), F.lit("document")), F.lit(suffix + extension))
 
 
 def number_text(value: Column) -> Column:

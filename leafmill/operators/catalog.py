@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Ranks of states; a document that is ready never goes back.
-STATUS_RANK = {"uploaded": 0, "queued": 1, "processing": 2, "completed": 3, "ready": 4, "failed": 4}
-DISPLAY = {"queued": "queued", "started": "processing", "processing": "processing", "finished": "ready", "completed": "ready", "ready": "ready", "failed": "failed", "uploaded": "uploaded"}
+# What a job's state makes of its document's; others change nothing.
+DISPLAY = {"queued": "queued", "scheduled": "queued", "deferred": "queued", "started": "processing", "finished": "ready", "failed": "failed", "stopped": "failed", "canceled": "failed"}
 
 
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -21,22 +20,26 @@ def delete(rows: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(gone.select(*key), key, "left_anti")
 
 
-def patched(old: Column, new: Column) -> Column:
-    """A partial update keeps what it doesn't name."""
-    return F.coalesce(new, old)
+def patched(rows: DataFrame, changes: DataFrame, key: list[str], always: tuple[str, ...] = ("error",)) -> DataFrame:
+    """A partial update (one row of changes for a key at most) keeps what it gives as null, but for the columns always, which it overwrites."""
+    new = [c for c in changes.columns if c not in key]
+    met = rows.alias("r").join(changes.withColumn("_hit", F.lit(True)).alias("c"), key, "left")
+    value = lambda c: F.when(F.col("c._hit"), F.col(f"c.{c}")).otherwise(F.col(f"r.{c}")) if c in always else F.coalesce(f"c.{c}", f"r.{c}")
+    return met.select(*[F.col(c) if c in key else value(c).alias(c) if c in new else F.col(f"r.{c}").alias(c) for c in rows.columns])
 
 
 def display_status(status: Column) -> Column:
-    """J16."""
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in DISPLAY.items() for x in kv])[status], status)
+    """A document's state by its job's; null where it stays as it is."""
+    return F.create_map(*[F.lit(x) for kv in DISPLAY.items() for x in kv])[status]
 
 
 def synced_status(events: DataFrame, key: str, status: str, order: list[str]) -> DataFrame:
-    """The last state, but ready or failed once reached stay unless another final state follows."""
-    rank = F.coalesce(F.create_map(*[F.lit(x) for kv in STATUS_RANK.items() for x in kv])[F.col(status)], F.lit(0))
-    final = F.when(rank >= 4, F.struct(*order, status))
-    agg = events.groupBy(key).agg(F.max(final).alias("f"), F.max(F.struct(*order, status)).alias("l"))
-    return agg.select(key, F.coalesce(F.col(f"f.{status}"), F.col(f"l.{status}")).alias(status))
+    """A document's state after its job's events in turn. One that is ready isn't queued or processed again; one that failed may be."""
+    own = events.withColumn("_s", display_status(F.col(status))).where("_s is not null")
+    last = lambda s: F.max(F.when(F.col("_s") == s, F.struct(*order)))
+    agg = own.groupBy(key).agg(last("ready").alias("r"), last("failed").alias("f"), F.max(F.struct(*order, "_s")).alias("l"))
+    stays = F.col("l._s").isin("queued", "processing") & F.col("r").isNotNull() & F.coalesce(F.col("r") > F.col("f"), F.lit(True))
+    return agg.select(key, F.when(stays, "ready").otherwise(F.col("l._s")).alias(status))
 
 
 def search(rows: DataFrame, columns: list[str], query: str, status: str | None = None) -> DataFrame:

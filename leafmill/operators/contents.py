@@ -86,7 +86,7 @@ def shift_pages(rows: DataFrame, insertions: DataFrame, by: list[str], page: str
 
 
 def assemble(rows: DataFrame, by: list[str], order: list[str], start: Column, text: str) -> DataFrame:
-    """A row starts where start holds; later rows add their text to it; those before the first start are left out."""
+    """A row starts where start holds; later rows add their text to it; those before the first start are left out."""
     w = W.partitionBy(*by).orderBy(*order)
     rows = rows.withColumn("row_number", F.sum(start.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
     parts = F.array_sort(F.collect_list(F.struct(*order, text)))

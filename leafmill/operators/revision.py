@@ -39,16 +39,6 @@ def overflow_risk(detected: Column, missing: Column) -> Column:
     return F.when(~detected, "manual_review").when(missing > 12, "high").when(missing > 0, "medium").otherwise("low")
 
 
-def lep_report(changes: DataFrame, entries: DataFrame) -> DataFrame:
-    """Per document, changed labels that the list of effective pages has and lacks."""
-    listed = entries.select("doc_id", X.normalize_revision_label(F.col("label")).alias("label")).distinct()
-    n = listed.groupBy("doc_id").agg(F.count("*").alias("n_labels"))
-    own = changes.select("doc_id", X.normalize_revision_label(F.col("page_label")).alias("label")).distinct()
-    met = own.join(listed.withColumn("_in", F.lit(True)), ["doc_id", "label"], "left")
-    out = met.groupBy("doc_id").agg(F.count_if("_in").alias("matched"), F.count_if(F.col("_in").isNull()).alias("missing")).join(n, "doc_id", "left")
-    return out.withColumn("n_labels", F.coalesce("n_labels", F.lit(0))).withColumn("overflow_risk", overflow_risk(F.col("n_labels") > 0, F.col("missing")))
-
-
 def one_change_a_page(changes: DataFrame) -> DataFrame:
     """W20."""
     from .contents import first_wins

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import text as X
-from ..operators import contents, outline, pages, revision
+from ..operators import contents, outline, pages, revision, rows
 from ..operators.headings import clamp_levels
 
 
@@ -35,6 +36,64 @@ def linked_item_rows(rows: DataFrame, items: DataFrame, missing: str) -> DataFra
     return contents.resolve(rows, index, ["doc_id", "label"], missing)
 
 
+def link_plan(words: DataFrame, titles: DataFrame) -> DataFrame:
+    """C3 from words to links: contents pages, their entries, the indexes of page labels and items, and each entry's target.
+
+    words: of pages, from 1. titles: of outline.title_index. An entry has its rectangle, and target_page (counted from 0) and target_y, or
+    unresolved_reason. A chapter's entries are found by their item's first place in the body, the document's by label, title and front matter.
+    """
+    texts = pages.page_texts(words)
+    first, local = pages.contents_pages(texts), pages.local_contents_pages(texts)
+    found = rows.extracted(words, first, local)
+    labels = pages.page_labels(texts, first).withColumn("page_number", F.col("page_number") - 1)
+    both = first.unionByName(local.select(*first.columns)).distinct()
+    items = pages.item_labels(pages.word_lines(words), texts, both).withColumn("page_number", F.col("page_number") - 1)
+    by_item = linked_item_rows(found.where("toc_type = 'local'"), items, "item_label_not_found_in_body")
+    by_item = by_item.withColumn("target_label", F.col("label")).withColumnRenamed("target", "target_page")
+    by_label = linked_global_rows(found.where("toc_type = 'global'"), labels, titles).withColumnRenamed("target", "target_page").withColumn("target_y", F.lit(0.0))
+    kept = ["doc_id", "page_number", "toc_type", "row_number", "title", "level", "chapter", "reference_text", "target_label", *rows.RECT, "target_page", "target_y", "unresolved_reason"]
+    return by_label.select(*kept).unionByName(by_item.select(*kept))
+
+
+def link_edits(plan: DataFrame, links: DataFrame) -> DataFrame:
+    """K9: what link_plan changes in the documents: doc_id, page_number, operation, rectangle (x0, y0, x1, y1), target_page, target_y.
+
+    links (doc_id, page_number, x0, y0, x1, y1) are those that exist. All links of contents pages go (delete_link), on other pages those that a
+    new one overlaps; each resolved entry adds one (insert_link).
+    """
+    new = plan.where("target_page is not null").select("doc_id", "page_number", "toc_type", *[F.col(f"rect_{c}").alias(c) for c in ("x0", "y0", "x1", "y1")], "target_page", "target_y")
+    on_contents = plan.where("toc_type != 'reference'").select("doc_id", "page_number").distinct()
+    all_gone = links.join(on_contents, ["doc_id", "page_number"], "left_semi")
+    some_gone = contents.overlapping(links.join(on_contents, ["doc_id", "page_number"], "left_anti"), new.drop("toc_type"), ["doc_id", "page_number"])
+    gone = all_gone.unionByName(some_gone).select("doc_id", "page_number", F.lit("delete_link").alias("operation"), "x0", "y0", "x1", "y1", F.lit(None).cast(new.schema["target_page"].dataType).alias("target_page"), F.lit(None).cast("double").alias("target_y"))
+    return gone.unionByName(new.select("doc_id", "page_number", F.lit("insert_link").alias("operation"), "x0", "y0", "x1", "y1", "target_page", F.col("target_y").cast("double").alias("target_y")))
+
+
+def contents_edits(headings: DataFrame, height: float = 792.0) -> DataFrame:
+    """K7: pages to put at a document's front (insert_page) and the entries written on them (insert_text, insert_link), in order of place.
+
+    headings: of front_contents. Columns: doc_id, place, operation, page (of the new document, from 1), x, y, text, target_page.
+    """
+    entries = headings.select("doc_id", "toc_page", "toc_y", "level", "title", "page_out", "line_order")
+    made = entries.groupBy("doc_id").agg(F.max("toc_page").alias("n")).select("doc_id", F.explode(F.sequence(F.lit(1), "n")).alias("page"))
+    none = lambda kind: F.lit(None).cast(kind)
+    new_pages = made.select("doc_id", F.lit("insert_page").alias("operation"), "page", none("double").alias("x"), none("double").alias("y"), none("string").alias("text"), none("long").alias("target_page"), none("int").alias("line_order"))
+    x = (F.lit(72.0) + 18 * (F.col("level") - 1)).alias("x")
+    y, target = F.col("toc_y").cast("double").alias("y"), F.col("page_out").cast("long").alias("target_page")
+    text = entries.select("doc_id", F.lit("insert_text").alias("operation"), F.col("toc_page").alias("page"), x, y, F.col("title").alias("text"), none("long").alias("target_page"), F.col("line_order").cast("int"))
+    link = entries.select("doc_id", F.lit("insert_link").alias("operation"), F.col("toc_page").alias("page"), x, y, none("string").alias("text"), target, F.col("line_order").cast("int"))
+    every = new_pages.unionByName(text).unionByName(link)
+    kind = F.when(F.col("operation") == "insert_page", 0).otherwise(1)
+    order = W.partitionBy("doc_id").orderBy(kind, "page", F.col("y").asc_nulls_first(), "line_order", F.col("operation").desc())
+    return every.withColumn("place", F.row_number().over(order)).drop("line_order")
+
+
+def cell_overwrites(placed: DataFrame) -> DataFrame:
+    """Cells of lists of effective pages to write over, from effective_rows: doc_id, page_number, y, column (label, revision), value."""
+    cells = F.array(F.struct(F.lit("label").alias("column"), F.col("label").alias("value")), F.struct(F.lit("revision").alias("column"), F.col("new_revision").alias("value")))
+    return placed.where("lep_page is not null").select("doc_id", F.col("lep_page").alias("page_number"), F.col("lep_y").alias("y"), F.explode(cells).alias("c")).select("doc_id", "page_number", "y", "c.*")
+
+
 def chosen_headings(items: DataFrame, layout: DataFrame) -> DataFrame:
     """A document's headings from its item tables, or from its layout if it has none."""
     columns = [c for c in items.columns if c in layout.columns]

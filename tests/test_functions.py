@@ -16,6 +16,8 @@ def test_names(spark):
     assert one(spark, X.bookmark, "787 31 I I Indicating Record...") == "787_31_indicating_record"
     assert one(spark, X.bookmark, "A 320 27 Flight Controls") == "a320_27_flight_controls"
     assert one(spark, X.header_bookmark, "BOEING 787 MINIMUM EQUIPMENT LIST ATA-57 WINGS ISSUE 3") == "787_57_wings"
+    assert one(spark, X.header_bookmark, "BOEING 787\u00a0ATA\u00a057 WINGS") == "787_57_wings"
+    assert one(spark, X.header_bookmark, "AIRBUS A 320 ATA\u201327 FLIGHT CONTROLS") == "a320_27_flight_controls"
     assert one(spark, X.repetition_key, "Page  12 of 40") == "page # of #"
     assert one(spark, X.normalize_title, "B787 MEL - EICAS MSGS") == "EICAS MESSAGES"
 
@@ -93,8 +95,24 @@ def test_slots_and_risk(spark):
 
 
 def test_states(spark):
-    rows = spark.createDataFrame([("a", 1, "ready"), ("a", 2, "processing"), ("b", 1, "queued"), ("b", 2, "processing")], "id string, t int, status string")
-    assert dict(map(tuple, catalog.synced_status(rows, "id", "status", ["t"]).collect())) == {"a": "ready", "b": "processing"}
+    events = {"a": "finished started", "b": "queued started", "c": "failed queued", "d": "finished failed scheduled", "e": "failed finished deferred", "f": "finished canceled", "g": "unknown"}
+    rows = spark.createDataFrame([(k, t, s) for k, v in events.items() for t, s in enumerate(v.split())], "id string, t int, status string")
+    want = {"a": "ready", "b": "processing", "c": "queued", "d": "queued", "e": "ready", "f": "failed"}
+    assert dict(map(tuple, catalog.synced_status(rows, "id", "status", ["t"]).collect())) == want
+    assert [one(spark, catalog.display_status, x) for x in ("scheduled", "stopped", "finished", "other")] == ["queued", "failed", "ready", None]
+
+
+def test_records(spark):
+    rows = spark.createDataFrame([(1, "a", "x", "broken"), (2, "b", "y", "broken"), (3, "c", "z", None)], "id int, status string, path string, error string")
+    changes = spark.createDataFrame([(1, "ready", None, None), (3, None, "new", "late")], "id int, status string, path string, error string")
+    assert sorted(map(tuple, catalog.patched(rows, changes, ["id"]).collect())) == [(1, "ready", "x", None), (2, "b", "y", "broken"), (3, "c", "new", "late")]
+    assert {r.id for r in catalog.delete(rows, changes, ["id"]).collect()} == {2}
+
+
+def test_download_names(spark):
+    names = {"Ünï a??b.pdf": "Ünï a_b", "C:\\x\\My: file.v2.pdf": "My_ file.v2", " ._.pdf": "document", "": "document", None: "document", "plain": "plain", "a<>|b\tc": "a_b_c"}
+    for name, want in names.items():
+        assert one(spark, lambda v: X.download_name(v, "_toc", ".pdf"), name) == f"{want}_toc.pdf"
 
 
 def test_positions_and_empty(spark):
