@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
-from .layout import body_fonts, left_margins
+from .layout import with_measures
 
 LOW, NUMBERED, PLAIN = 0.35, 0.45, 0.55
 
@@ -39,9 +39,8 @@ def score() -> Column:
 
 
 def scored(lines: DataFrame) -> DataFrame:
-    """lines (with spacing) with body_font_size, left_margin, score; all by document, so one exchange serves."""
-    rows = lines.join(body_fonts(lines), "doc_id").join(left_margins(lines), "doc_id")
-    return rows.withColumn("score", score())
+    """lines (with spacing) with body_font_size, left_margin, score; lines that are dealt by document need no exchange."""
+    return with_measures(lines).withColumn("score", score())
 
 
 def clamp_levels(rows: DataFrame, level: str, by: list[str], order: list[str], first: int | None = 1) -> DataFrame:

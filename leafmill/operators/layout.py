@@ -24,12 +24,18 @@ def repeated_texts(lines: DataFrame, share: float = 0.3) -> DataFrame:
 
 
 def without_boilerplate(lines: DataFrame, share: float = 0.3) -> DataFrame:
-    """F1."""
+    """F1, with A4 as windows: lines are dealt by document once, and all that follows by document needs no other exchange."""
+    rows = lines.repartition("doc_id")
     y0, h = F.col("y0"), F.col("page_height")
-    own = lines.where(~F.trim("text").rlike(X.PAGE_NUMBER) & ~F.col("text").rlike(X.COPYRIGHT))
-    found = repeated_texts(lines, share).select("doc_id", "normalized_text", F.lit(True).alias("_again"))
+    zone = (y0 <= F.greatest(F.lit(90.0), h * 0.1)) | is_footer(y0, h)
+    on_page = W.partitionBy("doc_id", "normalized_text", "page_number").orderBy(F.when(zone, 0).otherwise(1), "line_order")
+    rows = rows.withColumn("_pages", F.max("page_number").over(W.partitionBy("doc_id")))
+    # one mark for each page that has the text in a header or footer
+    rows = rows.withColumn("_mark", F.when(zone & (F.row_number().over(on_page) == 1), 1).otherwise(0))
+    rows = rows.withColumn("_again", F.sum("_mark").over(W.partitionBy("doc_id", "normalized_text")) >= F.greatest(F.lit(3), F.floor(F.col("_pages") * share)))
     edge = (y0 <= F.greatest(F.lit(120.0), h * 0.12)) | is_footer(y0, h)
-    return own.join(found, ["doc_id", "normalized_text"], "left").where(~(edge & F.coalesce("_again", F.lit(False)))).select(*lines.columns)
+    own = ~F.trim("text").rlike(X.PAGE_NUMBER) & ~F.col("text").rlike(X.COPYRIGHT)
+    return rows.where(own & ~(edge & F.col("_again"))).select(*lines.columns)
 
 
 def with_spacing(lines: DataFrame) -> DataFrame:
@@ -57,6 +63,19 @@ def left_margins(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id").distinct().join(best, "doc_id", "left").select("doc_id", F.coalesce("x", F.lit(0.0)).alias("left_margin"))
 
 
+def with_measures(lines: DataFrame) -> DataFrame:
+    """lines with A1 and A2 of their document, as windows: body_font_size and left_margin."""
+    of, size = W.partitionBy("doc_id"), F.bround("font_size", 1)
+    plain = F.when(~F.col("is_bold") & F.length("text").between(20, 180), size)
+    x = F.when(F.length("text") > 20, F.bround(F.col("x0") / 5) * 5)
+    seen = F.struct((-F.col("page_number")).alias("p"), (-F.col("y0")).alias("y"), (-F.col("line_order")).alias("l"))
+    of_x = W.partitionBy("doc_id", "_x")
+    rows = lines.withColumn("_x", x).withColumn("_n", F.count("_x").over(of_x)).withColumn("_first", F.max(F.when(F.col("_x").isNotNull(), seen)).over(of_x))
+    best = F.max(F.when(F.col("_x").isNotNull(), F.struct("_n", "_first", "_x"))).over(of)
+    rows = rows.withColumn("body_font_size", F.coalesce(F.median(plain).over(of), F.median(size).over(of), F.lit(10.0)))
+    return rows.withColumn("left_margin", F.coalesce(best["_x"], F.lit(0.0))).drop("_x", "_n", "_first")
+
+
 def page_stats(lines: DataFrame) -> DataFrame:
     """Lines, words and characters of pages."""
     return lines.groupBy("doc_id", "page_number").agg(F.count("*").alias("n_lines"), F.sum(X.word_count(F.col("text"))).alias("n_words"), F.sum(F.length("text")).alias("n_characters"))

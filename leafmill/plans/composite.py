@@ -15,8 +15,8 @@ def front_contents(headings: DataFrame) -> DataFrame:
     """Headings (doc_id, page_number, line_order, title, level) with clamped levels, their place in the new contents, and page_out behind those pages."""
     order = ["page_number", "line_order"]
     rows = contents.paginate(clamp_levels(headings, "level", ["doc_id"], order), ["doc_id"], order)
-    added = rows.groupBy("doc_id").agg(F.max("toc_page").alias("n_toc_pages"))
-    return rows.join(added, "doc_id").withColumn("page_out", F.col("page_number") + F.col("n_toc_pages"))
+    rows = rows.withColumn("n_toc_pages", F.max("toc_page").over(W.partitionBy("doc_id")))
+    return rows.withColumn("page_out", F.col("page_number") + F.col("n_toc_pages"))
 
 
 def linked_global_rows(rows: DataFrame, labels: DataFrame, titles: DataFrame) -> DataFrame:

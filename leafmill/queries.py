@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import catalog, cells, contents, headings, items, layout, outline, pages, revision
+from .operators import rows as rows_of_contents
 from .plans import composite, dry_run
 from .sources.layout import read, segments, virtual_lines
 
@@ -48,9 +49,10 @@ def q_virtual_lines(spark, d):
     return _lines(spark, d).select("doc_id", "page_number", "line_order", "text", "font_size", "is_bold", "y0", "normalized_text")
 
 
-@query(f"WITH {_LINES}, {_REPEATED} SELECT doc_id, normalized_text, n_pages FROM repeated")
+@query(f"WITH {_LINES}, {_REPEATED} SELECT doc_id, normalized_text, n_pages FROM repeated".replace("50", "5").replace("0.3)", "0.05)"))
 def q_boilerplate_repeats(spark, d):
-    return layout.repeated_texts(_lines(spark, d))
+    """Pages of five lines and a low share, as texts of this kind repeat little."""
+    return layout.repeated_texts(virtual_lines(read(spark, d, "documents"), 5), 0.05)
 
 
 @query(rf"""WITH {_LINES}, {_REPEATED} SELECT doc_id, page_number, line_order FROM lines AS l WHERE NOT regexp_matches(trim(text), '(?i)^(?:page\s*)?\d{{1,5}}(?:\s*(?:/|of)\s*\d{{1,5}})?$')
@@ -75,22 +77,72 @@ def q_left_margin(spark, d):
     return layout.left_margins(_lines(spark, d))
 
 
-@query()
+def _d(x: float) -> str:
+    return f"{x}::DOUBLE"
+
+
+def _sql_text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_NUMBERED, _KEYWORD = f"regexp_matches(t, {_sql_text(X.NUMBERED)})", f"regexp_matches(t, {_sql_text(X.KEYWORD)})"
+_FORMS = " OR ".join(f"regexp_matches(t, {_sql_text(x)})" for x in X.HEADING_FORMS)
+_SENTENCE = r"(nw >= 8 AND letters > 0 AND len(regexp_extract_all(t, '\p{Ll}'))::DOUBLE / greatest(letters, 1) > 0.65::DOUBLE)"
+_TITLE_CASE = r"(len(tw) > 0 AND len(list_filter(tw, lambda w: regexp_matches(w, '^\p{Lu}')))::DOUBLE / greatest(len(tw), 1) >= 0.6::DOUBLE)"
+# the terms of a heading's score, added as doubles in the operator's order
+_TERMS = [
+    f"CASE WHEN {_FORMS} THEN {_d(0.22)} ELSE 0 END", f"CASE WHEN {_NUMBERED} THEN {_d(0.18)} ELSE 0 END", f"CASE WHEN {_KEYWORD} THEN {_d(0.18)} ELSE 0 END",
+    f"CASE WHEN font_size >= body + 1.5 THEN {_d(0.18)} WHEN font_size >= body + 0.6 THEN {_d(0.08)} ELSE 0 END", f"CASE WHEN is_bold THEN {_d(0.12)} ELSE 0 END",
+    f"CASE WHEN regexp_matches(t, {_sql_text(X.UPPERCASE)}) AND n >= 6 THEN {_d(0.12)} WHEN {_TITLE_CASE} THEN {_d(0.07)} ELSE 0 END",
+    f"CASE WHEN nw <= 12 AND n <= 100 THEN {_d(0.12)} WHEN nw <= 18 AND n <= 140 THEN {_d(0.05)} ELSE {_d(-0.12)} END",
+    f"CASE WHEN abs(x0 - margin) <= 12 OR x0 <= margin + 24 THEN {_d(0.08)} ELSE 0 END",
+    f"CASE WHEN spacing_before >= greatest(y1 - y0, 1) * {_d(0.85)} THEN {_d(0.06)} ELSE 0 END", f"CASE WHEN spacing_after >= greatest(y1 - y0, 1) * {_d(0.35)} THEN {_d(0.04)} ELSE 0 END",
+    f"CASE WHEN y0 BETWEEN 35 AND page_height - 72 THEN {_d(0.03)} ELSE 0 END",
+    f"CASE WHEN font_size >= body + 2.5 AND is_bold THEN {_d(0.07)} WHEN font_size >= body + 1.2 OR is_bold THEN {_d(0.03)} ELSE 0 END",
+    f"CASE WHEN ends_with(t, '.') AND nw > 8 AND NOT {_NUMBERED} THEN {_d(-0.08)} ELSE 0 END", f"CASE WHEN t[1] IN ('-', '•', '*') THEN {_d(-0.1)} ELSE 0 END",
+    f"CASE WHEN {_SENTENCE} AND NOT {_NUMBERED} THEN {_d(-0.08)} ELSE 0 END",
+]
+_SCORED = rf"""{_LINES}, {_REPEATED},
+    kept AS (SELECT *, trim(text) AS t FROM lines AS l WHERE NOT regexp_matches(trim(text), {_sql_text(X.PAGE_NUMBER)}) AND NOT regexp_matches(text, {_sql_text(X.COPYRIGHT)})
+        AND NOT ((y0 <= 120 OR y0 >= 720) AND EXISTS (SELECT 1 FROM repeated AS r WHERE r.doc_id = l.doc_id AND r.normalized_text = l.normalized_text))),
+    fonts AS (SELECT doc_id, coalesce(median(CASE WHEN NOT is_bold AND length(text) BETWEEN 20 AND 180 THEN font_size END), median(font_size), 10.0)::DOUBLE AS body,
+        max(CASE WHEN length(text) > 20 THEN 70.0::DOUBLE ELSE 0.0::DOUBLE END) AS margin FROM kept GROUP BY ALL),
+    spaced AS (SELECT *, CASE WHEN lag(y1) OVER w IS NULL THEN 99.0 ELSE greatest(0, y0 - lag(y1) OVER w) END::DOUBLE AS spacing_before,
+        CASE WHEN lead(y0) OVER w IS NULL THEN 99.0 ELSE greatest(0, lead(y0) OVER w - y1) END::DOUBLE AS spacing_after,
+        length(t) AS n, len(list_filter(string_split_regex(t, '\s+'), lambda x: x <> '')) AS nw, len(regexp_extract_all(t, '\p{{L}}')) AS letters,
+        list_filter(string_split_regex(t, '\s+'), lambda x: x <> '' AND NOT regexp_matches(x, '^\d')) AS tw
+        FROM kept WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY y0, x0, line_order)),
+    scored AS (SELECT s.*, CASE WHEN n < 3 OR nw = 0 OR regexp_matches(t, {_sql_text(X.URL_OR_EMAIL)}) OR regexp_matches(t, {_sql_text(X.FIGURE_OR_TABLE)}) THEN 0.0
+        ELSE greatest(0.0, least(0.0::DOUBLE + {" + ".join(f"({x})" for x in _TERMS)}, 1.0)) END::DOUBLE AS score FROM spaced AS s JOIN fonts USING (doc_id))"""
+_HEADINGS = rf"""{_SCORED},
+    low AS (SELECT *, least(0.99::DOUBLE, score + CASE WHEN count(*) OVER (PARTITION BY doc_id, font_size, is_bold) >= 2 THEN 0.08::DOUBLE ELSE 0 END) AS confidence FROM scored WHERE score >= 0.35::DOUBLE),
+    sure AS (SELECT *, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g') AS title FROM low WHERE confidence >= CASE WHEN {_NUMBERED} THEN 0.45::DOUBLE ELSE 0.55::DOUBLE END),
+    once AS (SELECT *, regexp_matches(title, {_sql_text(X.NUMBERED)}) AS numbered FROM sure QUALIFY row_number() OVER (PARTITION BY doc_id, normalized_text, page_number ORDER BY y0, x0, line_order) = 1),
+    levelled AS (SELECT *, CASE WHEN numbered THEN least(6, len(string_split(regexp_extract(title, {_sql_text(X.NUMBERED)}, 1), '.'))) WHEN regexp_matches(title, {_sql_text(X.KEYWORD)}) THEN 1
+        ELSE least(6, dense_rank() OVER (PARTITION BY doc_id, numbered ORDER BY font_size DESC, is_bold DESC)) END AS l, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, y0, x0, line_order) AS i FROM once),
+    headings AS (SELECT doc_id, page_number, line_order, title, (i + min(CASE WHEN i = 1 THEN 1 ELSE l END - i) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING))::INT AS level, confidence, font_size, is_bold, x0, y0 FROM levelled)"""
+# places in new contents: 39 entries on the first page, 40 on others
+_PAGED = """placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, line_order) - 1 AS k FROM headings),
+    paged AS (SELECT *, CASE WHEN k < 39 THEN 1 ELSE (k - 39) // 40 + 2 END::INT AS toc_page, CASE WHEN k < 39 THEN 110 + 16 * k ELSE 90 + 16 * ((k - 39) % 40) END::INT AS toc_y FROM placed)"""
+
+
+@query(f"WITH {_SCORED} SELECT doc_id, line_order, round(score, 4) AS score FROM scored")
 def q_heading_scores(spark, d):
     return headings.scored(layout.with_spacing(layout.without_boilerplate(_lines(spark, d)))).select("doc_id", "line_order", F.round("score", 4).alias("score"))
 
 
-@query()
+@query(f"WITH {_HEADINGS} SELECT doc_id, page_number, line_order, title, level, round(confidence, 6) AS confidence, font_size, is_bold, x0, y0 FROM headings")
 def q_headings(spark, d):
-    return headings.detect_headings(layout.with_spacing(layout.without_boilerplate(_lines(spark, d))))
+    return headings.detect_headings(layout.with_spacing(layout.without_boilerplate(_lines(spark, d)))).withColumn("confidence", F.round("confidence", 6))
 
 
-@query()
+@query(f"""WITH {_HEADINGS}, pages_of AS (SELECT doc_id, page_number, count(*) AS n FROM headings GROUP BY ALL)
+    SELECT doc_id, sum(n)::BIGINT AS n_headings, count(*) AS n_pages, coalesce(array_to_string(list_slice(list(page_number ORDER BY page_number) FILTER (n = 1), 1, 25), ','), '') AS single_pages FROM pages_of GROUP BY doc_id""")
 def q_heading_stats(spark, d):
     return headings.heading_stats(q_headings(spark, d))
 
 
-@query()
+@query(f"WITH {_HEADINGS}, {_PAGED} SELECT doc_id, page_number, line_order, title, level, toc_page, toc_y FROM paged")
 def q_toc_pagination(spark, d):
     return contents.paginate(q_headings(spark, d).select("doc_id", "page_number", "line_order", "title", "level"), ["doc_id"], ["page_number", "line_order"])
 
@@ -226,9 +278,13 @@ def q_level_clamp(spark, d):
     return headings.clamp_levels(rows, "level", ["conv_id"], ["turn"])
 
 
-@query()
+@query(f"""WITH {_LINES}, three AS (SELECT *, (line_order % 50) // 3 AS g FROM lines)
+    SELECT doc_id, page_number, line_order AS word_number, text, (dense_rank() OVER (PARTITION BY doc_id, page_number ORDER BY g) - 1)::INT AS visual_line FROM three""")
 def q_visual_lines(spark, d):
-    rows = _lines(spark, d).select("doc_id", "page_number", F.col("line_order").alias("word_number"), "text", "x0", (F.col("y0") + F.col("line_order") % 3).alias("y0"), "y1")
+    """Three words to a line, a point apart."""
+    place = F.col("line_order") % 50
+    y0 = 72.0 + 14 * F.floor(place / 3) + place % 3
+    rows = _lines(spark, d).select("doc_id", "page_number", F.col("line_order").alias("word_number"), "text", "x0", y0.alias("y0"), (y0 + 10).alias("y1"))
     return layout.visual_lines(rows)
 
 
@@ -283,7 +339,7 @@ def q_item_headings(spark, d):
     return items.headings(pages.word_lines(words), pages.page_texts(words)).select("doc_id", "page_number", "label", "title", "level", "y0")
 
 
-@query()
+@query(f"WITH {_HEADINGS}, {_PAGED} SELECT doc_id, page_number, line_order, level, toc_page, toc_y, page_number + max(toc_page) OVER (PARTITION BY doc_id) AS page_out FROM paged")
 def q_front_contents(spark, d):
     return composite.front_contents(q_headings(spark, d).select("doc_id", "page_number", "line_order", "title", "level")).select("doc_id", "page_number", "line_order", "level", "toc_page", "toc_y", "page_out")
 
@@ -349,3 +405,39 @@ def q_dry_run(spark, d):
     documents = read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"))
     report, _ = dry_run.dry_run(documents, (every(5), every(7), orders.where("false")), heads(4), heads(3), plans, rows, spark.createDataFrame([], _NO_WORDS))
     return report.select("doc_id", "mode", "linkable_rows", "unresolved_rows", "inserted_page_count", "safe_to_apply")
+
+
+_COLUMNS = r"""entries AS (SELECT doc_id, page_number, line_order, y0, y1, CASE WHEN line_order % 3 = 0 THEN 'c' || line_order ELSE '' END AS chapter,
+        CASE WHEN line_order % 4 IN (0, 1) THEN 'title ' || line_order ELSE '' END AS description, CASE WHEN line_order % 2 = 1 THEN 'p' || line_order ELSE '' END AS reference FROM lines WHERE y0 BETWEEN 80 AND 747),
+    started AS (SELECT *, description <> '' OR (chapter <> '' AND reference <> '') AS starts FROM entries WHERE chapter <> '' OR description <> '' OR reference <> ''),
+    numbered AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id, page_number ORDER BY y0 ROWS UNBOUNDED PRECEDING) AS row_number FROM started)"""
+
+
+@query(f"""WITH {_LINES}, {_COLUMNS} SELECT doc_id, page_number, row_number::BIGINT AS row_number, max(trim(chapter || ' ' || description)) FILTER (starts) AS title,
+    max(chapter) FILTER (starts) AS chapter, coalesce(string_agg(reference, ' ' ORDER BY y0) FILTER (reference <> ''), '') AS reference_text, min(y0 - 2) FILTER (starts OR reference <> '') AS rect_y0, max(y1 + 3) FILTER (starts OR reference <> '') AS rect_y1
+    FROM numbered WHERE row_number > 0 GROUP BY ALL""")
+def q_contents_rows(spark, d):
+    """W8 on the lines of documents, with columns by place."""
+    n = F.col("line_order")
+    text = lambda when, name: F.when(when, F.concat(F.lit(name), n.cast("string"))).otherwise("")
+    lines = _lines(spark, d).select("doc_id", "page_number", n.alias("block_number"), F.lit(0).alias("line_number"), "x0", "y0", "y1", text(n % 3 == 0, "c").alias("chapter"), text((n % 4).isin(0, 1), "title ").alias("description"), text(n % 2 == 1, "p").alias("reference"))
+    return rows_of_contents.contents_rows(lines).select("doc_id", "page_number", "row_number", "title", "chapter", "reference_text", "rect_y0", "rect_y1")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS page_number, l_partkey % 50 * 10.0 AS y0, l_suppkey, l_partkey FROM lineitem),
+    plan AS (SELECT *, CASE WHEN l_partkey % 3 = 0 THEN 'global' ELSE 'reference' END AS toc_type, CASE WHEN l_suppkey % 4 > 0 THEN l_suppkey END AS target_page FROM l),
+    links AS (SELECT o_orderkey AS doc_id, o_custkey % 4 + 1 AS page_number, o_custkey % 40 * 12.0 AS y0 FROM orders),
+    marked AS (SELECT k.*, EXISTS (SELECT 1 FROM plan AS p WHERE p.doc_id = k.doc_id AND p.page_number = k.page_number AND p.toc_type <> 'reference') AS on_contents,
+        EXISTS (SELECT 1 FROM plan AS p WHERE p.doc_id = k.doc_id AND p.page_number = k.page_number AND p.target_page IS NOT NULL AND p.y0 < k.y0 + 12 AND k.y0 < p.y0 + 12) AS met FROM links AS k)
+    SELECT doc_id, page_number, 'delete_link' AS operation, y0::DOUBLE AS y0, NULL::BIGINT AS target_page FROM marked WHERE on_contents OR met
+    UNION ALL SELECT doc_id, page_number, 'insert_link', y0::DOUBLE, target_page FROM plan WHERE target_page IS NOT NULL""")
+def q_link_edits(spark, d):
+    """K9 and J12 on rows made of order lines, and links made of orders."""
+    l = read(spark, d, "lineitem")  # noqa: E741
+    y = (F.col("l_partkey") % 50 * 10.0).cast("double")
+    kind = F.when(F.col("l_partkey") % 3 == 0, "global").otherwise("reference")
+    target = F.when(F.col("l_suppkey") % 4 > 0, F.col("l_suppkey"))
+    plan = l.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_number"), kind.alias("toc_type"), F.lit(0.0).alias("rect_x0"), y.alias("rect_y0"), F.lit(9.0).alias("rect_x1"), (y + 12).alias("rect_y1"), target.alias("target_page"), F.lit(0.0).alias("target_y"))
+    at = (F.col("o_custkey") % 40 * 12.0).cast("double")
+    links = read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 4 + 1).alias("page_number"), F.lit(0.0).alias("x0"), at.alias("y0"), F.lit(9.0).alias("x1"), (at + 12).alias("y1"))
+    return composite.link_edits(plan, links).select("doc_id", "page_number", "operation", "y0", "target_page")

@@ -14,15 +14,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def virtual_lines(docs: DataFrame) -> DataFrame:
-    """S1 on texts without layout. A synthetic one: a document's non-blank lines, 50 to a page, in three styles by place.
+def virtual_lines(docs: DataFrame, on_page: int = LINES_ON_PAGE) -> DataFrame:
+    """S1 on texts without layout. A synthetic one: a document's non-blank lines, 50 (on_page) to a page, in three styles by place.
 
     No step goes over documents, so partitions of documents stay what they are.
     """
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).where(F.col("text").rlike(r"(?U)\S"))
-    place, style = F.col("pos") % LINES_ON_PAGE, F.col("pos") % 5
+    place, style = F.col("pos") % on_page, F.col("pos") % 5
     return rows.select(
-        "doc_id", (F.floor(F.col("pos") / LINES_ON_PAGE) + 1).cast("int").alias("page_number"), F.col("pos").alias("line_order"), "text",
+        "doc_id", (F.floor(F.col("pos") / on_page) + 1).cast("int").alias("page_number"), F.col("pos").alias("line_order"), "text",
         F.when(style == 0, 16.0).when(style == 3, 13.0).otherwise(10.0).alias("font_size"), style.isin(0, 3).alias("is_bold"),
         F.lit(72.0).alias("x0"), (72.0 + 14 * place).alias("y0"), F.lit(540.0).alias("x1"), (82.0 + 14 * place).alias("y1"),
         F.lit(WIDTH).alias("page_width"), F.lit(HEIGHT).alias("page_height"), X.repetition_key(F.col("text")).alias("normalized_text"),
