@@ -127,7 +127,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_lines (with a word), n_dropped, n_near (of those, without an equal line before), dropped (places, comma-joined)."""
+    """Per row: doc_id, n_lines (with a word), n_dropped, n_near (of those, of lines whose first place has a near line before it), dropped (places, comma-joined)."""
     count = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(f"[^{_BLANKS}]"))).cast("long")
     rows = docs.select("doc_id", _row_key().alias("row"), count.alias("n_lines"))
     found = rows.alias("r").join(dropped_lines(docs).alias("d"), F.expr("r.doc_id <=> d.doc_id and r.row = d.row"), "left")

@@ -152,8 +152,30 @@ _MIXED = rf"""
         SELECT r.doc_id, r.source, r.size, r.source_size, r.target, (sure + coalesce((rank <= cut)::INT, 0))::BIGINT AS copies, ((sure + coalesce((rank <= cut)::INT, 0)) * size)::BIGINT AS taken
         FROM ranked AS r JOIN cuts AS c USING (source)"""
 
+_LINES_LEFT = rf"""
+        WITH texts AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+        every AS (SELECT doc_id, pos - 1 AS pos, parts[pos] AS line FROM texts, unnest(range(1, len(parts) + 1)) AS r(pos)),
+        lines AS (SELECT * FROM every WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+        firsts AS (SELECT line, length(line) AS n, min((doc_id, pos)) AS first FROM lines GROUP BY line),
+        -- a line without the character at place i, for partners of m characters at most; or cut there, for those with one more
+        variants AS (
+            SELECT line, first, n = m AS whole, m, i, left(line, i) || chr(0) || substr(line, CASE WHEN n = m THEN i + 2 ELSE i + 1 END) AS rest
+            FROM (SELECT *, n AS m FROM firsts UNION ALL SELECT *, n + 1 FROM firsts), unnest(range(0, m)) AS r(i) WHERE m >= {line_dedup.MIN_CHARS}),
+        keys AS (SELECT m, i, rest, min(first) AS any_first, min(first) FILTER (whole) AS whole_first FROM variants GROUP BY ALL),
+        near AS (
+            SELECT line, min(CASE WHEN whole THEN any_first ELSE whole_first END) AS partner
+            FROM variants JOIN keys USING (m, i, rest) WHERE CASE WHEN whole THEN any_first ELSE whole_first END < first GROUP BY line),
+        dropped AS (
+            SELECT doc_id, pos, partner IS NOT NULL AS near
+            FROM lines JOIN firsts USING (line) LEFT JOIN near USING (line) WHERE least(first, coalesce(partner, first)) < (doc_id, pos)),
+        by_doc AS (SELECT doc_id, count(*) AS n, count(*) FILTER (near) AS n_near, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS places FROM dropped GROUP BY doc_id)
+        SELECT t.doc_id, coalesce(len(list_filter(parts, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))), 0)::BIGINT AS n_lines,
+            coalesce(n, 0)::BIGINT AS n_dropped, coalesce(n_near, 0)::BIGINT AS n_near, coalesce(places, '') AS dropped
+        FROM texts AS t LEFT JOIN by_doc USING (doc_id)"""
+
 SQL = {
     "op5_mixing": _MIXED,
+    "op8_line_dedup": _LINES_LEFT,
     "op1_quality_rules": f"""
         WITH {_MEASURED}, {_CUTOFFS}
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
