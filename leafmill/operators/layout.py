@@ -82,10 +82,31 @@ def page_stats(lines: DataFrame) -> DataFrame:
 
 
 def document_stats(pages: DataFrame) -> DataFrame:
-    """A10."""
+    """A10 of plain lines."""
     return pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"), *[F.sum(c).alias(c) for c in ("n_lines", "n_words", "n_characters")])
 
 
+def document_totals(blocks: DataFrame, spans: DataFrame, links: DataFrame, annotations: DataFrame) -> DataFrame:
+    """A10 and C11: per document its eight sums and its fonts, sorted, by one aggregate of small rows.
+
+    blocks: doc_id, kind (text or image). spans: doc_id, page_number, block_number, line_number, text, font. links, annotations: doc_id. Words
+    are counted in spans' texts, lines as distinct places; a document that only some of the tables have gets zeros for the others.
+    """
+    names = ["text_blocks", "image_blocks", "lines", "spans", "words", "characters", "links", "annotations"]
+    row = lambda df, **n: df.select("doc_id", *[n.get(c, F.lit(0)).cast("long").alias(c) for c in names], n.get("font", F.lit(None).cast("string")).alias("font"))
+    line = spans.select("doc_id", "page_number", "block_number", "line_number").distinct()
+    own = spans.groupBy("doc_id", "font").agg(F.count("*").alias("n"), F.sum(X.word_count(F.col("text"))).alias("w"), F.sum(F.length("text")).alias("c"))
+    parts = [
+        row(blocks, text_blocks=F.when(F.col("kind") == "text", 1).otherwise(0), image_blocks=F.when(F.col("kind") == "image", 1).otherwise(0)),
+        row(line, lines=F.lit(1)), row(own, spans=F.col("n"), words=F.col("w"), characters=F.col("c"), font=F.nullif("font", F.lit(""))),
+        row(links, links=F.lit(1)), row(annotations, annotations=F.lit(1)),
+    ]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in names], F.array_sort(F.collect_set("font")).alias("fonts"))
+
+
 def visual_lines(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
     """Words of a page in lines whose running mean of centres lies within the tolerance; a fold over a page's words, in order of y."""
     import pandas as pd

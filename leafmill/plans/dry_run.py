@@ -20,9 +20,23 @@ def _flag(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
     return rows.join(found.select("doc_id").distinct().withColumn(name, F.lit(True)), "doc_id", "left").fillna(False, [name])
 
 
-def _page_list(rows: DataFrame, name: str) -> DataFrame:
-    """Sorted distinct pages of each document."""
-    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_set("page_number")).alias(name))
+def _flags(documents: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
+    """documents (doc_id) with a flag for each table that has rows of it, by one aggregate."""
+    every = None
+    for name, rows in found.items():
+        own = rows.select("doc_id", F.lit(name).alias("_name"))
+        every = own if every is None else every.unionByName(own)
+    flags = every.groupBy("doc_id").agg(*[F.bool_or(F.col("_name") == name).alias(name) for name in found])
+    return documents.join(flags, "doc_id", "left").fillna(False, list(found))
+
+
+def _page_lists(found: dict[str, DataFrame]) -> DataFrame:
+    """Sorted distinct pages of each document in each table, by one aggregate."""
+    every = None
+    for name, rows in found.items():
+        own = rows.select("doc_id", F.lit(name).alias("_name"), "page_number")
+        every = own if every is None else every.unionByName(own)
+    return every.groupBy("doc_id").agg(*[F.array_sort(F.collect_set(F.when(F.col("_name") == name, F.col("page_number")))).alias(name) for name in found])
 
 
 def simulated_links(rows: DataFrame, plans: DataFrame, modes: DataFrame) -> DataFrame:
@@ -49,9 +63,7 @@ def dry_run(documents: DataFrame, contents_pages: tuple[DataFrame, DataFrame, Da
     """
     whole, local, reference = contents_pages
     texts = pages.page_texts(words)
-    state = documents.select("doc_id")
-    for name, found in (("_global", whole), ("_local", local), ("_reference", reference), ("_items", items), ("_layout", layout), ("_plans", plans)):
-        state = _flag(state, found, name)
+    state = _flags(documents.select("doc_id"), {"_global": whole, "_local": local, "_reference": reference, "_items": items, "_layout": layout, "_plans": plans})
     looked = F.col("_global") & ~F.col("_local")
     unknown = ~(F.col("_global") | F.col("_local") | F.col("_reference"))
     mode = F.when(looked & F.col("_plans"), INSERT).when(~unknown, REPAIR).when(F.col("_items"), f"generate_{ITEMS}_toc").when(F.col("_layout"), f"generate_{LAYOUT}_toc").otherwise(NONE)
@@ -102,8 +114,7 @@ def dry_run(documents: DataFrame, contents_pages: tuple[DataFrame, DataFrame, Da
     numbers = ["heading_count", "linkable_rows", "unresolved_rows", "n_changes", "matched_changes", "missing_changes", "inserted_page_count", "lep_labels"]
     report = report.fillna(0, numbers)
     lists = {"global_pages": whole, "local_pages": local, "reference_pages": reference, "lep_pages": listed_pages, "annotation_only_pages": annotated}
-    for name, found in lists.items():
-        report = report.join(_page_list(found, name), "doc_id", "left")
+    report = report.join(_page_lists(lists), "doc_id", "left")
     report = report.withColumns({name: F.coalesce(name, F.expr("cast(array() as array<int>)")) for name in lists})
     has_list, repaired = F.size("lep_pages") > 0, F.col("mode") == REPAIR
     # without a list and without changes nothing needs a review

@@ -441,3 +441,18 @@ def q_link_edits(spark, d):
     at = (F.col("o_custkey") % 40 * 12.0).cast("double")
     links = read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 4 + 1).alias("page_number"), F.lit(0.0).alias("x0"), at.alias("y0"), F.lit(9.0).alias("x1"), (at + 12).alias("y1"))
     return composite.link_edits(plan, links).select("doc_id", "page_number", "operation", "y0", "target_page")
+
+
+@query(f"""WITH {_LINES}, spans AS (SELECT *, CASE pos_style WHEN 0 THEN 'bold' WHEN 3 THEN 'bold' ELSE '' END AS font FROM (SELECT *, line_order % 5 AS pos_style FROM lines)),
+    s AS (SELECT doc_id, count(DISTINCT (page_number, line_order // 2)) AS lines, count(*) AS spans, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')))::BIGINT AS words, sum(length(text))::BIGINT AS characters,
+        coalesce(array_to_string(list_sort(list(DISTINCT font) FILTER (font <> '')), ','), '') AS fonts FROM spans GROUP BY doc_id),
+    b AS (SELECT doc_id, count(*) FILTER (line_order % 2 = 0) AS text_blocks, count(*) FILTER (line_order % 2 = 1) AS image_blocks, count(*) FILTER (line_order % 3 = 0) AS links, count(*) FILTER (line_order % 7 = 0) AS annotations FROM lines GROUP BY doc_id)
+    SELECT doc_id, text_blocks, image_blocks, lines, spans, words, characters, links, annotations, fonts FROM s JOIN b USING (doc_id)""")
+def q_document_totals(spark, d):
+    """A10 on the lines of documents as spans, two to a line, with blocks, links and annotations by place."""
+    lines = _lines(spark, d)
+    n = F.col("line_order")
+    spans = lines.select("doc_id", "page_number", F.lit(0).alias("block_number"), F.floor(n / 2).alias("line_number"), "text", F.when((n % 5).isin(0, 3), "bold").otherwise("").alias("font"))
+    blocks = lines.select("doc_id", F.when(n % 2 == 0, "text").otherwise("image").alias("kind"))
+    found = layout.document_totals(blocks, spans, lines.where(n % 3 == 0), lines.where(n % 7 == 0))
+    return found.withColumn("fonts", F.array_join("fonts", ","))
