@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import os
 import tempfile
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 STEP_BYTES = 1 << 20
 SPACES = b" \t\n\x0b\x0c\r"
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Folders that are to go at the end.
+_cleaned: set[str] = set()
 #: The columns of the documents table, which the pipeline's stages keep.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,7 +58,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/leafmill/{name}-{uuid.uuid4().hex}"
+    """A path in the application's own part of the shared folder, which goes when the driver's process ends."""
+    own = f"{shared_folder(spark).rstrip('/')}/leafmill-{spark.sparkContext.applicationId}"
+    if own not in _cleaned:
+        _cleaned.add(own)
+        atexit.register(_clean, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own), spark.sparkContext._jsc.hadoopConfiguration())
+    return f"{own}/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+
+
+def _clean(path, conf) -> None:
+    try:
+        path.getFileSystem(conf).delete(path, True)
+    except Exception:  # noqa: BLE001 - the JVM may have ended before
+        pass
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
