@@ -270,3 +270,26 @@ def natural_key(text: Column) -> Column:
     """O3: an array that sorts labels with digits by value: digit runs padded, other runs as they are."""
     parts = F.regexp_extract_all(normalize_revision_label(text), F.lit(r"\d+|\D+"), F.lit(0))
     return F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 20, "0")).otherwise(p))
+
+
+def sort_key(text: Column) -> Column:
+    """A string that sorts whatever its case and accents, runs of digits by value (their length goes first). Null sorts as an empty text."""
+    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+    value = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    padded = F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(value(p)).cast("string"), 9, "0"), value(p))).otherwise(p))
+    return F.collate(F.array_join(padded, ""), "UNICODE_CI_AI")
+
+
+def dumped(*columns: Column | str) -> Column:
+    """Fields as a JSON object, nulls included."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def loaded(json: Column, schema: str, strict: bool = False) -> Column:
+    """A JSON object as fields; what isn't one gives nulls, or an error if strict."""
+    return F.from_json(json, schema, {"mode": "FAILFAST" if strict else "PERMISSIVE"})
+
+
+def json_field(json: Column, name: str) -> Column:
+    """A field of a JSON object as text; null if there is none."""
+    return F.get_json_object(json, f"$['{name}']")

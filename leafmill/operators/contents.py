@@ -105,3 +105,8 @@ def overlapping(rects: DataFrame, others: DataFrame, by: list[str]) -> DataFrame
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by]
     near = (F.col("a.x0") < F.col("b.x1")) & (F.col("b.x0") < F.col("a.x1")) & (F.col("a.y0") < F.col("b.y1")) & (F.col("b.y0") < F.col("a.y1"))
     return a.join(b, [*same, near], "left_semi")
+
+
+def row_records(rows: DataFrame) -> DataFrame:
+    """what a report shows of rows of contents."""
+    return rows.select("doc_id", "title", F.col("page_number").alias("toc_page"), "reference_text", "toc_type", "target_label", F.col("target_page_number").alias("target_page"), "unresolved_reason")

@@ -126,6 +126,30 @@ def visual_lines(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
     return words.groupBy("doc_id", "page_number").applyInPandas(fold, f"doc_id {kind}, page_number int, word_number int, text string, visual_line int")
 
 
+def listed_lines(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
+    """W21 for lists of pages: words in their own order, each in the first line whose mean centre lies within the tolerance; y0 from 85 to the
+    lesser of 600 and 120 above the page's end. Lines are numbered from the top, then from the left. A fold over a page's words."""
+    import pandas as pd
+
+    def fold(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values("word_number", kind="stable")
+        sums, sizes, tops, lefts, own = [], [], [], [], []
+        for x, y, end in zip(page["x0"], page["y0"], page["y1"]):
+            centre = (y + end) / 2
+            i = next((i for i, (s, n) in enumerate(zip(sums, sizes)) if abs(s / n - centre) <= tolerance), len(sums))
+            if i == len(sums):
+                sums.append(0.0), sizes.append(0), tops.append(y), lefts.append(x)
+            sums[i], sizes[i], tops[i], lefts[i] = sums[i] + centre, sizes[i] + 1, min(tops[i], y), min(lefts[i], x)
+            own.append(i)
+        place = {i: n for n, i in enumerate(sorted(range(len(sums)), key=lambda i: (tops[i], lefts[i])))}
+        return page.assign(visual_line=[place[i] for i in own])[["doc_id", "page_number", "word_number", "text", "visual_line"]]
+
+    kind = dict(words.dtypes)["doc_id"]
+    zone = (F.col("y0") >= 85.0) & (F.col("y0") <= F.least(F.lit(600.0), F.col("page_height") - 120.0))
+    rows = words.where(zone & (F.trim("text") != "")).select("doc_id", "page_number", "word_number", "text", "x0", "y0", "y1")
+    return rows.groupBy("doc_id", "page_number").applyInPandas(fold, f"doc_id {kind}, page_number int, word_number int, text string, visual_line int")
+
+
 def merged_positions(positions: Column, tolerance: float = 2.0) -> Column:
     """Sorted positions in groups by distance to the group's mean, as the groups' means."""
     step = lambda a, p: F.when((F.size(a) > 0) & (F.abs(F.element_at(a, -1)["s"] / F.element_at(a, -1)["n"] - p) <= tolerance), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct((F.element_at(a, -1)["s"] + p).alias("s"), (F.element_at(a, -1)["n"] + 1).alias("n"))))).otherwise(F.concat(a, F.array(F.struct(p.alias("s"), F.lit(1).alias("n")))))

@@ -128,3 +128,13 @@ def dry_run(documents: DataFrame, contents_pages: tuple[DataFrame, DataFrame, Da
         "warnings": F.filter(F.array(*[F.when(v, k) for k, v in warnings.items()]), lambda w: w.isNotNull()),
     })
     return report.drop("unplanned"), changed
+
+
+def rows_or_warnings(rows: DataFrame, failures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of reference pages of documents all of whose pages could be read, and a warning for each other document.
+
+    failures: doc_id, page_number, error. A document with one such page has no rows; its warning names the first page's error.
+    """
+    first = failures.groupBy("doc_id").agg(F.min_by("error", F.struct("page_number", "error")).alias("error"))
+    says = F.concat(F.lit("EICAS reference dry run skipped because OCR is unavailable or failed: "), F.coalesce("error", F.lit("")))
+    return rows.join(first.select("doc_id"), "doc_id", "left_anti"), first.select("doc_id", says.alias("warning"))

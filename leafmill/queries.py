@@ -12,6 +12,7 @@ from .functions import text as X
 from .operators import catalog, cells, contents, headings, items, layout, outline, pages, revision
 from .operators import rows as rows_of_contents
 from .plans import composite, dry_run
+from .sources import records
 from .sources.layout import read, segments, virtual_lines
 
 QUERIES, SQL = {}, {}
@@ -456,3 +457,87 @@ def q_document_totals(spark, d):
     blocks = lines.select("doc_id", F.when(n % 2 == 0, "text").otherwise("image").alias("kind"))
     found = layout.document_totals(blocks, spans, lines.where(n % 3 == 0), lines.where(n % 7 == 0))
     return found.withColumn("fonts", F.array_join("fonts", ","))
+
+
+@query(f"WITH {_HEADINGS} SELECT doc_id, title, level, page_number AS page, round(confidence, 6) AS confidence FROM headings")
+def q_contents_entries(spark, d):
+    return headings.contents_entries(q_headings(spark, d))
+
+
+@query("""SELECT p_partkey, concat(['Élan ', 'ELAN ', 'elan '][1 + p_partkey % 3], p_partkey, ' ', p_name) AS title FROM part
+    ORDER BY p_partkey, lower(p_name) LIMIT 8 OFFSET 8""")
+def q_sorted_page(spark, d):
+    """Titles that differ in case and accents, by their numbers' values; the second page."""
+    first = F.element_at(F.array(*map(F.lit, ("Élan ", "ELAN ", "elan "))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    rows = read(spark, d, "part").select("p_partkey", F.concat(first, F.col("p_partkey").cast("string"), F.lit(" "), "p_name").alias("title"))
+    return catalog.page_of(rows, [X.sort_key(F.col("title")), F.col("p_partkey")], 2)
+
+
+@query("""SELECT event_id, event_type, regexp_extract(props, '"k": *([0-9]+)', 1) AS k FROM events""")
+def q_activity_records(spark, d):
+    """Events as JSON records with metadata, read again."""
+    meta = X.loaded(F.col("props"), "map<string, string>").alias("metadata")
+    record = read(spark, d, "events").select("event_id", "event_type", meta).select(X.dumped("event_id", "event_type", "metadata").alias("json"))
+    rows = record.select(X.loaded(F.col("json"), "event_id long, event_type string, metadata map<string, string>", strict=True).alias("r"), "json")
+    return rows.select("r.event_id", "r.event_type", X.json_field(X.json_field(F.col("json"), "metadata"), "k").alias("k"))
+
+
+def _report_fields(spark, d):
+    return read(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("place"), F.col("role").alias("field"), F.substring("text", 1, 40).alias("value"))
+
+
+@query("""WITH f AS (SELECT conv_id AS document_id, turn AS place, coalesce(role, 'None') || ': ' || coalesce(substring(text, 1, 40), 'None') AS line FROM conversations WHERE turn < 30 AND (role IS NOT NULL OR text IS NOT NULL)),
+    m AS (SELECT document_id, string_agg(line, chr(10) ORDER BY place, line) AS made FROM f GROUP BY ALL),
+    t AS (SELECT conv_id AS document_id, min(text) AS text FROM conversations WHERE turn = 0 AND conv_id % 3 = 0 GROUP BY ALL)
+    SELECT document_id, coalesce(text, made, '') AS preview FROM t FULL JOIN m USING (document_id)""")
+def q_report_previews(spark, d):
+    """Conversations as reports; every third has a stored text."""
+    texts = read(spark, d, "conversations").where("turn = 0 and conv_id % 3 = 0").groupBy(F.col("conv_id").alias("document_id")).agg(F.min("text").alias("text"))
+    return records.report_previews(texts, _report_fields(spark, d))
+
+
+@query("""WITH u AS (SELECT o_custkey AS document_id, o_orderkey AS place, o_orderkey % 50 AS page, o_orderstatus AS kind, o_orderpriority AS label FROM orders WHERE o_orderkey % 5 = 0),
+    ids AS (SELECT d.document_id, u.document_id IS NOT NULL AS has FROM (SELECT c_custkey AS document_id FROM customer UNION SELECT document_id FROM u) AS d LEFT JOIN (SELECT DISTINCT document_id FROM u) AS u USING (document_id))
+    SELECT c_custkey AS document_id, 0 AS part, 0::BIGINT AS place, 'mode: ' || coalesce(c_mktsegment, 'None') AS line FROM customer
+    UNION ALL SELECT document_id, 1, 0, '' FROM ids UNION ALL SELECT document_id, 1, 1, 'Unresolved rows:' FROM ids UNION ALL SELECT document_id, 1, 2, 'None' FROM ids WHERE NOT has
+    UNION ALL SELECT document_id, 2, place, concat('- toc_page=', page, ', toc_type=', kind, ', label=', label, ', reason=target_not_found') FROM u""")
+def q_report_lines(spark, d):
+    """Customers as reports, some of their orders as rows without a target."""
+    fields = read(spark, d, "customer").select(F.col("c_custkey").alias("document_id"), F.lit(0).alias("place"), F.lit("mode").alias("field"), F.col("c_mktsegment").alias("value"))
+    rows = read(spark, d, "orders").where("o_orderkey % 5 = 0").select(
+        F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("place"), (F.col("o_orderkey") % 50).alias("toc_page"), F.col("o_orderstatus").alias("toc_type"),
+        F.col("o_orderpriority").alias("target_label"), F.lit("").alias("unresolved_reason"),
+    )
+    return records.report_lines(fields, rows)
+
+
+@query("""WITH bad AS (SELECT user_id AS doc_id, arg_min(props, event_id) AS error FROM events WHERE event_type = 'error' AND event_id % 4 = 0 GROUP BY ALL)
+    SELECT user_id AS doc_id, count(*) AS n_rows, '' AS warning FROM events WHERE user_id NOT IN (SELECT doc_id FROM bad) GROUP BY ALL
+    UNION ALL SELECT doc_id, 0, 'EICAS reference dry run skipped because OCR is unavailable or failed: ' || error FROM bad""")
+def q_rows_or_warnings(spark, d):
+    """Users as documents; some of their errors are pages that couldn't be read."""
+    rows = read(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("page_number"), F.col("props").alias("error"), "event_type")
+    good, warnings = dry_run.rows_or_warnings(rows, rows.where("event_type = 'error' and page_number % 4 = 0"))
+    return good.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.lit("").alias("warning")).unionByName(warnings.withColumn("n_rows", F.lit(0).cast("long")))
+
+
+@query("""SELECT o_custkey AS document_id, CASE o_orderkey % 4 WHEN 0 THEN 'toc_saved' WHEN 1 THEN 'xml_stats_saved' WHEN 2 THEN 'process_log_saved' ELSE 'xml_conversion_ready' END AS action,
+    CASE WHEN o_orderkey % 4 = 2 THEN 'info' WHEN o_orderkey % 4 = 0 AND c_custkey IS NULL THEN 'warning' ELSE 'success' END AS status, count(*) AS n
+    FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey WHERE c_custkey IS NOT NULL OR o_orderkey % 4 < 2 GROUP BY ALL""")
+def q_saved_activity(spark, d):
+    """K5: orders as artefacts, of documents every second of which isn't known."""
+    known = read(spark, d, "customer").where("c_custkey % 2 = 0").select(
+        F.col("c_custkey").alias("document_id"), F.col("c_name").alias("original_filename"), F.lit("queued").alias("status"), *[F.lit(None).cast("string").alias(c) for c in ("error", "process_log_path", "xml_path", "xml_stats_path")]
+    )
+    kind = F.element_at(F.array(*map(F.lit, ("toc", "xml_stats", "process_log", "xml"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    new = read(spark, d, "orders").select(F.col("o_custkey").alias("document_id"), kind.alias("kind"), F.col("o_orderstatus").alias("path"), F.lit(None).cast("string").alias("stats_path"))
+    return records.saved(known, new)[1].groupBy("document_id", "action", "status").agg(F.count("*").alias("n"))
+
+
+@query()
+def q_listed_lines(spark, d):
+    """W21 for lists of pages: three words to a line, a point apart, each line's last word first."""
+    place = F.col("line_order") % 50
+    y0 = 72.0 + 14 * F.floor(place / 3) + place % 3
+    number = F.col("line_order") - place % 3 + 2 - place % 3
+    return layout.listed_lines(_lines(spark, d).select("doc_id", "page_number", number.cast("int").alias("word_number"), "text", "x0", y0.alias("y0"), (y0 + 10).alias("y1"), "page_height"))
