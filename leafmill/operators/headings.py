@@ -76,7 +76,7 @@ def heading_stats(headings: DataFrame) -> DataFrame:
     """Number, distinct pages, and the first 25 pages with just one heading."""
     pages = headings.groupBy("doc_id", "page_number").agg(F.count("*").alias("n"))
     single = F.slice(F.array_sort(F.collect_list(F.when(F.col("n") == 1, F.col("page_number")))), 1, 25)
-    return pages.groupBy("doc_id").agg(F.sum("n").alias("n_headings"), F.count("*").alias("n_pages"), F.array_join(single.cast("array<string>"), ",").alias("single_pages"))
+    return pages.groupBy("doc_id").agg(F.sum("n").alias("n_headings"), F.count("*").alias("n_pages"), F.array_join(single.cast("array<string>"), ", ").alias("single_pages"))
 
 
 def contents_entries(headings: DataFrame) -> DataFrame:

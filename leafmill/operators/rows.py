@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
-from .pages import HEIGHT, PAGE, columns, is_contents_header, is_linkable, is_local_header, word_lines
+from ..sources.layout import needs_ocr
+from .layout import visual_lines
+from .pages import HEIGHT, PAGE, columns, is_contents_header, is_linkable, is_local_header, reference_labels, row_rects, word_lines
 
 WIDTH = 612.0
 ORDER = ["y0", "y1", "x0", "block_number", "line_number"]
@@ -80,3 +82,32 @@ def extracted(words: DataFrame, global_pages: DataFrame, local_pages: DataFrame)
     b = b.withColumns({"toc_type": F.lit("local"), "chapter": F.lit(None).cast("string"), "reference_text": F.col("label")})
     kept = [*PAGE, "toc_type", "row_number", "title", "level", "chapter", "reference_text", "label", *RECT]
     return a.select(*kept).unionByName(b.select(*kept))
+
+
+def _reference_rows(words: DataFrame, title: str, width: float, height: float) -> DataFrame:
+    number = F.row_number().over(W.partitionBy(*PAGE).orderBy("block_number", "line_number", "word_number"))
+    own = words.where(F.trim("text") != "").withColumn("word_number", number)
+    of = visual_lines(own.select(*PAGE, "word_number", "text", "x0", "y0", "y1")).select(*PAGE, "word_number", "visual_line")
+    one = F.array_sort(F.collect_list(F.struct("x0", "word_number", "text", "y0", "x1", "y1")))
+    lines = own.join(of, [*PAGE, "word_number"]).groupBy(*PAGE, F.col("visual_line").alias("target")).agg(F.min("y0").alias("y0"), one.alias("words"))
+    found = reference_labels(lines.where(F.col("y0").between(90, height - 45)))
+    rects = row_rects(found, own, width, height).select(*PAGE, "target", *[F.col(c).alias(f"rect_{c}") for c in ("x0", "y0", "x1", "y1")])
+    same = W.partitionBy(*PAGE, "label", *[F.bround(c) for c in RECT]).orderBy("target")
+    rows = found.select(*PAGE, "target", "label").join(rects, [*PAGE, "target"]).withColumn("n", F.row_number().over(same)).where("n = 1")
+    row_number = F.row_number().over(W.partitionBy(*PAGE).orderBy("target"))
+    return rows.select(*PAGE, F.lit("reference").alias("toc_type"), row_number.alias("row_number"), F.concat(F.lit(title), "label").alias("title"), F.lit(1).alias("level"), F.col("label").alias("reference_text"), "label", *RECT)
+
+
+def reference_rows(words: DataFrame, reference_pages: DataFrame, ocr_words: DataFrame | None = None, coverage: DataFrame | None = None, width: float = WIDTH, height: float = HEIGHT) -> DataFrame:
+    """H2: items that reference pages (PAGE) name, a row for each visual line, of equal labels and rounded rectangles one.
+
+    A page whose words give no row takes its words read from images (ocr_words, as words), if by its words and coverage (PAGE, coverage) it needs to.
+    """
+    pages = reference_pages.select(*PAGE).distinct()
+    rows = _reference_rows(words.join(pages, PAGE, "left_semi"), "EICAS reference ", width, height)
+    if ocr_words is None or coverage is None:
+        return rows
+    sizes = words.where(F.trim("text") != "").groupBy(*PAGE).agg(F.count("*").alias("n"))
+    poor = pages.join(coverage.select(*PAGE, "coverage"), PAGE).join(sizes, PAGE, "left").where(needs_ocr(F.coalesce("n", F.lit(0)), F.col("coverage")))
+    poor = poor.select(*PAGE).distinct().join(rows, PAGE, "left_anti")
+    return rows.unionByName(_reference_rows(ocr_words.join(poor, PAGE, "left_semi"), "EICAS OCR reference ", width, height))

@@ -138,7 +138,7 @@ def q_headings(spark, d):
 
 
 @query(f"""WITH {_HEADINGS}, pages_of AS (SELECT doc_id, page_number, count(*) AS n FROM headings GROUP BY ALL)
-    SELECT doc_id, sum(n)::BIGINT AS n_headings, count(*) AS n_pages, coalesce(array_to_string(list_slice(list(page_number ORDER BY page_number) FILTER (n = 1), 1, 25), ','), '') AS single_pages FROM pages_of GROUP BY doc_id""")
+    SELECT doc_id, sum(n)::BIGINT AS n_headings, count(*) AS n_pages, coalesce(array_to_string(list_slice(list(page_number ORDER BY page_number) FILTER (n = 1), 1, 25), ', '), '') AS single_pages FROM pages_of GROUP BY doc_id""")
 def q_heading_stats(spark, d):
     return headings.heading_stats(q_headings(spark, d))
 

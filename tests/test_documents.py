@@ -1,6 +1,7 @@
 """Pages, item tables, outlines and whole plans on literal rows."""
 
 from leafmill.operators import items, outline, pages
+from leafmill.operators import rows as rows_of_contents
 from leafmill.plans import composite
 
 WORDS = "doc_id int, page_number int, block_number int, line_number int, word_number int, text string, x0 double, y0 double, x1 double, y1 double"
@@ -151,3 +152,17 @@ def test_xml_pages(spark, tmp_path):
     back = spark.read.format("xml").option("rowTag", "page").option("ignoreSurroundingSpaces", False).schema(trees.schema).load(f"{tmp_path}/pages").orderBy("_number").collect()
     assert [s["_VALUE"] for line in back[0].block[0].line for s in line.span] == ["a <x>", "b & c", "d"]
     assert back[0].block[0]["_y1"] == "4.25" and back[0].block[0].line[0].span[1]["_color"] == "#0000ff" and back[0].block[0].line[0].span[1]["_bold"] == "true" and back[1]["_rotation"] == 90
+
+
+def test_reference_rows(spark):
+    # page 3: a row over two of the extractor's lines and one above the zone; page 4: no row and eight words at most, read from its image; page 5: no image
+    w = words(spark, (3, 80, (310, "21-00-09")), (3, 300, (10, "LEAK"), (60, "L")), (3, 302, (340, "21-52-05")), (3, 400, (310, "see"), (330, "21-"), (350, "52"), (370, "-06")), (4, 300, (10, "none")), (5, 300, (10, "none")))
+    only = spark.createDataFrame([(1, 3), (1, 4), (1, 5)], "doc_id int, page_number int")
+    rows = rows_of_contents.reference_rows(w, only)
+    assert got(rows, "page_number", "row_number", "title", "label", "rect_x0", "rect_y0", "rect_x1", "rect_y1") == [
+        (3, 1, "EICAS reference 21-52-05", "21-52-05", 56.0, 298.0, 366.0, 313.0), (3, 2, "EICAS reference 21-52-06", "21-52-06", 306.0, 398.0, 396.0, 411.0),
+    ]
+    ocr = words(spark, (3, 500, (340, "21-52-07")), (4, 300, (340, "21-52-08")), (5, 300, (340, "21-52-09")))
+    coverage = spark.createDataFrame([(1, 3, 0.9), (1, 4, 0.9), (1, 5, 0.1)], "doc_id int, page_number int, coverage double")
+    more = rows_of_contents.reference_rows(w, only, ocr, coverage)
+    assert got(more, "page_number", "title") == [(3, "EICAS reference 21-52-05"), (3, "EICAS reference 21-52-06"), (4, "EICAS OCR reference 21-52-08")]
