@@ -107,32 +107,12 @@ def document_totals(blocks: DataFrame, spans: DataFrame, links: DataFrame, annot
     return every.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in names], F.array_sort(F.collect_set("font")).alias("fonts"))
 
 
-def visual_lines(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
-    """Words of a page in lines whose running mean of centres lies within the tolerance; a fold over a page's words, in order of y."""
-    import pandas as pd
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y0", "x0", "word_number"])
-        number, mean, n, out = -1, 0.0, 0, []
-        for y in (page["y0"] + page["y1"]) / 2:
-            if number < 0 or abs(y - mean) > tolerance:
-                number, mean, n = number + 1, y, 1
-            else:
-                mean, n = (mean * n + y) / (n + 1), n + 1
-            out.append(number)
-        return page.assign(visual_line=out)[["doc_id", "page_number", "word_number", "text", "visual_line"]]
-
-    kind = dict(words.dtypes)["doc_id"]
-    return words.groupBy("doc_id", "page_number").applyInPandas(fold, f"doc_id {kind}, page_number int, word_number int, text string, visual_line int")
-
-
-def listed_lines(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
-    """W21 for lists of pages: words in their own order, each in the first line whose mean centre lies within the tolerance; y0 from 85 to the
-    lesser of 600 and 120 above the page's end. Lines are numbered from the top, then from the left. A fold over a page's words."""
+def _in_lines(words: DataFrame, order: list[str], tolerance: float) -> DataFrame:
+    """Words of a page, in turn, each in the first line whose mean centre lies within the tolerance; lines numbered from the top, then from the left."""
     import pandas as pd
 
     def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("word_number", kind="stable")
+        page = page.sort_values(order, kind="stable")
         sums, sizes, tops, lefts, own = [], [], [], [], []
         for x, y, end in zip(page["x0"], page["y0"], page["y1"]):
             centre = (y + end) / 2
@@ -145,11 +125,21 @@ def listed_lines(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
         return page.assign(visual_line=[place[i] for i in own])[["doc_id", "page_number", "word_number", "text", "visual_line"]]
 
     kind = dict(words.dtypes)["doc_id"]
-    zone = (F.col("y0") >= 85.0) & (F.col("y0") <= F.least(F.lit(600.0), F.col("page_height") - 120.0))
-    rows = words.where(zone & (F.trim("text") != "")).select("doc_id", "page_number", "word_number", "text", "x0", "y0", "y1")
+    rows = words.where(F.trim("text") != "").select("doc_id", "page_number", "word_number", "text", "x0", "y0", "y1")
     return rows.groupBy("doc_id", "page_number").applyInPandas(fold, f"doc_id {kind}, page_number int, word_number int, text string, visual_line int")
 
 
+def visual_lines(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
+    """Words of a page, in order of y0 and x0, in lines; word_number must tell a page's words apart."""
+    return _in_lines(words, ["y0", "x0", "word_number"], tolerance)
+
+
+def listed_lines(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
+    """W21 for lists of pages: words in their own order, with y0 from 85 to the lesser of 600 and 120 above the page's end."""
+    zone = (F.col("y0") >= 85.0) & (F.col("y0") <= F.least(F.lit(600.0), F.col("page_height") - 120.0))
+    return _in_lines(words.where(zone), ["word_number"], tolerance)
+
+
 def merged_positions(positions: Column, tolerance: float = 2.0) -> Column:
     """Sorted positions in groups by distance to the group's mean, as the groups' means."""
     step = lambda a, p: F.when((F.size(a) > 0) & (F.abs(F.element_at(a, -1)["s"] / F.element_at(a, -1)["n"] - p) <= tolerance), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct((F.element_at(a, -1)["s"] + p).alias("s"), (F.element_at(a, -1)["n"] + 1).alias("n"))))).otherwise(F.concat(a, F.array(F.struct(p.alias("s"), F.lit(1).alias("n")))))

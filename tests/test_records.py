@@ -96,3 +96,10 @@ def test_tolerance(spark):
 def test_row_records(spark):
     df = spark.createDataFrame([(1, "T", 2, "r", "global", "21-1", None, "why", 5)], "doc_id int, title string, page_number int, reference_text string, toc_type string, target_label string, target_page_number int, unresolved_reason string, more int")
     assert contents.row_records(df).collect()[0].asDict() == {"doc_id": 1, "title": "T", "toc_page": 2, "reference_text": "r", "toc_type": "global", "target_label": "21-1", "target_page": None, "unresolved_reason": "why"}
+
+
+def test_visual_lines(spark):
+    # the tall word's line has its centre at 120; the next word, lower, fits no line; the third meets the first line again, past the second
+    words = [(0, "tall", 50.0, 100.0, 140.0), (1, "small", 9.0, 101.0, 109.0), (2, "back", 5.0, 117.0, 125.0), (3, "near", 1.0, 105.0, 105.0)]
+    df = spark.createDataFrame([(1, 1, n, t, x, y, end) for n, t, x, y, end in words], "doc_id int, page_number int, word_number int, text string, x0 double, y0 double, y1 double")
+    assert rows(layout.visual_lines(df).select("word_number", "visual_line")) == [(0, 0), (1, 1), (2, 0), (3, 1)]
