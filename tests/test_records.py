@@ -1,11 +1,13 @@
 """Stored records, process reports, sorting, lists of pages: literal rows and round trips."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
 from leafmill.operators import contents, layout
 from leafmill.plans import dry_run
+from leafmill.queries import QUERIES
 from leafmill.sources import records
 
 
@@ -103,3 +105,16 @@ def test_visual_lines(spark):
     words = [(0, "tall", 50.0, 100.0, 140.0), (1, "small", 9.0, 101.0, 109.0), (2, "back", 5.0, 117.0, 125.0), (3, "near", 1.0, 105.0, 105.0)]
     df = spark.createDataFrame([(1, 1, n, t, x, y, end) for n, t, x, y, end in words], "doc_id int, page_number int, word_number int, text string, x0 double, y0 double, y1 double")
     assert rows(layout.visual_lines(df).select("word_number", "visual_line")) == [(0, 0), (1, 1), (2, 0), (3, 1)]
+
+
+def test_listed_lines_query(spark):
+    """Threes of a page's lines of text, 14 points apart, are lines; those out of the zone are left out and lines counted from the top."""
+    d, pages = "/root/testdata/sf0.001", {}
+    for doc, text in duckdb.sql(f"SELECT doc_id, text FROM '{d}/documents.parquet' WHERE text IS NOT NULL").fetchall():
+        for n, line in enumerate(text.split("\n")):
+            place = n % 50
+            if line.strip() and 85 <= 72 + 14 * (place // 3) + place % 3 <= 600:
+                pages.setdefault((doc, n // 50 + 1), []).append((n - place % 3 + 2 - place % 3, line, place // 3))
+    want = sorted((*page, n, t, sorted({x[2] for x in own}).index(k)) for page, own in pages.items() for n, t, k in own)
+    got = sorted(tuple(r) for r in QUERIES["q_listed_lines"](spark, d).select("doc_id", "page_number", "word_number", "text", "visual_line").collect())
+    assert got == want and got
