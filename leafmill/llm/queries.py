@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, lm_bloom, mixing, pairwise_quality, pii, quality_rules, simhash, token_counts, token_pack
+from . import conversations, decontam, line_dedup, lm_bloom, merkle, mixing, pages, pairwise_quality, pii, quality_rules, simhash, token_counts, token_pack
 from .common import read
 
 PIECES, WORD_BPE = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -52,7 +52,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_pii, op4_lm_bloom, op5_mixing, op6_pairwise_quality, op7_token_pack, op8_line_dedup, op9_decontam, op10_token_counts)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_texts(read(spark, sf_dir, "pages"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(conversations.damaged(read(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_pii, op4_lm_bloom, op5_mixing, op6_pairwise_quality, op7_token_pack, op8_line_dedup, op9_decontam, op10_token_counts, op11_merkle, op12_html_text, op13_conversation_repair)}
 
 # Words of a text in DuckDB: blank-separated, and of letters, digits and all beyond ASCII.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -173,7 +185,116 @@ _LINES_LEFT = rf"""
             coalesce(n, 0)::BIGINT AS n_dropped, coalesce(n_near, 0)::BIGINT AS n_near, coalesce(places, '') AS dropped
         FROM texts AS t LEFT JOIN by_doc USING (doc_id)"""
 
+
+
+def crc32(text: str) -> str:
+    """Unsigned crc32 of a text of ASCII characters: the bits of one byte after the other."""
+    byte = "list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: {byte}), 4294967295)"
+
+
+_FIELD = "coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c=c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + _FIELD + ")"
+
+
+def _levels(name: str, first: str, group: str) -> str:
+    """A recursive table of all levels of the groups' trees: nodes is a level's list of digests."""
+    return f"""{name} AS (
+            {first} UNION ALL
+            SELECT {group}, level + 1, list_transform(range(0, (len(nodes) + 7) // 8), lambda i: sha256(array_to_string(nodes[i * 8 + 1:i * 8 + 8], '')))
+            FROM {name} WHERE len(nodes) > 1)"""
+
+
+_RUN = "nodes[place // (8 ** level)::BIGINT // 8 * 8 + {a}:{b}]"
+_BESIDE = f"""array_to_string({_RUN.format(a=1, b="place // (8 ** level)::BIGINT")}, '') AS before,
+            array_to_string(nodes[place // (8 ** level)::BIGINT + 2:place // (8 ** level)::BIGINT // 8 * 8 + 8], '') AS after"""
+_MERKLE = f"""
+        WITH RECURSIVE rows AS (
+            SELECT doc_id, lang, {_LEAF.format(c="text")} AS leaf,
+                CASE WHEN {crc32("coalesce(doc_id::VARCHAR, '')")} % 3 = 0 THEN {_LEAF.format(c="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS shown
+            FROM documents),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM rows),
+        {_levels("levels", "SELECT lang, 0 AS level, list(leaf ORDER BY place) AS nodes FROM placed GROUP BY lang", "lang")},
+        subroots AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM levels WHERE len(nodes) = 1),
+        {_levels("tops", "SELECT 0 AS one, 0 AS level, list(subroot ORDER BY place) AS nodes FROM subroots", "one")},
+        depths AS (SELECT lang, max(level) AS depth FROM levels GROUP BY lang),
+        steps AS (
+            SELECT p.doc_id, p.leaf, level, {_BESIDE} FROM placed AS p JOIN levels AS v ON p.lang IS NOT DISTINCT FROM v.lang WHERE len(nodes) > 1
+            UNION ALL
+            SELECT p.doc_id, p.leaf, s.level + depth, before, after
+            FROM placed AS p JOIN (SELECT s.lang, level, {_BESIDE} FROM subroots AS s, tops WHERE len(nodes) > 1) AS s ON p.lang IS NOT DISTINCT FROM s.lang
+            JOIN depths AS d ON p.lang IS NOT DISTINCT FROM d.lang),
+        folds AS (
+            SELECT doc_id, leaf, 0 AS level, coalesce(shown, leaf) AS node FROM placed
+            UNION ALL
+            SELECT f.doc_id, f.leaf, f.level + 1, sha256(before || node || after)
+            FROM folds AS f JOIN steps AS s ON f.doc_id IS NOT DISTINCT FROM s.doc_id AND f.leaf = s.leaf AND f.level = s.level),
+        proofs AS (SELECT doc_id, leaf, sha256(string_agg(before || after, '' ORDER BY level)) AS proof FROM steps GROUP BY ALL),
+        ends AS (SELECT doc_id, leaf, arg_max(node, level) AS folded_root FROM folds GROUP BY ALL)
+        SELECT p.doc_id, p.leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM placed AS p JOIN subroots AS s ON p.lang IS NOT DISTINCT FROM s.lang, (SELECT nodes[1] AS root FROM tops WHERE len(nodes) = 1)
+        LEFT JOIN proofs AS f ON p.doc_id IS NOT DISTINCT FROM f.doc_id AND p.leaf = f.leaf
+        JOIN ends AS e ON p.doc_id IS NOT DISTINCT FROM e.doc_id AND p.leaf = e.leaf"""
+
+
+def _least(*options: str) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+def _edit(cost: str, letter: str, state: int, when: str = "") -> str:
+    struct = f"{{'c': f[{state}].c + {cost}, 'a': '{letter}' || f[{state}].a}}"
+    return f"CASE WHEN {when} THEN {struct} END" if when else struct
+
+
+_KEEP = "fault IN ('', 't') AND r = '{}'"
+#: Of each state (start, after system, user, assistant) the cheapest rest: by deleting, keeping or giving the row a role, then by inserting.
+_BY_ROW = ", ".join(
+    _least(_edit("3", "D", state), *[_edit("m", "K", to, _KEEP.format(r)) for r, to in kept], _edit("2 + m", "R", follows, "fault IN ('', 't')"))
+    for state, kept, follows in ((1, (("s", 2), ("u", 3)), 3), (2, (("u", 3),), 3), (3, (("a", 4),), 4), (4, (("u", 3),), 3)))
+_BY_INSERT = ", ".join(
+    _least(f"f[{state}]", *[_edit(str(2 * n), "I" * n, to) for n, to in more])
+    for state, more in ((1, ((1, 3), (2, 4))), (2, ((1, 3), (2, 4))), (3, ((1, 4),)), (4, ((1, 3),))))
+_REPAIR = rf"""
+        WITH RECURSIVE src AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                {crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind FROM conversations),
+        after AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM src, unnest(range(0, CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS t(copy) WHERE kind <> 0),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth, substr(role, 1, 1) AS r FROM after),
+        ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS i FROM numbered),
+        faulty AS (
+            SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b' WHEN nth > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 't' ELSE '' END AS fault,
+                lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM ordered),
+        counts AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+                count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (prev || r NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id),
+        walk(conv_id, i, f) AS (
+            SELECT conv_id, n + 1, [{{'c': 0::BIGINT, 'a': ''}}, {{'c': 4, 'a': 'II'}}, {{'c': 2, 'a': 'I'}}, {{'c': 0, 'a': ''}}] FROM counts
+            UNION ALL
+            SELECT conv_id, i, [{_BY_INSERT}] FROM (
+                SELECT conv_id, i, [{_BY_ROW}] AS f FROM (
+                    SELECT w.conv_id, o.i, f, fault, r, (fault = 't')::BIGINT AS m FROM walk AS w JOIN faulty AS o ON w.conv_id IS NOT DISTINCT FROM o.conv_id AND o.i = w.i - 1))),
+        best AS (SELECT conv_id, f[1].c AS cost, f[1].a AS audit FROM walk WHERE i = 1),
+        letters AS (
+            SELECT conv_id, p, audit[p] AS letter, len(replace(left(audit, p), 'I', '')) AS i, len(replace(left(audit, p), 'D', '')) AS o
+            FROM best, unnest(range(1, len(audit) + 1)) AS t(p)),
+        written AS (
+            SELECT x.conv_id, p, o, letter, role, text, max(CASE WHEN o = 1 AND letter = 'K' AND r = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY x.conv_id) AS has_s
+            FROM letters AS x LEFT JOIN faulty AS y ON x.conv_id IS NOT DISTINCT FROM y.conv_id AND x.i = y.i AND letter <> 'I' WHERE letter <> 'D'),
+        texts AS (
+            SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (o - has_s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS whole
+            FROM written GROUP BY conv_id)
+        SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN counts AS n ON c.conv_id IS NOT DISTINCT FROM n.conv_id
+        LEFT JOIN best AS b ON c.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN texts AS t ON c.conv_id IS NOT DISTINCT FROM t.conv_id"""
+
 SQL = {
+    "op13_conversation_repair": _REPAIR,
+    "op11_merkle": _MERKLE,
     "op5_mixing": _MIXED,
     "op8_line_dedup": _LINES_LEFT,
     "op1_quality_rules": f"""
