@@ -2,13 +2,13 @@
 
 Pages are ordered by URL path within each host, and the lines (blocks) of each are aligned with those of the page before and after it,
 whichever path has more of its beginning in common, by longest common subsequence. Shared lines go, unless the two pages are copies of
-one article (COPY of their characters shared): then the other side decides, and if that is a copy, too, nothing goes. Lines inside
-`article` or `main` stay even if shared, for an article may quote and repeat; where a page has such lines, its text is just them.
+one article (COPY of their characters shared): then the other side decides, and if that is a copy, too, nothing goes. Where a page
+has lines inside `article` or `main`, its text is just them, shared or not, for articles quote and repeat; it is still a neighbour.
 Differencing can't do it alone: menus, adverts and footers often differ between neighbours, and paragraphs are often the same. So
 lines that elements, roles or classes mark as menu, header, footer, sidebar, notice, advert, form, script or comment go as well.
 
 A host may have any number of pages: they are numbered by ranges and compared in runs of RUN pages, of which the first and last are
-dealt to both neighbouring runs. Texts are not dealt for it, only hashes of lines. Lines are aligned in memory linear in them.
+dealt to both neighbouring runs. For that only hashes of lines are dealt. Lines are aligned in memory linear in them.
 
 Null html is empty, an empty or unmarked page without words has an empty text. Pages without url or host are compared with none. Pages
 with one path are ordered by their place in the stored table; equal rows are rows and, as copies, delete nothing of each other. Columns
@@ -342,7 +342,7 @@ def template(page: dict, before: dict | None, after: dict | None) -> list[int]:
         shared = sum(page["sizes"][j] for j in set(places) & set(own))
         most = max(sum(page["sizes"][j] for j in own), sum(n for n, k in zip(other["sizes"], other["kinds"], strict=True) if k != MARKED))
         if shared < COPY * most or not most:
-            return [j for j in places if page["kinds"][j] != ARTICLE]
+            return places
     return []
 
 
@@ -374,7 +374,7 @@ def _compared(table: pa.Table) -> pa.Table:
     rows = sorted(table.to_pylist(), key=lambda r: r["place"])
     out = []
     for i, r in enumerate(rows):
-        if r["place"] // RUN != r["run"]:
+        if r["place"] // RUN != r["run"] or r["article"]:
             continue
         before = rows[i - 1] if i and rows[i - 1]["place"] == r["place"] - 1 else None
         after = rows[i + 1] if i + 1 < len(rows) and rows[i + 1]["place"] == r["place"] + 1 else None
@@ -397,8 +397,8 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def shared_lines(parsed: DataFrame) -> DataFrame:
-    """rid and goes (a boolean for each line, true if it is deleted) for each page that has a host."""
-    keys = parsed.where("host IS NOT NULL").selectExpr("rid", "host", "path", "lines.hash AS hashes", "lines.kind AS kinds", "lines.size AS sizes")
+    """rid and goes (a boolean for each line, true if it is deleted) for each page that has a host and no article."""
+    keys = parsed.where("host IS NOT NULL").selectExpr("rid", "host", "path", "article", "lines.hash AS hashes", "lines.kind AS kinds", "lines.size AS sizes")
     rows = numbered(keys, ["host"], [F.col("path").asc(), F.col("rid").asc()], "page-order")
     runs = F.array_distinct(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: F.floor((F.col("place") + i) / RUN).cast("long")))
     dealt = rows.withColumn("run", F.explode(runs)).where("run >= 0")
@@ -406,13 +406,15 @@ def shared_lines(parsed: DataFrame) -> DataFrame:
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, n_lines (of the text) and n_shared (lines deleted as the host's) of each page."""
+    """page_id, url, text, n_chars and n_lines (of the text) of each page.
+
+    Only pages without an article wait for their neighbours; the texts of the others are not dealt.
+    """
     found = parsed(pages)
-    rows = found.join(shared_lines(found), "rid", "left")
+    marked = found.where("article").withColumn("kept", F.filter("lines", lambda x: x["kind"] == ARTICLE))
     goes = lambda i: F.coalesce(F.get("goes", i), F.lit(False))
-    kept = F.filter("lines", lambda x, i: F.when(F.col("article"), x["kind"] == ARTICLE).otherwise((x["kind"] == OPEN) & ~goes(i)))
-    rows = rows.withColumn("kept", kept)
-    shared = F.coalesce(F.size(F.filter("goes", lambda x: x)), F.lit(0))
-    text = F.array_join(F.transform("kept", lambda x: x["text"]), "\n")
-    out = rows.select("page_id", "url", text.alias("text"), F.size("kept").cast("long").alias("n_lines"), shared.cast("long").alias("n_shared"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared")
+    compared = found.where("NOT article").join(shared_lines(found), "rid", "left")
+    compared = compared.withColumn("kept", F.filter("lines", lambda x, i: (x["kind"] == OPEN) & ~goes(i)))
+    out = marked.select("page_id", "url", "kept").unionByName(compared.select("page_id", "url", "kept"))
+    out = out.select("page_id", "url", F.array_join(F.transform("kept", lambda x: x["text"]), "\n").alias("text"), F.size("kept").cast("long").alias("n_lines"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines")

@@ -264,7 +264,7 @@ def test_alignment(spark, monkeypatch, bits):
 
 
 def plain_texts(rows):
-    """Texts and shared lines, each page held against its neighbours by path with the plain alignment's lengths."""
+    """Texts and the number of lines deleted, each page held against its neighbours by path with the plain alignment's lengths."""
     hosts, out = {}, {}
     for place, (page_id, url, source) in enumerate(rows):
         m = re.match(r"https?://([^/]+)(.*)", url or "")
@@ -285,10 +285,11 @@ def plain_texts(rows):
                 shared = sum(len(a[j]) for j in places if found[j][1] != pages.MARKED)
                 most = max(sum(map(len, mine)), sum(map(len, theirs)))
                 if shared < pages.COPY * most or not most:
-                    go = {j for j in places if found[j][1] != pages.ARTICLE}
+                    go = set() if any(k == pages.ARTICLE for _, k in found) else set(places)
                     out[page_id] = [x for j, x in enumerate(found) if j not in go], len(go)
                     break
-    return {p: ("\n".join(t for t, k in found if k == (pages.ARTICLE if any(k == pages.ARTICLE for _, k in found) else pages.OPEN)), n) for p, (found, n) in out.items()}
+    texts = {p: "\n".join(t for t, k in found if k == (pages.ARTICLE if any(k == pages.ARTICLE for _, k in found) else pages.OPEN)) for p, (found, _) in out.items()}
+    return texts, sum(n for _, n in out.values())
 
 
 def test_pages_against_their_neighbours(spark):
@@ -303,11 +304,10 @@ def test_pages_against_their_neighbours(spark):
     copy = (700, "http://big.example/a/copy", "<p>a long line that both pages have as their only own text, without template<p>end")
     rows += [copy, (701, "http://big.example/a/copy?x", copy[2]), (702, None, "<p>no host"), (703, "http://a.example/", None), (704, "mailto:x", "")]
     table = spark.createDataFrame([(*r, "t", 5, "l", "h") for r in rows], PAGES).coalesce(1)
-    got = {r.page_id: (r.text, r.n_shared) for r in pages.main_texts(table).collect()}
-    want = plain_texts(rows)
-    assert got == want
-    assert sum(n for _, n in want.values()) > 1000 and got[700] == (pages.lines(copy[2])[0][0] + "\nend", 0)
-    assert got[702][0] == "no host" and got[703] == got[704] == ("", 0)
+    got = {r.page_id: r.text for r in pages.main_texts(table).collect()}
+    want, deleted = plain_texts(rows)
+    assert got == want and deleted > 1000
+    assert got[700] == pages.lines(copy[2])[0][0] + "\nend" and got[702] == "no host" and got[703] == got[704] == ""
 
 
 def test_no_pages_and_very_long_ones(spark):
