@@ -61,9 +61,10 @@ BOTH, OWN, BEFORE, FIRST, SECOND = range(5)
 TOP_LEVEL = 50
 END, START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 _ONE, _LEVEL = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xD6E8FEB86659FD93)
-#: The bits of an n-gram's name, and those that say its segment, of which there are 2^20 at most.
+#: The bits of an n-gram's name. The first ones say its segment, of which there are so many at most that 28 are left for the n-gram itself;
+#: beyond 2 * 10^12 tokens it is segments that grow, not their number.
 _NAME = np.uint64(((1 << 48) - 1) << 16)
-_SEGMENT = np.uint64(((1 << 20) - 1) << 44)
+MOST_SEGMENTS = 1 << 20
 
 
 def _planes(x: np.ndarray, least: int = 0) -> bytes:
@@ -103,12 +104,13 @@ def _single(h: np.ndarray) -> np.ndarray:
     return mix(h * GRAM[5] + _ONE) & _NAME
 
 
-def _pair(previous: np.ndarray, own: np.ndarray, rare_previous: np.ndarray, rare_own: np.ndarray) -> np.ndarray:
+def _pair(previous: np.ndarray, own: np.ndarray, rare_previous: np.ndarray, rare_own: np.ndarray, segments: int) -> np.ndarray:
     """Names of pairs, in the segment of a rare word if there is one."""
+    of_segment = np.uint64((1 << 64) - (1 << 65 - segments.bit_length()))
     g = mix(previous * GRAM[6] + own * GRAM[7]) & _NAME
     some = np.flatnonzero(rare_previous | rare_own)
     anchor = _single(np.where(rare_own[some], own[some], previous[some]))
-    g[some] = (anchor & _SEGMENT) | (g[some] & ~_SEGMENT)
+    g[some] = (anchor & of_segment) | (g[some] & ~of_segment)
     return g
 
 
@@ -229,7 +231,7 @@ def _send(segments: int, head):
             for _, _, own, previous, at in tokens(batch.column(0)):
                 distinct, which = np.unique(own, return_inverse=True)
                 rare = ~_in(head.value, distinct)[0][which]
-                held += [_single(own), _pair(previous, own, _before(rare, at, False), rare), np.repeat(_single(np.array([START])), len(at) - 1)]
+                held += [_single(own), _pair(previous, own, _before(rare, at, False), rare, segments), np.repeat(_single(np.array([START])), len(at) - 1)]
                 size += len(own)
                 if size > FLUSH:
                     yield out()
@@ -470,7 +472,7 @@ class Model:
             level[~known] = self.bits.closed(_single(distinct[~known]))
             rare = ~known[which]
             rare_before = _before(rare, at, False)
-            g = _pair(previous, own, rare_before, rare)
+            g = _pair(previous, own, rare_before, rare, self.bits.segments)
             # levels and rareness follow from the pair
             pairs, first, which_pair = np.unique(g, return_index=True, return_inverse=True)
             levels = np.stack([level[which][first], _before(level[which], at, level_of(np.array([self.texts]))[0] if self.texts else 0)[first], self.bits.closed(pairs)], 1).astype(np.int8)
@@ -521,7 +523,7 @@ def train(texts: DataFrame, filter_bits: int = FILTER_BITS, head_words: int = HE
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     tasks = 1 << int(n // TASK_TOKENS).bit_length()
-    segments = max(tasks, min(SPREAD * tasks, MOST_SPREAD))
+    segments = min(MOST_SEGMENTS, max(tasks, min(SPREAD * tasks, MOST_SPREAD)))
     bits = max(segments * MIN_SEGMENT_BITS, min(filter_bits, 1 << max(0, int(n).bit_length() - 1)))
     sent = texts.mapInArrow(_send(segments, spark.sparkContext.broadcast(keys)), "segment long, keys binary, counts binary")
     met = sent.repartition(tasks, "segment").sortWithinPartitions("segment")

@@ -263,6 +263,17 @@ def test_language_model(odd):
         assert all(r.score < 0 for r in got)
 
 
+def test_pairs_of_rare_words_are_in_the_segment_of_the_word():
+    rng = np.random.default_rng(1)
+    previous, own = rng.integers(0, 2**63, (2, 5000), dtype=np.uint64)
+    rare_previous, rare_own = rng.integers(0, 2, (2, 5000)).astype(bool)
+    for bits in (0, 1, 2, 20, 21, 23):
+        n = 1 << bits
+        pairs = lm_bloom.segment_of(lm_bloom._pair(previous, own, rare_previous, rare_own, n), n)
+        for rare, word in ((rare_own, own), (rare_previous & ~rare_own, previous)):
+            assert (pairs[rare] == lm_bloom.segment_of(lm_bloom._single(word[rare]), n)).all()
+
+
 def test_language_model_score(spark, monkeypatch):
     rng = random.Random(5)
     texts = [" ".join(f"w{int(3000 * rng.random() ** 3)}" if rng.random() < 0.95 else f"z{rng.randrange(10**6)}" for _ in range(rng.randint(0, 250))) for _ in range(400)]
@@ -283,8 +294,11 @@ def test_language_model_score(spark, monkeypatch):
     want = {d: sum(log_p(*x) for x in both(t)) for d, t in enumerate(texts)}
     entries = sum(c.bit_length() for x in (single, pairs) for c in x.values())
     assert entries > 3 * (1 << 16) * np.log(2) / 6  # the first part has room for a third
-    for task_tokens, flush in ((lm_bloom.TASK_TOKENS, lm_bloom.FLUSH), (10_000, 3000)):
+    most = lm_bloom.MOST_SEGMENTS
+    # as it comes; many tasks and segments; more tasks than there may be segments
+    for task_tokens, flush, segments in ((lm_bloom.TASK_TOKENS, lm_bloom.FLUSH, most), (10_000, 3000, most), (2_000, 3000, 4)):
         monkeypatch.setattr(lm_bloom, "TASK_TOKENS", task_tokens)
+        monkeypatch.setattr(lm_bloom, "MOST_SEGMENTS", segments)
         monkeypatch.setattr(lm_bloom, "FLUSH", flush)
         for bits, head in ((lm_bloom.FILTER_BITS, lm_bloom.HEAD_WORDS), (1 << 12, 100)):
             got = {r.doc_id: r.score for r in lm_bloom.score(docs, lm_bloom.held_out(docs), filter_bits=bits, head_words=head).collect()}
