@@ -3,7 +3,7 @@
 Kinds of the base set: email, ip (parts at most 255), card (16 to 19 digits, Luhn), phone (8 to 15 digits). The method adds
 iban (mod 97), ssn (three, two and four digits, none of the parts all zeros) and secret (32 to 64 letters, digits, hyphens and underscores, with
 letters and digits: a key or a token). Each kind has a prior; a checksum that holds adds to it, and a context word within CONTEXT
-characters before the span adds to it, and what reaches THRESHOLD is a span. Base spans and ibans reach it by their form and checksum
+characters before or after the span adds to it, and what reaches THRESHOLD is a span. Base spans and ibans reach it by their form and checksum
 alone; an ssn or a secret, whose forms say little, needs a context word. Spans of different kinds may overlap.
 
 All in expressions of the JVM. Positions are code points; a kind's matches are leftmost and don't overlap: between them lie
@@ -17,6 +17,8 @@ A null text is empty and has no spans. Repeated rows get a row each. An empty ta
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +39,9 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32,64}+(?![A-Za-z0-9_-])",
 }
-#: A character without which a text has no match.
+#: A character without which a text has no match; and kinds that can have one without any digit.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+", "iban": "", "ssn": "-", "secret": ""}
+WITHOUT_DIGITS = ("email",)
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.4, "phone": 0.7, "iban": 0.3, "ssn": 0.3, "secret": 0.3}
 CHECKED, NEARBY, THRESHOLD, CONTEXT = 0.4, 0.3, 0.6, 40
 #: Matches whose lengths are added one by one; runs before them are added as wholes.
@@ -114,57 +117,55 @@ def _checksum(kind: str, match: Column) -> Column:
     return {"card": lambda: luhn(_digits(match)), "iban": lambda: F.lit(True)}.get(kind, lambda: F.lit(False))()
 
 
-def _starts(pieces: Column, found: Column) -> Column:
-    """Where each of the found matches starts: the lengths of all pieces and matches before it."""
-    lengths = F.transform(found, lambda m, i: F.length(F.get(pieces, i)) + F.length(m))
-    add = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y)
-
-    def placed(each: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.greatest((F.size(each) - 1) / RUN, F.lit(0)).cast("int")), lambda r: add(F.slice(each, r * RUN + 1, F.lit(RUN))))
-
-        def by_run(sums: Column) -> Column:
-            before = F.transform(sums, lambda x, r: add(F.slice(sums, F.lit(1), r)))
-            return _bound(before, lambda b: F.transform(each, lambda x, i: F.get(b, (i / RUN).cast("int")) + add(F.slice(each, i - i % RUN + 1, i % RUN)) + F.length(F.get(pieces, i))))
+def _sum(array: str) -> str:
+    return f"aggregate({array}, 0, (a, y) -> a + y)"
 
-        return _bound(runs, by_run)
 
-    return _bound(lengths, placed)
+def _matches(text: str, kind: str) -> Column:
+    """All matches of a kind in a text, an SQL expression: start, match, and what stands before and after it.
 
-
-def _matches(text: Column, kind: str) -> Column:
-    """All matches of a kind: start, match, and what stands before it."""
+    Positions are the lengths of all pieces and matches before. It is put together as SQL, as that is much less to send than columns are.
+    """
     pattern = PATTERNS[kind]
-
-    def zipped(pieces: Column, found: Column) -> Column:
-        # four matches of the kinds that need a context are longer than it
-        earlier = lambda i, k: F.when(i >= k, F.concat(F.get(pieces, i - k), F.get(found, i - k))).otherwise("")
-        before = lambda i: F.concat(*[earlier(i, k) for k in (4, 3, 2, 1)], F.get(pieces, i))
-        near = lambda i: F.when(F.length(F.get(pieces, i)) >= CONTEXT, F.right(F.get(pieces, i), F.lit(CONTEXT))).otherwise(F.right(before(i), F.lit(CONTEXT)))
-        return _bound(_starts(pieces, found), lambda starts: F.transform(found, lambda m, i: F.struct(F.get(starts, i).alias("start"), m.alias("match"), near(i).alias("before"))))
-
-    both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-    placed = _bound(both, lambda x: zipped(x["pieces"], x["found"]))
+    piece, found = "get(x.pieces, i{})".format, "get(x.found, i{})".format
+    lengths = f"transform(x.found, (m, i) -> length({piece('')}) + length(m))"
+    runs = f"transform(sequence(0, cast(greatest((size(lengths) - 1) / {RUN}, 0) AS int)), r -> {_sum(f'slice(lengths, r * {RUN} + 1, {RUN})')})"
+    ahead = f"transform(runs, (s, r) -> {_sum('slice(runs, 1, r)')})"
+    start = f"get(ahead, cast(i / {RUN} AS int)) + {_sum(f'slice(lengths, i - i % {RUN} + 1, i % {RUN})')} + length({piece('')})"
+    # four matches of the kinds that need a context are longer than it
+    earlier = ", ".join(f"CASE WHEN i >= {k} THEN concat({piece(f' - {k}')}, {found(f' - {k}')}) ELSE '' END" for k in (4, 3, 2, 1))
+    later = ", ".join(f"coalesce({found(f' + {k}')}, ''), coalesce({piece(f' + {k + 1}')}, '')" for k in (1, 2, 3, 4))
+    before = f"right(CASE WHEN length({piece('')}) >= {CONTEXT} THEN {piece('')} ELSE concat({earlier}, {piece('')}) END, {CONTEXT})"
+    after = f"left(CASE WHEN length({piece(' + 1')}) >= {CONTEXT} THEN {piece(' + 1')} ELSE concat({piece(' + 1')}, {later}) END, {CONTEXT})"
+    out = f"transform(x.found, (m, i) -> struct({start} AS start, m AS match, {before} AS before, {after} AS after))"
+    for name, value in (("ahead", ahead), ("runs", runs), ("lengths", lengths), ("x", f"struct(split({text}, r'{pattern}', -1) AS pieces, regexp_extract_all({text}, r'{pattern}', 0) AS found)")):
+        out = f"element_at(transform(array({value}), {name} -> {out}), 1)"
     # most texts have no match at all
-    some = text.rlike(pattern.replace(r"\G|", ""))
-    return F.when(F.contains(text, F.lit(NEEDS[kind])) & some if NEEDS[kind] else some, placed).otherwise(F.expr("cast(array() as array<struct<start: int, match: string, before: string>>)"))
+    some = (f"contains({text}, '{NEEDS[kind]}') AND " if NEEDS[kind] else "") + f"rlike({text}, r'{pattern.replace(chr(92) + 'G|', '')}')"
+    return F.expr(f"CASE WHEN {some} THEN {out} ELSE cast(array() AS array<struct<start: int, match: string, before: string, after: string>>) END")
 
 
-def spans(text: Column, kinds: tuple[str, ...] = BASE + ADDED) -> Column:
-    """Array of kind, start, end (code points, end exclusive), score; by kind in the order of kinds, then start."""
-    return F.concat(*[_scored(text, kind) for kind in kinds])
+def spans(kinds: tuple[str, ...] = BASE + ADDED) -> Column:
+    """Of the column text: array of kind, start, end (code points, end exclusive), score; by kind in the order of kinds, then start."""
+    none = F.expr("cast(array() AS array<struct<kind: string, start: int, end: int, score: double>>)")
+    # most texts have no digit, and then are read once for all kinds that need one
+    digit = F.col("text").rlike("[0-9]")
+    found = [(k, _scored(k)) for k in kinds]
+    return F.concat(*[F.concat(*[c for _, c in part]) if free else F.when(digit, F.concat(*[c for _, c in part])).otherwise(none) for free, part in groupby(found, lambda x: x[0] in WITHOUT_DIGITS)])
 
 
-def _scored(text: Column, kind: str) -> Column:
+def _scored(kind: str) -> Column:
     def score(m: Column) -> Column:
-        near = F.lower(m["before"]).rlike(f"(?<![a-z])(?:{WORDS[kind]})")
+        words = f"(?<![a-z])(?:{WORDS[kind]})"
+        near = F.lower(m["before"]).rlike(words) | F.lower(m["after"]).rlike(words)
         return F.lit(PRIOR[kind]) + F.when(_checksum(kind, m["match"]), CHECKED).otherwise(0.0) + F.when(near, NEARBY).otherwise(0.0)
 
     def span(m: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), (m["start"] + F.length(m["match"])).alias("end"), score(m).alias("score"))
 
-    found = _matches(text, kind)
+    found = _matches("coalesce(text, '')", kind)
     if kind == "iban":
-        found = F.transform(found, lambda m: F.struct(m["start"].alias("start"), _valid_groups(m["match"]).alias("match"), m["before"].alias("before")))
+        found = F.transform(found, lambda m: F.struct(m["start"].alias("start"), _valid_groups(m["match"]).alias("match"), m["before"].alias("before"), m["after"].alias("after")))
     # a card or an account number without its checksum is none, whatever words stand by
     proved = {"card": lambda m: _form(kind, m["match"]) & _checksum(kind, m["match"]), "iban": lambda m: m["match"].isNotNull()}.get(kind, lambda m: _form(kind, m["match"]))
     return F.filter(F.transform(F.filter(found, proved), span), lambda s: s["score"] >= THRESHOLD - 1e-9)
@@ -172,12 +173,12 @@ def _scored(text: Column, kind: str) -> Column:
 
 def find(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, spans."""
-    return docs.select("doc_id", spans(F.coalesce(F.col("text"), F.lit(""))).alias("spans"))
+    return docs.select("doc_id", spans().alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of the text replaced by its kind in brackets; where spans overlap, the first that begins stays."""
-    rows = docs.select(whole(docs).alias("d"), F.col("text").alias("t"), spans(F.coalesce(F.col("text"), F.lit(""))).alias("s"))
+    rows = docs.select(whole(docs).alias("d"), F.col("text").alias("t"), spans().alias("s"))
     by_start = F.sort_array(F.transform("s", lambda s: F.struct(s["start"], s["end"], s["kind"])))
 
     def cut(a: Column, s: Column) -> Column:

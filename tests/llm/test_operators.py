@@ -182,6 +182,7 @@ def test_pii_and_redaction(spark):
         "mail a@b.cd, card 4111 1111 1111 1111; ssn 123-45-6789 iban GB82 WEST 1234 5698 7654 32", "1 " * 20_000, "a" * 20_000 + "@", None,
         "123-45-6789 and DE89370400440532013000 The next, DE89 3704 0044 0532 0130 00 Please, DE89 3704 0044 0532 0130 00 NEXT 12",
         "api token = 0123456789abcdef0123456789abcdef; far from any such word there stands 0123456789abcdef0123456789abcdef",
+        "123-45-6789 is their social number; then we: 0123456789abcdef0123456789abcdef, 1123456789abcdef0123456789abcdef is the key",
     ]
     d = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
     found = {r.doc_id: r for r in pii.digest(pii.find(d)).collect()}
@@ -189,6 +190,7 @@ def test_pii_and_redaction(spark):
     assert found[2].spans == found[3].spans == found[4].spans == "" and found[4].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert found[5].spans == "iban:16:38,iban:49:76,iban:85:112"
     assert found[6].spans == "secret:12:44"
+    assert found[7].spans == "ssn:0:11,secret:79:111"
     assert pii.redact(d).where("doc_id = 1").first().text == "mail [email], card [card]; ssn [ssn] iban [iban]"
 
 
@@ -199,7 +201,7 @@ def luhn(digits):
 def plain_spans(text):
     """Spans by the plain expressions and rules, one by one."""
     digits = lambda x: re.sub("[^0-9]", "", x)
-    near = lambda at, words: re.search(f"(?<![a-z])(?:{words})", text[max(0, at - 40) : at].lower())
+    near = lambda x, at, words: any(re.search(f"(?<![a-z])(?:{words})", y.lower()) for y in (text[max(0, at - 40) : at], text[at + len(x) : at + len(x) + 40]))
     iban = lambda x: 15 <= len(y := x.replace(" ", "")) <= 34 and int("".join(str(int(c, 36)) for c in y[4:] + y[:4])) % 97 == 1
     kinds = [
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x, at: True),
@@ -207,8 +209,8 @@ def plain_spans(text):
         ("card", r"[0-9]([\x20-]?[0-9])+", lambda x, at: 16 <= len(digits(x)) <= 19 and luhn(digits(x))),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda x, at: 8 <= len(digits(x)) <= 15),
         ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]*(?![A-Za-z0-9])(?: [A-Z0-9]+(?![A-Za-z0-9])){0,9}", None),
-        ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda x, at: not re.search("^000|-00-|0000$", x) and near(at, pii.WORDS["ssn"])),
-        ("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32,64}(?![A-Za-z0-9_-])", lambda x, at: re.search("[0-9]", x) and re.search("[A-Za-z]", x) and near(at, pii.WORDS["secret"])),
+        ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda x, at: not re.search("^000|-00-|0000$", x) and near(x, at, pii.WORDS["ssn"])),
+        ("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32,64}(?![A-Za-z0-9_-])", lambda x, at: re.search("[0-9]", x) and re.search("[A-Za-z]", x) and near(x, at, pii.WORDS["secret"])),
     ]
     found = []
     for kind, pattern, holds in kinds:
