@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .scans import running
+
 
 def paginate(rows: DataFrame, by: list[str], order: list[str], height: float = 792.0) -> DataFrame:
     """toc_page and toc_y of entries; the first page begins at 110, others at 90, lines are 16 apart and end 54 above the page's end."""
@@ -19,8 +21,13 @@ def paginate_sections(rows: DataFrame, by: list[str], order: list[str], height:
 
 
 def _placed(rows: DataFrame, by: list[str], order: list[str], top: Column, later: Column, bottom: Column) -> DataFrame:
+    return _on_pages(rows.withColumn("_i", F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1), top, later, bottom)
+
+
+def _on_pages(rows: DataFrame, top: Column, later: Column, bottom: Column) -> DataFrame:
+    """The page and place of entry _i (from 0)."""
     fits = lambda y: F.greatest(F.lit(1), F.floor((bottom - y) / 16))
-    rows = rows.withColumns({"_i": F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1, "_first": fits(top), "_others": fits(later)})
+    rows = rows.withColumns({"_first": fits(top), "_others": fits(later)})
     rest, is_first = F.col("_i") - F.col("_first"), F.col("_i") < F.col("_first")
     page = F.when(is_first, 1).otherwise(F.floor(rest / F.col("_others")) + 2)
     y = F.when(is_first, top + 16 * F.col("_i")).otherwise(later + 16 * F.pmod(rest, F.col("_others")))
@@ -85,10 +92,41 @@ def shift_pages(rows: DataFrame, insertions: DataFrame, by: list[str], page: str
     return both.where("_ins is null").drop("_n", "_kind", "_ins")
 
 
+def shift_pages_in_ranges(rows: DataFrame, insertions: DataFrame, by: list[str], page: str, cut: Column, own: bool = False) -> DataFrame:
+    """J7 for documents of any size: the same pages as shift_pages gives, by a running sum over ranges of pages. cut: a range, told by the column page."""
+    ahead = insertions.select(*by, F.col("start_page").alias(page), F.col("n").alias("_n"), F.lit(1 if own else 0).alias("_kind"), F.lit(True).alias("_ins"))
+    both = rows.withColumn("_kind", F.lit(0 if own else 1)).unionByName(ahead, allowMissingColumns=True)
+    both = running(both, by, [page, "_kind"], cut, {"_added": ("sum", F.col("_n"))})
+    return both.withColumn("shifted_page", F.col(page) + F.col("_added")).where("_ins is null").drop("_n", "_kind", "_ins", "_added")
+
+
+def assign_sections_in_ranges(rows: DataFrame, starts: DataFrame, by: list[str], page: str, cut: Column) -> DataFrame:
+    """J5, J6, W15 for documents of any size: the same sections as assign_sections gives."""
+    both = rows.withColumn("_kind", F.lit(1)).unionByName(starts.withColumn("_kind", F.lit(0)), allowMissingColumns=True).withColumnRenamed("section", "_own")
+    both = running(both, by, [page, "_kind"], cut, {"section": ("last", F.col("_own"))})
+    return both.where("_kind = 1").drop("_kind", "_own")
+
+
+def paginate_in_ranges(rows: DataFrame, by: list[str], order: list[str], cut: Column, height: float = 792.0) -> DataFrame:
+    """W12 for documents of any size: the same places as paginate gives."""
+    rows = running(rows, by, order, cut, {"_n": ("sum", F.lit(1).cast("long"))})
+    return _on_pages(rows.withColumn("_i", F.col("_n") - 1).drop("_n"), F.lit(110), F.lit(90), F.lit(height - 54)).withColumn("toc_y", F.col("toc_y").cast("int"))
+
+
+def assemble_in_ranges(rows: DataFrame, by: list[str], order: list[str], start: Column, text: str, cut: Column) -> DataFrame:
+    """W7 for documents of any size: the same rows as assemble gives. A row's own lines are still put together in one task."""
+    rows = running(rows, by, order, cut, {"row_number": ("sum", start.cast("int"))})
+    return _joined(rows, by, order, text)
+
+
 def assemble(rows: DataFrame, by: list[str], order: list[str], start: Column, text: str) -> DataFrame:
     """A row starts where start holds; later rows add their text to it; those before the first start are left out."""
     w = W.partitionBy(*by).orderBy(*order)
     rows = rows.withColumn("row_number", F.sum(start.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return _joined(rows, by, order, text)
+
+
+def _joined(rows: DataFrame, by: list[str], order: list[str], text: str) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct(*order, text)))
     return rows.where("row_number > 0").groupBy(*by, "row_number").agg(F.array_join(F.transform(parts, lambda p: p[text]), " ").alias("joined"), F.count("*").alias("n_parts"))
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
-from .layout import with_measures
+from .layout import body_fonts_by_counts, is_footer, left_margins, repeated_texts, with_measures, with_spacing
+from .scans import PAGES, page_range, running
 
 LOW, NUMBERED, PLAIN = 0.35, 0.45, 0.55
 
@@ -52,6 +53,48 @@ def clamp_levels(rows: DataFrame, level: str, by: list[str], order: list[str], f
     return rows.withColumn(level, (F.col("_i") + F.min(F.col("_l") - F.col("_i")).over(w.rowsBetween(W.unboundedPreceding, 0))).cast("int")).drop("_i", "_l")
 
 
+def clamp_levels_in_ranges(rows: DataFrame, level: str, by: list[str], order: list[str], cut: Column, first: int | None = 1) -> DataFrame:
+    """W3 for groups of any size: the same levels as clamp_levels gives, by two running values over ranges (scans.running)."""
+    rows = running(rows, by, order, cut, {"_i": ("sum", F.lit(1).cast("long"))})
+    start = F.col(level) if first is None else F.when(F.col("_i") == 1, F.lit(first)).otherwise(F.col(level))
+    rows = running(rows, by, order, cut, {"_least": ("min", start - F.col("_i"))})
+    return rows.withColumn(level, (F.col("_i") + F.col("_least")).cast("int")).drop("_i", "_least")
+
+
+def detect_headings_in_ranges(lines: DataFrame, share: float = 0.3, pages: int = PAGES) -> DataFrame:
+    """C1 for documents of any size: the rows of detect_headings over lines without boilerplate and with spacing, no document in one task.
+
+    Texts on many pages, the body's size, the margin, styles and their ranks come from counts, which partial aggregates make; windows hold a
+    page, or a range of pages whose levels go on from the range before. It costs more scans than detect_headings, so that is for usual documents.
+    """
+    y0, h = F.col("y0"), F.col("page_height")
+    again = repeated_texts(lines, share).select("doc_id", "normalized_text", F.lit(True).alias("_again"))
+    edge = (y0 <= F.greatest(F.lit(120.0), h * 0.12)) | is_footer(y0, h)
+    own = ~F.trim("text").rlike(X.PAGE_NUMBER) & ~F.col("text").rlike(X.COPYRIGHT)
+    rows = lines.join(again, ["doc_id", "normalized_text"], "left").where(own & ~(edge & F.col("_again").isNotNull())).drop("_again")
+    rows = with_spacing(rows)
+    rows = rows.join(body_fonts_by_counts(rows), "doc_id").join(left_margins(rows), "doc_id")
+    rows = rows.withColumn("score", score()).where(F.col("score") >= LOW)
+    style = {"_s": F.bround(F.col("font_size") * 2) / 2, "_b": F.col("is_bold"), "_x": F.floor(F.col("x0") / 10) * 10}
+    rows = rows.withColumns(style)
+    rows = rows.join(rows.groupBy("doc_id", *style).agg((F.count("*") >= 2).alias("_often")), ["doc_id", *style])
+    rows = rows.withColumn("confidence", F.least(F.lit(0.99), F.col("score") + F.when(F.col("_often"), 0.08).otherwise(0.0))).drop(*style, "_often")
+    numbered = F.trim("text").rlike(X.NUMBERED)
+    rows = rows.where(F.col("confidence") >= F.when(numbered, NUMBERED).otherwise(PLAIN)).withColumn("title", X.clean_title(F.col("text")))
+    order = ["page_number", "y0", "x0", "line_order"]
+    kept = ["line_order", "title", "confidence", "font_size", "is_bold", "x0", "y0"]
+    first = F.min_by(F.struct(*kept), F.struct("y0", "x0", "line_order"))
+    rows = rows.groupBy("doc_id", "normalized_text", "page_number").agg(first.alias("r")).select("doc_id", "page_number", "r.*")
+    rows = rows.withColumns({"_numbered": F.col("title").rlike(X.NUMBERED), "_size": F.bround("font_size", 1)})
+    rank = F.dense_rank().over(W.partitionBy("doc_id", "_numbered").orderBy(F.col("_size").desc(), F.col("is_bold").desc()))
+    styles = rows.select("doc_id", "_numbered", "_size", "is_bold").distinct().withColumn("_rank", rank)
+    rows = rows.join(styles, ["doc_id", "_numbered", "_size", "is_bold"])
+    depth = F.size(F.split(F.regexp_extract("title", X.NUMBERED, 1), r"\."))
+    level = F.when(F.col("_numbered"), F.least(F.lit(6), depth)).when(F.col("title").rlike(X.KEYWORD), 1).otherwise(F.least(F.lit(6), F.col("_rank")))
+    rows = clamp_levels_in_ranges(rows.withColumn("level", level.cast("int")), "level", ["doc_id"], order, page_range("page_number", pages))
+    return rows.select("doc_id", "page_number", "line_order", "title", "level", "confidence", "font_size", "is_bold", "x0", "y0")
+
+
 def detect_headings(lines: DataFrame) -> DataFrame:
     """Score, style bonus, thresholds, first of equal titles on a page, level, clamp."""
     rows = scored(lines).where(F.col("score") >= LOW)

@@ -53,6 +53,22 @@ def body_fonts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.coalesce(F.median(plain), F.median(size), F.lit(10.0)).alias("body_font_size"))
 
 
+def body_fonts_by_counts(lines: DataFrame) -> DataFrame:
+    """A1 of documents of any size: lines are counted by rounded size, and the middle is found by running sums over the sizes, which are few."""
+    plain = ~F.col("is_bold") & F.length("text").between(20, 180)
+    counts = lines.groupBy("doc_id", F.bround("font_size", 1).alias("size")).agg(F.count_if(plain).alias("plain"), F.count("font_size").alias("every"))
+    of, upto = W.partitionBy("doc_id"), W.partitionBy("doc_id").orderBy("size").rowsBetween(W.unboundedPreceding, 0)
+    rows, middles = counts.where("size is not null"), {}
+    for n in ("plain", "every"):
+        rows = rows.withColumns({f"{n}_n": F.sum(n).over(of), f"{n}_to": F.sum(n).over(upto)})
+        # the first size that reaches the lower and the upper middle place
+        reach = lambda place, n=n: F.min(F.when(F.col(f"{n}_to") >= place, F.col("size")))
+        lower, upper = F.floor((F.col(f"{n}_n") + 1) / 2), F.floor(F.col(f"{n}_n") / 2) + 1
+        middles[n] = F.when(F.max(f"{n}_n") > 0, (reach(lower) + reach(upper)) / 2)
+    found = rows.groupBy("doc_id").agg(middles["plain"].alias("plain"), middles["every"].alias("every"))
+    return counts.select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("plain", "every", F.lit(10.0)).alias("body_font_size"))
+
+
 def left_margins(lines: DataFrame) -> DataFrame:
     """A2: the most frequent x0 of lines over 20 characters, to multiples of five; of equals the one seen first; else 0."""
     x = (F.bround(F.col("x0") / 5) * 5).alias("x")

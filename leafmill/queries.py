@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import catalog, cells, contents, headings, items, layout, outline, pages, revision
+from .operators import catalog, cells, contents, headings, items, layout, outline, pages, revision, scans
 from .operators import rows as rows_of_contents
 from .plans import composite, dry_run
 from .sources import records
@@ -541,3 +541,55 @@ def q_listed_lines(spark, d):
     y0 = 72.0 + 14 * F.floor(place / 3) + place % 3
     number = F.col("line_order") - place % 3 + 2 - place % 3
     return layout.listed_lines(_lines(spark, d).select("doc_id", "page_number", number.cast("int").alias("word_number"), "text", "x0", y0.alias("y0"), (y0 + 10).alias("y1"), "page_height"))
+
+
+# The same over groups of any size, by ranges that carry on from each other; here a few groups hold all rows.
+
+
+@query(f"WITH {_HEADINGS} SELECT doc_id, page_number, line_order, title, level, round(confidence, 6) AS confidence, font_size, is_bold, x0, y0 FROM headings")
+def q_headings_in_ranges(spark, d):
+    return headings.detect_headings_in_ranges(_lines(spark, d)).withColumn("confidence", F.round("confidence", 6))
+
+
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    """A document for each status, an order a page."""
+    return read(spark, d, "orders").select(F.col("o_orderstatus").alias("doc"), F.col("o_orderkey").alias("page"))
+
+
+@query("""SELECT o_orderstatus AS doc, o_orderkey AS page, o_orderkey + coalesce(sum(CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 3 + 1 END) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey), 0)::BIGINT AS shifted_page,
+    o_orderkey + coalesce(sum(CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 3 + 1 END) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS own_page FROM orders""")
+def q_page_shift_in_ranges(spark, d):
+    orders = _orders(spark, d)
+    inserted = orders.where("page % 7 = 0").select("doc", F.col("page").alias("start_page"), (F.col("page") % 3 + 1).alias("n"))
+    cut = scans.page_range("page", 1000)
+    own = contents.shift_pages_in_ranges(orders, inserted, ["doc"], "page", cut, own=True).withColumnRenamed("shifted_page", "own_page")
+    return contents.shift_pages_in_ranges(own, inserted, ["doc"], "page", cut)
+
+
+@query("SELECT o_orderstatus AS doc, o_orderkey AS page, max(CASE WHEN o_orderkey % 1009 = 0 THEN o_orderkey END) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS section FROM orders")
+def q_section_assign_in_ranges(spark, d):
+    """Sections are longer than ranges, so most ranges have the section of one before."""
+    orders = _orders(spark, d)
+    return contents.assign_sections_in_ranges(orders, orders.where("page % 1009 = 0").withColumn("section", F.col("page")), ["doc"], "page", scans.page_range("page", 500))
+
+
+@query("""WITH r AS (SELECT o_orderstatus AS doc, o_orderkey AS page, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS i FROM orders)
+    SELECT doc, page, CASE WHEN i < 39 THEN 1 ELSE (i - 39) // 40 + 2 END::INT AS toc_page, CASE WHEN i < 39 THEN 110 + 16 * i ELSE 90 + 16 * ((i - 39) % 40) END::INT AS toc_y FROM r""")
+def q_toc_pagination_in_ranges(spark, d):
+    return contents.paginate_in_ranges(_orders(spark, d), ["doc"], ["page"], scans.page_range("page", 1000))
+
+
+@query("""WITH r AS (SELECT o_orderstatus AS doc, o_orderkey AS page, 1 + o_orderkey * 7919 % 6 AS l, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS i FROM orders),
+    f AS (SELECT *, CASE WHEN i = 1 THEN 1 ELSE l END AS s FROM r)
+    SELECT doc, page, (i + min(s - i) OVER (PARTITION BY doc ORDER BY page))::INT AS level FROM f""")
+def q_level_clamp_in_ranges(spark, d):
+    rows = _orders(spark, d).withColumn("level", (1 + F.col("page") * 7919 % 6).cast("int"))
+    return headings.clamp_levels_in_ranges(rows, "level", ["doc"], ["page"], scans.page_range("page", 1000))
+
+
+@query("""WITH s AS (SELECT *, sum((role = 'user')::INT) OVER (ORDER BY conv_id, turn) AS row_number FROM conversations)
+    SELECT 1 AS doc, row_number::BIGINT AS row_number, string_agg(text, ' ' ORDER BY conv_id, turn) AS joined, count(*) AS n_parts FROM s WHERE row_number > 0 AND text IS NOT NULL GROUP BY ALL""")
+def q_row_assembly_in_ranges(spark, d):
+    """All conversations are one document, one a page."""
+    rows = read(spark, d, "conversations").where("text is not null").withColumn("doc", F.lit(1))
+    return contents.assemble_in_ranges(rows, ["doc"], ["conv_id", "turn"], F.col("role") == "user", "text", scans.page_range("conv_id", 16))
