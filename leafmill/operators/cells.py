@@ -198,6 +198,10 @@ def effective_cells(entries: DataFrame, segments: DataFrame) -> DataFrame:
     return rows.select(*entries.columns, *cells)
 
 
+#: Where rows of a blank page begin, and how far they are apart.
+BLANK_FIRST_Y, BLANK_LINE = 140.0, 12.0
+
+
 def blank_page_rows(height: Column) -> Column:
     """Rows of one column of a blank page (12 points each, from 140 to the body's end)."""
     return F.greatest(F.lit(1), F.floor((F.least(F.lit(590.0), height - 175) - 140) / 12).cast("int"))

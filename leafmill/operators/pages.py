@@ -79,6 +79,11 @@ def reference_pages(pages: DataFrame, coverage: DataFrame) -> DataFrame:
     return found.unionByName(images.where(needs_ocr(F.coalesce("n_words", F.lit(0)), F.col("coverage"))).select(*PAGE)).distinct()
 
 
+def coverage_of(words: DataFrame) -> DataFrame:
+    """Pages' coverage by images (PAGE, coverage) where none is known: no rows."""
+    return words.select(*PAGE, F.lit(0.0).alias("coverage")).where(F.lit(False))
+
+
 def effective_pages(pages: DataFrame, report: bool = False) -> DataFrame:
     """lists of effective pages, as revisions look for them or (report) as the report on them does."""
     loose = _has("REV") | _has("DATE") if report else _has("PAGE", "REV")

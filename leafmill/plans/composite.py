@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
-from ..operators import contents, outline, pages, revision, rows
+from ..operators import cells, contents, outline, pages, revision, rows
 from ..operators.headings import clamp_levels
 
 
@@ -36,11 +36,13 @@ def linked_item_rows(rows: DataFrame, items: DataFrame, missing: str) -> DataFra
     return contents.resolve(rows, index, ["doc_id", "label"], missing)
 
 
-def link_plan(words: DataFrame, titles: DataFrame) -> DataFrame:
-    """C3 from words to links: contents pages, their entries, the indexes of page labels and items, and each entry's target.
+def link_plan(words: DataFrame, titles: DataFrame, coverage: DataFrame | None = None, ocr_words: DataFrame | None = None) -> DataFrame:
+    """C3 from words to links: contents and reference pages, their entries, the indexes of page labels and items, and each entry's target.
 
     words: of pages, from 1. titles: of outline.title_index. An entry has its rectangle, and target_page (counted from 0) and target_y, or
-    unresolved_reason. A chapter's entries are found by their item's first place in the body, the document's by label, title and front matter.
+    unresolved_reason. A chapter's entries and references are found by their item's first place in the body, the document's by label, title and
+    front matter. coverage (doc_id, page_number, coverage) says how much of a page images cover, ocr_words are the words read from them: where
+    both are given, reference pages that are images have rows, too.
     """
     texts = pages.page_texts(words)
     first, local = pages.contents_pages(texts), pages.local_contents_pages(texts)
@@ -50,9 +52,13 @@ def link_plan(words: DataFrame, titles: DataFrame) -> DataFrame:
     items = pages.item_labels(pages.word_lines(words), texts, both).withColumn("page_number", F.col("page_number") - 1)
     by_item = linked_item_rows(found.where("toc_type = 'local'"), items, "item_label_not_found_in_body")
     by_item = by_item.withColumn("target_label", F.col("label")).withColumnRenamed("target", "target_page")
+    area = pages.coverage_of(words) if coverage is None else coverage
+    named = rows.reference_rows(words, pages.reference_pages(texts, area), ocr_words, coverage)
+    by_reference = linked_item_rows(named, items, "eicas_item_not_found_in_body").withColumn("chapter", F.lit(None).cast("string"))
+    by_reference = by_reference.withColumn("target_label", F.col("label")).withColumnRenamed("target", "target_page")
     by_label = linked_global_rows(found.where("toc_type = 'global'"), labels, titles).withColumnRenamed("target", "target_page").withColumn("target_y", F.lit(0.0))
     kept = ["doc_id", "page_number", "toc_type", "row_number", "title", "level", "chapter", "reference_text", "target_label", *rows.RECT, "target_page", "target_y", "unresolved_reason"]
-    return by_label.select(*kept).unionByName(by_item.select(*kept))
+    return by_label.select(*kept).unionByName(by_item.select(*kept)).unionByName(by_reference.select(*kept))
 
 
 def link_edits(plan: DataFrame, links: DataFrame) -> DataFrame:
@@ -163,6 +169,50 @@ def effective_rows(stamped: DataFrame, entries: DataFrame) -> DataFrame:
     return updated.select(*columns).unionByName(filled.select(*columns)).unionByName(alone.select(*columns))
 
 
+def placed_on_blank_pages(overflow: DataFrame, blank: DataFrame) -> DataFrame:
+    """C6 to its end (J10, X29, F12): overflow rows (of effective_rows) to places of the document's blank pages, in natural order of labels.
+
+    blank: doc_id, page_number, page_width, page_height of pages.blank_effective_pages. Pages may hold unlike numbers of rows: a row's place
+    among a document's overflow meets the page whose running sum of rows covers it, by one sort. Rows have lep_page, lep_y, label_x, date_x,
+    rev_x and outcome `continued`; rows beyond all pages, and of documents without a blank page, stay `overflow` and have no place.
+    """
+    fits = cells.blank_page_rows(F.col("page_height"))
+    slots = blank.select("doc_id", "page_number", fits.alias("in_column"), cells.blank_page_columns(F.col("page_width")).alias("columns"))
+    slots = slots.withColumn("_fits", F.col("in_column") * F.size("columns"))
+    before = W.partitionBy("doc_id").orderBy("page_number").rowsBetween(W.unboundedPreceding, -1)
+    slots = slots.withColumn("_i", F.coalesce(F.sum("_fits").over(before), F.lit(0)))
+    page = F.struct("page_number", "in_column", "columns", F.col("_i").alias("first"), "_fits")
+    natural = W.partitionBy("doc_id").orderBy(X.natural_key(F.col("label")), "label", "new_revision")
+    numbered = overflow.withColumn("_i", F.row_number().over(natural) - 1)
+    both = numbered.withColumn("_kind", F.lit(1)).unionByName(slots.select("doc_id", "_i", F.lit(0).alias("_kind"), page.alias("_page")), allowMissingColumns=True)
+    upto = W.partitionBy("doc_id").orderBy("_i", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    met = both.withColumn("_p", F.last("_page", ignorenulls=True).over(upto)).where("_kind = 1")
+    at = F.col("_i") - F.col("_p.first")
+    inside = at < F.col("_p._fits")
+    column = F.get("_p.columns", F.floor(at / F.col("_p.in_column")).cast("int"))
+    there = lambda c: F.when(inside, c)
+    out = met.withColumns({
+        "lep_page": there(F.col("_p.page_number")).cast("int"), "lep_y": there(F.lit(cells.BLANK_FIRST_Y) + cells.BLANK_LINE * (at % F.col("_p.in_column"))),
+        "label_x": there(column["label_x"]), "date_x": there(column["date_x"]), "rev_x": there(column["rev_x"]),
+        "outcome": F.when(inside, "continued").otherwise(F.col("outcome"))})
+    return out.drop("_i", "_kind", "_page", "_p")
+
+
+def revised_lists(changes: DataFrame, words: DataFrame, sizes: DataFrame, revision_value: str | None = None) -> DataFrame:
+    """C6 from words to rows of lists of effective pages: stamped changes, rows in their slots, and what overflows on blank pages of the lists.
+
+    changes: doc_id, page_index, page_label, change_type. words: of pages, from 1. sizes: doc_id, page_number, page_width, page_height.
+    Columns: of effective_rows, with label_x, date_x and rev_x of rows on blank pages. cell_overwrites makes the edits of it.
+    """
+    texts = pages.page_texts(words)
+    entries = pages.effective_entries(words.join(pages.effective_pages(texts), pages.PAGE, "left_semi"))
+    stamped = stamped_changes(changes, entries, pages.current_revisions(words), revision_value)
+    placed = effective_rows(stamped, entries)
+    blank = pages.blank_effective_pages(texts).join(sizes, ["doc_id", "page_number"])
+    rest = placed_on_blank_pages(placed.where("outcome = 'overflow'"), blank)
+    return placed.where("outcome != 'overflow'").unionByName(rest, allowMissingColumns=True)
+
+
 def modes(documents: DataFrame, global_pages: DataFrame, local_pages: DataFrame, items: DataFrame) -> DataFrame:
     """How each document (doc_id) is processed, by the contents pages it has and whether it has item tables."""
     rows = documents.select("doc_id")

@@ -543,6 +543,50 @@ def q_listed_lines(spark, d):
     return layout.listed_lines(_lines(spark, d).select("doc_id", "page_number", number.cast("int").alias("word_number"), "text", "x0", y0.alias("y0"), (y0 + 10).alias("y1"), "page_height"))
 
 
+def _list_words(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of effective pages made of suppliers, a document for each nation: half of its suppliers have rows, two pages of unlike size are left blank."""
+    rows = read(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("doc_id"), F.col("s_suppkey").alias("k"))
+    listed = rows.where("k % 4 < 2").select("doc_id", (100 + F.floor(F.col("k") / 40)).cast("int").alias("page_number"), F.col("k").cast("int").alias("line_number"), (100 + 12.0 * (F.col("k") % 40)).alias("y0"),
+        F.concat(F.lit("21-"), F.col("k").cast("string")).alias("label"))
+    word = lambda text, n, x: F.struct(text.alias("text"), F.lit(n).alias("word_number"), F.lit(float(x)).alias("x0"))
+    entries = listed.select("doc_id", "page_number", "line_number", "y0", F.explode(F.array(word(F.col("label"), 0, 80), word(F.lit("JAN"), 1, 142), word(F.lit("3"), 2, 202))).alias("w"))
+    title = lambda text: F.array(*[word(F.lit(w), i, 80 + 40 * i) for i, w in enumerate(text.split())])
+    titles = listed.select("doc_id", "page_number").distinct().select("doc_id", "page_number", F.explode(title("LIST OF EFFECTIVE PAGES")).alias("w"))
+    blank = rows.select("doc_id").distinct().select("doc_id", F.explode(F.array(F.lit(2001), F.lit(2002))).alias("page_number"))
+    blank = blank.select("doc_id", "page_number", F.explode(title("LIST OF EFFECTIVE PAGES INTENTIONALLY LEFT BLANK")).alias("w"))
+    heads = titles.unionByName(blank).withColumns({"line_number": F.lit(-1), "y0": F.lit(60.0)})
+    every = entries.unionByName(heads).select("doc_id", "page_number", F.lit(0).alias("block_number"), "line_number", "w.*", "y0")
+    return every.withColumns({"x1": F.col("x0") + 30, "y1": F.col("y0") + 9})
+
+
+@query("""WITH r AS (SELECT s_nationkey::BIGINT AS doc_id, s_suppkey AS k FROM supplier),
+    slots AS (SELECT doc_id, 100 + k // 40 AS page, 100 + 12.0 * (k % 40) AS y, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM r WHERE k % 4 < 2),
+    has AS (SELECT DISTINCT doc_id FROM slots),
+    out AS (SELECT doc_id, CASE WHEN k % 4 = 2 THEN 'TOC 21-' ELSE '21-' END || k AS label, k % 4 = 2 AS is_new, CASE WHEN k % 4 = 2 THEN '4' ELSE '3' END AS rev, k,
+            row_number() OVER (PARTITION BY doc_id ORDER BY (k % 4 = 2) DESC, k) AS i
+        FROM r SEMI JOIN has USING (doc_id) WHERE k % 4 = 2 OR k % 4 < 2 AND EXISTS (SELECT 1 FROM r AS n WHERE n.doc_id = r.doc_id AND n.k % 4 = 2)),
+    filled AS (SELECT o.*, page, y FROM out AS o LEFT JOIN slots USING (doc_id, i)),
+    over AS (
+        SELECT doc_id, label, rev, is_new AS toc, 21 AS chapter, k FROM filled WHERE page IS NULL
+        UNION ALL SELECT doc_id, '33-' || k, '1', false, 33, k FROM r WHERE k % 4 = 3
+        UNION ALL SELECT doc_id, '21-' || k, '1', false, 21, k FROM r ANTI JOIN has USING (doc_id) WHERE k % 4 = 2),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY toc, chapter, k) - 1 AS i FROM over),
+    cells AS (
+        SELECT doc_id, page, y, label, rev FROM filled WHERE page IS NOT NULL
+        UNION ALL SELECT doc_id, 2001, 140 + 12.0 * (i % 7), label, rev FROM placed WHERE i < 21
+        UNION ALL SELECT doc_id, 2002, 140 + 12.0 * ((i - 21) % 37), label, rev FROM placed WHERE i BETWEEN 21 AND 21 + 110)
+    SELECT doc_id, page::INT AS page_number, y::DOUBLE AS y, c."column" AS "column", c.value AS value FROM cells, unnest([{'column': 'label', 'value': label}, {'column': 'revision', 'value': rev}]) AS t(c)""")
+def q_revised_lists(spark, d):
+    """C6 from words to cells: a quarter of the suppliers are changes whose label their chapter lacks, another quarter's chapter isn't listed at all."""
+    rows = read(spark, d, "supplier").where("s_suppkey % 4 > 1")
+    label = F.concat(F.when(F.col("s_suppkey") % 4 == 2, "21-").otherwise("33-"), F.col("s_suppkey").cast("string"))
+    changes = rows.select(F.col("s_nationkey").cast("long").alias("doc_id"), F.col("s_suppkey").cast("int").alias("page_index"), label.alias("page_label"), F.lit("content").alias("change_type"))
+    words = _list_words(spark, d)
+    size = lambda small, large: F.when(F.col("page_number") == 2001, float(small)).otherwise(float(large))
+    sizes = words.select("doc_id", "page_number").distinct().withColumns({"page_width": size(500, 612), "page_height": size(400, 792)})
+    return composite.cell_overwrites(composite.revised_lists(changes, words, sizes))
+
+
 # The same over groups of any size, by ranges that carry on from each other; here a few groups hold all rows.
 
 

@@ -62,6 +62,45 @@ def test_link_plan(spark):
     assert sorted((r.title, r.page, r.source) for r in headings) == [("21 AIR CONDITIONING", 2, "existing_global_toc"), ("21-52-01 Pack valves in flight", 2, "existing_local_toc"), ("COVER PAGE", 0, "existing_global_toc")]
 
 
+def test_link_plan_with_references(spark):
+    """C3 takes reference pages, too: a page of messages names one item of the body and one that isn't there; an image page names one."""
+    messages = [(50, [(72, "EICAS MESSAGES MEL ITEM EM-1")]), (300, [(72, "PACK L"), (340, "21-52-01")]), (330, [(72, "FAN"), (340, "21-52-09")])]
+    last = [(50, [(72, "EM-3")])]
+    words = words_of(spark, [*PAGES, messages, [(300, [(72, "scan")])], last])
+    titles = outline.title_index(spark.createDataFrame([(1, 0, 1, "Something", 2)], "doc_id long, ord int, level int, title string, page_number int"))
+    kept = lambda plan: {(r.page_number, r.title): (r.target_label, r.target_page, r.unresolved_reason) for r in plan.where("toc_type = 'reference'").collect()}
+    of_words = {
+        (4, "EICAS reference 21-52-01"): ("21-52-01", 2, None),
+        (4, "EICAS reference 21-52-09"): ("21-52-09", None, "eicas_item_not_found_in_body"),
+    }
+    plan = composite.link_plan(words, titles)
+    assert kept(plan) == of_words and plan.where("toc_type != 'reference'").count() == 5
+    ocr = spark.createDataFrame([(1, 5, 0, 0, 900, "21-52-01", 340.0, 300.0, 380.0, 310.0)], WORDS)
+    coverage = spark.createDataFrame([(1, 5, 0.8), (1, 6, 0.1)], "doc_id long, page_number int, coverage double")
+    assert kept(composite.link_plan(words, titles, coverage, ocr)) == of_words | {(5, "EICAS OCR reference 21-52-01"): ("21-52-01", 2, None)}
+    # of the links on a reference page, only those beneath a new one go
+    links = spark.createDataFrame([(1, 4, 340.0, 300.0, 350.0, 305.0), (1, 4, 0.0, 700.0, 9.0, 709.0), (1, 4, 340.0, 330.0, 350.0, 335.0)], "doc_id long, page_number int, x0 double, y0 double, x1 double, y1 double")
+    edits = composite.link_edits(plan, links).where("page_number = 4").collect()
+    assert sorted((r.operation, r.target_page) for r in edits) == [("delete_link", None), ("insert_link", 2)]
+
+
+def test_rows_on_blank_pages(spark):
+    """Two blank pages of 21 and 111 rows, then none; a document without one."""
+    rows = [(1, f"33-{i}", "2", i % 2 == 0, None, None, "overflow") for i in range(140)] + [(2, "33-1", "2", True, None, None, "overflow")]
+    overflow = spark.createDataFrame(rows, "doc_id long, label string, new_revision string, is_new boolean, lep_page int, lep_y double, outcome string").repartition(5)
+    blank = spark.createDataFrame([(1, 9, 612.0, 792.0), (1, 4, 500.0, 400.0)], "doc_id long, page_number int, page_width double, page_height double")
+    found = {(r.doc_id, int(r.label[3:])): (r.lep_page, r.lep_y, r.label_x, r.outcome) for r in composite.placed_on_blank_pages(overflow, blank).collect()}
+    assert len(found) == 141 and found[2, 1] == (None, None, None, "overflow")
+    for i in range(140):
+        if i < 21:
+            want = (4, 140.0 + 12 * (i % 7), 60.0 + 380 / 3 * (i // 7), "continued")
+        elif i < 132:
+            want = (9, 140.0 + 12 * ((i - 21) % 37), (80.0, 230.0, 380.0)[(i - 21) // 37], "continued")
+        else:
+            want = (None, None, None, "overflow")
+        assert found[1, i] == want
+
+
 def test_overlaps(spark):
     of = lambda *x: spark.createDataFrame(x, "page int, x0 double, y0 double, x1 double, y1 double")
     rects = of((1, 0.0, 0.0, 5.0, 5.0), (1, 5.0, 0.0, 6.0, 5.0), (2, 0.0, 0.0, 5.0, 5.0))
