@@ -28,11 +28,11 @@ def _listed(rows: DataFrame, name: str, order: list[str], *attributes: Column) -
     return items.select(*PAGE, F.struct(F.transform("all", lambda e, i: F.struct(i.cast("string").alias("_index"), *[e["v"][f].alias(f) for f in fields])).alias(name)).alias(name + "s"))
 
 
-def page_trees(spans: DataFrame, page_info: DataFrame, links: DataFrame | None = None, annotations: DataFrame | None = None) -> DataFrame:
+def page_trees(spans: DataFrame, page_info: DataFrame, links: DataFrame | None = None, annotations: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
     """Per page _doc_id, _number, _width, _height, _rotation and block (array of line, of span). A span's text is its value.
 
     links (PAGE, ord, kind, target_page from 1, uri, box) and annotations (PAGE, ord, type, content, box) add the elements links and
-    annotations to pages that have some. All levels are grouped within a page, so spans are shuffled once, by page.
+    annotations to pages that have some. images (PAGE, block_number, width, height, ext, box) are blocks among those of text. All levels are grouped within a page, so spans are shuffled once, by page.
     """
     text = F.struct(
         F.col("span_number").cast("string").alias("_index"), F.col("font").alias("_font"), X.number_text(F.col("size")).alias("_size"), X.color_hex(F.col("color")).alias("_color"),
@@ -43,7 +43,12 @@ def page_trees(spans: DataFrame, page_info: DataFrame, links: DataFrame | None =
     lines = spans.repartition(*PAGE).groupBy(*PAGE, "block_number", "line_number").agg(_ordered("span_number", text).alias("span"), *bounds)
     line = F.struct(F.col("line_number").cast("string").alias("_index"), *_box("x0", "y0", "x1", "y1"), "span")
     blocks = lines.groupBy(*PAGE, "block_number").agg(_ordered("line_number", line).alias("line"), *bounds)
-    block = F.struct(F.col("block_number").cast("string").alias("_index"), F.lit("text").alias("_type"), *_box("x0", "y0", "x1", "y1"), "line")
+    size = []
+    if images is not None:
+        size = [F.col(c).cast("string").alias(f"_{c}") for c in ("width", "height", "ext")]
+        blocks = blocks.unionByName(images.select(*PAGE, "block_number", "x0", "y0", "x1", "y1", "width", "height", "ext", F.lit(True).alias("image")), allowMissingColumns=True)
+    kind = F.when(F.col("image"), "image").otherwise("text") if size else F.lit("text")
+    block = F.struct(F.col("block_number").cast("string").alias("_index"), kind.alias("_type"), *size, *_box("x0", "y0", "x1", "y1"), "line")
     pages = page_info.join(blocks.groupBy(*PAGE).agg(_ordered("block_number", block).alias("block")), PAGE, "left")
     more = []
     if links is not None:
