@@ -14,7 +14,6 @@ SAVED = {
     "process_log": ("process_log_saved", "info", "Saved process diagnostics log for"),
     "xml": ("xml_conversion_ready", "success", "XML conversion ready for"),
 }
-MAX_BYTES = 500 * 1024 * 1024
 
 
 def read_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -27,13 +26,6 @@ def read_activity(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
 
 
-def valid_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Files with reason, null where a file passes: name, size and first bytes."""
-    files = spark.read.format("binaryFile").load(path)
-    reason = F.when(~F.lower("path").endswith(".pdf"), "not_pdf_name").when(F.col("length") == 0, "empty").when(F.col("length") > MAX_BYTES, "too_large").when(F.substring(F.col("content"), 1, 5) != F.lit("%PDF-").cast("binary"), "not_pdf")
-    return files.select("path", "length", reason.alias("reason"))
-
-
 def with_workflow(records: DataFrame) -> DataFrame:
     """M4: records without a workflow get xml if they have only an XML path, else toc."""
     old = F.when(F.col("xml_path").isNotNull() & F.col("output_path").isNull() & F.col("toc_path").isNull(), "xml").otherwise("toc")
