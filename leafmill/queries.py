@@ -408,6 +408,36 @@ def q_dry_run(spark, d):
     return report.select("doc_id", "mode", "linkable_rows", "unresolved_rows", "inserted_page_count", "safe_to_apply")
 
 
+_DRY_MODES = """f AS (SELECT o_custkey AS doc_id, bool_or(o_orderkey % 5 = 0) AS g, bool_or(o_orderkey % 7 = 0) AS l, bool_or(o_orderkey % 4 = 0) AS i, bool_or(o_orderkey % 3 = 0) AS y, count_if(o_orderkey % 15 = 0) AS p FROM orders GROUP BY ALL),
+    m AS (SELECT doc_id, CASE WHEN g AND NOT l AND p > 0 THEN 'insert' WHEN g OR l THEN 'repair' WHEN i OR y THEN 'generate' ELSE 'none' END AS mode FROM f)"""
+
+
+@query(f"""WITH {_DRY_MODES}, pages AS (SELECT doc_id, mode, o_orderkey AS k FROM m JOIN orders ON o_custkey = doc_id),
+    changes AS (
+        SELECT doc_id, 'insert_page' AS change_type, 'TOC 21-1' AS page_label, 'missing_chapter_toc' AS reason, NULL::BIGINT AS page_number, k AS final_page_number, k AS insert_before_page FROM pages WHERE mode = 'insert' AND k % 15 = 0
+        UNION ALL SELECT doc_id, 'insert_page', 'TOC-1', 'new_front_toc', NULL, 1, 1 FROM m WHERE mode = 'generate'
+        UNION ALL SELECT doc_id, 'repair_links', CASE WHEN k % 9 = 0 THEN '22-' || (k % 50) ELSE 'PDF page ' || k END, 'annotation_only_link_repair', k, k, NULL FROM pages
+            WHERE mode = 'repair' AND k % 2 = 1 OR mode = 'insert' AND (k % 2 = 1 OR k % 6 = 0))
+    SELECT *, CASE WHEN doc_id % 2 = 1 THEN 'manual_review_no_lep' WHEN page_label IN ('TOC 21-1', '22-7', '22-9', '22-27') THEN 'update_row' ELSE 'insert_row' END AS lep_action FROM changes""")
+def q_dry_run_changes(spark, d):
+    """C7's changed pages, over words: some pages bear labels, and every other document has a list of effective pages."""
+    orders = read(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page_number"))
+    every = lambda n: orders.where(F.col("page_number") % n == 0)
+    heads = lambda n: every(n).select("doc_id", "page_number", F.lit(0).alias("line_order"), F.lit("x").alias("title"), F.lit(1).alias("level"))
+    plans = every(15).select("doc_id", F.lit("21").alias("chapter"), F.col("page_number").alias("start_page"), F.lit(1).cast("long").alias("n_pages"), F.col("page_number").alias("first_toc_page"))
+    key = F.col("page_number")
+    rows = orders.select("doc_id", "page_number", F.lit("global").alias("toc_type"), F.when(key % 6 == 0, "TOC 21-1").otherwise("x").alias("target_label"), F.when(key % 2 == 1, key).alias("target"))
+    customers = read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"))
+    labels = every(9).select("doc_id", "page_number", F.lit(0).alias("line_number"), F.lit(0).alias("word_number"), F.concat(F.lit("22-"), (key % 50).cast("string")).alias("text"))
+    of_list = [w for n, line in enumerate(("LIST OF EFFECTIVE PAGES", "TOC 21-1 JAN 3", "22-7 JAN 3 22-9 FEB 4 22-27 MAR 1")) for w in enumerate(line.split(), 100 * n)]
+    listed = F.explode(F.array(*[F.struct(F.lit(n // 100).alias("line_number"), F.lit(n).alias("word_number"), F.lit(w).alias("text")) for n, w in of_list]))
+    lists = customers.where("doc_id % 2 = 0").select("doc_id", F.lit(-1).cast("long").alias("page_number"), listed.alias("w")).select("doc_id", "page_number", "w.*")
+    place = {"block_number": F.lit(0), "x0": 60.0 + 40 * (F.col("word_number") % 100), "y0": 50.0 + 14 * F.col("line_number")}
+    words = labels.unionByName(lists).withColumns(place).withColumns({"x1": F.col("x0") + 30, "y1": F.col("y0") + 9})
+    _, changed = dry_run.dry_run(customers, (every(5), every(7), orders.where("false")), heads(4), heads(3), plans, rows, words, track_links=True)
+    return changed.select("doc_id", "change_type", "page_label", "reason", "page_number", "final_page_number", "insert_before_page", "lep_action")
+
+
 _COLUMNS = r"""entries AS (SELECT doc_id, page_number, line_order, y0, y1, CASE WHEN line_order % 3 = 0 THEN 'c' || line_order ELSE '' END AS chapter,
         CASE WHEN line_order % 4 IN (0, 1) THEN 'title ' || line_order ELSE '' END AS description, CASE WHEN line_order % 2 = 1 THEN 'p' || line_order ELSE '' END AS reference FROM lines WHERE y0 BETWEEN 80 AND 747),
     started AS (SELECT *, description <> '' OR (chapter <> '' AND reference <> '') AS starts FROM entries WHERE chapter <> '' OR description <> '' OR reference <> ''),
