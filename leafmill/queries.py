@@ -617,6 +617,47 @@ def q_revised_lists(spark, d):
     return composite.cell_overwrites(composite.revised_lists(changes, words, sizes))
 
 
+_PLAN_LABEL = "'21-' || lpad(((k // 100) % 100)::VARCHAR, 2, '0') || '-' || lpad((k % 100)::VARCHAR, 2, '0')"
+
+
+def _plan_words(spark: SparkSession, d: str) -> DataFrame:
+    """A document for each nation, of its suppliers: pages of a chapter's contents, pages of messages that refer to every other one, and a page each for two of three."""
+    k = F.col("k")
+    two = lambda n: F.lpad((n % 100).cast("string"), 2, "0")
+    label = F.concat(F.lit("21-"), two(F.floor(k / 100)), F.lit("-"), two(k))
+    rows = read(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("doc_id"), F.col("s_suppkey").cast("int").alias("k")).withColumn("label", label)
+    word = lambda text, n, x: F.struct((text if not isinstance(text, str) else F.lit(text)).alias("text"), F.lit(n).alias("word_number"), F.lit(float(x)).alias("x0"))
+    line = lambda df, page, number, y, *words: df.select("doc_id", page.cast("int").alias("page_number"), number.cast("int").alias("line_number"), y.cast("double").alias("y0"), F.explode(F.array(*words)).alias("w"))
+    head = lambda df, page, text: line(df.select("doc_id", page.alias("page_number")).distinct(), F.col("page_number"), F.lit(-1), F.lit(50), *[word(w, i, 60 + 40 * i) for i, w in enumerate(text.split())])
+    name = F.concat(F.lit("Valve"), k.cast("string"))
+    contents_page, message_page, body_page = (1 + F.floor(k / 40)).cast("int"), (50_000 + F.floor(k / 30)).cast("int"), (100_000 + k).cast("int")
+    named, body = rows.where("k % 2 = 0"), rows.where("k % 3 != 0")
+    parts = [
+        head(rows, contents_page, "TOC 21-1 ATA 21"), line(rows, contents_page, k, 100 + 12 * (k % 40), word(F.col("label"), 0, 80), word(name, 1, 150)),
+        head(named, message_page, "EICAS MESSAGES MEL ITEM"), line(named, message_page, k, 100 + 16 * (k % 30), word(name, 0, 72), word(F.col("label"), 1, 340)),
+        head(body, body_page, "BOEING 787 ATA 21"), line(body, body_page, k, F.lit(200), word(F.col("label"), 0, 72), word(name, 1, 150)),
+    ]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    every = every.select("doc_id", "page_number", F.lit(0).alias("block_number"), "line_number", "w.*", "y0")
+    return every.withColumns({"x1": F.col("x0") + 40, "y1": F.col("y0") + 9})
+
+
+@query(f"""WITH r AS (SELECT s_nationkey::BIGINT AS doc_id, s_suppkey::INT AS k, {_PLAN_LABEL.replace("k ", "s_suppkey ")} AS label FROM supplier),
+    plan AS (
+        SELECT *, 'local' AS toc_type, 1 + k // 40 AS page, label || ' Valve' || k AS title, 2 AS level, 100 + 12.0 * (k % 40) AS y, 68 AS x0, 558 AS x1, 'item_label_not_found_in_body' AS missing FROM r
+        UNION ALL SELECT *, 'reference', 50000 + k // 30, 'EICAS reference ' || label, 1, 100 + 16.0 * (k % 30), 68, 386, 'eicas_item_not_found_in_body' FROM r WHERE k % 2 = 0)
+    SELECT doc_id, page::INT AS page_number, toc_type, row_number() OVER (PARTITION BY doc_id, toc_type, page ORDER BY k) AS row_number, title, level, label AS target_label, label AS reference_text,
+        x0::DOUBLE AS rect_x0, (y - 2)::DOUBLE AS rect_y0, x1::DOUBLE AS rect_x1, (y + 12)::DOUBLE AS rect_y1,
+        CASE WHEN k % 3 <> 0 THEN 100000 + k - 1 END AS target_page, CASE WHEN k % 3 <> 0 THEN 176.0 END::DOUBLE AS target_y, CASE WHEN k % 3 = 0 THEN missing END AS unresolved_reason FROM plan""")
+def q_link_plan(spark, d):
+    """C3 from words to links, references to items among them; a third of the items have no page."""
+    titles = outline.title_index(spark.createDataFrame([], "doc_id long, ord int, level int, title string, page_number int"))
+    plan = composite.link_plan(_plan_words(spark, d), titles)
+    return plan.select("doc_id", "page_number", "toc_type", F.col("row_number").cast("long").alias("row_number"), "title", "level", "target_label", "reference_text", *rows_of_contents.RECT, "target_page", "target_y", "unresolved_reason")
+
+
 # The same over groups of any size, by ranges that carry on from each other; here a few groups hold all rows.
 
 
