@@ -9,8 +9,8 @@ The items' words are broadcast while there are at most `max_index_words` of them
 blocks of that size, each block is held against all documents, and the hits are merged.
 
 Words are compared by 64-bit hashes. Null and empty texts have no words: no hits, not contaminated. An item without words has no
-windows, and an empty benchmark hits nothing. An item with a null item_id is left out, as in the query's SQL: its windows don't count, and a document that shares only
-those isn't contaminated and is kept. Repeated rows get a row each. Only doc_id and text (item_id and text) are read; other columns play no part.
+windows, and an empty benchmark hits nothing. Words of an item with a null item_id are hit as any other's, but it has no name to be listed or
+counted by. Repeated rows get a row each. Only doc_id and text (item_id and text) are read; other columns play no part.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ def winnow(h: np.ndarray, bounds: np.ndarray, k: int, w: int) -> np.ndarray:
 class Index:
     """Fingerprints and words of items, for one broadcast."""
 
-    def __init__(self, item_ids: np.ndarray, lengths: np.ndarray, h: np.ndarray, window: int = WINDOW, k: int = K):
+    def __init__(self, item_ids: list[int | None], lengths: np.ndarray, h: np.ndarray, window: int = WINDOW, k: int = K):
         self.window, self.k, self.w = window, k, window - k + 1
         self.ids, self.h = item_ids, h
         self.bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
@@ -127,7 +127,7 @@ class Index:
         return join(starts), join(ends), join(items)
 
     def report(self, column: pa.Array) -> tuple[np.ndarray, list[list[int]], list[list[int]]]:
-        """Per row: number of words, merged spans as start, end, start, end, ..., and item_ids."""
+        """Per row: number of words, merged spans as start, end, start, end, ..., and item_ids but for null."""
         counts, spans, found = [], [[] for _ in range(len(column))], [[] for _ in range(len(column))]
         for lo, hi, d, before in hashed_steps(column, ALNUM):
             counts.append(np.diff(before))
@@ -137,7 +137,8 @@ class Index:
             text = np.searchsorted(before, a, "right") - 1
             pair = np.unique(np.stack([text, item], 1), axis=0)
             for t, i in pair.tolist():
-                found[lo + t].append(int(self.ids[i]))
+                if self.ids[i] is not None:
+                    found[lo + t].append(self.ids[i])
             delta = np.zeros(len(d) + 1, np.int64)
             np.add.at(delta, a, 1)
             np.add.at(delta, b, -1)
@@ -165,7 +166,7 @@ def _hash_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def indexes(benchmark: DataFrame, max_words: int = MAX_INDEX_WORDS) -> Iterator[Index]:
     """The items with words, in indexes of at most max_words words (an item with more is an index of its own)."""
     ship(benchmark.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(_hash_items, "item_id long, h binary").where(F.length("h") > 0)
+    items = benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("text").isNotNull()).mapInArrow(_hash_items, "item_id long, h binary").where(F.length("h") > 0)
     ids, h, size = [], [], 0
     for row in items.toLocalIterator():
         if size and size + len(row.h) // 8 > max_words:
@@ -178,8 +179,8 @@ def indexes(benchmark: DataFrame, max_words: int = MAX_INDEX_WORDS) -> Iterator[
         yield _index(ids, h)
 
 
-def _index(ids: list[int], h: list[np.ndarray]) -> Index:
-    return Index(np.array(ids, np.int64), np.array([len(x) for x in h]), np.concatenate(h))
+def _index(ids: list[int | None], h: list[np.ndarray]) -> Index:
+    return Index(ids, np.array([len(x) for x in h]), np.concatenate(h))
 
 
 def _hits(docs: DataFrame, index: Index) -> DataFrame:
@@ -203,7 +204,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, max_index_words: int =
     ship(spark)
     every = indexes(benchmark, max_index_words)
     # the driver holds two blocks at most
-    first = next(every, Index(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)))
+    first = next(every, Index([], np.zeros(0, np.int64), np.zeros(0, np.uint64)))
     second = next(every, None)
     if second is None:
         hits = _hits(docs.select(F.col("doc_id").alias("key"), "text"), first).withColumnRenamed("key", "doc_id")

@@ -303,7 +303,7 @@ SQL = {
             NOT base_failed AND NOT coalesce({_per_rule("{r} > {r}_cutoff", ", false) AND NOT coalesce(")}, false) AS kept
         FROM measured AS m LEFT JOIN cutoffs AS c ON m.lang IS NOT DISTINCT FROM c.lang""",
     "op9_decontam": f"""
-        WITH items AS (SELECT item_id, {_ALNUM} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        WITH items AS (SELECT item_id, {_ALNUM} AS w FROM benchmark),
         windows AS (
             SELECT DISTINCT item_id, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS gram, least(len(w), 10) AS n
             FROM items, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS r(i) WHERE len(w) > 0),

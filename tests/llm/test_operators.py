@@ -171,10 +171,12 @@ def test_decontamination(odd, bench):
 
 
 def test_items_without_id(spark):
-    docs = spark.createDataFrame([(1, BENCH[0][1]), (2, "some other passage of more than ten words that no named item has")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, BENCH[0][1]), (2, "some other passage of more than ten words that no named item has"), (3, "no passage of any item")], "doc_id long, text string")
     items = spark.createDataFrame([(0, BENCH[0][1]), (None, "other passage of more than ten words that no named item has")], "item_id long, text string")
-    assert {r.doc_id: (r.n_hit, r["items"]) for r in decontam.contamination(docs, items).collect()} == {1: (12, [0]), 2: (0, [])}
-    assert [r.doc_id for r in decontam.decontaminate(docs, items).collect()] == [2]
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in decontam.contamination(docs, items).collect()} == {1: (12, [0]), 2: (12, []), 3: (0, [])}
+    assert [r.doc_id for r in decontam.decontaminate(docs, items).collect()] == [3]
+    blocks = decontam.digest(decontam.contamination(docs, items, 3)).collect()
+    assert {(r.doc_id, r.n_hit, r.n_items, r.contaminated) for r in blocks} == {(1, 12, 1, True), (2, 12, 0, True), (3, 0, 0, False)}
 
 
 def test_pii_and_redaction(spark):
