@@ -92,6 +92,35 @@ def shift_pages(rows: DataFrame, insertions: DataFrame, by: list[str], page: str
     return both.where("_ins is null").drop("_n", "_kind", "_ins")
 
 
+def source_pages(rows: DataFrame, insertions: DataFrame, by: list[str], page: str) -> DataFrame:
+    """J7 backwards: source_page of pages behind insertions (by, start_page, n), and is_new: whether the page was inserted, when source_page is the page it stands before."""
+    w = W.partitionBy(*by).orderBy("start_page")
+    placed = insertions.groupBy(*by, "start_page").agg(F.sum("n").alias("_n")).withColumn("_upto", F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    starts = placed.select(*by, (F.col("start_page") + F.col("_upto") - F.col("_n")).alias(page), F.struct("start_page", "_n", "_upto").alias("section"))
+    rows = assign_sections(rows, starts, by, page)
+    first = F.col("section.start_page") + F.col("section._upto") - F.col("section._n")
+    new = F.coalesce(F.col(page) < first + F.col("section._n"), F.lit(False))
+    source = F.when(new, F.col("section.start_page")).otherwise(F.col(page) - F.coalesce("section._upto", F.lit(0)))
+    return rows.withColumns({"source_page": source, "is_new": new}).drop("section")
+
+
+def shifted_through(rows: DataFrame, steps: list[DataFrame], by: list[str], page: str) -> DataFrame:
+    """J7 over several insertions one after another, each in page numbers of the one before: the pages at the end as shifted_page."""
+    rows = rows.withColumn("shifted_page", F.col(page))
+    for insertions in steps:
+        moved = shift_pages(rows.withColumnRenamed("shifted_page", "_at"), insertions, by, "_at")
+        rows = moved.drop("_at")
+    return rows
+
+
+def retargeted(rows: DataFrame, plans: DataFrame, insertions: DataFrame, by: list[str], target: str) -> DataFrame:
+    """H3 (J6, J7): new_target: the first contents page of the section that a target lies in, else the target behind all insertions. plans: by, start_page, end_page, first_toc_page."""
+    starts = plans.select(*by, F.col("start_page").alias(target), F.struct("end_page", "first_toc_page").alias("section"))
+    moved = assign_sections(shift_pages(rows, insertions, by, target), starts, by, target)
+    within = F.col("section").isNotNull() & (F.col(target) <= F.col("section.end_page"))
+    return moved.withColumn("new_target", F.when(within, F.col("section.first_toc_page")).otherwise(F.col("shifted_page"))).drop("section", "shifted_page")
+
+
 def shift_pages_in_ranges(rows: DataFrame, insertions: DataFrame, by: list[str], page: str, cut: Column, own: bool = False) -> DataFrame:
     """J7 for documents of any size: the same pages as shift_pages gives, by a running sum over ranges of pages. cut: a range, told by the column page."""
     ahead = insertions.select(*by, F.col("start_page").alias(page), F.col("n").alias("_n"), F.lit(1 if own else 0).alias("_kind"), F.lit(True).alias("_ins"))
@@ -145,6 +174,47 @@ def overlapping(rects: DataFrame, others: DataFrame, by: list[str]) -> DataFrame
     return a.join(b, [*same, near], "left_semi")
 
 
+# Sides of the cells of the grid's levels in points; the last one's outer cells have no end.
+CELLS = (32.0, 128.0, 512.0, 2048.0, 8192.0)
+
+
+def _cells(rects: DataFrame, kind: str) -> DataFrame:
+    """Rects by the cells they lie in. kind: home (the first level whose cells are as large as the rect), coarser (the levels above), or all of those."""
+    size = F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))
+    home = F.lit(len(CELLS) - 1)
+    for level in reversed(range(len(CELLS) - 1)):
+        home = F.when(size <= CELLS[level], level).otherwise(home)
+    levels = F.sequence(F.lit(0), F.lit(len(CELLS) - 1))
+    wanted = {"home": lambda i: i == home, "coarser": lambda i: i > home, "all": lambda i: i >= home}[kind]
+    rects = rects.withColumn("_level", F.explode(F.filter(levels, wanted)))
+    side = F.element_at(F.array(*map(F.lit, CELLS)), F.col("_level") + 1)
+    # greatest and least pass over null
+    place = lambda c: F.when(F.col(c).isNotNull(), F.floor(F.greatest(F.lit(-16384.0), F.least(F.lit(16384.0), F.col(c))) / side).cast("int"))
+    for axis in "xy":
+        one, other = place(f"{axis}0"), place(f"{axis}1")
+        rects = rects.withColumn(f"_{axis}", F.explode(F.sequence(F.least(one, other), F.greatest(one, other))))
+    return rects
+
+
+def overlapping_on_grid(rects: DataFrame, others: DataFrame, by: list[str]) -> DataFrame:
+    """J12 for crowded pages: the same rows as overlapping gives, by equal cells of a grid.
+
+    Each rectangle lies in four cells at most of the level of its size, and meets larger ones in cells of theirs; two that overlap share a cell of
+    the larger one's level. Places beyond 16384 points are those cells' last, which keeps all overlaps. Repeated rects stay as they are; those
+    with a null side or page overlap nothing.
+    """
+    rect = ["x0", "y0", "x1", "y1"]
+    a, b = (r.select(*by, *[F.col(c).cast("double").alias(c) for c in rect]).distinct() for r in (rects, others))
+    near = (F.col("a.x0") < F.col("b.x1")) & (F.col("b.x0") < F.col("a.x1")) & (F.col("a.y0") < F.col("b.y1")) & (F.col("b.y0") < F.col("a.y1"))
+
+    def met(one: str, other: str) -> DataFrame:
+        same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*by, "_level", "_x", "_y")]
+        return _cells(a, one).alias("a").join(_cells(b, other).alias("b"), [*same, near], "left_semi").select(*by, *rect)
+
+    hit = met("all", "home").unionByName(met("home", "coarser")).distinct()
+    return rects.join(hit, [*by, *rect], "left_semi")
+
+
 def row_records(rows: DataFrame) -> DataFrame:
     """what a report shows of rows of contents."""
     return rows.select("doc_id", "title", F.col("page_number").alias("toc_page"), "reference_text", "toc_type", "target_label", F.col("target_page_number").alias("target_page"), "unresolved_reason")

@@ -190,12 +190,13 @@ def effective_entries(words: DataFrame) -> DataFrame:
 
 
 def bodies(words: DataFrame, height: float = HEIGHT) -> DataFrame:
-    """body_y (above the first words of a table's head in the page's upper 35 %, else a default) and footer_y (of the words in the last 80 points, else a default)."""
+    """body_y (above the first words of a table's head in the page's upper 35 %, else a default) and footer_y and footer_baseline (top of the words in the last 80 points, and their end less 1, else defaults)."""
     head = F.upper(F.trim("text")).isin(*BODY_WORDS) & F.col("y0").between(80, height * 0.35)
-    starts, footer = F.min(F.when(head, F.col("y0"))), F.min(F.when(F.col("y0") >= height - 80, F.col("y0")))
+    below = F.col("y0") >= height - 80
+    starts, footer, end = F.min(F.when(head, F.col("y0"))), F.min(F.when(below, F.col("y0"))), F.max(F.when(below, F.col("y1")))
     # greatest passes over null
     body = F.when(starts.isNotNull(), F.greatest(F.lit(86.0), starts - 4)).otherwise(min(112.0, height * 0.18))
-    return words.groupBy(*PAGE).agg(body.alias("body_y"), F.coalesce(footer, F.lit(height - 50.0)).alias("footer_y"))
+    return words.groupBy(*PAGE).agg(body.alias("body_y"), F.coalesce(footer, F.lit(height - 50.0)).alias("footer_y"), F.coalesce(end - 1, F.lit(height - 39.0)).alias("footer_baseline"))
 
 
 def current_revisions(words: DataFrame, height: float = HEIGHT) -> DataFrame:

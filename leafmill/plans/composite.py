@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -10,6 +12,9 @@ from ..functions import text as X
 from ..operators import cells, contents, outline, pages, revision, rows
 from ..operators.headings import clamp_levels
 
+# Margin and indent of entries in new contents, and the size of a first level's entry.
+MARGIN, INDENT, ENTRY_SIZE = 54.0, 18.0, 10.5
+
 
 def front_contents(headings: DataFrame) -> DataFrame:
     """Headings (doc_id, page_number, line_order, title, level) with clamped levels, their place in the new contents, and page_out behind those pages."""
@@ -84,7 +89,7 @@ def contents_edits(headings: DataFrame, height: float = 792.0) -> DataFrame:
     made = entries.groupBy("doc_id").agg(F.max("toc_page").alias("n")).select("doc_id", F.explode(F.sequence(F.lit(1), "n")).alias("page"))
     none = lambda kind: F.lit(None).cast(kind)
     new_pages = made.select("doc_id", F.lit("insert_page").alias("operation"), "page", none("double").alias("x"), none("double").alias("y"), none("string").alias("text"), none("long").alias("target_page"), none("int").alias("line_order"))
-    x = (F.lit(72.0) + 18 * (F.col("level") - 1)).alias("x")
+    x = (MARGIN + INDENT * F.greatest(F.lit(0), F.col("level") - 1)).alias("x")
     y, target = F.col("toc_y").cast("double").alias("y"), F.col("page_out").cast("long").alias("target_page")
     text = entries.select("doc_id", F.lit("insert_text").alias("operation"), F.col("toc_page").alias("page"), x, y, F.col("title").alias("text"), none("long").alias("target_page"), F.col("line_order").cast("int"))
     link = entries.select("doc_id", F.lit("insert_link").alias("operation"), F.col("toc_page").alias("page"), x, y, none("string").alias("text"), target, F.col("line_order").cast("int"))
@@ -123,7 +128,7 @@ def section_contents(roots: DataFrame, headings: DataFrame, documents: DataFrame
     within = contents.assign_sections(headings, starts, ["doc_id"], "page").withColumnRenamed("section", "start_page")
     own = within.join(spans.select("doc_id", "start_page", "end_page", "chapter"), ["doc_id", "start_page"]).where("page <= end_page and chapter = regexp_extract(title, '^([0-9]{2})-', 1)")
     placed = own.join(bodies.withColumnRenamed("page_number", "start_page"), ["doc_id", "start_page"], "left").fillna({"body_y": 112.0, "footer_y": 742.0})
-    entries = contents.paginate_sections(placed, ["doc_id", "start_page"], ["page", "y0", "title"]).drop("body_y", "footer_y", "end_page")
+    entries = contents.paginate_sections(placed, ["doc_id", "start_page"], ["page", "y0", "title"]).drop("body_y", "footer_y", "footer_baseline", "end_page")
     sizes = entries.groupBy("doc_id", "start_page").agg(F.max("toc_page").cast("long").alias("n_pages"), F.count("*").alias("n_entries"))
     plans = contents.chapter_labels(spans.join(sizes, ["doc_id", "start_page"]), ["doc_id"], ["start_page"])
     insertions = plans.select("doc_id", "start_page", F.col("n_pages").alias("n"))
@@ -131,6 +136,52 @@ def section_contents(roots: DataFrame, headings: DataFrame, documents: DataFrame
     return plans, contents.shift_pages(entries, insertions, ["doc_id"], "page").withColumnRenamed("shifted_page", "final_page")
 
 
+def section_edits(plans: DataFrame, entries: DataFrame, rows: DataFrame, links: DataFrame, bodies: DataFrame, width: float = 612.0, height: float = 792.0) -> DataFrame:
+    """K8 and H3: what contents pages before sections change in the documents, to be applied by step, turn, page, y0 and operation.
+
+    plans, entries: of section_contents. rows (doc_id, page_number, rectangle, target_page): resolved rows of the document's contents, of link_plan
+    with toc_type global, but with targets from 1. links (doc_id, page_number, rectangle): those that exist. bodies: of pages.bodies.
+    Step 0 copies a section's first page before it (insert_page at page, in source numbers: later sections first, so they hold). All other steps
+    are in final page numbers: 1 empties the copies (delete_link of the whole page, delete_text of body and footer), 2 writes them
+    (insert_text, insert_link), 3 leads the document's contents to the new pages: links beneath a row go (delete_link) before its own comes
+    (insert_link). x0 is null for text in the line's middle. A document without sections has no edits.
+    """
+    types = {"turn": "long", "page": "long", "x0": "double", "y0": "double", "x1": "double", "y1": "double", "text": "string", "target_page": "long", "target_y": "double"}
+
+    def edits(made: DataFrame, step: int, operation: str, **values: Column) -> DataFrame:
+        own = {c: values.get(c, F.lit(None)).cast(t).alias(c) for c, t in types.items()}
+        return made.select("doc_id", F.lit(step).alias("step"), F.lit(operation).alias("operation"), *own.values())
+
+    col, lit = F.col, F.lit
+    insertions = plans.select("doc_id", "start_page", col("n_pages").alias("n"))
+    at = bodies.withColumnRenamed("page_number", "start_page")
+    copies = plans.join(at, ["doc_id", "start_page"], "left").fillna({"body_y": 112.0, "footer_y": height - 50.0, "footer_baseline": height - 39.0})
+    copies = copies.select("*", F.explode(F.sequence(lit(0), (col("n_pages") - 1).cast("int"))).alias("i")).withColumn("new_page", col("first_toc_page") + col("i"))
+    label = F.concat(F.regexp_extract("first_label", "^(.*-)", 1), (F.regexp_extract("first_label", "([0-9]+)$", 1).cast("long") + col("i")).cast("string"))
+    firsts = copies.where("i = 0")
+    written = entries.join(plans.select("doc_id", "start_page", "first_toc_page"), ["doc_id", "start_page"])
+    x, y, page = MARGIN + INDENT * F.greatest(lit(0), col("level") - 1), col("toc_y").cast("double"), col("first_toc_page") + col("toc_page") - 1
+    size = F.greatest(lit(8.5), lit(ENTRY_SIZE) - (col("level") - 1) * 0.25)
+    # of a row of contents: the page that it is on, moved, and where it leads now
+    led = contents.retargeted(rows, plans, insertions, ["doc_id"], "target_page").join(plans.select("doc_id").distinct(), "doc_id", "left_semi")
+    led = contents.shift_pages(led, insertions, ["doc_id"], "page_number").withColumnRenamed("shifted_page", "page")
+    moved = contents.shift_pages(links, insertions, ["doc_id"], "page_number").withColumnRenamed("shifted_page", "page")
+    rect = {c: col(c) for c in ("x0", "y0", "x1", "y1")}
+    parts = [
+        edits(copies, 0, "insert_page", turn=-col("start_page"), page=col("start_page")),
+        edits(copies, 1, "delete_link", page=col("new_page")),
+        edits(copies, 1, "delete_text", page=col("new_page"), x0=lit(36.0), y0=F.greatest(lit(0.0), col("body_y") - 2), x1=lit(width - 36), y1=F.greatest(col("body_y") + 20, col("footer_y") - 4)),
+        edits(copies, 1, "delete_text", page=col("new_page"), x0=lit(36.0), y0=F.greatest(lit(0.0), col("footer_y") - 3), x1=lit(width - 36), y1=lit(height - 20)),
+        edits(copies, 2, "insert_text", page=col("new_page"), y0=col("footer_baseline"), text=label),
+        edits(firsts, 2, "insert_text", page=col("new_page"), y0=col("body_y") + 18, text=lit("Table of Contents")),
+        edits(written, 2, "insert_text", page=page, x0=x, y0=y, text=col("title")),
+        edits(written, 2, "insert_link", page=page, x0=lit(MARGIN), y0=y - size, x1=lit(width - MARGIN), y1=y + 3, target_page=col("final_page"), target_y=F.greatest(lit(0.0), F.coalesce("y0", lit(0.0)))),
+        edits(contents.overlapping_on_grid(moved, led, ["doc_id", "page"]), 3, "delete_link", page=col("page"), **rect),
+        edits(led, 3, "insert_link", page=col("page"), **rect, target_page=col("new_target"), target_y=lit(0.0)),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def stamped_changes(changes: DataFrame, entries: DataFrame, current: DataFrame, revision_value: str | None = None) -> DataFrame:
     """C6 up to the pages' drawing (W20, A7, X18, J8): changes (doc_id, page_index, page_label, change_type) once a page and label, with new_revision and the row of the list of effective pages that it goes to.
 

@@ -708,3 +708,87 @@ def q_row_assembly_in_ranges(spark, d):
     """All conversations are one document, one a page."""
     rows = read(spark, d, "conversations").where("text is not null").withColumn("doc", F.lit(1))
     return contents.assemble_in_ranges(rows, ["doc"], ["conv_id", "turn"], F.col("role") == "user", "text", scans.page_range("conv_id", 16))
+
+
+# Orders as pages of documents of 30 customers: every one a heading, some the start of a section, of a row of contents or of a link.
+_PAGED = """
+    o AS (SELECT (o_custkey // 30)::BIGINT AS doc_id, o_orderkey AS page, (o_custkey % 700)::DOUBLE AS y0, o_custkey % 3 AS third, (o_orderkey % 3 + 1)::INT AS level, o_orderkey * 7919 % 60000 AS target,
+        CASE WHEN o_custkey % 3 = 0 THEN '22' ELSE '21' END || '-' || (o_orderkey % 90 + 10)::VARCHAR || '-' || o_orderkey::VARCHAR AS title FROM orders),
+    s AS (SELECT doc_id, page AS start_page, page % 2 = 0 AS even, CASE WHEN page % 2 = 0 THEN '21' ELSE '22' END AS chapter, coalesce(lead(page) OVER (PARTITION BY doc_id ORDER BY page) - 1, 1000000000) AS end_page FROM o WHERE page % 97 = 0),
+    e AS (SELECT s.*, page, y0, level, title, row_number() OVER (PARTITION BY s.doc_id, start_page ORDER BY page, y0, title) - 1 AS i
+        FROM o JOIN s ON o.doc_id = s.doc_id AND o.page BETWEEN start_page AND end_page AND left(title, 2) = chapter),
+    h AS (SELECT *, CASE WHEN even THEN 37 ELSE 35 END AS a, CASE WHEN even THEN 39 ELSE 37 END AS b, CASE WHEN even THEN 96 ELSE 112 END AS body FROM e),
+    t AS (SELECT *, CASE WHEN i < a THEN 1 ELSE (i - a) // b + 2 END AS toc_page, (body + CASE WHEN i < a THEN 43 + 16 * i ELSE 15 + 16 * ((i - a) % b) END)::DOUBLE AS toc_y FROM h),
+    n AS (SELECT doc_id, start_page, end_page, chapter, even, body::DOUBLE AS body, max(toc_page) AS n FROM t GROUP BY ALL),
+    plans AS (SELECT *, start_page + coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY start_page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_page,
+        coalesce(sum(n) OVER (PARTITION BY doc_id, chapter ORDER BY start_page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS label FROM n),
+    copies AS (SELECT *, first_page + i AS new_page FROM plans, unnest(range(n)) AS r(i)),
+    moved AS (SELECT *, page + coalesce((SELECT sum(n) FROM plans AS p WHERE p.doc_id = o.doc_id AND p.start_page <= o.page), 0) AS final_page FROM o),
+    led AS (SELECT *, coalesce((SELECT min(first_page) FROM plans AS p WHERE p.doc_id = m.doc_id AND m.target BETWEEN p.start_page AND p.end_page),
+        target + coalesce((SELECT sum(n) FROM plans AS p WHERE p.doc_id = m.doc_id AND p.start_page <= m.target), 0)) AS new_target
+        FROM moved AS m WHERE page % 5 = 0 AND doc_id IN (SELECT doc_id FROM plans))"""
+
+
+def _sections(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The same pages, their sections' plans and entries, and what is told of sections' first pages."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    title = F.concat(F.when(customer % 3 == 0, "22").otherwise("21"), F.lit("-"), (key % 90 + 10).cast("string"), F.lit("-"), key.cast("string"))
+    o = read(spark, d, "orders").select(F.floor(customer / 30).alias("doc_id"), key.alias("page"), (customer % 700).cast("double").alias("y0"), (customer % 3).alias("third"), (key % 3 + 1).cast("int").alias("level"), (key * 7919 % 60000).alias("target"), title.alias("title"))
+    even = F.col("page") % 2 == 0
+    roots = o.where("page % 97 = 0").select("doc_id", "page", F.lit(0).alias("ord"), F.when(even, "21").otherwise("22").alias("chapter"), "title")
+    bodies = roots.where(even).select("doc_id", F.col("page").alias("page_number"), F.lit(96.0).alias("body_y"), F.lit(750.0).alias("footer_y"), F.lit(757.0).alias("footer_baseline"))
+    last = o.select("doc_id").distinct().withColumn("last_page", F.lit(1_000_000_000).cast("long"))
+    plans, entries = composite.section_contents(roots, o.select("doc_id", "page", "y0", "title", "level"), last, bodies)
+    return o, plans, entries, bodies
+
+
+@query(f"""WITH {_PAGED},
+    x AS (
+        SELECT doc_id, 0 AS step, 'insert_page' AS operation, -start_page AS turn, start_page AS page, NULL::DOUBLE AS x0, NULL::DOUBLE AS y0, NULL::DOUBLE AS x1, NULL::DOUBLE AS y1, NULL AS text, NULL AS target_page, NULL::DOUBLE AS target_y FROM copies
+        UNION ALL SELECT doc_id, 1, 'delete_link', NULL, new_page, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM copies
+        UNION ALL SELECT doc_id, 1, 'delete_text', NULL, new_page, 36, body - 2, 576, CASE WHEN even THEN 746 ELSE 738 END, NULL, NULL, NULL FROM copies
+        UNION ALL SELECT doc_id, 1, 'delete_text', NULL, new_page, 36, CASE WHEN even THEN 747 ELSE 739 END, 576, 772, NULL, NULL, NULL FROM copies
+        UNION ALL SELECT doc_id, 2, 'insert_text', NULL, new_page, NULL, CASE WHEN even THEN 757 ELSE 753 END, NULL, NULL, 'TOC ' || chapter || '-' || (label + i)::BIGINT, NULL, NULL FROM copies
+        UNION ALL SELECT doc_id, 2, 'insert_text', NULL, new_page, NULL, body + 18, NULL, NULL, 'Table of Contents', NULL, NULL FROM copies WHERE i = 0
+        UNION ALL SELECT t.doc_id, 2, 'insert_text', NULL, first_page + toc_page - 1, 54 + 18 * (level - 1), toc_y, NULL, NULL, title, NULL, NULL FROM t JOIN plans USING (doc_id, start_page)
+        UNION ALL SELECT t.doc_id, 2, 'insert_link', NULL, first_page + toc_page - 1, 54, toc_y - 10.5 + 0.25 * (level - 1), 558, toc_y + 3, NULL, final_page, t.y0
+            FROM t JOIN plans USING (doc_id, start_page) JOIN (SELECT doc_id, page, final_page FROM moved) AS m ON m.doc_id = t.doc_id AND m.page = t.page
+        UNION ALL SELECT doc_id, 3, 'delete_link', NULL, final_page, 60, y0 + 6 * third, 70, y0 + 6 * third + 5, NULL, NULL, NULL FROM led WHERE page % 10 = 0 AND third < 2
+        UNION ALL SELECT doc_id, 3, 'insert_link', NULL, final_page, 50, y0, 300, y0 + 10, NULL, new_target, 0 FROM led)
+    SELECT doc_id, step, operation, turn::BIGINT AS turn, page::BIGINT AS page, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1, text, target_page::BIGINT AS target_page, target_y::DOUBLE AS target_y FROM x""")
+def q_section_edits(spark, d):
+    """K8 and H3 with C4: rows of contents are on every fifth page, links on every tenth, of which some lie beneath a row."""
+    o, plans, entries, bodies = _sections(spark, d)
+    at, y = F.col("page").alias("page_number"), F.col("y0")
+    rows = o.where("page % 5 = 0").select("doc_id", at, F.lit(50.0).alias("x0"), y, F.lit(300.0).alias("x1"), (y + 10).alias("y1"), F.col("target").alias("target_page"))
+    top = y + 6 * F.col("third")
+    links = o.where("page % 10 = 0").select("doc_id", at, F.lit(60.0).alias("x0"), top.alias("y0"), F.lit(70.0).alias("x1"), (top + 5).alias("y1"))
+    return composite.section_edits(plans, entries, rows, links, bodies)
+
+
+@query(f"""WITH {_PAGED}
+    SELECT doc_id, final_page::BIGINT AS page, page AS source_page, false AS is_new FROM moved
+    UNION ALL SELECT doc_id, new_page::BIGINT, start_page, true FROM copies""")
+def q_source_pages(spark, d):
+    """J7 backwards, from all pages behind the insertions."""
+    o, plans, _, _ = _sections(spark, d)
+    insertions = plans.select("doc_id", "start_page", F.col("n_pages").alias("n"))
+    old = contents.shift_pages(o.select("doc_id", "page"), insertions, ["doc_id"], "page").select("doc_id", F.col("shifted_page").alias("page"))
+    new = plans.select("doc_id", F.explode(F.sequence("first_toc_page", F.col("first_toc_page") + F.col("n_pages") - 1)).alias("page"))
+    return contents.source_pages(old.unionByName(new), insertions, ["doc_id"], "page")
+
+
+_RECTS = """a AS (SELECT o_orderkey AS id, o_orderstatus AS page, (o_orderkey * 7919 % 6000)::DOUBLE AS x0, (o_custkey * 104729 % 8000)::DOUBLE AS y0, o_custkey % 40 AS w, o_orderkey % 30 AS h FROM orders),
+    b AS (SELECT CASE p_size % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END AS page, (p_partkey * 7907 % 6000)::DOUBLE AS x0, (p_partkey * 104723 % 8000)::DOUBLE AS y0, CASE WHEN p_partkey % 500 = 0 THEN 900 ELSE p_size END AS w, p_partkey % 30 AS h FROM part)"""
+
+
+@query(f"""WITH {_RECTS} SELECT id, page FROM a WHERE EXISTS (SELECT 1 FROM b WHERE b.page = a.page AND a.x0 < b.x0 + b.w AND b.x0 < a.x0 + a.w AND a.y0 < b.y0 + b.h AND b.y0 < a.y0 + a.h)""")
+def q_overlaps_on_grid(spark, d):
+    """J12 on three crowded pages: orders and parts as rectangles."""
+    key, customer, part = F.col("o_orderkey"), F.col("o_custkey"), F.col("p_partkey")
+    place = lambda x, y: [x.cast("double").alias("x0"), y.cast("double").alias("y0")]
+    sides = lambda r: r.withColumns({"x1": F.col("x0") + F.col("w"), "y1": F.col("y0") + F.col("h")}).drop("w", "h")
+    a = read(spark, d, "orders").select(key.alias("id"), F.col("o_orderstatus").alias("page"), *place(key * 7919 % 6000, customer * 104729 % 8000), (customer % 40).alias("w"), (key % 30).alias("h"))
+    page = F.element_at(F.array(F.lit("F"), F.lit("O"), F.lit("P")), (F.col("p_size") % 3 + 1).cast("int"))
+    b = read(spark, d, "part").select(page.alias("page"), *place(part * 7907 % 6000, part * 104723 % 8000), F.when(part % 500 == 0, 900).otherwise(F.col("p_size")).alias("w"), (part % 30).alias("h"))
+    return contents.overlapping_on_grid(sides(a), sides(b), ["page"]).select("id", "page")

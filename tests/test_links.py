@@ -112,8 +112,8 @@ def test_edits(spark):
     found = composite.contents_edits(composite.front_contents(headings)).orderBy("place").collect()
     assert [(r.operation, r.page, r.x, r.y, r.text, r.target_page) for r in found] == [
         ("insert_page", 1, None, None, None, None),
-        ("insert_text", 1, 72.0, 110.0, "A", None), ("insert_link", 1, 72.0, 110.0, None, 2),
-        ("insert_text", 1, 90.0, 126.0, "B", None), ("insert_link", 1, 90.0, 126.0, None, 3),
+        ("insert_text", 1, 54.0, 110.0, "A", None), ("insert_link", 1, 54.0, 110.0, None, 2),
+        ("insert_text", 1, 72.0, 126.0, "B", None), ("insert_link", 1, 72.0, 126.0, None, 3),
     ]
     placed = spark.createDataFrame([(1, "21-1", "3", 4, 90.0), (1, "21-2", "3", None, None)], "doc_id long, label string, new_revision string, lep_page int, lep_y double")
     assert [tuple(r) for r in composite.cell_overwrites(placed).collect()] == [(1, 4, 90.0, "label", "21-1"), (1, 4, 90.0, "revision", "3")]
