@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -147,39 +145,49 @@ def section_edits(plans: DataFrame, entries: DataFrame, rows: DataFrame, links:
     (insert_link). x0 is null for text in the line's middle. A document without sections has no edits.
     """
     types = {"turn": "long", "page": "long", "x0": "double", "y0": "double", "x1": "double", "y1": "double", "text": "string", "target_page": "long", "target_y": "double"}
+    col, lit = F.col, F.lit
 
-    def edits(made: DataFrame, step: int, operation: str, **values: Column) -> DataFrame:
-        own = {c: values.get(c, F.lit(None)).cast(t).alias(c) for c, t in types.items()}
-        return made.select("doc_id", F.lit(step).alias("step"), F.lit(operation).alias("operation"), *own.values())
+    def edit(step: int, operation: str, **values: Column) -> Column:
+        return F.struct(lit(step).alias("step"), lit(operation).alias("operation"), *[values.get(c, lit(None)).cast(t).alias(c) for c, t in types.items()])
+
+    def edits(made: DataFrame, *each: Column) -> DataFrame:
+        return made.select("doc_id", F.explode(F.array_compact(F.array(*each))).alias("e")).select("doc_id", "e.*")
 
-    col, lit = F.col, F.lit
     insertions = plans.select("doc_id", "start_page", col("n_pages").alias("n"))
     at = bodies.withColumnRenamed("page_number", "start_page")
     copies = plans.join(at, ["doc_id", "start_page"], "left").fillna({"body_y": 112.0, "footer_y": height - 50.0, "footer_baseline": height - 39.0})
-    copies = copies.select("*", F.explode(F.sequence(lit(0), (col("n_pages") - 1).cast("int"))).alias("i")).withColumn("new_page", col("first_toc_page") + col("i"))
+    copies = copies.select("*", F.explode(F.sequence(lit(0), (col("n_pages") - 1).cast("int"))).alias("i"))
+    new, body, footer = col("first_toc_page") + col("i"), col("body_y"), col("footer_y")
+    across = {"x0": lit(36.0), "x1": lit(width - 36)}
     label = F.concat(F.regexp_extract("first_label", "^(.*-)", 1), (F.regexp_extract("first_label", "([0-9]+)$", 1).cast("long") + col("i")).cast("string"))
-    firsts = copies.where("i = 0")
+    of_copies = edits(
+        copies,
+        edit(0, "insert_page", turn=-col("start_page"), page=col("start_page")),
+        edit(1, "delete_link", page=new),
+        edit(1, "delete_text", page=new, y0=F.greatest(lit(0.0), body - 2), y1=F.greatest(body + 20, footer - 4), **across),
+        edit(1, "delete_text", page=new, y0=F.greatest(lit(0.0), footer - 3), y1=lit(height - 20), **across),
+        edit(2, "insert_text", page=new, y0=col("footer_baseline"), text=label),
+        F.when(col("i") == 0, edit(2, "insert_text", page=new, y0=body + 18, text=lit("Table of Contents"))),
+    )
     written = entries.join(plans.select("doc_id", "start_page", "first_toc_page"), ["doc_id", "start_page"])
     x, y, page = MARGIN + INDENT * F.greatest(lit(0), col("level") - 1), col("toc_y").cast("double"), col("first_toc_page") + col("toc_page") - 1
     size = F.greatest(lit(8.5), lit(ENTRY_SIZE) - (col("level") - 1) * 0.25)
-    # of a row of contents: the page that it is on, moved, and where it leads now
-    led = contents.retargeted(rows, plans, insertions, ["doc_id"], "target_page").join(plans.select("doc_id").distinct(), "doc_id", "left_semi")
-    led = contents.shift_pages(led, insertions, ["doc_id"], "page_number").withColumnRenamed("shifted_page", "page")
-    moved = contents.shift_pages(links, insertions, ["doc_id"], "page_number").withColumnRenamed("shifted_page", "page")
+    of_entries = edits(
+        written,
+        edit(2, "insert_text", page=page, x0=x, y0=y, text=col("title")),
+        edit(2, "insert_link", page=page, x0=lit(MARGIN), y0=y - size, x1=lit(width - MARGIN), y1=y + 3, target_page=col("final_page"), target_y=F.greatest(lit(0.0), F.coalesce("y0", lit(0.0)))),
+    )
+    # a row of contents and a link beneath it move together, so they are compared where they were
     rect = {c: col(c) for c in ("x0", "y0", "x1", "y1")}
-    parts = [
-        edits(copies, 0, "insert_page", turn=-col("start_page"), page=col("start_page")),
-        edits(copies, 1, "delete_link", page=col("new_page")),
-        edits(copies, 1, "delete_text", page=col("new_page"), x0=lit(36.0), y0=F.greatest(lit(0.0), col("body_y") - 2), x1=lit(width - 36), y1=F.greatest(col("body_y") + 20, col("footer_y") - 4)),
-        edits(copies, 1, "delete_text", page=col("new_page"), x0=lit(36.0), y0=F.greatest(lit(0.0), col("footer_y") - 3), x1=lit(width - 36), y1=lit(height - 20)),
-        edits(copies, 2, "insert_text", page=col("new_page"), y0=col("footer_baseline"), text=label),
-        edits(firsts, 2, "insert_text", page=col("new_page"), y0=col("body_y") + 18, text=lit("Table of Contents")),
-        edits(written, 2, "insert_text", page=page, x0=x, y0=y, text=col("title")),
-        edits(written, 2, "insert_link", page=page, x0=lit(MARGIN), y0=y - size, x1=lit(width - MARGIN), y1=y + 3, target_page=col("final_page"), target_y=F.greatest(lit(0.0), F.coalesce("y0", lit(0.0)))),
-        edits(contents.overlapping_on_grid(moved, led, ["doc_id", "page"]), 3, "delete_link", page=col("page"), **rect),
-        edits(led, 3, "insert_link", page=col("page"), **rect, target_page=col("new_target"), target_y=lit(0.0)),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    own = rows.join(plans.select("doc_id").distinct(), "doc_id", "left_semi")
+    beneath = contents.overlapping_on_grid(links, own, ["doc_id", "page_number"])
+    told = ["doc_id", "page_number", *rect, "operation", "new_target"]
+    led = contents.retargeted(own, plans, insertions, ["doc_id"], "target_page").withColumn("operation", lit("insert_link")).select(told)
+    changed = led.unionByName(beneath.withColumn("operation", lit("delete_link")), allowMissingColumns=True)
+    changed = contents.shift_pages(changed.select(told), insertions, ["doc_id"], "page_number")
+    target_y = F.when(col("operation") == "insert_link", 0.0)
+    placed = edit(3, "", page=col("shifted_page"), **rect, target_page=col("new_target"), target_y=target_y).withField("operation", col("operation"))
+    return of_copies.unionByName(of_entries).unionByName(edits(changed, placed))
 
 
 def stamped_changes(changes: DataFrame, entries: DataFrame, current: DataFrame, revision_value: str | None = None) -> DataFrame:
